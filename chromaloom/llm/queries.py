@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, packing, quality, simhash, tokens, topk, url_filter, warc
+from . import exact_dedup, mixing, packing, quality, simhash, substring, tokens, topk, url_filter, warc
 
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
 
@@ -48,6 +48,10 @@ def op7_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_groups(table(spark, sf_dir, "documents"))
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.substring_dedup(table(spark, sf_dir, "documents"))
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -68,7 +72,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = (op1_url_filter, op2_topk_search, op3_token_counts, op4_mix_sources, op5_quality_classifier, op6_exact_dedup, op7_simhash_groups, op9_best_fit_packing, op10_warc_derivatives, pipeline)
+    named = (op1_url_filter, op2_topk_search, op3_token_counts, op4_mix_sources, op5_quality_classifier, op6_exact_dedup, op7_simhash_groups, op8_substring_dedup, op9_best_fit_packing, op10_warc_derivatives, pipeline)
     return {f.__name__: f for f in named}
 
 
@@ -99,6 +103,17 @@ SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc
 FROM (SELECT doc_id, sha256({LOWERED}) AS h FROM documents) WINDOW g AS (PARTITION BY h)"""
 
 
+OP8_SQL = """
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS words FROM documents),
+starts AS (SELECT doc_id, words, unnest(range(1, len(words) - 33)) AS pos FROM w WHERE len(words) >= 35),
+hashed AS (SELECT doc_id, pos, md5(array_to_string(list_slice(words, pos, pos + 34), ' ')) AS h FROM starts),
+often AS (SELECT h FROM hashed GROUP BY h HAVING count(*) > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(pos, pos + 35)) AS i FROM hashed WHERE h IN (SELECT h FROM often)),
+lists AS (SELECT doc_id, list(i) AS l FROM gone GROUP BY doc_id),
+kept AS (SELECT w.doc_id, len(words) AS n, coalesce(len(l), 0) AS r, [words[i] FOR i IN range(1, len(words) + 1) IF l IS NULL OR NOT list_contains(l, i)] AS k FROM w LEFT JOIN lists USING (doc_id))
+SELECT doc_id, n AS n_words, r AS n_removed, sha256(coalesce(array_to_string(k, ' '), '')) AS kept_sha256 FROM kept"""
+
+
 def _sql_regex(pattern: str) -> str:
     return pattern.replace("'", "''")
 
@@ -136,5 +151,5 @@ def oracle_sql() -> dict[str, str]:
     """Token counts, learned scores, SimHash groups and packings are not SQL: their tests use brute force."""
     import corpus_pipeline
 
-    sql = {"op1_url_filter": OP1_SQL, "op2_topk_search": OP2_SQL, "op4_mix_sources": OP4_SQL, "op6_exact_dedup": OP6_SQL, "op10_warc_derivatives": op10_sql()}
+    sql = {"op1_url_filter": OP1_SQL, "op2_topk_search": OP2_SQL, "op4_mix_sources": OP4_SQL, "op6_exact_dedup": OP6_SQL, "op8_substring_dedup": OP8_SQL, "op10_warc_derivatives": op10_sql()}
     return sql | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
