@@ -92,7 +92,7 @@ def place_image(art_w: Column, art_h: Column, w: Column, h: Column, dpi: Column)
     good = (art_w > 0) & (art_h > 0) & (w > 0) & (h > 0)
     scale = F.lit(float(PPI)) / F.when((dpi > 0) & ~F.isnan(dpi.cast("double")) & (dpi < float("inf")), dpi).otherwise(float(PPI))
     pw, ph = w * scale, h * scale
-    fit = F.least(F.lit(1.0), art_w / pw, art_h / ph)
+    fit = F.least(F.lit(1.0), F.try_divide(art_w, pw), F.try_divide(art_h, ph))
     return F.when(good, F.struct((art_w / 2).alias("x"), (art_h / 2).alias("y"), (pw * fit).alias("width"), (ph * fit).alias("height")))
 
 
@@ -114,7 +114,7 @@ def content_region(art_w: Column, art_h: Column, pad: dict[str, Column], image:
         .when(~F.coalesce((w > 0) & (h > 0), F.lit(False)), "intrinsic size")
         .when(~((cw > 0) & (ch > 0)), "empty content area")
     )
-    sx, sy = w / image["width"], h / image["height"]
+    sx, sy = F.try_divide(w, image["width"]), F.try_divide(h, image["height"])
     canvas_w, canvas_h = F.greatest(F.lit(1), _half_up(cw * sx)), F.greatest(F.lit(1), _half_up(ch * sy))
     px, py = (image["left"] - pl) * sx, (image["top"] - pt) * sy
     left, top = F.greatest(zero, px), F.greatest(zero, py)
@@ -141,8 +141,8 @@ def content_region(art_w: Column, art_h: Column, pad: dict[str, Column], image:
 
 
 def _grid(display_w: Column, display_h: Column, pitch_w: Column, pitch_h: Column) -> Column:
-    nx = F.when(pitch_w > 0, F.floor(display_w / pitch_w)).otherwise(0)
-    ny = F.when(pitch_h > 0, F.floor(display_h / pitch_h)).otherwise(0)
+    nx = F.when(pitch_w > 0, F.floor(F.try_divide(display_w, pitch_w))).otherwise(0)
+    ny = F.when(pitch_h > 0, F.floor(F.try_divide(display_h, pitch_h))).otherwise(0)
     return F.struct(
         nx.cast("long").alias("cells_x"), ny.cast("long").alias("cells_y"), pitch_w.alias("pitch_w"), pitch_h.alias("pitch_h"),
         (nx * pitch_w).alias("used_w"), (ny * pitch_h).alias("used_h"), (display_w - nx * pitch_w).alias("border_w"), (display_h - ny * pitch_h).alias("border_h"),
@@ -165,14 +165,14 @@ def circulate_grid(display_w: Column, display_h: Column, before: tuple[Column, C
 def ellipse_fractions(pitch: tuple[Column, Column], outer: tuple[Column, Column], inner: tuple[Column, Column]) -> Column:
     """Ellipse axes as parts of the pitch, one at most, the outer 0.85 at most so that neighbours keep apart."""
     one, most = F.lit(1.0), F.lit(OUTER_MOST)
-    o = [F.least(most, one, outer[i] / pitch[i]) for i in (0, 1)]
-    i_ = [F.least(one, inner[i] / pitch[i]) for i in (0, 1)]
+    o = [F.least(most, one, F.try_divide(outer[i], pitch[i])) for i in (0, 1)]
+    i_ = [F.least(one, F.try_divide(inner[i], pitch[i])) for i in (0, 1)]
     return F.struct(o[0].alias("outer_w"), o[1].alias("outer_h"), i_[0].alias("inner_w"), i_[1].alias("inner_h"))
 
 
 def centered_crop(pixel_w: Column, pixel_h: Column, display_w: Column, display_h: Column, grid: Column) -> Column:
     """The grid's used area as a pixel rectangle, rounded and kept inside the source."""
-    dx, dy = pixel_w / display_w, pixel_h / display_h
+    dx, dy = F.try_divide(pixel_w, display_w), F.try_divide(pixel_h, display_h)
     x, y = _half_up(grid["border_w"] / 2 * dx), _half_up(grid["border_h"] / 2 * dy)
     w, h = _half_up(grid["used_w"] * dx), _half_up(grid["used_h"] * dy)
     x, y = F.greatest(F.lit(0), F.least(x, pixel_w - 1)), F.greatest(F.lit(0), F.least(y, pixel_h - 1))
@@ -184,7 +184,7 @@ def work_edge(mp: Column, w: Column, h: Column) -> Column:
     """Longer edge for about mp megapixels: never above the source, within 256..8192; 720 for a bad size."""
     long, short = F.greatest(w, h), F.least(w, h)
     bad = ~F.coalesce((w > 0) & (h > 0), F.lit(False))
-    edge = _half_up(F.sqrt(mp * 1e6 * (long / short)))
+    edge = _half_up(F.sqrt(mp * 1e6 * F.try_divide(long, short)))
     return F.when(bad, 720).otherwise(F.least(F.lit(8192), F.greatest(F.lit(256), F.least(long, edge)))).cast("long")
 
 
@@ -200,4 +200,4 @@ def image_dpi(dpi_x: Column, dpi_y: Column) -> Column:
     """Mean of both axes, else the one there is, one at least; 72 without any (zero counts as none)."""
     x, y = F.nullif(dpi_x, F.lit(0)), F.nullif(dpi_y, F.lit(0))
     one = F.lit(1.0)
-    return F.when(x.isNotNull() & y.isNotNull(), F.greatest(one, _half_up((x + y) / 2).cast("double"))).otherwise(F.coalesce(F.greatest(one, F.coalesce(x, y).cast("double")), F.lit(72.0)))
+    return F.when(x.isNotNull() & y.isNotNull(), F.greatest(one, _half_up((x + y) / 2).cast("double"))).when(F.coalesce(x, y).isNotNull(), F.greatest(one, F.coalesce(x, y).cast("double"))).otherwise(72.0)

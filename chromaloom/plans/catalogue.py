@@ -1,6 +1,6 @@
 """All queries of the library's own operators, with their SQL."""
 
-from . import color_queries  # noqa: F401
+from . import color_queries, geometry_queries  # noqa: F401
 from .registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
