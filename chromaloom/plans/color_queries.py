@@ -110,8 +110,8 @@ def c9_rgb_to_lab(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def de00_sql(source: str, keep: str) -> str:
     """CTEs over a relation with l1, a1, b1, l2, a2, b2; the last, ``de``, keeps ``keep`` and adds de00."""
-    return f"""d1 AS (SELECT *, 0.5::DOUBLE * (1 - sqrt(pow((sqrt(a1*a1+b1*b1)+sqrt(a2*a2+b2*b2))/2, 7) / (pow((sqrt(a1*a1+b1*b1)+sqrt(a2*a2+b2*b2))/2, 7) + pow(25.0::DOUBLE, 7)))) AS g FROM {source}),
-d2 AS (SELECT *, a1*(1+g) AS p1, a2*(1+g) AS p2 FROM d1),
+    return f"""d1 AS (SELECT *, 0.5::DOUBLE * (1 - sqrt(pow((sqrt(a1*a1+b1*b1)+sqrt(a2*a2+b2*b2))/2, 7) / (pow((sqrt(a1*a1+b1*b1)+sqrt(a2*a2+b2*b2))/2, 7) + pow(25.0::DOUBLE, 7)))) AS chroma_g FROM {source}),
+d2 AS (SELECT *, a1*(1+chroma_g) AS p1, a2*(1+chroma_g) AS p2 FROM d1),
 d3 AS (SELECT *, sqrt(p1*p1+b1*b1) AS c1, sqrt(p2*p2+b2*b2) AS c2,
   CASE WHEN p1=0 AND b1=0 THEN 0 ELSE degrees(atan2(b1,p1)) + CASE WHEN degrees(atan2(b1,p1)) < 0 THEN 360 ELSE 0 END END AS h1,
   CASE WHEN p2=0 AND b2=0 THEN 0 ELSE degrees(atan2(b2,p2)) + CASE WHEN degrees(atan2(b2,p2)) < 0 THEN 360 ELSE 0 END END AS h2 FROM d2),
