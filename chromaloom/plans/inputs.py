@@ -75,3 +75,80 @@ _L, _A, _B = oklab_sql("r", "g", "b")
 PALETTE = f"""chips AS (SELECT p_partkey::INT AS chip_idx, ((p_partkey * 53) % 256)::INT AS r, ((p_partkey * 101 + 40) % 256)::INT AS g, ((p_partkey * 197 + 90) % 256)::INT AS b,
   p_size || (['R','YR','Y','GY','G','BG','B','PB','P','RP'])[(p_partkey % 10 + 1)::INT] || ' 5/6' AS notation, p_name AS color_name FROM part WHERE p_partkey < {CHIPS}),
 palette AS (SELECT *, {_L} AS ok_l, {_A} AS ok_a, {_B} AS ok_b FROM chips)"""
+
+
+def derived(spark: SparkSession, sf_dir: str, sql: str, *names: str) -> DataFrame:
+    """An input whose SQL both engines read: {name} stands for a given table."""
+    return spark.sql(sql, **{n: table(spark, sf_dir, n) for n in names})
+
+
+def plain(sql: str, *names: str) -> str:
+    """The same SQL for a view of each table's own name."""
+    return sql.format(**{n: n for n in names})
+
+
+def _up(k: str) -> str:
+    """The ancestor under 10 that dividing by four leads to."""
+    steps = " ".join(f"WHEN {k} < {10 * 4**i} THEN cast(floor({k} / {4**i}) AS bigint)" for i in range(14))
+    return f"(CASE {steps} END)"
+
+
+#: Image lineage: parent = key / 4 below a project's master, with lost, foreign and circular links.
+_IMAGES = f"""SELECT cast(c_custkey AS string) AS id,
+  'p' || cast(CASE WHEN c_custkey % 89 = 0 AND c_custkey > 9 THEN ({_up('c_custkey')} + 1) % 10 ELSE {_up('c_custkey')} END AS string) AS project_id,
+  cast(CASE WHEN c_custkey < 10 THEN NULL WHEN c_custkey % 97 = 0 THEN c_custkey + 100000000 WHEN c_custkey % 211 = 0 THEN c_custkey + 1 WHEN c_custkey % 211 = 1 THEN c_custkey - 1
+    ELSE cast(floor(c_custkey / 4) AS bigint) END AS string) AS source_image_id,
+  CASE WHEN c_custkey = 3 THEN 'working_copy' WHEN c_custkey < 10 THEN 'master' WHEN c_custkey < 40 THEN 'working_copy' WHEN c_custkey % 3 = 0 THEN 'filter_working_copy' WHEN c_custkey % 3 = 1 THEN 'trace_base' ELSE 'trace_output' END AS kind,
+  (c_custkey % 50 = 7 OR c_custkey < 5) AS is_active, CASE WHEN c_custkey % 5 = 0 THEN NULL ELSE 'bucket' || cast(c_custkey % 3 AS string) END AS storage_bucket,
+  'path/' || cast(c_custkey AS string) AS storage_path, c_name AS name,
+  CASE WHEN c_custkey % 23 = 0 AND c_custkey > 9 THEN timestamp '2024-06-01 00:00:00' END AS deleted_at, timestamp '2024-01-01 00:00:00' + interval '1' minute * cast(c_custkey * 7 % 5000 AS int) AS created_at,
+  CASE WHEN c_custkey % 4 <> 0 THEN timestamp '2024-02-01 00:00:00' + interval '1' minute * cast(c_custkey * 13 % 4000 AS int) END AS updated_at,
+  cast(c_nationkey * 100 AS int) AS width_px, cast((c_nationkey + 1) * 80 AS int) AS height_px, cast(floor(c_acctbal * 1000) AS bigint) AS file_size_bytes,
+  CASE WHEN c_custkey % 6 = 1 THEN '{{{{"x":1,"y":2,"w":' || cast(c_custkey % 40 AS string) || ',"h":20}}}}' WHEN c_custkey % 6 = 2 THEN '{{{{"x":1.5,"y":2,"w":30,"h":20}}}}' WHEN c_custkey % 6 = 3 THEN '{{{{"x":1,"y":2,"w":30}}}}' END AS crop_rect_px
+  FROM {{customer}}"""
+IMAGES_SQL = f"images AS ({plain(_IMAGES, 'customer')}), own AS (SELECT * FROM images WHERE deleted_at IS NULL)"
+
+
+def images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return derived(spark, sf_dir, _IMAGES, "customer")
+
+
+_PROJECTS = """SELECT 'p' || cast(n_nationkey AS string) AS id, n_name AS name, CASE WHEN n_nationkey % 3 = 0 THEN 'completed' ELSE 'draft' END AS status,
+  timestamp '2024-03-01 00:00:00' + interval '1' minute * cast(n_nationkey * 7 % 11 AS int) AS updated_at FROM {nation}"""
+PROJECTS_SQL = f"projects AS ({plain(_PROJECTS, 'nation')})"
+
+
+def projects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return derived(spark, sf_dir, _PROJECTS, "nation")
+
+
+_FILTERS = """SELECT 'f' || cast(s_suppkey AS string) AS id, 'p' || cast(s_suppkey % 12 AS string) AS project_id,
+  cast(CASE WHEN s_suppkey % 10 < 4 THEN s_suppkey % 12 * 4 + s_suppkey % 4 ELSE s_suppkey + 7 END AS string) AS input_image_id,
+  CASE WHEN s_suppkey % 17 = 0 THEN NULL ELSE cast(s_suppkey + 19 AS string) END AS output_image_id,
+  CASE s_suppkey % 5 WHEN 0 THEN 'bw_hard' WHEN 1 THEN 'bw_soft' WHEN 2 THEN 'bw_warm' WHEN 3 THEN 'sepia' END AS filter_type FROM {supplier}"""
+FILTERS_SQL = f"filters AS ({plain(_FILTERS, 'supplier')})"
+
+
+def filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return derived(spark, sf_dir, _FILTERS, "supplier")
+
+
+_STATES = """SELECT 'p' || cast(s_suppkey % 15 AS string) AS project_id, cast(CASE WHEN s_suppkey % 9 = 8 THEN s_suppkey + 50000000 ELSE s_suppkey END AS string) AS image_id,
+  CASE WHEN s_suppkey % 4 <> 0 THEN cast(s_suppkey * 1000 AS string) END AS x_px_u, CASE WHEN s_suppkey % 6 <> 0 THEN cast(s_suppkey * 2000 AS string) END AS y_px_u,
+  cast(s_suppkey * 1000000 AS string) AS width_px_u, cast(s_suppkey * 1500000 AS string) AS height_px_u, cast(s_suppkey % 360 AS int) AS rotation_deg FROM {supplier}"""
+STATES_SQL = f"states AS ({plain(_STATES, 'supplier')})"
+
+
+def states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return derived(spark, sf_dir, _STATES, "supplier")
+
+
+_WORKSPACES = """SELECT 'p' || cast(s_suppkey AS string) AS project_id, cast(CASE WHEN s_suppkey % 8 = 0 THEN 500000 ELSE s_suppkey * 1234567 END AS string) AS width_px_u, cast(s_suppkey * 7654321 + 1000000 AS string) AS height_px_u,
+  cast(s_suppkey * 1000 - 5000 AS string) AS padding_top_px_u, '0' AS padding_right_px_u, '1000000' AS padding_bottom_px_u, CASE WHEN s_suppkey = 4 THEN '-1' ELSE '0' END AS padding_left_px_u,
+  cast(greatest(1, floor((s_suppkey * 1234567 + 500000) / 1000000)) AS int) AS width_px, cast(floor((s_suppkey * 7654321 + 1500000) / 1000000) + CASE WHEN s_suppkey % 13 = 0 THEN 1 ELSE 0 END AS int) AS height_px,
+  CASE WHEN s_suppkey % 7 = 0 THEN 'white' ELSE '#ffFF00' END AS page_bg_color, cast(s_suppkey * 3 % 120 AS int) AS page_bg_opacity, s_acctbal AS width_value, 10.5 AS height_value FROM {supplier}"""
+WORKSPACES_SQL = f"workspaces AS ({plain(_WORKSPACES, 'supplier')})"
+
+
+def workspaces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return derived(spark, sf_dir, _WORKSPACES, "supplier")
