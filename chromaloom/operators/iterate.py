@@ -5,19 +5,23 @@ from __future__ import annotations
 import tempfile
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder all executors share: spark.checkpoint.dir; a folder of our own only where that is unset."""
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path:
+        path = "file://" + tempfile.mkdtemp(prefix="chromaloom-")
+        spark.conf.set("spark.checkpoint.dir", path)
+    return path.rstrip("/")
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the session's shared folder; a folder of our own only where none is set."""
-    spark = df.sparkSession
-    sc = spark.sparkContext
+    """A reliable checkpoint in the shared folder."""
+    sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        path = spark.conf.get("spark.checkpoint.dir", None)
-        if not path:
-            path = "file://" + tempfile.mkdtemp(prefix="chromaloom-")
-            spark.conf.set("spark.checkpoint.dir", path)
-        sc.setCheckpointDir(path)
+        sc.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
