@@ -153,12 +153,12 @@ def w11_filter_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.filter_chain(filters(spark, sf_dir), images(spark, sf_dir))
 
 
-@query(f"""WITH RECURSIVE {IMAGES_SQL}, walk AS (SELECT project_id, id AS root_id, id, 0 AS depth FROM own WHERE id IN (SELECT c_custkey::VARCHAR FROM customer WHERE c_custkey BETWEEN 4 AND 20)
+@query(f"""WITH RECURSIVE {IMAGES_SQL}, walk AS (SELECT project_id, id AS root_id, id, 0 AS depth FROM own
   UNION ALL SELECT w.project_id, w.root_id, o.id, w.depth + 1 FROM walk w JOIN own o ON o.source_image_id = w.id AND o.project_id = w.project_id WHERE w.depth < 40)
 SELECT project_id, root_id, id, min(depth) AS depth, any_value(storage_bucket) AS storage_bucket, any_value(storage_path) AS storage_path FROM walk JOIN own USING (project_id, id) GROUP BY ALL""".replace("GROUP BY ALL", "GROUP BY project_id, root_id, id"))
 def l1_delete_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = images(spark, sf_dir)
-    return catalog.delete_closure(own, own.filter("cast(id AS bigint) between 4 and 20").select("project_id", F.col("id").alias("image_id")))
+    return catalog.delete_closure(own, own.select("project_id", F.col("id").alias("image_id")))
 
 
 @query(f"""WITH {IMAGES_SQL}, {FILTERS_SQL}, d AS (SELECT DISTINCT project_id FROM own WHERE kind = 'master')
@@ -187,7 +187,7 @@ def l3_reanchored_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.backfill_working_copies(images(spark, sf_dir), states(spark, sf_dir))[1]
 
 
-_ACTIVATIONS = "SELECT 'p' || cast(o_custkey % 12 AS string) AS project_id, cast(o_custkey AS string) AS image_id, o_orderdate AS at FROM {orders} WHERE o_custkey < 200"
+_ACTIVATIONS = "SELECT 'p' || cast(o_custkey % 12 AS string) AS project_id, cast(o_custkey AS string) AS image_id, o_orderdate AS at FROM {orders}"
 
 
 @query(f"""WITH {IMAGES_SQL}, act AS ({plain(_ACTIVATIONS, 'orders').replace(' AS at ', ' AS ts ')}), l AS (SELECT a.project_id, image_id FROM act a JOIN own o ON o.project_id = a.project_id AND o.id = a.image_id QUALIFY row_number() OVER (PARTITION BY a.project_id ORDER BY ts DESC, image_id DESC) = 1)
@@ -197,7 +197,7 @@ def l4_rebuild_active(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _UPDATES = """SELECT 'p' || cast(o_custkey % 15 AS string) AS project_id, cast(o_custkey AS string) AS image_id, CASE WHEN o_orderkey % 3 = 0 THEN cast(o_orderkey AS string) END AS x_px_u, CASE WHEN o_orderkey % 2 = 0 THEN cast(o_orderkey * 2 AS string) END AS y_px_u,
-  cast(o_orderkey + 1000000 AS string) AS width_px_u, cast(o_orderkey + 2000000 AS string) AS height_px_u, cast(o_orderkey % 360 AS int) AS rotation_deg, o_orderkey AS at FROM {orders} WHERE o_custkey < 150"""
+  cast(o_orderkey + 1000000 AS string) AS width_px_u, cast(o_orderkey + 2000000 AS string) AS height_px_u, cast(o_orderkey % 360 AS int) AS rotation_deg, o_orderkey AS at FROM {orders}"""
 
 
 @query(f"""WITH {STATES_SQL}, u AS ({plain(_UPDATES, 'orders').replace(' AS at ', ' AS seq ')}), b AS (SELECT *, -1 AS seq FROM states UNION ALL SELECT * FROM u)

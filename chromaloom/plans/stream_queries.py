@@ -11,7 +11,7 @@ from ..operators import reports
 from ..operators.iterate import shared_dir
 from ..sources import catalogue, events, images
 from ..streaming import errors, srs
-from .inputs import PIXELS, derived, pixels, plain, table
+from .inputs import PIXELS, WIDTH, derived, pixels, plain, table
 from .learning_queries import SRS
 from .registry import query
 
@@ -77,16 +77,16 @@ def t4_srs_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return srs.latest(errors.run_to_table(srs.srs_stream(answers), _folder(spark), "update"))
 
 
-@query(f"WITH {PIXELS} SELECT image_id, x, y, r, g, b FROM pixels WHERE y < (SELECT max(y) FROM pixels)")
+@query(f"WITH {PIXELS} SELECT image_id, x, y, r, g, b FROM pixels QUALIFY count(*) OVER (PARTITION BY image_id, y) = {WIDTH}")
 def s2_to_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Full rows of each image, packed as the image source packs them and unpacked again."""
     pix = pixels(spark, sf_dir)
-    full = pix.crossJoin(F.broadcast(pix.agg(F.max("y").alias("last")))).filter("y < last").drop("last")
+    full = pix.join(pix.groupBy("image_id", "y").count().filter(F.col("count") == WIDTH).drop("count"), ["image_id", "y"])
     return images.to_pixels(images.pack_images(full))
 
 
-_PAINTS = "SELECT 'n' || cast(p_partkey % 500 AS string) AS paint_no, p_name || ', \"' || p_type || '\"' AS name, 'PB' || cast(p_size AS string) || ', PW4' AS pigments, CASE WHEN p_partkey % 3 > 0 THEN cast(p_partkey % 90 AS string) || '.5' END AS weight_g FROM {part} WHERE p_partkey < 500"
-_VARIANTS = "SELECT 'n' || cast(p_partkey % 500 AS string) AS paint_no, CASE p_partkey % 3 WHEN 0 THEN '35' WHEN 1 THEN '120' ELSE '200' END AS size_ml, 's' || cast(p_partkey AS string) AS sku, CASE WHEN p_partkey % 5 = 0 THEN cast(p_size AS string) END AS weight_g, CASE WHEN p_partkey % 4 = 0 THEN '9.90' END AS price_eur FROM {part} WHERE p_partkey % 500 < 500 AND (SELECT count(*) FROM {part}) >= 500"
+_PAINTS = "SELECT 'n' || cast(p_partkey AS string) AS paint_no, p_name || ', \"' || p_type || '\"' AS name, 'PB' || cast(p_size AS string) || ', PW4' AS pigments, CASE WHEN p_partkey % 3 > 0 THEN cast(p_partkey % 90 AS string) || '.5' END AS weight_g FROM {part}"
+_VARIANTS = "SELECT 'n' || cast(p_partkey - p_partkey % 4 AS string) AS paint_no, CASE p_partkey % 3 WHEN 0 THEN '35' WHEN 1 THEN '120' ELSE '200' END AS size_ml, 's' || cast(p_partkey AS string) AS sku, CASE WHEN p_partkey % 5 = 0 THEN cast(p_size AS string) END AS weight_g, CASE WHEN p_partkey % 4 = 0 THEN '9.90' END AS price_eur FROM {part}"
 
 
 @query(f"""WITH p AS ({plain(_PAINTS, 'part')}), v AS ({plain(_VARIANTS, 'part')}), f AS (SELECT * FROM v QUALIFY row_number() OVER (PARTITION BY paint_no, size_ml::INT ORDER BY sku) = 1)
