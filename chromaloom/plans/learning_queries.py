@@ -158,7 +158,20 @@ def x5_build_choices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return learning.build_choices(own, 5).withColumn("options", F.array_join("options", "|"))
 
 
-@query()
+def _draw_sql(seed: str) -> str:
+    """The first number of the published 32-bit generator, in whole-number arithmetic."""
+    m = 4294967296
+    a = f"((({seed}) + 1831565813) % {m})"
+    t = f"((xor({a}, {a} >> 15)::HUGEINT * ({a} | 1) % {m})::BIGINT)"
+    u = f"xor((({t} + (xor({t}, {t} >> 7)::HUGEINT * ({t} | 61) % {m})::BIGINT) % {m}), {t})"
+    return f"(xor({u}, {u} >> 14) / {m}.0::DOUBLE)"
+
+
+@query(f"""WITH {CARDS}, w AS (SELECT id, id % 7 AS level, CASE WHEN {_draw_sql('3 + id * 7919')} < 0.5 THEN 'es-de' ELSE 'de-es' END AS direction, {_draw_sql('3 + id * 40503 + 17')} AS d, target, p_name FROM cards),
+a AS (SELECT *, list_filter(list_transform(string_split(CASE direction WHEN 'es-de' THEN p_name ELSE target END, ';'), lambda x: trim(x)), lambda x: x <> '')[1] AS first FROM w),
+f AS (SELECT *, list_filter({_forms('first')}, lambda x: x <> '') AS forms FROM a)
+SELECT id AS "index", level::INT AS level, direction, CASE WHEN level >= 3 AND NOT regexp_matches(list_filter(forms, lambda x: length(x) = list_min(list_transform(forms, lambda y: length(y))))[1], '\\s')
+  AND d < CASE WHEN level >= 5 THEN 0.85 WHEN level = 4 THEN 0.7 ELSE 0.5 END THEN 'type' ELSE 'choice' END AS mode FROM f""")
 def x6_pick_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = cards(spark, sf_dir).select(F.col("id").alias("index"), (F.col("id") % 7).cast("int").alias("level"), F.col("target").alias("es"), F.col("p_name").alias("de"))
     return learning.pick_mode(own, 3).select("index", "level", "direction", "mode")

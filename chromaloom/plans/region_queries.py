@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,6 +14,9 @@ from .palette_queries import SNAPPED, cells, snapped
 from .registry import query
 
 
+_BAYER = " + ".join(f"((((xor(x, y)) >> {k}) & 1) << {7 - 2 * k}) + (((y >> {k}) & 1) << {6 - 2 * k})" for k in range(4))
+
+
 @query()
 def d2_restrict_pam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dither.restrict_pam(cells(spark, sf_dir), palette(spark, sf_dir), 6)
@@ -22,7 +27,20 @@ def d3_map_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dither.map_cells(cells(spark, sf_dir), palette(spark, sf_dir), "none")
 
 
-@query()
+def _ky_sql(n: int) -> str:
+    """Knoll-Yliluoma as n steps, each the nearest chip to what the running mean still lacks."""
+    steps = ["k0 AS (SELECT r, g, b, l, a, bb, 0.0::DOUBLE AS sl, 0.0::DOUBLE AS sa, 0.0::DOUBLE AS sb, [] AS picks FROM colors)"]
+    for i in range(1, n + 1):
+        d = " + ".join(f"pow(p.{ok} - (k.{t} * {i} - k.{s}), 2)" for ok, t, s in (("ok_l", "l", "sl"), ("ok_a", "a", "sa"), ("ok_b", "bb", "sb")))
+        steps.append(
+            f"k{i} AS (SELECT k.r, k.g, k.b, l, a, bb, sl + p.ok_l AS sl, sa + p.ok_a AS sa, sb + p.ok_b AS sb, list_append(picks, {{'l': p.ok_l, 'i': {i}, 'c': chip_idx}}) AS picks"
+            f" FROM k{i - 1} k, palette p QUALIFY row_number() OVER (PARTITION BY k.r, k.g, k.b ORDER BY {d}, chip_idx) = 1)"
+        )
+    t = re.sub(r"\b([xy])\b", r"c\1", _BAYER)
+    return f"WITH {SNAPPED}, {', '.join(steps)} SELECT image_id, cx, cy, list_sort(picks)[({t}) * {n} // 256 + 1].c AS chip_idx FROM cells JOIN k{n} USING (r, g, b)".replace("[] AS picks", "[]::STRUCT(l DOUBLE, i INTEGER, c INTEGER)[] AS picks")
+
+
+@query(_ky_sql(8))
 def d4_dither_ky(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dither.map_cells(cells(spark, sf_dir), palette(spark, sf_dir), "knoll_yliluoma", 0.75)
 
@@ -40,7 +58,6 @@ def painted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pixels(spark, sf_dir).select("image_id", "x", "y", ((F.col("r") + F.col("g")) % 4).cast("int").alias("chip_idx"))
 
 
-_BAYER = " + ".join(f"((((xor(x, y)) >> {k}) & 1) << {7 - 2 * k}) + (((y >> {k}) & 1) << {6 - 2 * k})" for k in range(4))
 
 
 @query(f"""WITH {PIXELS}, painted AS (SELECT image_id, x, y, CASE WHEN (r + g) % 16 < 13 THEN 0 ELSE ((r + g) % 16)::INT END AS c FROM pixels),
