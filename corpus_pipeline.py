@@ -9,7 +9,6 @@ from __future__ import annotations
 import public_tokenizers
 from chromaloom.llm import exact_dedup, mixing, packing, quality, simhash
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,7 +29,10 @@ def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents of the mix at target weights: no source above about a quarter. What the largest source
     has beyond its weight is left out when the other sources have run dry."""
-    return mixing.mix_sources(docs).filter("in_mix").select(*docs.columns)
+    names = docs.columns  # other names meanwhile, as documents may have columns called like the mix's own
+    own = docs.toDF(*(f"column{i}" for i in range(len(names))))
+    mix = mixing.mix_sources(own, source_col=f"column{names.index('source')}", id_col=f"column{names.index('doc_id')}")
+    return mix.filter("in_mix").select(*own.columns).toDF(*names)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -182,3 +182,18 @@ def test_pipeline_stages(spark, tmp_path):
             assert after == {r.component_id for r in simhash.simhash_groups(docs).collect()}
         docs = kept
     assert corpus_pipeline.run(spark, d).count() == len(own)
+
+
+def test_stages_on_odd_documents(spark, docs):
+    """Nulls, copies, repeated rows and columns called like the operators' own pass through every stage unharmed."""
+    import corpus_pipeline
+
+    d = "/root/testdata/sf0.001"
+    odd = docs.withColumnsRenamed({"slots": "slot"}).withColumns({n: F.col("slot") for n in ("in_mix", "block", "fp", "digest", "id", "old", "src", "score", "root", "bucket")})
+    names = odd.columns
+    for stage in [s for _, s in corpus_pipeline.STAGES][:4]:
+        out = stage(spark, odd, d)
+        rows = out.collect()
+        assert out.columns == names and {tuple(r) for r in rows} <= {tuple(r) for r in odd.collect()}
+        assert stage(spark, odd.limit(0), d).count() == 0
+    assert corpus_pipeline.STAGES[4][1](spark, odd, d).count() >= odd.count()
