@@ -26,8 +26,9 @@ from .fm_index import FmIndex, repeated_cover
 WINDOW, GRAM = 35, 8
 #: Words of a shard, about, and the least number of shards.
 SHARD_WORDS, LEAST_SHARDS = 400_000, 48
-#: A run that occurs more often is not indexed: its windows are counted by hash instead, each exactly.
-HOT = 4096
+#: A run that occurs more often would make a shard of over about 1,500,000 words: it is not indexed, and its windows
+#: are counted by hash instead, each exactly.
+HOT = 32_768
 #: Windows of one streamed part.
 STREAM = 512
 
