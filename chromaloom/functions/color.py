@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -170,5 +168,3 @@ def strength_to_n(strength: Column) -> Column:
     """Dither strength -> candidates of a cell: 2, 4, 8 or 16, split half-way between quarters."""
     return F.when(strength <= 0.375, 2).when(strength <= 0.625, 4).when(strength <= 0.875, 8).otherwise(16)
 
-
-TAU = 2 * math.pi

@@ -214,7 +214,7 @@ def assign_names(chips: DataFrame, names: DataFrame) -> DataFrame:
 
     def claim(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            own, free = pd.DataFrame([r.asDict() if hasattr(r, "asDict") else r for r in frame["chips"][0]]), pd.DataFrame([r.asDict() if hasattr(r, "asDict") else r for r in frame["names"][0]])
+            own, free = (pd.DataFrame([r if isinstance(r, dict) else r.asDict() for r in frame[c][0]]) for c in ("chips", "names"))
             if len(own) > len(free):
                 raise ValueError("more chips than names")
             lab, taken, out = free[["ok_l", "ok_a", "ok_b"]].to_numpy(np.float64), np.zeros(len(free), bool), []
