@@ -8,7 +8,6 @@ Between epochs each island's elite migrates to the next island of its shard.
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
 from functools import cache
@@ -19,67 +18,136 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._common import checkpoint
+from ._words import Words
 
 CAPACITY, END_ID = 4096, 1
 SHARD_PIECES, ISLANDS, EPOCHS, POPULATION, GENERATIONS = 2048, 2, 2, 4, 6
-#: Words and parts of words that a Python worker remembers.
-KEEP_MANY = 1 << 18
-
-_L, _N = "A-Za-zªµºÀ-ÖØ-öø-ÿ", "0-9²³¹¼½¾"
-#: The vocabulary's own split, spelled out for lower-cased Latin-1 words without white space.
-_PARTS = re.compile(f"'(?:s|t|re|ve|m|ll|d)|[{_L}]+|[{_N}]|[^{_L}{_N}]+")
-#: Bytes that Python splits at, or may split at, and the vocabulary's pattern does not.
-_ODD = bytes([0x1C, 0x1D, 0x1E, 0x1F, 0x85])
-
-
-class WordIds(dict):
-    """Word (no white space in it) -> its token ids as little-endian unsigned 32-bit bytes."""
+#: Parts of texts that a Python worker remembers (about 100 MB at most), and the longest of them.
+KEEP_PARTS, KEEP_LEN = 1 << 19, 48
+#: Characters of text that are cut at once, and parts that one call tokenises.
+SLICE_CHARS, TOGETHER = 1 << 20, 4096
+
+#: Classes of lower-cased Latin-1 characters: 0 white space, 1 letter, 2 number, 3 other.
+_CLASS = np.full(256, 3, np.uint8)
+_CLASS[[0x20, *range(0x09, 0x0E), 0x85, 0xA0]] = 0
+_CLASS[[i for i in range(256) if chr(i).isalpha()]] = 1
+_CLASS[[*b"0123456789", 0xB2, 0xB3, 0xB9, 0xBC, 0xBD, 0xBE]] = 2
+
+
+def part_borders(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and last byte (exclusive) of the parts that the vocabulary's pattern cuts lower-cased Latin-1 text into:
+    runs of letters, single numbers, runs of other characters, and 's 't 'm 'd 're 've 'll where an apostrophe stands
+    alone before letters."""
+    n = len(data)
+    if not n:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    kind = np.concatenate([_CLASS[data], np.zeros(3, np.uint8)])
+    data = np.concatenate([data, np.zeros(3, np.uint8)])
+    start = np.zeros(n + 3, bool)
+    start[:n] = kind[:n] > 0
+    start[1:n] &= (kind[1:n] != kind[: n - 1]) | (kind[1:n] == 2)
+    i = np.flatnonzero(start[:n] & (data[:n] == 0x27) & (kind[1 : n + 1] == 1))
+    one, two = data[i + 1], data[i + 2]
+    short = np.isin(one, np.frombuffer(b"stmd", np.uint8))
+    long = ((one == ord("r")) | (one == ord("v"))) & (two == ord("e")) | (one == ord("l")) & (two == ord("l"))
+    for hit, size in ((i[short], 2), (i[long & ~short], 3)):
+        start[hit + 1] = False
+        start[hit + size] |= kind[hit + size] == 1
+    first = np.flatnonzero(start[:n])
+    border = np.append(np.flatnonzero(start[:n] | (kind[:n] == 0)), n)
+    return first, border[np.searchsorted(border, first, "right")]
+
+
+class TextIds:
+    """Token ids of whole texts as little-endian unsigned 32-bit bytes. No token spans two parts of a text, so the
+    distinct parts of a slice of texts, told apart by a 64-bit hash, are tokenised once and put together again."""
 
     def __init__(self, path: str):
-        super().__init__()
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.parts = Tokenizer.from_file(path), {}
+        self.tokenizer, self.known = Tokenizer.from_file(path), {}
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-
-    def encoded(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def part(self, part: str) -> bytes:
-        ids = self.parts.get(part)
-        if ids is None:
-            if len(self.parts) >= KEEP_MANY:
-                self.parts.clear()
-            ids = self.parts[part] = self.encoded(part)
-        return ids
-
-    def __missing__(self, word: str) -> bytes:
-        try:
-            word.encode("latin-1")
-            ids = b"".join(map(self.part, _PARTS.findall(word.lower())))
-        except UnicodeEncodeError:  # may need normalising
-            ids = self.encoded(word)
-        if len(self) >= KEEP_MANY:
-            self.clear()
-        if len(word) <= 64:
-            self[word] = ids
-        return ids
+        vocabulary = self.tokenizer.get_vocab()
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)  # tokens that end a part
+        self.last[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+
+    def ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
+
+    def encoded(self, parts: list[str]) -> list[bytes]:
+        """Ids of each part, by few calls: a part's last token says that it is one."""
+        out = []
+        for at in range(0, len(parts), TOGETHER):
+            own = parts[at : at + TOGETHER]
+            ids = self.ids(" ".join(own))
+            ends = np.flatnonzero(self.last[ids]) + 1
+            if len(ends) == len(own):
+                raw = ids.tobytes()
+                out += [raw[4 * s : 4 * e] for s, e in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
+            else:
+                out += [self.ids(p).tobytes() for p in own]
+        return out
+
+    def _latin(self, texts: list[bytes]) -> list[bytes]:
+        """Ids of lower-cased Latin-1 texts."""
+        data = np.frombuffer(b" ".join(texts), np.uint8)
+        text_end = np.cumsum([len(t) + 1 for t in texts])
+        first, end = part_borders(data)
+        hashes, where, inverse = np.unique(Words(data, first, end, first).hashes(), return_index=True, return_inverse=True)
+        if len(self.known) >= KEEP_PARTS:
+            self.known.clear()
+        keys = hashes.tolist()
+        new = [i for i, k in enumerate(keys) if k not in self.known]
+        parts = [data[s:e].tobytes().decode("latin-1") for s, e in zip(first[where[new]].tolist(), end[where[new]].tolist(), strict=True)]
+        here = dict(zip(new, self.encoded(parts), strict=True))
+        self.known.update((keys[i], here[i]) for i, p in zip(new, parts, strict=True) if len(p) <= KEEP_LEN)
+        own = [here[i] if i in here else self.known[k] for i, k in enumerate(keys)]
+        flat, size = np.frombuffer(b"".join(own), "<u4"), np.array([len(x) // 4 for x in own], np.int64)
+        n = size[inverse]
+        upto = np.cumsum(n)
+        ids = flat[np.repeat((np.cumsum(size) - size)[inverse] - (upto - n), n) + np.arange(n.sum())]
+        cuts = np.concatenate([[0], upto])[np.searchsorted(first, text_end)].tolist()
+        return [ids[a:b].tobytes() for a, b in zip([0, *cuts[:-1]], cuts, strict=True)]
+
+    def texts_ids(self, texts: list[str]) -> list[bytes]:
+        """Ids of whole texts, as the tokenizer gives them. Texts with other than Latin-1 characters, which may need
+        normalising, or with special strings in them go to it whole."""
+        plain = [i for i, t in enumerate(texts) if _is_latin(t) and not any(s in t for s in self.special)]
+        done = dict(zip(plain, self._latin([texts[i].lower().encode("latin-1") for i in plain]) if plain else [], strict=True))
+        return [done[i] if i in done else self.ids(t).tobytes() for i, t in enumerate(texts)]
 
     def text_ids(self, text: str) -> bytes:
-        """Ids of a whole text, as the tokenizer gives them. No token spans white space, so words go one by one."""
-        raw = text.encode()
-        if len(raw.translate(None, _ODD)) != len(raw) or any(s in text for s in self.special):
-            return self.encoded(text)
-        return b"".join(map(self.__getitem__, text.split()))
+        return self.texts_ids([text])[0]
+
+
+def _is_latin(text: str) -> bool:
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
+def _slices(texts: Iterator[str], most: int) -> Iterator[list[str]]:
+    """Texts in lists of about ``most`` characters."""
+    own, size = [], 0
+    for text in texts:
+        own.append(text)
+        size += len(text)
+        if size >= most:
+            yield own
+            own, size = [], 0
+    if own:
+        yield own
 
 
 @cache
-def word_ids(path: str) -> WordIds:
-    """One table of words for each vocabulary file in a Python worker."""
-    return WordIds(path)
+def word_ids(path: str) -> TextIds:
+    """One table of parts for each vocabulary file in a Python worker."""
+    return TextIds(path)
 
 
 def token_pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -89,8 +157,9 @@ def token_pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end
         own, end = word_ids(vocabulary), np.array([end_id], "<u4").tobytes()
         for batch in batches:
             row, piece, start, length, crc = [], [], [], [], []
-            for i, text in enumerate(batch.column(1)):
-                ids = memoryview(own.text_ids(text.as_py() or "") + end)
+            texts = (t.as_py() or "" for t in batch.column(1))
+            for i, raw in enumerate(ids for part in _slices(texts, SLICE_CHARS) for ids in own.texts_ids(part)):
+                ids = memoryview(raw + end)
                 for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at : at + 4 * capacity]
                     row.append(i)
