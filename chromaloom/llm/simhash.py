@@ -168,11 +168,13 @@ def simhash_groups(docs: DataFrame, radius: int = 4, shingle: int = 4, id_col: s
     sig = checkpoint(fingerprints(docs, shingle, id_col, text_col))
     nodes = sig.groupBy("fp").agg(F.min("id").alias("least"))
     roots = component_roots(near_links(nodes.select("fp"), radius))
-    groups = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    groups = checkpoint(groups)
-    named = groups.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = groups.join(named, "root").select("fp", "component_id")
-    out = sig.join(named, "fp")
+    members = roots.select(F.col("node").alias("fp"), "root").union(roots.select(F.col("root").alias("fp"), "root").distinct())
+    members = checkpoint(members.join(nodes, "fp"))
+    # tables of their own, so that the join of a hot root, and of a hot fingerprint below, can be split
+    named = checkpoint(members.groupBy("root").agg(F.min("least").alias("component_id")))
+    labels = members.join(named, "root").select("fp", "component_id")
+    known = checkpoint(nodes.join(labels, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id")))
+    out = sig.join(known, "fp")
     return out.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
