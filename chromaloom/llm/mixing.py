@@ -1,10 +1,12 @@
 """Mixing sources to target weights by Pfair scheduling, in DataFrame functions only.
 
-Weights are whole slots of a period of D slots. Block j of a source with n slots a period is released at slot
-floor(j * D / n) and due by slot ceil((j + 1) * D / n); in each slot the released block with the earliest
-deadline goes (ties: the smaller source name). The windows follow the fluid schedule, so after any slot each
-source has had within one block of its weight. All windows repeat after D slots: one period is scheduled, and
-every block finds its slot from its number alone.
+A source with a fiftieth of the weight or more has a lane of its own; all smaller ones share one lane. Lanes have
+whole slots of a period of D slots. Block j of a lane with n slots a period is released at slot floor(j * D / n)
+and due by slot ceil((j + 1) * D / n); in each slot the released block with the earliest deadline goes (ties: the
+smaller source name). The windows follow the fluid schedule, so after any slot each lane has had within one block
+of its slots. All windows repeat after D slots: one period is scheduled, and every block finds its slot from its
+number alone. In the shared lane a document's block follows from its own source's exact weight, so that any number
+of small sources, of any size, keep their weights.
 """
 
 from __future__ import annotations
@@ -16,35 +18,49 @@ from pyspark.sql import functions as F
 BLOCK_DOCS, PERIOD, LEAST_LIVE = 16, 1000, 0.3
 #: Hex digits of the order key that cut a source into buckets, so that no source is ranked in one task.
 BUCKET_DIGITS = 3
+#: The least share of the weight for a lane of its own; the shared lane's name (sources begin with "=" or are "");
+#: and how many times finer the period is where the weights are not whole slots.
+LEAST_SHARE, SHARED, FINER = 0.02, "~", 10
 
 
-def slots_of(weights: DataFrame, period: int = PERIOD) -> DataFrame:
-    """(src, weight) -> (src, slots): whole slots that sum to the period, by largest remainders, at least one
-    for each weight over zero. Sources with null or no weight get none; more sources than slots is an error."""
+def slots_of(weights: DataFrame, period: int | Column = PERIOD) -> DataFrame:
+    """(src, weight) -> (src, slots): whole slots that sum to the period, by largest remainders. A weight over zero
+    that is worth less than one slot has one, at the others' cost. Sources with null or no weight get none; more
+    sources than slots is an error (mix_sources has at most 1 / LEAST_SHARE + 1 lanes)."""
     every = Window.partitionBy()
-    w = weights.filter("weight > 0").withColumn("share", F.col("weight") / F.sum("weight").over(every))
+    w = weights.filter("weight > 0").withColumn("period", F.lit(period) if isinstance(period, int) else period)
     w = w.withColumn("n", F.count("*").over(every))
-    w = w.withColumn("n", F.when(F.col("n") > period, F.raise_error(F.lit(f"more sources than the {period} slots of a period"))).otherwise(F.col("n")))
-    quota = F.col("share") * (F.lit(period) - F.col("n"))  # one slot each beforehand
-    w = w.withColumn("base", F.floor(quota)).withColumn("part", F.round(quota - F.floor(quota), 9))
-    w = w.withColumn("left", F.lit(period) - F.col("n") - F.sum("base").over(every))
+    w = w.withColumn("n", F.when(F.col("n") > F.col("period"), F.raise_error(F.lit("more sources than slots of a period"))).otherwise(F.col("n")))
+    w = w.withColumn("more", F.greatest(F.lit(0.0), F.col("weight") * F.col("period") / F.sum("weight").over(every) - 1))
+    all_more = F.sum("more").over(every)
+    w = w.withColumn("quota", F.when(all_more > 0, F.round(F.col("more") / all_more * (F.col("period") - F.col("n")), 9)).otherwise(0.0))
+    w = w.withColumn("base", F.floor("quota")).withColumn("part", F.round(F.col("quota") - F.floor("quota"), 9))
+    w = w.withColumn("left", F.col("period") - F.col("n") - F.sum("base").over(every))
     place = F.row_number().over(Window.orderBy(F.desc("part"), "src"))
     return w.select("src", (F.col("base") + 1 + (place <= F.col("left")).cast("long")).cast("int").alias("slots"))
 
 
-def period_schedule(slots: DataFrame, period: int = PERIOD) -> DataFrame:
-    """(src, slots) -> (src, slots, at array<int>): the slot of each of a source's blocks in one period.
+def period_of(lanes: DataFrame, period: int = PERIOD) -> Column:
+    """The period for lanes (src, weight): as given where every weight is whole slots of it, or FINER times that."""
+    every = Window.partitionBy()
+    quota = F.col("weight") * period / F.sum("weight").over(every)
+    return F.when(F.max(F.abs(quota - F.round(quota))).over(every) < 1e-9, period).otherwise(period * FINER)
+
+
+def period_schedule(slots: DataFrame, period: int | None = None) -> DataFrame:
+    """(src, slots) -> (src, slots, period, at array<int>): the slot of each of a source's blocks in one period.
 
     A fold over the period's slots: its state is the next block of each source. The table of sources has at
-    most ``period`` rows."""
+    most ``period`` rows; without a period, the slots' sum is taken."""
+    span = F.lit(period) if period else F.col("period")
 
     def release(n: Column, j: Column) -> Column:
-        return F.floor(j * period / n)
+        return F.floor(j * span / n)
 
     def deadline(n: Column, j: Column) -> Column:
-        return F.ceil((j + 1) * period / n)
+        return F.ceil((j + 1) * span / n)
 
-    own = slots.agg(F.sort_array(F.collect_list(F.struct("src", "slots"))).alias("s"))
+    own = slots.agg(F.sort_array(F.collect_list(F.struct("src", "slots"))).alias("s"), F.sum("slots").cast("int").alias("period"))
 
     def step(state: Column, t: Column) -> Column:
         ready = F.zip_with(state["next"], F.sequence(F.lit(1), F.size(state["next"])), lambda x, i: F.struct(x["due"].alias("due"), i.alias("i"), (x["from"] <= t).alias("ok")))
@@ -61,16 +77,17 @@ def period_schedule(slots: DataFrame, period: int = PERIOD) -> DataFrame:
     zero = F.lit(0)
     first = F.transform("s", lambda x: F.struct(x["slots"].alias("n"), zero.alias("j"), release(x["slots"], zero).alias("from"), deadline(x["slots"], zero).alias("due")))
     start = F.struct(first.alias("next"), F.array().cast("array<int>").alias("order"))
-    done = own.filter(F.size("s") > 0).select("s", F.aggregate(F.sequence(F.lit(0), F.lit(period - 1)), start, step, lambda x: x["order"]).alias("order"))
-    cells = done.select("s", F.posexplode("order").alias("slot", "i")).select(F.element_at("s", F.col("i")).alias("x"), "slot")
-    return cells.groupBy(F.col("x.src").alias("src"), F.col("x.slots").alias("slots")).agg(F.sort_array(F.collect_list("slot")).alias("at"))
+    done = own.filter(F.size("s") > 0).select("s", span.alias("period"), F.aggregate(F.sequence(F.lit(0), span - 1), start, step, lambda x: x["order"]).alias("order"))
+    cells = done.select("s", "period", F.posexplode("order").alias("slot", "i")).select(F.element_at("s", F.col("i")).alias("x"), "period", "slot")
+    return cells.groupBy(F.col("x.src").alias("src"), F.col("x.slots").alias("slots"), "period").agg(F.sort_array(F.collect_list("slot")).alias("at"))
 
 
 def damped_weights(counts: DataFrame) -> DataFrame:
     """(src, docs) -> (src, weight): as many as the source has, but no more than a third of what all others
     have together, so that no source is above about a quarter of the mix; at least one."""
-    total = F.sum("docs").over(Window.partitionBy())
-    return counts.select("src", F.greatest(F.lit(1), F.least(F.col("docs"), F.floor((total - F.col("docs")) / 3))).alias("weight"))
+    total = counts.agg(F.sum("docs").alias("total"))
+    share = F.least(F.col("docs"), F.floor((F.col("total") - F.col("docs")) / 3))
+    return counts.crossJoin(F.broadcast(total)).select("src", F.greatest(F.lit(1), share).alias("weight"))
 
 
 def mix_sources(docs: DataFrame, weights: DataFrame | None = None, block_docs: int = BLOCK_DOCS, period: int = PERIOD, least_live: float = LEAST_LIVE, source_col: str = "source", id_col: str = "doc_id") -> DataFrame:
@@ -79,11 +96,13 @@ def mix_sources(docs: DataFrame, weights: DataFrame | None = None, block_docs: i
 
     A source's rows are taken in the order of md5(id), block_docs at a time. slot is the block's slot in the
     schedule and slot_pos the row's place in it, from 0; reading by (slot, slot_pos) is the mix. No row is
-    left out: a source that has run dry leaves its slots empty. in_mix is true up to the slot at which the
-    sources that still have blocks fall below least_live of the weight: to there the target weights hold but
-    for sources run dry. weights: (source, weight); default: damped_weights of the documents' counts. Rows of
-    a source without a weight have null slots and in_mix false. A null source is one source of its own
-    (weights may list null); a null id sorts first; repeated rows keep their number, in any order.
+    left out: a source that has run dry leaves its slots empty. Sources under LEAST_SHARE of the weight share
+    one lane: block is the lane's, and has about block_docs rows of many sources, each row in the block that its
+    source's weight gives it, so that each source is within one row of its weight there. in_mix is true up to
+    the slot at which the sources that still have rows fall below least_live of the weight: to there the target
+    weights hold but for sources run dry. weights: (source, weight); default: damped_weights of the documents'
+    counts. Rows of a source without a weight have null slots and in_mix false. A null source is one source of
+    its own (weights may list null); a null id sorts first; repeated rows keep their number, in any order.
     """
     source = F.coalesce(F.concat(F.lit("="), F.col(source_col).cast("string")), F.lit(""))
     key = F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")))
@@ -97,23 +116,46 @@ def mix_sources(docs: DataFrame, weights: DataFrame | None = None, block_docs: i
         asked = damped_weights(counts)
     else:
         asked = weights.select(F.coalesce(F.concat(F.lit("="), F.col(source_col).cast("string")), F.lit("")).alias("src"), F.col("weight"))
-    plan = period_schedule(slots_of(asked, period), period).join(counts, "src")
-    last = F.ceil(F.col("docs") / block_docs) - 1  # the last block's number
-    plan = plan.withColumn("ends", F.floor(last / F.col("slots")) * period + F.get("at", (last % F.col("slots")).cast("int")))
-    gone = F.sum("slots").over(Window.orderBy("ends").rangeBetween(Window.unboundedPreceding, 0))
-    over = F.sum("slots").over(Window.partitionBy())
-    plan = plan.withColumn("__end", F.when(over - gone < over * least_live, F.col("ends")))
-    plan = plan.withColumn("__end", F.min("__end").over(Window.partitionBy())).select("src", "slots", "at", "__end")
+    asked = asked.filter("weight > 0")
+    total = asked.agg(F.sum("weight").alias("total"))
+    asked = asked.crossJoin(F.broadcast(total)).withColumn("lane", F.when(F.col("weight") >= F.col("total") * LEAST_SHARE, F.col("src")).otherwise(SHARED))
+    lanes = asked.groupBy(F.col("lane").alias("src")).agg(F.sum("weight").alias("weight"))
+    plan = period_schedule(slots_of(lanes, period_of(lanes, period)))
+
+    # a row of the shared lane is due after gap slots for each row of its source before it, from a start of its own
+    start = F.conv(F.substring(F.md5("src"), 1, 8), 16, 10).cast("double") / 2.0**32
+    asked = asked.select("src", "lane", "weight", (F.col("total") / F.col("weight") / block_docs).alias("gap"), start.alias("start"))
+
+    def block_of(rank: Column, lane: Column, gap: Column, start: Column, slots: Column, period: Column) -> Column:
+        return F.when(lane == SHARED, F.floor((rank + start) * gap * slots / period)).otherwise(F.floor(rank / block_docs))
+
+    def slot_of(block: Column, slots: Column, period: Column, at: Column) -> Column:
+        return F.floor(block / slots) * period + F.get(at, (block % slots).cast("int"))
+
+    of_lane = [F.col(c) for c in ("slots", "period")]
+    ends = asked.join(counts, "src").join(F.broadcast(plan.withColumnRenamed("src", "lane")), "lane")
+    ends = ends.withColumn("last", block_of(F.col("docs") - 1, F.col("lane"), F.col("gap"), F.col("start"), *of_lane))
+    live = F.when(F.col("lane") == SHARED, F.col("period") / F.col("gap") / block_docs).otherwise(F.col("slots").cast("double"))
+    ends = ends.groupBy(slot_of(F.col("last"), *of_lane, F.col("at")).alias("ends")).agg(F.sum(live).alias("live"))
+    gone = F.sum("live").over(Window.orderBy("ends").rangeBetween(Window.unboundedPreceding, 0))
+    over = F.sum("live").over(Window.partitionBy())
+    end = ends.withColumn("end", F.when(over - gone < over * least_live, F.col("ends"))).agg(F.min("end").alias("__end"))
+
     place = Window.partitionBy("__src", "__bucket").orderBy("__key", id_col)
-    before = buckets.select(F.col("src").alias("__s1"), F.col("bucket").alias("__b1"), F.col("before").alias("__before"))
+    before = buckets.join(asked, "src", "left").select(F.col("src").alias("__s1"), F.col("bucket").alias("__b1"), F.col("before").alias("__before"), F.col("lane").alias("__lane"), F.col("gap").alias("__gap"), F.col("start").alias("__start"))
     rows = rows.join(before, (F.col("__src") == F.col("__s1")) & (F.col("__bucket") == F.col("__b1")))
     rank = F.row_number().over(place) - 1 + F.col("__before")
-    plan = plan.select(F.col("src").alias("__s2"), F.col("slots").alias("__slots"), F.col("at").alias("__at"), "__end")
-    rows = rows.withColumn("__rank", rank).join(F.broadcast(plan), F.col("__src") == F.col("__s2"), "left")
-    block = F.floor(F.col("__rank") / block_docs)
-    slot = F.floor(block / F.col("__slots")) * period + F.get("__at", (block % F.col("__slots")).cast("int"))
-    rows = rows.withColumns({"block": block, "slot": slot, "slot_pos": F.when(slot.isNotNull(), F.col("__rank") % block_docs), "in_mix": F.coalesce(slot <= F.col("__end"), F.lit(False))})
-    return rows.drop("__src", "__key", "__bucket", "__s1", "__b1", "__before", "__rank", "__s2", "__slots", "__at", "__end")
+    plan = plan.crossJoin(F.broadcast(end)).select(F.col("src").alias("__s2"), F.col("slots").alias("__slots"), F.col("period").alias("__period"), F.col("at").alias("__at"), "__end")
+    rows = rows.withColumn("__rank", rank).join(F.broadcast(plan), F.col("__lane") == F.col("__s2"), "left")
+    of_row = [F.col(c) for c in ("__slots", "__period")]
+    block = F.when(F.col("__lane").isNull(), F.floor(F.col("__rank") / block_docs)).otherwise(block_of(F.col("__rank"), F.col("__lane"), F.col("__gap"), F.col("__start"), *of_row))
+    rows = rows.withColumn("block", block).withColumn("slot", slot_of(F.col("block"), *of_row, F.col("__at")))
+    pos = F.when(F.col("slot").isNotNull(), F.col("__rank") % block_docs)
+    if not asked.filter(F.col("lane") == SHARED).isEmpty():  # the shared lane's rows are counted slot by slot
+        own = Window.partitionBy("__lane", "slot").orderBy((F.col("__rank") + F.col("__start")) * F.col("__gap"), "__src", "__rank")
+        pos = F.when(F.col("__lane") == SHARED, (F.row_number().over(own) - 1).cast("long")).otherwise(pos)
+    rows = rows.withColumns({"slot_pos": pos, "in_mix": F.coalesce(F.col("slot") <= F.col("__end"), F.lit(False))})
+    return rows.drop("__src", "__key", "__bucket", "__s1", "__b1", "__before", "__lane", "__gap", "__start", "__rank", "__s2", "__slots", "__period", "__at", "__end")
 
 
 def mix_sql(block_docs: int = BLOCK_DOCS, period: int = PERIOD, least_live: float = LEAST_LIVE, table: str = "documents") -> str:

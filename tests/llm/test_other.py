@@ -107,6 +107,23 @@ def test_hot_source_is_damped(spark):
     assert sum(n for s, n in share.items() if s != "hot") > 0.97 * 2000
 
 
+def test_long_tail_keeps_its_documents(spark):
+    """Sources far smaller than a slot, and more of them than slots, keep their weights and their documents."""
+    big = spark.range(20_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("big"), (F.col("id") % 5).cast("string")).alias("source"))
+    tail = spark.range(20_000, 23_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("tail"), (F.col("id") % 1200).cast("string")).alias("source"))
+    rows = mixing.mix_sources(big.union(tail)).toPandas()
+    assert len(rows) == 23_000 and rows.slot.notna().all() and not rows.duplicated(["slot", "slot_pos"]).any()
+    kept = rows[rows.in_mix].groupby(rows.source.str[:3]).size()
+    assert kept["big"] > 0.98 * 20_000 and kept["tai"] > 0.98 * 3000
+    half = rows[rows.slot < rows.slot.max() / 2]
+    assert abs((half.source.str[:4] == "tail").mean() - 3 / 23) < 0.01
+    weights = spark.createDataFrame([(f"big{i}", 1000.0) for i in range(5)] + [(f"tail{i}", 0.5 + i % 2) for i in range(1200)], "source string, weight double")
+    asked = mixing.mix_sources(big.union(tail), weights).toPandas()
+    early = asked[asked.slot < 200].groupby("source").size()
+    for i in range(1200):  # within a document of the weight, but for the lane's own block
+        assert abs(early.get(f"tail{i}", 0) - 200 * 16 * (0.5 + i % 2) / 6200) < 2
+
+
 # --- quality ---
 
 
