@@ -155,21 +155,60 @@ def session_deck(items: DataFrame, srs: DataFrame, seed: int) -> DataFrame:
     return own.groupBy("user").applyInPandas(build, f"user {kind['user']}, place int, item_id {kind['item_id']}")
 
 
+@F.pandas_udf(T.ArrayType(T.LongType()))
+def drawn_places(n: pd.Series, k: pd.Series, seed: pd.Series) -> pd.Series:
+    """For each row, the first k of 0..n-1 in the seed's order (all, if n is less), without listing the others."""
+
+    def draws(n: int, k: int, seed: int) -> list[int]:
+        draw, moved, out = generator(seed), {}, []
+        for i in range(min(n, k)):
+            j = i + int(draw() * (n - i))
+            out.append(moved.get(j, j))
+            moved[j] = moved.get(i, i)
+        return out
+
+    return pd.Series([draws(int(a), int(b), int(s)) for a, b, s in zip(n, k, seed, strict=True)])
+
+
+def _numbered(texts: DataFrame) -> DataFrame:
+    """Distinct (list, answer) -> (list, answer, pos): places from 0 in each list, counted in buckets of a hash."""
+    texts = texts.withColumn("bucket", F.pmod(F.xxhash64("answer"), F.lit(1024)))
+    sizes = texts.groupBy("list", "bucket").agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy("list").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
+    sizes = sizes.select("list", "bucket", F.coalesce(before, F.lit(0)).alias("before"))
+    place = F.row_number().over(Window.partitionBy("list", "bucket").orderBy("answer"))
+    return texts.join(sizes, ["list", "bucket"]).select("list", "answer", (F.col("before") + place - 1).alias("pos"))
+
+
 def build_choices(items: DataFrame, seed: int) -> DataFrame:
-    """(id, options): the answer and four other texts, items of the same type first, in the seed's order.
-
-    items: (id, kind, answer). For each type the first OPTIONS distinct texts by seeded rank, and as many of the
-    whole list, are enough for any item, so no item meets all others."""
-    rank = F.xxhash64(F.lit(seed), "answer")
-    texts = items.groupBy("kind", "answer").agg(F.min(F.lit(0)).alias("z")).withColumn("r", rank)
-    near = texts.withColumn("n", F.row_number().over(Window.partitionBy("kind").orderBy("r", "answer"))).filter(F.col("n") <= OPTIONS)
-    near = near.groupBy("kind").agg(F.sort_array(F.collect_list(F.struct("n", "answer"))).alias("near"))
-    every = items.select("answer").distinct().withColumn("r", rank).orderBy("r", "answer").limit(2 * OPTIONS)
-    every = every.agg(F.sort_array(F.collect_list(F.struct("r", "answer"))).alias("far"))
-    df = items.join(near, "kind", "left").crossJoin(F.broadcast(every))
-    pool = F.array_distinct(F.concat(F.coalesce(F.col("near.answer"), F.array().cast("array<string>")), F.col("far.answer")))
-    others = F.slice(F.filter(pool, lambda x: x != F.col("answer")), 1, OPTIONS - 1)
-    return df.select("id", seeded_shuffle(F.concat(F.array("answer"), others), F.lit(seed)).alias("options"))
+    """(id, options): the answer and four other texts, drawn for each item from all distinct texts of its type, and
+    from the whole list where the type has too few, in an order of the item's own.
+
+    items: (id, kind, answer). Texts are numbered once; each item draws seeded places and fetches them by a join,
+    so the whole pool is open to every item and no item meets all others. Repeated rows have the same options."""
+    every = F.lit("*")  # the whole list; a type's list begins with "=" or is "", without a type
+    rows = items.withColumn("list", F.coalesce(F.concat(F.lit("="), F.col("kind").cast("string")), F.lit("")))
+    rows = rows.groupBy("id", "list", "answer").agg(F.count("*").alias("times"))
+    known = rows.filter("answer is not null")
+    texts = _numbered(known.select("list", "answer").distinct().union(known.select(every, "answer").distinct()))
+    sizes = texts.groupBy("list").agg(F.count("*").alias("n"))
+    whole = sizes.filter(F.col("list") == every).agg(F.coalesce(F.max("n"), F.lit(0)).alias("n_all"))
+    df = rows.join(sizes, "list", "left").crossJoin(F.broadcast(whole)).withColumn("n", F.coalesce("n", F.lit(0)))
+    df = df.withColumn("own", F.xxhash64(F.lit(seed), "id", "list", "answer"))
+    # one place more than needed, as the item's own text may be drawn; of the whole list also for its type's others
+    near = drawn_places(F.col("n"), F.lit(OPTIONS), F.col("own"))
+    far = drawn_places(F.col("n_all"), F.when(F.col("n") < OPTIONS, 2 * OPTIONS).otherwise(0), F.col("own") + 1)
+    df = df.withColumns({"near": near, "far": far})
+    near = F.transform("near", lambda x, i: F.struct(i.alias("no"), F.col("list").alias("from"), x.alias("at")))
+    far = F.transform("far", lambda x, i: F.struct((i + OPTIONS).alias("no"), every.alias("from"), x.alias("at")))
+    df = df.select("id", "answer", "list", "times", "own", F.explode_outer(F.concat(near, far)).alias("x"))
+    found = texts.select(F.col("list").alias("__list"), F.col("pos").alias("__pos"), F.col("answer").alias("text"))
+    df = df.join(found, (F.col("x.from") == F.col("__list")) & (F.col("x.at") == F.col("__pos")), "left")
+    df = df.groupBy("id", "list", "answer", "times", "own").agg(F.sort_array(F.collect_list(F.struct("x.no", "text"))).alias("l"))
+    others = F.array_distinct(F.filter(F.col("l.text"), lambda x: x.isNotNull() & ~x.eqNullSafe(F.col("answer"))))
+    options = F.concat(F.array("answer"), F.slice(others, 1, OPTIONS - 1))
+    df = df.select("id", seeded_shuffle(options, F.col("own") + 2).alias("options"), "times")
+    return df.select("id", "options", F.explode(F.sequence(F.lit(1), F.col("times"))).alias("time")).drop("time")
 
 
 def pick_mode(cards: DataFrame, seed: int) -> DataFrame:

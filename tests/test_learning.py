@@ -49,6 +49,22 @@ def test_choices(spark):
         assert len(r.options) == 5 == len(set(r.options)) and r.answer in r.options
 
 
+def test_choices_come_from_the_whole_pool(spark):
+    rows = [(i, "noun" if i % 2 else "verb", f"w{i}") for i in range(600)] + [(900 + i, "few", f"f{i % 3}") for i in range(6)] + [(1, "noun", "w1"), (990, None, "w1")]
+    items = spark.createDataFrame(rows, "id int, kind string, answer string")
+    got = learning.build_choices(items, 3).collect()
+    kind, answer, options = {i: k for i, k, _ in rows}, {i: a for i, _, a in rows}, {r.id: list(r.options) for r in got}
+    assert sorted(r.id for r in got) == sorted(i for i, _, _ in rows)
+    offered = {x for i in range(600) for x in options[i] if x != answer[i]}
+    assert len(offered) > 500 and len({frozenset(o) for o in options.values()}) > 550
+    assert len({options[i].index(answer[i]) for i in range(600)}) == 5
+    of_kind = {k: {a for _, k2, a in rows if k2 == k} for k in ("noun", "verb", "few")}
+    for i, o in options.items():
+        assert len(o) == len(set(o)) == 5 and answer[i] in o
+        assert kind[i] is None or set(o) <= of_kind[kind[i]] or (kind[i] == "few" and of_kind["few"] <= set(o))
+    assert learning.build_choices(items.limit(0), 3).count() == 0
+
+
 def test_hints(spark):
     df = spark.createDataFrame([(1, "der Hund", "noun", "Tiere", "Ich sehe den Hund.", None, None, None), (2, "hablo", "conjugation", None, None, "hablar", "presente", "yo")], "id int, target string, kind string, topic string, sentence string, infinitive string, tense string, person string")
     one, two = (r.layers for r in learning.hints(df).orderBy("id").collect())
