@@ -171,6 +171,19 @@ def test_warc_round_trip(spark, tmp_path):
     assert warc.derivatives(warc.responses(df.limit(0))).count() == 0
 
 
+def test_all_references_are_decoded(spark):
+    import html
+
+    names = [f"&{n}" for n in html.entities.html5 if n not in ("nbsp", "nbsp;", "NonBreakingSpace;", "Tab;", "NewLine;")]
+    texts = [f"x{n}y" for n in names] + ["&copy; caf&eacute; &#233;&#xE9;&#XE9 &notit; &amp;lt; &unknown; & &#0; &#x110000; &#55296; a&b", "&#8212;&lt;b&gt;"]
+    texts = [t for t in texts if not set(html.unescape(t)) & set(" \t\r\n\f")] + texts[-2:]
+    df = spark.createDataFrame([(i, f"<title>{t}</title><p>{t}</p>") for i, t in enumerate(texts)], "i int, h string")
+    got = df.select("i", warc.html_text(F.regexp_replace("h", "<title>.*</title>", "")).alias("t"), warc.html_title(F.col("h")).alias("n")).collect()
+    assert all(r.t == r.n == html.unescape(texts[r.i]) for r in got)
+    odd = spark.createDataFrame([("a&nbsp;&#160;b",), ("&#" + "1" * 5000 + ";",), (None,)], "h string")
+    assert [r[0] for r in odd.select(warc.html_text(F.col("h"))).collect()] == ["a b", "\ufffd", ""]
+
+
 # --- pipeline ---
 
 
