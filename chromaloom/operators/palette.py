@@ -205,6 +205,19 @@ def name_chips(munsell: DataFrame) -> DataFrame:
     return named.withColumn("color_name", F.concat(F.col("bucket"), F.lit(" "), place.cast("string")))
 
 
+def _claims(own: pd.DataFrame, free: pd.DataFrame) -> pd.DataFrame:
+    """(chip_idx, name_idx) of one palette's chips and names, both in index order."""
+    if len(own) > len(free):
+        raise ValueError("more chips than names")
+    lab, taken, out = free[["ok_l", "ok_a", "ok_b"]].to_numpy(np.float64), np.zeros(len(free), bool), []
+    for c in own.itertuples():
+        d = np.round(((lab - np.array([c.ok_l, c.ok_a, c.ok_b])) ** 2).sum(axis=1), 12)
+        best = int(np.where(taken, np.inf, d).argmin())
+        taken[best] = True
+        out.append((c.chip_idx, int(free["name_idx"].iloc[best])))
+    return pd.DataFrame(out, columns=["chip_idx", "name_idx"])
+
+
 def assign_names(chips: DataFrame, names: DataFrame) -> DataFrame:
     """(chip_idx, name_idx): each chip in index order takes its nearest name not taken yet, ties to the least
     name_idx. chips: (chip_idx, ok_l, ok_a, ok_b); names: (name_idx, the same). More chips than names is an
@@ -214,17 +227,24 @@ def assign_names(chips: DataFrame, names: DataFrame) -> DataFrame:
 
     def claim(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            own, free = (pd.DataFrame([r if isinstance(r, dict) else r.asDict() for r in frame[c][0]]) for c in ("chips", "names"))
-            if len(own) > len(free):
-                raise ValueError("more chips than names")
-            lab, taken, out = free[["ok_l", "ok_a", "ok_b"]].to_numpy(np.float64), np.zeros(len(free), bool), []
-            for c in own.itertuples():
-                d = np.round(((lab - np.array([c.ok_l, c.ok_a, c.ok_b])) ** 2).sum(axis=1), 12)
-                best = int(np.where(taken, np.inf, d).argmin())
-                taken[best] = True
-                out.append((c.chip_idx, int(free["name_idx"][best])))
-            yield pd.DataFrame(out, columns=["chip_idx", "name_idx"])
+            yield _claims(*(pd.DataFrame([r if isinstance(r, dict) else r.asDict() for r in frame[c][0]]) for c in ("chips", "names")))
 
     a = chips.agg(F.sort_array(F.collect_list(F.struct("chip_idx", "ok_l", "ok_a", "ok_b"))).alias("chips"))
     b = names.agg(F.sort_array(F.collect_list(F.struct("name_idx", "ok_l", "ok_a", "ok_b"))).alias("names"))
     return a.crossJoin(b).mapInPandas(claim, "chip_idx int, name_idx int")
+
+
+def assign_names_by(chips: DataFrame, names: DataFrame, by: str) -> DataFrame:
+    """(by, chip_idx, name_idx): assign_names for many palettes at once, one for each value of by (a whole number,
+    not null), each of at most MOST_CHIPS chips and names. Palettes are independent, so each is a task's group."""
+
+    def claim(key: tuple, own: pd.DataFrame, free: pd.DataFrame) -> pd.DataFrame:
+        if max(len(own), len(free)) > MOST_CHIPS:
+            raise ValueError("a palette is too large")
+        out = _claims(own.sort_values("chip_idx"), free.sort_values("name_idx"))
+        out.insert(0, by, key[0])
+        return out
+
+    own = chips.select(by, "chip_idx", "ok_l", "ok_a", "ok_b").groupBy(by)
+    free = names.select(by, "name_idx", "ok_l", "ok_a", "ok_b").groupBy(by)
+    return own.cogroup(free).applyInPandas(claim, f"{by} long, chip_idx int, name_idx int")

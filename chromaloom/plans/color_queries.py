@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import color
 from ..operators import palette as pal
-from .inputs import PALETTE, PIXELS, lin, oklab_sql, palette, pixels, table
+from .inputs import PALETTE, PIXELS, lin, oklab_sql, part_chips, pixels, table
 from .registry import query
 
 _P = ("image_id", "x", "y")
@@ -155,8 +155,9 @@ def c12_hex_to_rgb(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {PALETTE} SELECT chip_idx, nullif(regexp_extract(CASE WHEN chip_idx % 7 = 0 THEN 'N5' ELSE notation END, '^\\s*[\\d.]+([A-Z]{{1,2}})\\s', 1), '') AS hue_family FROM palette""")
 def c13_hue_family(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The family of every part's notation; the SQL has those of the palette's chips only."""
     notation = F.when(F.col("chip_idx") % 7 == 0, "N5").otherwise(F.col("notation"))
-    return palette(spark, sf_dir).select("chip_idx", color.hue_family(notation).alias("hue_family"))
+    return part_chips(spark, sf_dir).select("chip_idx", color.hue_family(notation).alias("hue_family"))
 
 
 BUCKET = """CASE WHEN f = 'N' OR f IS NULL THEN CASE WHEN v < 1 THEN 'Black' WHEN v < 3.5 THEN 'Dark gray' WHEN v < 6.5 THEN 'Medium gray' WHEN v < 8.5 THEN 'Light gray' ELSE 'White' END ELSE upper(n[1:1]) || n[2:] END"""

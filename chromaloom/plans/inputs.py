@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Images that the orders are dealt to, pixels of a row, pixels of a cell's side, and chips of the palette.
@@ -45,10 +45,16 @@ cells AS (SELECT image_id, least(cells_x - 1, (x * cells_x) // width)::INT AS cx
 
 def palette(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(chip_idx, r, g, b, ok_l, ok_a, ok_b, notation, color_name): a chip for each of the first parts."""
+    return part_chips(spark, sf_dir, F.col("p_partkey") < CHIPS)
+
+
+def part_chips(spark: SparkSession, sf_dir: str, only: Column | None = None) -> DataFrame:
+    """The columns of palette for every part, or those asked for."""
     from ..operators.palette import with_oklab
 
     k = F.col("p_partkey")
-    part = table(spark, sf_dir, "part").filter(k < CHIPS)
+    part = table(spark, sf_dir, "part")
+    part = part if only is None else part.filter(only)
     chips = part.select(
         k.cast("int").alias("chip_idx"),
         ((k * 53) % 256).cast("int").alias("r"),

@@ -9,7 +9,7 @@ from ..functions import color
 from ..operators import grid
 from ..operators import palette as pal
 from .color_queries import NAMED, de00_sql, lab_sql, munsell
-from .inputs import CELLS, PALETTE, grids, oklab_sql, palette, pixels, table
+from .inputs import CELLS, CHIPS, PALETTE, grids, oklab_sql, palette, part_chips, pixels, table
 from .registry import query
 
 
@@ -146,11 +146,11 @@ def s4_load_palette(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def d9_assign_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every second chip takes a name from the list of all chips' colours, turned about."""
-    chips = palette(spark, sf_dir)
+    """A palette for every CHIPS parts: each chip takes a name from the list of its palette's colours, turned about."""
+    chips = part_chips(spark, sf_dir).withColumn("palette_id", F.floor(F.col("chip_idx") / CHIPS).cast("int"))
     turned = color.adjust_oklab(F.col("ok_l"), F.col("ok_a"), F.col("ok_b"), F.lit(40.0), F.lit(0.05), F.lit(0.9))
-    names = chips.select(F.col("chip_idx").alias("name_idx"), *(c.alias(n) for c, n in zip(turned, ("ok_l", "ok_a", "ok_b"), strict=True)))
-    return pal.assign_names(chips.filter("chip_idx % 2 = 0"), names)
+    names = chips.select("palette_id", F.col("chip_idx").alias("name_idx"), *(c.alias(n) for c, n in zip(turned, ("ok_l", "ok_a", "ok_b"), strict=True)))
+    return pal.assign_names_by(chips, names, "palette_id")
 
 
 @query(f"""WITH {MOVES}, done AS (SELECT image_id, cx, cy, new_idx AS chip_idx FROM snapped JOIN moves USING (image_id, chip_idx)),

@@ -191,3 +191,22 @@ def test_unique_names(spark):
     assert sorted(map(tuple, pal.assign_names(chips, names).collect())) == [(0, 7), (1, 9), (2, 8)]
     with pytest.raises(Exception, match="more chips than names"):
         pal.assign_names(chips, names.limit(2)).collect()
+
+
+def test_names_and_families_of_all_parts(spark):
+    from chromaloom.plans import catalogue
+
+    sf = "/root/testdata/sf0.01"
+    keys = {r[0] for r in spark.read.parquet(f"{sf}/part.parquet").select("p_partkey").collect()}
+    assert {r.chip_idx for r in catalogue.QUERIES["c13_hue_family"](spark, sf).collect()} == keys and len(keys) > 64
+    got = catalogue.QUERIES["d9_assign_names"](spark, sf).toPandas()
+    assert set(got.chip_idx) == set(got.name_idx) == keys and len(got) == len(keys)
+    assert (got.chip_idx // 64 == got.palette_id).all() and (got.name_idx // 64 == got.palette_id).all()
+
+
+def test_names_by_palette(spark):
+    names = spark.createDataFrame([(p, i, 0.1 * ((i * 7 + p) % 11), 0.0, 0.0) for p in range(3) for i in range(9)], "p int, name_idx int, ok_l double, ok_a double, ok_b double")
+    chips = spark.createDataFrame([(p, i, 0.1 * ((i * 3 + p) % 5), 0.0, 0.0) for p in range(3) for i in range(5)], "p int, chip_idx int, ok_l double, ok_a double, ok_b double")
+    got = sorted(map(tuple, pal.assign_names_by(chips, names, "p").collect()))
+    want = [(p, *r) for p in range(3) for r in sorted(map(tuple, pal.assign_names(chips.filter(f"p = {p}").drop("p"), names.filter(f"p = {p}").drop("p")).collect()))]
+    assert got == want
