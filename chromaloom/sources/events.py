@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Levels of suites within suites that a report may have.
+#: Levels of suites within suites that are read in one parse; deeper ones are parsed again from their text.
 SUITE_LEVELS = 4
 
 
@@ -17,10 +17,11 @@ def read_error_events(spark: SparkSession, path: str, streaming: bool = False) -
 
 
 def report_schema(levels: int = SUITE_LEVELS) -> T.StructType:
+    """A report's schema; the suites below the last level are JSON text."""
     results = T.ArrayType(T.StructType().add("status", "string").add("retry", "integer"))
     tests = T.ArrayType(T.StructType().add("results", results))
     specs = T.ArrayType(T.StructType().add("title", "string").add("tests", tests))
-    suite = T.StructType().add("title", "string").add("specs", specs)
+    suite = T.StructType().add("title", "string").add("specs", specs).add("suites", "string")
     for _ in range(levels - 1):
         suite = T.StructType().add("title", "string").add("specs", specs).add("suites", T.ArrayType(suite))
     return T.StructType().add("suites", T.ArrayType(suite))
@@ -30,7 +31,7 @@ def read_test_report(reports: DataFrame, levels: int = SUITE_LEVELS) -> DataFram
     """(report_id, spec_id, title, status, retry): the results in reports (report_id, body), walked level by level.
 
     title: the suites' titles and the spec's, joined by ' > '; spec_id: its place in the report. A spec without results
-    has one row with null status. Suites below ``levels`` are not read."""
+    has one row with null status. Suites are read to any depth, ``levels`` at a time; whether there are more is counted."""
     root = reports.select("report_id", F.from_json("body", report_schema(levels)).alias("r"))
     here = root.select("report_id", F.lit("").alias("path"), F.lit("").alias("at"), F.posexplode("r.suites").alias("i", "s"))
     found = None
@@ -38,13 +39,20 @@ def read_test_report(reports: DataFrame, levels: int = SUITE_LEVELS) -> DataFram
     def under(path: Column, title: Column) -> Column:
         return F.concat_ws(" > ", F.nullif(path, F.lit("")), F.nullif(title, F.lit("")))
 
-    for level in range(levels):
+    level = 1
+    while True:
         own = here.select("report_id", under(F.col("path"), F.col("s.title")).alias("path"), F.concat_ws(".", F.nullif("at", F.lit("")), F.col("i").cast("string")).alias("at"), "s")
         specs = own.select("report_id", "path", "at", F.posexplode("s.specs").alias("j", "spec"))
         results = F.flatten(F.transform("spec.tests", lambda t: F.coalesce(t["results"], F.array().cast("array<struct<status:string,retry:int>>"))))
         rows = specs.select("report_id", F.concat("at", F.lit("#"), F.col("j").cast("string")).alias("spec_id"), under(F.col("path"), F.col("spec.title")).alias("title"), F.explode_outer(results).alias("x"))
         rows = rows.select("report_id", "spec_id", "title", "x.status", "x.retry")
         found = rows if found is None else found.unionByName(rows)
-        if level + 1 < levels:
+        if level % levels:
             here = own.select("report_id", "path", "at", F.posexplode("s.suites").alias("i", "s"))
-    return found
+        else:
+            deeper = own.filter(F.col("s.suites").isNotNull() & (F.col("s.suites") != "[]"))
+            if deeper.isEmpty():
+                return found
+            parsed = F.from_json(F.concat(F.lit('{"suites":'), F.col("s.suites"), F.lit("}")), report_schema(levels))["suites"]
+            here = deeper.select("report_id", "path", "at", F.posexplode(parsed).alias("i", "s"))
+        level += 1

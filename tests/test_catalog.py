@@ -118,3 +118,18 @@ def test_sanitize(spark):
     got = errors.sanitize_events(spark.createDataFrame([(b,) for b in bodies], "body string")).collect()
     assert [r.problem for r in got] == [None, "missing_message", "missing_message", "invalid_json", "too_large"]
     assert (got[0].name, got[0].tags, got[0].extra, got[0].digest) == (None, '{"a":1}', "[1]", None)
+
+
+def test_suites_of_any_depth_are_read(spark):
+    import json
+
+    from chromaloom.sources import events
+
+    def suite(depth):
+        spec = {"title": f"spec{depth}", "tests": [{"results": [{"status": "passed", "retry": depth}]}]}
+        return {"title": f"s{depth}", "specs": [spec], "suites": [suite(depth - 1)] if depth > 1 else []}
+
+    reports = spark.createDataFrame([(d, json.dumps({"suites": [suite(d)]})) for d in (1, 4, 5, 9)], "report_id int, body string")
+    got = {(r.report_id, r.spec_id, r.title, r.retry) for r in events.read_test_report(reports).collect()}
+    want = {(d, ".".join(["0"] * (d - i + 1)) + "#0", " > ".join([*(f"s{k}" for k in range(d, i - 1, -1)), f"spec{i}"]), i) for d in (1, 4, 5, 9) for i in range(1, d + 1)}
+    assert got == want
