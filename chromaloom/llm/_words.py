@@ -53,6 +53,24 @@ class Words:
             h[i] = xxhash.xxh64_intdigest(self.data[self.start[i] : self.end[i]].tobytes(), 1)
         return h
 
+    def equal(self, other: np.ndarray) -> bool:
+        """Whether every word i has the bytes of word other[i]."""
+        size = self.end - self.start
+        if not np.array_equal(size, size[other]):
+            return False
+        padded = np.zeros(len(self.data) + 8, np.uint8)
+        padded[: len(self.data)] = self.data
+        lanes = np.ndarray((len(self.data) + 1,), "<u8", padded, strides=(1,))
+        left = np.flatnonzero((other != np.arange(len(size))) & (size <= LONG_WORD))
+        for at in range(0, LONG_WORD, 8):
+            left = left[size[left] > at]
+            if not len(left):
+                break
+            if ((lanes[self.start[left] + at] ^ lanes[self.start[other[left]] + at]) & _MASK[np.minimum(size[left] - at, 8)]).any():
+                return False
+        long = np.flatnonzero(size > LONG_WORD).tolist()
+        return all(np.array_equal(self.data[self.start[i] : self.end[i]], self.data[self.start[o] : self.end[o]]) for i, o in zip(long, other[long].tolist(), strict=True))
+
 
 def word_slices(column: pa.Array) -> Iterator[tuple[int, int, Words]]:
     """(first row, rows, words) of parts of an Arrow column of texts; nulls have no words."""

@@ -1,16 +1,17 @@
 """Best-fit packing by a grouping genetic algorithm on islands.
 
-Documents become token pieces of at most a sequence's length. Pieces are dealt into shards of about
-SHARD_PIECES by hash; several islands evolve packings of each shard. Crossover injects whole well-filled bins
-of one parent into the other, drops the bins that hold the same pieces, and best-fits the displaced ones.
-Between epochs each island's elite migrates to the next island of its shard.
+Documents become token pieces of at most a sequence's length. Pieces are dealt evenly into shards of about
+SHARD_PIECES; several islands evolve packings of each shard, from packings in random order. Crossover injects
+whole well-filled bins of one parent into the other, drops the bins that hold the same pieces, and best-fits the
+displaced ones. Between epochs each island's elite migrates to the next island of its shard. The bins that a
+shard leaves open meet those of other shards and evolve again, until one shard holds all that are open.
 """
 
 from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +22,13 @@ from ._common import checkpoint
 from ._words import Words
 
 CAPACITY, END_ID = 4096, 1
-SHARD_PIECES, ISLANDS, EPOCHS, POPULATION, GENERATIONS = 2048, 2, 2, 4, 6
+SHARD_PIECES, ISLANDS, EPOCHS = 2048, 2, 2
+#: Individuals of an island, generations of an epoch, and those it runs even if no packing can have fewer bins.
+POPULATION, GENERATIONS, LEAST_GENERATIONS = 6, 8, 3
+#: Generations of few pieces, at most.
+MOST_GENERATIONS = 300
+#: A bin filled less is open: it meets other shards' open bins. Rounds in which they do, at most.
+FULL, ROUNDS = 0.98, 3
 #: Parts of texts that a Python worker remembers (about 100 MB at most), and the longest of them.
 KEEP_PARTS, KEEP_LEN = 1 << 19, 48
 #: Characters of text that are cut at once, and parts that one call tokenises.
@@ -60,7 +67,8 @@ def part_borders(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 class TextIds:
     """Token ids of whole texts as little-endian unsigned 32-bit bytes. No token spans two parts of a text, so the
-    distinct parts of a slice of texts, told apart by a 64-bit hash, are tokenised once and put together again."""
+    distinct parts of a slice of texts (found by a hash, then compared byte by byte) are tokenised once and put
+    together again."""
 
     def __init__(self, path: str):
         import os
@@ -96,15 +104,17 @@ class TextIds:
         data = np.frombuffer(b" ".join(texts), np.uint8)
         text_end = np.cumsum([len(t) + 1 for t in texts])
         first, end = part_borders(data)
-        hashes, where, inverse = np.unique(Words(data, first, end, first).hashes(), return_index=True, return_inverse=True)
+        words = Words(data, first, end, first)
+        _, where, inverse = np.unique(words.hashes(), return_index=True, return_inverse=True)
+        if not words.equal(where[inverse]):  # two parts share a hash
+            return [self.ids(t.decode("latin-1")).tobytes() for t in texts]
         if len(self.known) >= KEEP_PARTS:
             self.known.clear()
-        keys = hashes.tolist()
-        new = [i for i, k in enumerate(keys) if k not in self.known]
-        parts = [data[s:e].tobytes().decode("latin-1") for s, e in zip(first[where[new]].tolist(), end[where[new]].tolist(), strict=True)]
-        here = dict(zip(new, self.encoded(parts), strict=True))
-        self.known.update((keys[i], here[i]) for i, p in zip(new, parts, strict=True) if len(p) <= KEEP_LEN)
-        own = [here[i] if i in here else self.known[k] for i, k in enumerate(keys)]
+        parts = [data[s:e].tobytes() for s, e in zip(first[where].tolist(), end[where].tolist(), strict=True)]
+        new = [p for p in parts if p not in self.known]
+        here = dict(zip(new, self.encoded([p.decode("latin-1") for p in new]), strict=True))
+        self.known.update((p, x) for p, x in here.items() if len(p) <= KEEP_LEN)
+        own = [here[p] if p in here else self.known[p] for p in parts]
         flat, size = np.frombuffer(b"".join(own), "<u4"), np.array([len(x) // 4 for x in own], np.int64)
         n = size[inverse]
         upto = np.cumsum(n)
@@ -225,32 +235,34 @@ def crossover(a: Packing, b: Packing, lengths: np.ndarray, plain: list[int], cap
     return Packing(lengths, new, capacity)
 
 
-def evolve(lengths: np.ndarray, elites: list[np.ndarray], capacity: int, seed: int, population: int = POPULATION, generations: int = GENERATIONS) -> np.ndarray:
-    """The best packing of one island after some generations; stops where no packing can have fewer bins."""
+def evolve(lengths: np.ndarray, elites: list[np.ndarray], capacity: int, seed: int, population: int = POPULATION, generations: int | None = None, least: int = LEAST_GENERATIONS) -> tuple[np.ndarray, int]:
+    """(bins of the best packing, crossovers) of one island. It begins with the elites given and packings in random
+    order, and stops early only after ``least`` generations and where no packing can have fewer bins. Individuals of
+    equal worth make room for new ones in random order; few pieces, which cost little, get more generations."""
     rng, plain = np.random.default_rng(seed), lengths.tolist()
-    least = -(-int(lengths.sum()) // capacity)
+    bound = -(-int(lengths.sum()) // capacity)
     own = [Packing(lengths, e, capacity) for e in elites]
-    noise = 0.0
-    while len(own) < population and not any(len(p.fill) == least for p in own):
-        bins = np.zeros(len(lengths), np.int64)
-        order = np.argsort(-(lengths * (1 + noise * rng.standard_normal(len(lengths)))), kind="stable")
-        best_fit(plain, order.tolist(), bins, [], capacity)
-        own.append(Packing(lengths, bins, capacity))
-        noise = 0.05 * len(own)
-    for _ in range(generations):
+    crossed = 0
+    for generation in range(generations or max(GENERATIONS, min(MOST_GENERATIONS, GENERATIONS * SHARD_PIECES // max(1, len(lengths))))):
+        own = list({p.worth: p for p in sorted(own, key=lambda p: p.worth, reverse=True)[:population]}.values())
+        while len(own) < population:
+            bins = np.zeros(len(lengths), np.int64)
+            best_fit(plain, rng.permutation(len(lengths)).tolist(), bins, [], capacity)
+            own.append(Packing(lengths, bins, capacity))
         own.sort(key=lambda p: p.worth, reverse=True)
-        if len(own[0].fill) == least:
+        if len(own[0].fill) < 2 or generation >= least and len(own[0].fill) == bound:
             break
-        young = []
-        for _ in range(len(own)):
-            i, j = sorted(rng.integers(0, len(own), 2).tolist())
-            young.append(crossover(own[i], own[j if i != j else (i + 1) % len(own)], lengths, plain, capacity, rng))
-        own = sorted(own + young, key=lambda p: p.worth, reverse=True)[:population]
-    return max(own, key=lambda p: p.worth).bins
+        pairs = [sorted(rng.choice(population, 2, replace=False).tolist()) for _ in range(population)]
+        own += [crossover(own[i], own[j], lengths, plain, capacity, rng) for i, j in pairs]
+        crossed += population
+    return max(own, key=lambda p: p.worth).bins, crossed
+
+
+_STATE = pa.schema([("shard", pa.int64()), ("island", pa.int32()), ("epoch", pa.int32()), ("lengths", pa.list_(pa.int64())), ("elite", pa.list_(pa.int64())), ("n_bins", pa.int64()), ("crossovers", pa.int64())])
 
 
 def _epoch(capacity: int):
-    """(shard, island, lengths, elite, migrant) -> (shard, island, lengths, elite, n_bins)."""
+    """(shard, island, epoch, lengths, elite, migrant) -> _STATE."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -258,30 +270,28 @@ def _epoch(capacity: int):
             for r in batch.to_pylist():
                 lengths = np.array(r["lengths"], np.int64)
                 elites = [np.array(r[c], np.int64) for c in ("elite", "migrant") if r[c] is not None]
-                best = evolve(lengths, elites, capacity, (r["shard"] * 31 + r["island"]) * 31 + r["epoch"])
-                rows.append({"shard": r["shard"], "island": r["island"], "lengths": r["lengths"], "elite": best.tolist(), "n_bins": int(best.max()) + 1})
-            schema = pa.schema([("shard", pa.int64()), ("island", pa.int32()), ("lengths", pa.list_(pa.int64())), ("elite", pa.list_(pa.int64())), ("n_bins", pa.int64())])
-            yield pa.RecordBatch.from_pylist(rows, schema)
+                best, crossed = evolve(lengths, elites, capacity, (r["shard"] * 31 + r["island"]) * 31 + r["epoch"])
+                rows.append({n: r[n] for n in ("shard", "island", "epoch", "lengths")} | {"elite": best.tolist(), "n_bins": int(best.max()) + 1, "crossovers": crossed})
+            yield pa.RecordBatch.from_pylist(rows, _STATE)
 
     return run
 
 
-def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY, shard_pieces: int = SHARD_PIECES, islands: int = ISLANDS, epochs: int = EPOCHS) -> DataFrame:
-    """pieces (with a length column) plus sequence_id and offset. No sequence is longer than the capacity."""
-    n = max(1, -(-pieces.count() // shard_pieces))
-    columns = pieces.columns
-    shard = F.pmod(F.xxhash64(*columns), F.lit(n))
-    held = pieces.groupBy(shard.alias("shard")).agg(F.sort_array(F.collect_list(F.struct(F.col("length").alias("__by"), *columns)), asc=False).alias("items"))
-    held = checkpoint(held)
-    state = held.select("shard", F.explode(F.sequence(F.lit(0), F.lit(islands - 1))).alias("island"), F.col("items.length").alias("lengths"))
-    state = state.withColumns({"elite": F.lit(None).cast("array<long>"), "migrant": F.lit(None).cast("array<long>")})
-    out = "shard long, island int, lengths array<long>, elite array<long>, n_bins long"
+def _evolved(held: DataFrame, capacity: int, islands: int, epochs: int) -> list[DataFrame]:
+    """Shards (shard, items with length and seq, the piece's bin so far or null) -> each epoch's islands (_STATE)."""
+    state = held.select("shard", F.explode(F.sequence(F.lit(0), F.lit(islands - 1))).alias("island"), F.col("items.length").alias("lengths"), F.when(F.forall("items.__seq", lambda x: x.isNotNull()), F.col("items.__seq")).alias("elite"))
+    state = state.withColumn("migrant", F.lit(None).cast("array<long>"))
+    out, done = "shard long, island int, epoch int, lengths array<long>, elite array<long>, n_bins long, crossovers long", []
     for epoch in range(epochs):
-        asked = state.select("shard", "island", "lengths", "elite", "migrant", F.lit(epoch).alias("epoch")).repartition("shard", "island")
-        done = checkpoint(asked.mapInArrow(_epoch(capacity), out))
-        moved = done.select("shard", ((F.col("island") + 1) % islands).alias("island"), F.col("elite").alias("migrant"))
-        state = done.join(moved, ["shard", "island"])
-    best = done.groupBy("shard").agg(F.min_by("elite", F.struct("n_bins", "island")).alias("elite"))
+        asked = state.select("shard", "island", F.lit(epoch).alias("epoch"), "lengths", "elite", "migrant").repartition("shard", "island")
+        done.append(checkpoint(asked.mapInArrow(_epoch(capacity), out)))
+        moved = done[-1].select("shard", ((F.col("island") + 1) % islands).alias("island"), F.col("elite").alias("migrant"))
+        state = done[-1].join(moved, ["shard", "island"])
+    return done
+
+
+def _placed(columns: list[str]):
+    """(items, elite, shard) -> the items' columns, and each piece's bin, offset and the bin's fill."""
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -294,10 +304,52 @@ def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY, shard_pieces: int =
                 begun = np.repeat((ends - length[order])[first], np.diff(np.r_[first, len(order)]))
                 offset = np.zeros(len(order), np.int64)
                 offset[order] = ends - length[order] - begun
-                yield pa.RecordBatch.from_arrays([*(items.field(c) for c in columns), pa.array((r["shard"] << 32) + bins), pa.array(offset)], [*columns, "sequence_id", "offset"])
+                fill = np.bincount(bins, weights=length).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([*(items.field(c) for c in columns), pa.array((r["shard"] << 24) + bins), pa.array(offset), pa.array(fill[bins])], [*columns, "__seq", "__offset", "__fill"])
+
+    return place
+
+
+def _dealt(rows: DataFrame, shard, columns: list[str]) -> DataFrame:
+    """Rows grouped into shards, the longest pieces first."""
+    own = rows.groupBy(shard.alias("shard")).agg(F.sort_array(F.collect_list(F.struct(F.col("length").alias("__by"), *columns, "__seq")), asc=False).alias("items"))
+    return checkpoint(own)
 
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pieces.schema.fields) + ", sequence_id long, offset long"
-    return held.join(best, "shard").mapInArrow(place, schema)
+
+def _numbered(pieces: DataFrame, shard_pieces: int) -> tuple[DataFrame, int]:
+    """Checkpointed pieces as rows without a bin, in shards by row number: equal rows are spread like any others."""
+    n = max(1, -(-pieces.count() // shard_pieces))
+    row = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(n))
+    return _dealt(pieces.withColumn("__seq", F.lit(None).cast("long")), row, pieces.columns), n
+
+
+def packing_history(pieces: DataFrame, capacity: int = CAPACITY, shard_pieces: int = SHARD_PIECES, islands: int = ISLANDS, epochs: int = EPOCHS) -> DataFrame:
+    """(epoch, shard, island, n_pieces, crossovers, n_bins) of the first round that pack_pieces runs."""
+    held, _ = _numbered(checkpoint(pieces), shard_pieces)
+    done = _evolved(held, capacity, islands, epochs)
+    return reduce(DataFrame.union, done).select("epoch", "shard", "island", F.size("lengths").alias("n_pieces"), "crossovers", "n_bins")
+
+
+def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY, shard_pieces: int = SHARD_PIECES, islands: int = ISLANDS, epochs: int = EPOCHS, rounds: int = ROUNDS) -> DataFrame:
+    """Checkpointed pieces (with a length column) plus sequence_id and offset. No sequence is longer than the
+    capacity. Equal rows are separate pieces; no rows give no rows."""
+    columns = pieces.columns
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pieces.schema.fields) + ", __seq long, __offset long, __fill long"
+    held, n = _numbered(pieces, shard_pieces)
+    closed = []
+    for again in range(rounds):
+        best = _evolved(held, capacity, islands, epochs)[-1].groupBy("shard").agg(F.min_by("elite", F.struct("n_bins", "island")).alias("elite"))
+        placed = checkpoint(held.join(best, "shard").mapInArrow(_placed(columns), schema))
+        done = placed.select(*columns, ((F.lit(again).cast("long") * (1 << 60)) + F.col("__seq")).alias("sequence_id"), F.col("__offset").alias("offset"), "__fill")
+        left = placed.filter(F.col("__fill") < int(FULL * capacity))
+        last = again + 1 == rounds or n == 1
+        closed.append((done if last else done.filter(F.col("__fill") >= int(FULL * capacity))).drop("__fill"))
+        if last:
+            break
+        n = max(1, -(-left.count() // shard_pieces))
+        # whole bins move on, so that what they were is one of the packings that evolve
+        held = _dealt(left, F.pmod(F.xxhash64("__seq"), F.lit(n)), columns)
+    return reduce(DataFrame.unionByName, closed)
 
 
 def pack_documents(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
