@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import checkpoint, lower_ascii
+from ._common import checkpoint, lower_ascii, one_row_each
 
 #: Distinct digests of a shard, about; the least number of shards keeps many tasks busy on small inputs.
 SHARD_ROWS, LEAST_SHARDS = 50_000, 256
@@ -131,7 +131,13 @@ def exact_dedup(docs: DataFrame, is_history: Column | None = None, id_col: str =
 
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that stay under exact_dedup (a group of null ids alone keeps its rows)."""
+    """One row of each group of equal texts: one that carries the winning id and the group's text.
+
+    Rows are told apart by id and digest, so an id that stands on several texts loses the rows of those that it does
+    not win; of rows that agree in both, one stays. A group of null ids alone keeps one row. Null, empty and long
+    texts are as in exact_dedup; all columns are kept.
+    """
     found = exact_dedup(docs, None, id_col, text_col)
-    stay = found.filter(F.col("kept") | F.col("keep_id").isNull()).select(F.col(id_col).alias("__stay")).distinct()
-    return docs.join(stay, docs[id_col].eqNullSafe(stay["__stay"]), "left_semi")
+    stay = found.filter(F.col("kept") | F.col("keep_id").isNull()).select(F.col(id_col).alias("__stay"), F.col("text_sha256").alias("__sha")).distinct()
+    rows = one_row_each(docs.withColumn("__digest", F.sha2(lower_ascii(F.coalesce(F.col(text_col), F.lit(""))).cast("binary"), 256)), id_col, "__digest")
+    return rows.join(stay, F.col(id_col).eqNullSafe(F.col("__stay")) & (F.col("__digest") == F.col("__sha")), "left_semi").drop("__digest")

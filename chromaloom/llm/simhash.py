@@ -13,11 +13,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import checkpoint, text_bytes
+from ._common import checkpoint, one_row_each, text_bytes
 from ._graph import component_roots
 
 SEED = 42
@@ -48,15 +48,19 @@ def fingerprint(text: bytes, shingle: int = 4) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, fp long) for each row; a null text is empty and has fingerprint zero."""
+    """(id, digest, fp long) for each row; a null text is empty and has fingerprint zero. digest: sha256 of the text."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fp = np.fromiter((fingerprint(t, shingle) for t in text_bytes(batch.column(1))), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp.view(np.int64))], ["id", "fp"])
+            fp = np.fromiter((fingerprint(t, shingle) for t in text_bytes(batch.column(2))), np.uint64, batch.num_rows)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fp.view(np.int64))], ["id", "digest", "fp"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(of, f"id {kind}, fp long")
+    return docs.select(F.col(id_col).alias("id"), text_digest(F.col(text_col)).alias("digest"), F.col(text_col).alias("text")).mapInArrow(of, f"id {kind}, digest binary, fp long")
+
+
+def text_digest(text: Column) -> Column:
+    return F.unhex(F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256))
 
 
 def covering_masks(radius: int) -> list[int]:
@@ -165,11 +169,9 @@ def simhash_groups(docs: DataFrame, radius: int = 4, shingle: int = 4, id_col: s
     belong to groups but never name them (a group of null ids alone has a null component_id). Buckets have
     no cap. Other columns are not read.
     """
-    sig = checkpoint(fingerprints(docs, shingle, id_col, text_col))
+    sig = checkpoint(fingerprints(docs, shingle, id_col, text_col).select("id", "fp"))
     nodes = sig.groupBy("fp").agg(F.min("id").alias("least"))
-    roots = component_roots(near_links(nodes.select("fp"), radius))
-    members = roots.select(F.col("node").alias("fp"), "root").union(roots.select(F.col("root").alias("fp"), "root").distinct())
-    members = checkpoint(members.join(nodes, "fp"))
+    members = _members(nodes, radius)
     # tables of their own, so that the join of a hot root, and of a hot fingerprint below, can be split
     named = checkpoint(members.groupBy("root").agg(F.min("least").alias("component_id")))
     labels = members.join(named, "root").select("fp", "component_id")
@@ -178,9 +180,24 @@ def simhash_groups(docs: DataFrame, radius: int = 4, shingle: int = 4, id_col: s
     return out.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def _members(nodes: DataFrame, radius: int) -> DataFrame:
+    """Distinct fingerprints (fp, ...) that have links, each with its component's root."""
+    roots = component_roots(near_links(nodes.select("fp"), radius))
+    members = roots.select(F.col("node").alias("fp"), "root").union(roots.select(F.col("root").alias("fp"), "root").distinct())
+    return checkpoint(members.join(nodes, "fp"))
+
+
 def drop_near_copies(docs: DataFrame, radius: int = 4, shingle: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that stay: of each near-duplicate group, the one with the least id (rows with a null id
-    stay only where their group has no other; of repeated rows all stay that carry the least id)."""
-    groups = simhash_groups(docs, radius, shingle, id_col, text_col)
-    stay = groups.filter(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("__stay")).distinct()
-    return docs.join(stay, docs[id_col].eqNullSafe(stay["__stay"]), "left_semi")
+    """One row of each near-duplicate group: that with the least id (a null id comes last; of the same id on several
+    texts the least digest; of rows that agree in both, one). All columns are kept.
+
+    Groups are decided over distinct fingerprints, each with its best (id, digest): rows meet by those two alone."""
+    sig = checkpoint(fingerprints(docs, shingle, id_col, text_col))
+    nodes = sig.groupBy("fp").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "digest")).alias("best"))
+    nodes = checkpoint(nodes)
+    members = _members(nodes, radius)
+    grouped = members.groupBy("root").agg(F.min("best").alias("best")).select("best")
+    alone = nodes.join(members.select("fp"), "fp", "left_anti").select("best")
+    stay = checkpoint(grouped.union(alone).select(F.col("best.id").alias("__stay"), F.col("best.digest").alias("__sha")))
+    rows = one_row_each(docs.withColumn("__digest", text_digest(F.col(text_col))), id_col, "__digest")
+    return rows.join(stay, F.col(id_col).eqNullSafe(F.col("__stay")) & (F.col("__digest") == F.col("__sha")), "left_semi").drop("__digest")

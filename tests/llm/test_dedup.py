@@ -43,8 +43,32 @@ def test_exact(docs, texts, history):
 def test_exact_drop(docs, empty):
     kept = exact_dedup.drop_exact_copies(docs)
     assert kept.columns == docs.columns
-    assert sorted(((r.text or "").translate(LOW)) for r in kept.dropDuplicates(["doc_id"]).collect()) == sorted({(r.text or "").translate(LOW) for r in docs.collect()})
-    assert exact_dedup.exact_dedup(empty).count() == 0
+    assert sorted(((r.text or "").translate(LOW)) for r in kept.collect()) == sorted({(r.text or "").translate(LOW) for r in docs.collect()})
+    assert exact_dedup.exact_dedup(empty).count() == 0 and exact_dedup.drop_exact_copies(empty).count() == 0
+
+
+#: Ids on several texts, repeated rows, null ids and null texts.
+SHARED_IDS = [(1, "a b c"), (1, "x y z"), (5, "X y z"), (5, "X y z"), (None, "q"), (None, "x y z"), (None, "q"), (7, None), (7, ""), (3, ""), (9, "a b c")]
+
+
+def test_one_row_of_each_exact_group_stays(spark):
+    df = spark.createDataFrame(SHARED_IDS, "doc_id long, text string")
+    want = {}
+    for i, t in SHARED_IDS:
+        low = (t or "").translate(LOW)
+        want[low] = max(want.get(low, -1), -1 if i is None else i)
+    got = exact_dedup.drop_exact_copies(df).collect()
+    assert sorted(((r.text or "").translate(LOW), -1 if r.doc_id is None else r.doc_id) for r in got) == sorted(want.items())
+
+
+def test_one_row_of_each_near_group_stays(spark):
+    df = spark.createDataFrame(SHARED_IDS, "doc_id long, text string")
+    root = brute_components({brute_fingerprint(t) for _, t in SHARED_IDS}, 4)
+    want = collections.defaultdict(list)
+    for i, t in SHARED_IDS:
+        want[root[brute_fingerprint(t)]].append((i is None, i or 0))
+    got = simhash.drop_near_copies(df).collect()
+    assert sorted((root[brute_fingerprint(r.text)], (r.doc_id is None, r.doc_id or 0)) for r in got) == sorted((k, min(v)) for k, v in want.items())
 
 
 def test_perfect_hash():
@@ -157,7 +181,9 @@ def test_simhash_groups(docs, empty, texts):
     want = sorted((str(i), f"{f:016x}", str(min((j for j in least[root[f]] if j is not None), default=None))) for i, f in rows)
     assert sorted((str(r.doc_id), r.fingerprint, str(r.component_id)) for r in got) == want
     assert simhash.simhash_groups(empty).count() == 0
-    assert simhash.drop_near_copies(docs).columns == docs.columns
+    kept = simhash.drop_near_copies(docs)
+    assert kept.columns == docs.columns and simhash.drop_near_copies(empty).count() == 0
+    assert sorted(root[brute_fingerprint(r.text)] for r in kept.collect()) == sorted({root[f] for _, f in rows})
 
 
 # --- substrings ---
