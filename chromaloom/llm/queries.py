@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import html
+import html.entities
 from collections.abc import Callable
 
 import public_tokenizers
@@ -114,14 +116,35 @@ kept AS (SELECT w.doc_id, len(words) AS n, coalesce(len(l), 0) AS r, [words[i] F
 SELECT doc_id, n AS n_words, r AS n_removed, sha256(coalesce(array_to_string(k, ' '), '')) AS kept_sha256 FROM kept"""
 
 
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
 def _sql_regex(pattern: str) -> str:
-    return pattern.replace("'", "''")
+    """A pattern as an SQL string; the possessive *+ gives what * gives and is not known to SQL."""
+    return _quoted(pattern.replace("*+", "*"))
 
 
-def _sql_decoded(c: str) -> str:
-    for name, char in warc.ENTITIES:
-        c = f"replace({c}, '{name}', '{_sql_regex(char)}')"
-    return c
+def _decoded_ctes(source: str, key: str, columns: tuple[str, ...]) -> str:
+    """CTEs whose last, ``decoded`` (key, which, t), has the columns of ``source`` with HTML5's character references
+    decoded: texts are cut into references and the rest, which are put together again."""
+    named = ", ".join(f"({_quoted(n)}, {_quoted(c)})" for n, c in html.entities.html5.items())
+    low = ", ".join(f"({n}, {'chr(13)' if n == 13 else _quoted(html.unescape(f'&#{n};'))})" for n in range(160) if n not in (9, 10, 12, 32))
+    gone = "n BETWEEN 64976 AND 65007 OR n % 65536 IN (65534, 65535)"  # noncharacters
+    cut = " UNION ALL ".join(f"SELECT {key}, '{c}' AS which, regexp_extract_all({c}, {_sql_regex(f'{warc.REFERENCE.pattern}|[^&]+|&')}) AS l FROM {source}" for c in columns)
+    return f"""
+refs(name, c) AS (VALUES {named}),
+low(n, c) AS (VALUES {low}),
+cut AS ({cut}),
+pieces AS (SELECT {key}, which, unnest(l) AS piece, unnest(range(len(l))) AS i FROM cut),
+marks AS (SELECT DISTINCT piece FROM pieces WHERE length(piece) > 1 AND piece[1] = '&'),
+numbers AS (SELECT piece, CASE WHEN length(d) > 12 THEN 9999999 ELSE d::BIGINT END AS n FROM (SELECT piece, CASE WHEN piece[3] IN ('x', 'X') THEN '0x' || right('0' || ltrim(regexp_extract(piece, '[0-9a-fA-F]+', 0), '0'), 12)
+    ELSE '0' || ltrim(regexp_extract(piece, '[0-9]+', 0), '0') END AS d FROM marks WHERE piece[2] = '#')),
+known AS (
+  SELECT piece, CASE WHEN n BETWEEN 55296 AND 57343 OR n > 1114111 THEN chr(65533) WHEN {gone} THEN '' ELSE coalesce(c, chr(n::INTEGER)) END AS t FROM numbers LEFT JOIN low USING (n)
+  UNION ALL
+  SELECT piece, max_by(c || substr(piece, length(name) + 2), length(name)) AS t FROM marks JOIN refs ON starts_with(substr(piece, 2), name) WHERE piece[2] <> '#' GROUP BY piece),
+decoded AS (SELECT {key}, which, string_agg(coalesce(replace(t, chr(160), ' '), piece), '' ORDER BY i) AS t FROM pieces LEFT JOIN known USING (piece) GROUP BY {key}, which)"""
 
 
 def op10_sql() -> str:
@@ -129,18 +152,20 @@ def op10_sql() -> str:
         h = f"md5('{kind}:' || {key})"
         return "'<urn:uuid:' || " + " || '-' || ".join(f"substr({h}, {at}, {n})" for at, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))) + " || '>'"
 
-    text = f"regexp_replace(regexp_replace(regexp_replace(html, '{_sql_regex(warc.HIDDEN)}', ' ', 'g'), '{_sql_regex(warc.BREAKS)}', chr(10), 'g'), '{warc.TAGS}', '', 'g')"
-    text = f"regexp_replace({_sql_decoded(text)}, '[ \\t\\r\\f]+', ' ', 'g')"
-    text = f"regexp_replace(regexp_replace({text}, ' ?\\n[ \\n]*', chr(10), 'g'), '^[ \\n]+|[ \\n]+$', '', 'g')"
-    title = f"regexp_replace({_sql_decoded(f'''regexp_extract(html, '{_sql_regex(warc.TITLE)}', 1)''')}, '[ \\t\\r\\n\\f]+', ' ', 'g')"
+    body = f"regexp_replace(regexp_replace(regexp_replace(html, {_sql_regex(warc.HIDDEN)}, ' ', 'g'), {_sql_regex(warc.BREAKS)}, chr(10), 'g'), {_sql_regex(warc.TAGS)}, '', 'g')"
     eol = "chr(13) || chr(10)"
-    http = f"'HTTP/1.1 200 OK' || {eol} || 'Content-Type: text/html; charset=utf-8' || {eol} || 'Content-Length: ' || octet_length(encode(html))"
+    lengths = "'Content-Length: ' || octet_length(encode(html))"
+    heads = "".join(f" || {eol} || 'source-header: ' || {_quoted(h)}" for h in warc.HEADERS) + f" || {eol} || 'source-header: ' || {lengths}"
     return f"""
 WITH p AS (SELECT page_id, coalesce(url, '') AS url, coalesce(html, '') AS html FROM pages),
+raw AS (SELECT page_id, {body} AS body, regexp_extract(html, {_sql_regex(warc.TITLE)}, 1) AS title FROM p),
+{_decoded_ctes("raw", "page_id", ("body", "title"))},
+texts AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(t, '[ \t\r\f]+', ' ', 'g'), ' ?\n[ \n]*', chr(10), 'g'), '^[ \n]+|[ \n]+$', '', 'g') AS txt FROM decoded WHERE which = 'body'),
+titles AS (SELECT page_id, regexp_replace(regexp_replace(t, '[ \t\r\n\f]+', ' ', 'g'), '^ +| +$', '', 'g') AS title FROM decoded WHERE which = 'title'),
 r AS (SELECT page_id, url AS target_uri, html, {uuid("response", "coalesce(page_id::VARCHAR, 'null') || '|' || url || '|' || sha256(html)")} AS rid,
-  'sha256:' || sha256(html) AS payload_digest, {http} AS head, {text} AS txt, regexp_replace({title}, '^ +| +$', '', 'g') AS title,
-  regexp_extract_all(html, '{_sql_regex(warc.LINK)}', 1) AS links FROM p),
-m AS (SELECT *, 'refers-to: ' || rid || {eol} || 'source-status: HTTP/1.1 200 OK' || {eol} || 'source-content-type: text/html; charset=utf-8' || {eol}
+  'sha256:' || sha256(html) AS payload_digest, concat_ws({eol}, {", ".join(map(_quoted, (warc.STATUS, *warc.HEADERS)))}, {lengths}) AS head,
+  coalesce(txt, '') AS txt, coalesce(title, '') AS title, regexp_extract_all(html, {_sql_regex(warc.LINK)}, 1) AS links FROM p LEFT JOIN texts USING (page_id) LEFT JOIN titles USING (page_id)),
+m AS (SELECT *, 'refers-to: ' || rid || {eol} || 'source-status: {warc.STATUS}'{heads} || {eol}
   || 'source-payload-digest: ' || payload_digest || {eol} || 'title: ' || title || {eol} || 'outlinks: ' || len(links) || {eol}
   || coalesce(list_reduce(list_transform(links, lambda x: 'outlink: ' || x || {eol}), lambda x, y: x || y, ''), '') AS block FROM r)
 SELECT page_id, target_uri, rid AS refers_to, payload_digest, md5(head) AS headers_md5, {uuid("metadata", "rid")} AS metadata_id, 'sha256:' || sha256(block) AS metadata_digest,

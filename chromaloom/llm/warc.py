@@ -6,6 +6,7 @@ write_warc lays rows out as WARC/1.1 files. Identifiers follow from the content,
 
 from __future__ import annotations
 
+import gzip
 import html as html_names
 import re
 from collections.abc import Iterator
@@ -16,17 +17,21 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: HTML parts without text, tags that end a line, and character references; the same patterns serve SQL.
-HIDDEN = r"(?is)<!--.*?-->|<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*>|<head\b[^>]*>.*?</head\s*>"
-BREAKS = r"(?i)</?(?:p|div|br|li|ul|ol|h[1-6]|tr|table|article|section|header|footer|nav|blockquote|pre)\b[^>]*>"
-TAGS = r"<[^>]*>"
+#: The inside of a tag, where a > may stand in quotes; HTML parts without text (an unclosed one goes on to the end);
+#: tags that end a line; all tags. SQL has the same patterns, but for *+, which only saves Java from deep recursion.
+INSIDE = r"""[^>"']*(?:(?:"[^"]*"|'[^']*')[^>"']*)*+"""
+HIDDEN = rf"(?is)<!--.*?(?:-->|\z)|<script\b{INSIDE}>.*?(?:</script\b[^>]*>|\z)|<style\b{INSIDE}>.*?(?:</style\b[^>]*>|\z)|<head\b{INSIDE}>.*?</head\b[^>]*>"
+BREAKS = rf"(?i)</?(?:p|div|br|li|ul|ol|h[1-6]|tr|table|article|section|header|footer|nav|blockquote|pre)\b{INSIDE}>"
+TAGS = rf"<[a-zA-Z/!?]{INSIDE}>|<[a-zA-Z/!?][^>]*>"
 #: A character reference, named, decimal or hexadecimal, as in HTML5.
 REFERENCE = re.compile(r"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)")
-#: The short list of the SQL: the predefined entities and the no-break space, in the order they are replaced.
-ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&amp;", "&"))
 TITLE = r"(?is)<title\b[^>]*>(.*?)</title\s*>"
 LINK = r"(?i)<a\b[^>]*?\bhref\s*=\s*[\"']?([^\"'\s>]+)"
+#: Of pages without a date or an HTTP head of their own: the date, and the head's first lines.
 DATE = "2024-01-01T00:00:00Z"
+STATUS, HEADERS = "HTTP/1.1 200 OK", ("Content-Type: text/html; charset=utf-8",)
+#: Characters that may not stand in a header's value.
+CONTROL = "[\\x00-\\x1f\\x7f]"
 
 
 def decoded_text(s: str) -> str:
@@ -72,20 +77,30 @@ def digest(c: Column) -> Column:
     return F.concat(F.lit("sha256:"), F.sha2(c.cast("binary"), 256))
 
 
-def responses(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", date: str = DATE) -> DataFrame:
+def safe_value(c: Column) -> Column:
+    """A header's value with control characters, line ends among them, percent-encoded."""
+    coded = F.transform(F.split(c, ""), lambda x: F.when(x.rlike(CONTROL), F.concat(F.lit("%"), F.lpad(F.hex(x), 2, "0"))).otherwise(x))
+    return F.when(c.rlike(CONTROL), F.array_join(coded, "")).otherwise(c)
+
+
+def responses(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", date: str = DATE, date_col: str | None = None, headers_col: str | None = None) -> DataFrame:
     """pages -> response rows: (key, record_id, target_uri, date, http, payload, payload_digest, block_digest).
 
-    A null url or html is empty and a null id is the key "null"; repeated rows give records with the same
-    identifier, as their content is the same.
+    headers_col: each page's HTTP head as text, status line first; date_col: its date. Without them, and where they
+    are null, the head is a stand-in (STATUS, HEADERS and the length) and the date is ``date``. A null url or html is
+    empty and a null id is the key "null"; repeated rows give records with the same identifier, as their content is
+    the same. Other columns are not read.
     """
     url, html = F.coalesce(F.col(url_col), F.lit("")), F.coalesce(F.col(html_col), F.lit(""))
     key = F.concat_ws("|", F.coalesce(F.col(id_col).cast("string"), F.lit("null")), url, F.sha2(html.cast("binary"), 256))
-    http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.octet_length(html).cast("string"), F.lit("\r\n\r\n"))
+    http = F.concat(F.lit("\r\n".join([STATUS, *HEADERS, "Content-Length: "])), F.octet_length(html).cast("string"), F.lit("\r\n\r\n"))
+    if headers_col:
+        http = F.coalesce(F.concat(F.regexp_replace(F.col(headers_col), "[\r\n]+$", ""), F.lit("\r\n\r\n")), http)
     return pages.select(
         F.col(id_col).alias("key"),
         record_id("response", key).alias("record_id"),
         url.alias("target_uri"),
-        F.lit(date).alias("date"),
+        (F.coalesce(F.col(date_col).cast("string"), F.lit(date)) if date_col else F.lit(date)).alias("date"),
         http.alias("http"),
         html.alias("payload"),
         digest(html).alias("payload_digest"),
@@ -98,21 +113,28 @@ def derivatives(found: DataFrame) -> DataFrame:
 
     (key, target_uri, date, refers_to, payload_digest, source_headers, metadata_id, metadata_block,
     metadata_digest, conversion_id, conversion_block, conversion_digest, title, n_links). refers_to is the
-    response's identifier; source_headers its HTTP head without the last blank line. An empty payload has an
-    empty conversion block, no title and no links.
+    response's identifier; source_headers its HTTP head without the last blank line, each header of which is a line
+    of the metadata block. An empty payload has an empty conversion block, no title and no links.
     """
     df = found.withColumns({"title": html_title(F.col("payload")), "links": html_links(F.col("payload")), "conversion_block": html_text(F.col("payload")), "source_headers": F.regexp_replace("http", "(\r\n)+$", "")})
-    fields = {
-        "refers-to": F.col("record_id"),
-        "source-status": F.regexp_extract("source_headers", "^[^\r\n]*", 0),
-        "source-content-type": F.regexp_extract("source_headers", "(?i)content-type: *([^\r\n]*)", 1),
-        "source-payload-digest": F.col("payload_digest"),
-        "title": F.col("title"),
-        "outlinks": F.size("links").cast("string"),
-    }
-    lines = [F.concat(F.lit(f"{k}: "), v, F.lit("\r\n")) for k, v in fields.items()]
-    outlinks = F.array_join(F.transform("links", lambda x: F.concat(F.lit("outlink: "), x, F.lit("\r\n"))), "")
-    df = df.withColumn("metadata_block", F.concat(*lines, outlinks))
+    heads = F.split("source_headers", "\r\n")
+
+    def many(name: str, values: Column) -> Column:
+        return F.array_join(F.transform(values, lambda x: F.concat(F.lit(f"{name}: "), x, F.lit("\r\n"))), "")
+
+    def line(name: str, value: Column) -> Column:
+        return F.concat(F.lit(f"{name}: "), value, F.lit("\r\n"))
+
+    block = F.concat(
+        line("refers-to", F.col("record_id")),
+        line("source-status", safe_value(heads[0])),
+        many("source-header", F.transform(F.slice(heads, 2, F.size(heads)), safe_value)),
+        line("source-payload-digest", F.col("payload_digest")),
+        line("title", safe_value(F.col("title"))),
+        line("outlinks", F.size("links").cast("string")),
+        many("outlink", F.transform("links", safe_value)),
+    )
+    df = df.withColumn("metadata_block", block)
     return df.select(
         "key",
         "target_uri",
@@ -132,8 +154,9 @@ def derivatives(found: DataFrame) -> DataFrame:
 
 
 def _laid_out(kind: str, ident: Column, block: Column, mime: str, more: dict[str, Column]) -> Column:
+    """A record's head and block. Urls and dates come from the pages, so their control characters are encoded."""
     heads = {"WARC-Type": F.lit(kind), "WARC-Record-ID": ident, "WARC-Date": F.col("date"), "WARC-Target-URI": F.col("target_uri"), **more, "WARC-Block-Digest": digest(block), "Content-Type": F.lit(mime), "Content-Length": F.octet_length(block).cast("string")}
-    return F.concat(F.lit("WARC/1.1\r\n"), *(F.concat(F.lit(f"{k}: "), v, F.lit("\r\n")) for k, v in heads.items()), F.lit("\r\n"), block)
+    return F.concat(F.lit("WARC/1.1\r\n"), *(F.concat(F.lit(f"{k}: "), safe_value(v), F.lit("\r\n")) for k, v in heads.items()), F.lit("\r\n"), block)
 
 
 def warc_records(df: DataFrame) -> DataFrame:
@@ -158,31 +181,35 @@ def write_warc(records: DataFrame, path: str, records_per_file: int = 50_000) ->
     records.select("record").write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", records_per_file).text(path)
 
 
-def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """WARC files -> (kind, record_id, target_uri, date, refers_to, block_digest, block); one file is one task's
-    memory, so keep records_per_file bounded when writing. A file cut short gives an error."""
+def read_warc(spark: SparkSession, path: str, files: str = "part-*") -> DataFrame:
+    """WARC files, plain or gzip, -> (kind, record_id, target_uri, date, refers_to, block_digest, block binary).
+
+    One file is one task's memory, so keep records_per_file bounded when writing. Heads that are not UTF-8 have
+    replacement characters; blocks are bytes as they are. A file cut short gives an error."""
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = {"warc-type": 0, "warc-record-id": 1, "warc-target-uri": 2, "warc-date": 3, "warc-refers-to": 4, "warc-block-digest": 5}
         for batch in batches:
             for content in batch.column(0):
                 data, at, rows = content.as_py(), 0, []
+                if data[:2] == b"\x1f\x8b":
+                    data = gzip.decompress(data)  # of all members
                 while at < len(data):
-                    end = data.index(b"\r\n\r\n", at)
+                    end = data.find(b"\r\n\r\n", at)
                     row, size = [None] * 7, 0
-                    for line in data[at:end].decode().split("\r\n")[1:]:
-                        name, _, value = line.partition(": ")
+                    for line in data[at:end].decode("utf-8", "replace").split("\r\n")[1:]:
+                        name, _, value = line.partition(":")
                         if name.lower() in names:
-                            row[names[name.lower()]] = value
+                            row[names[name.lower()]] = value.strip()
                         elif name.lower() == "content-length":
                             size = int(value)
-                    at = end + 4 + size + 4
-                    if at > len(data):
+                    if end < 0 or end + 4 + size + 4 > len(data):
                         raise ValueError("a WARC file is cut short")
-                    row[6] = data[end + 4 : end + 4 + size].decode()
+                    at = end + 4 + size + 4
+                    row[6] = data[end + 4 : end + 4 + size]
                     rows.append(row)
                 columns = list(zip(*rows, strict=True)) or [()] * 7
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in columns], ["kind", "record_id", "target_uri", "date", "refers_to", "block_digest", "block"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if i == 6 else pa.string()) for i, c in enumerate(columns)], ["kind", "record_id", "target_uri", "date", "refers_to", "block_digest", "block"])
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content")
-    return files.mapInArrow(parse, "kind string, record_id string, target_uri string, date string, refers_to string, block_digest string, block string")
+    found = spark.read.format("binaryFile").option("pathGlobFilter", files).load(path).select("content")
+    return found.mapInArrow(parse, "kind string, record_id string, target_uri string, date string, refers_to string, block_digest string, block binary")

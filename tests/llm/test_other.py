@@ -199,17 +199,62 @@ def test_warc_round_trip(spark, tmp_path):
     assert "outlink: /l?x=1" in one.metadata_block and one.source_headers.startswith("HTTP/1.1 200 OK")
     path = str(tmp_path / "w")
     records = warc.warc_records(warc.derivatives(found)).unionByName(warc.response_records(found))
-    warc.write_warc(records.filter("key <> 3 or key is null"), path, 2)
+    warc.write_warc(records, path, 2)
     back = warc.read_warc(spark, path).collect()
-    assert collections.Counter(r.kind for r in back) == {"metadata": 3, "conversion": 3, "response": 3}
+    assert collections.Counter(r.kind for r in back) == {"metadata": 4, "conversion": 4, "response": 4}
+    assert {r.target_uri for r in back} == {"http://a/", "", "http://ü/%0D%0A", "u"}
     ids = {r.record_id for r in back if r.kind == "response"}
     assert all(r.refers_to in ids for r in back if r.kind != "response")
     import hashlib
 
-    assert all(r.block_digest == "sha256:" + hashlib.sha256(r.block.encode()).hexdigest() for r in back)
+    assert all(r.block_digest == "sha256:" + hashlib.sha256(r.block).hexdigest() for r in back)
+    three = next(r for r in back if r.kind == "conversion" and "%0D" in r.target_uri)
+    assert three.block.decode() == "plain\ntext é"
     assert warc.derivatives(warc.responses(df.limit(0))).count() == 0
 
 
+def test_warc_headers_gzip_and_bytes(spark, tmp_path):
+    """Given HTTP heads and dates reach the metadata record; a url cannot forge a header; gzip and raw bytes are read."""
+    import gzip
+
+    pages = [(1, "http://a/\r\nWARC-Type: forged\r\n\r\nx", "<p>t</p>", "HTTP/1.1 404 Not Found\r\nServer: s\r\nX-A: b\rc\r\n\r\n", "2020-02-02T00:00:00Z"), (1, "u", "<p>t</p>", None, None), (1, "u", "<p>t</p>", None, None)]
+    df = spark.createDataFrame(pages, "page_id int, url string, html string, headers string, at string").withColumns({"title": F.lit(1), "http": F.lit(2), "links": F.lit(3)})
+    found = warc.responses(df, date_col="at", headers_col="headers")
+    made = warc.derivatives(found).collect()
+    one = next(r for r in made if r.target_uri != "u")
+    assert "source-status: HTTP/1.1 404 Not Found\r\nsource-header: Server: s\r\nsource-header: X-A: b%0Dc\r\n" in one.metadata_block and one.date == "2020-02-02T00:00:00Z"
+    assert len({r.metadata_id for r in made}) == 2 and len(made) == 3
+    records = warc.warc_records(warc.derivatives(found)).unionByName(warc.response_records(found))
+    warc.write_warc(records, str(tmp_path / "w"))
+    back = warc.read_warc(spark, str(tmp_path / "w")).collect()
+    assert collections.Counter(r.kind for r in back) == {"metadata": 3, "conversion": 3, "response": 3}
+    raw = b"WARC/1.0\r\nWARC-Type:resource\r\nContent-Length: 4\r\nX: \xff\r\n\r\n\xff\x00\r\n\r\n\r\n"
+    (tmp_path / "z").mkdir()
+    (tmp_path / "z" / "a.warc.gz").write_bytes(gzip.compress(raw) + gzip.compress(raw))
+    assert [(r.kind, bytes(r.block)) for r in warc.read_warc(spark, str(tmp_path / "z"), "*.gz").collect()] == [("resource", b"\xff\x00\r\n")] * 2
+    (tmp_path / "z" / "b.warc").write_bytes(raw[:-3])
+    with pytest.raises(Exception, match="cut short"):
+        warc.read_warc(spark, str(tmp_path / "z"), "*.warc").collect()
+
+
+def test_malformed_html(spark):
+    cases = {
+        "a<script>var x='<p>';": "a",
+        "a<!-- b": "a",
+        "a<style>p{}": "a",
+        """<p title="x > y" id='>'>t</p>""": "t",
+        "1 < 2 and 3 > 2": "1 < 2 and 3 > 2",
+        '<b title="x>t': "t",
+        "<div " + 'a="b>" ' * 5000 + ">t</div>": "t",
+        "x" * 300_000 + "<p>" * 3000: "x" * 300_000,
+        "&#8217;caf&eacute;&#x41;": "’caféA",
+        "<header>h</header><head>gone</head>": "h",
+    }
+    df = spark.createDataFrame(list(enumerate(cases)), "i int, h string")
+    got = {r.i: r.t for r in df.select("i", warc.html_text(F.col("h")).alias("t")).collect()}
+    assert [got[i] for i in range(len(cases))] == list(cases.values())
+
+
 def test_all_references_are_decoded(spark):
     import html
 
