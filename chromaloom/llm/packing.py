@@ -29,6 +29,8 @@ POPULATION, GENERATIONS, LEAST_GENERATIONS = 6, 8, 3
 MOST_GENERATIONS = 300
 #: A bin filled less is open: it meets other shards' open bins. Rounds in which they do, at most.
 FULL, ROUNDS = 0.98, 3
+#: Islands of a task, about, and tasks at most.
+ISLANDS_A_TASK, MOST_TASKS = 4, 20_000
 #: Parts of texts that a Python worker remembers (about 100 MB at most), and the longest of them.
 KEEP_PARTS, KEEP_LEN = 1 << 19, 48
 #: Characters of text that are cut at once, and parts that one call tokenises.
@@ -277,13 +279,14 @@ def _epoch(capacity: int):
     return run
 
 
-def _evolved(held: DataFrame, capacity: int, islands: int, epochs: int) -> list[DataFrame]:
-    """Shards (shard, items with length and seq, the piece's bin so far or null) -> each epoch's islands (_STATE)."""
+def _evolved(held: DataFrame, n: int, capacity: int, islands: int, epochs: int) -> list[DataFrame]:
+    """n shards (shard, items with length and seq, the piece's bin so far or null) -> each epoch's islands (_STATE)."""
+    tasks = max(1, min(MOST_TASKS, -(-n * islands // ISLANDS_A_TASK)))  # islands are small and slow: not to be merged
     state = held.select("shard", F.explode(F.sequence(F.lit(0), F.lit(islands - 1))).alias("island"), F.col("items.length").alias("lengths"), F.when(F.forall("items.__seq", lambda x: x.isNotNull()), F.col("items.__seq")).alias("elite"))
     state = state.withColumn("migrant", F.lit(None).cast("array<long>"))
     out, done = "shard long, island int, epoch int, lengths array<long>, elite array<long>, n_bins long, crossovers long", []
     for epoch in range(epochs):
-        asked = state.select("shard", "island", F.lit(epoch).alias("epoch"), "lengths", "elite", "migrant").repartition("shard", "island")
+        asked = state.select("shard", "island", F.lit(epoch).alias("epoch"), "lengths", "elite", "migrant").repartition(tasks, "shard", "island")
         done.append(checkpoint(asked.mapInArrow(_epoch(capacity), out)))
         moved = done[-1].select("shard", ((F.col("island") + 1) % islands).alias("island"), F.col("elite").alias("migrant"))
         state = done[-1].join(moved, ["shard", "island"])
@@ -325,8 +328,8 @@ def _numbered(pieces: DataFrame, shard_pieces: int) -> tuple[DataFrame, int]:
 
 def packing_history(pieces: DataFrame, capacity: int = CAPACITY, shard_pieces: int = SHARD_PIECES, islands: int = ISLANDS, epochs: int = EPOCHS) -> DataFrame:
     """(epoch, shard, island, n_pieces, crossovers, n_bins) of the first round that pack_pieces runs."""
-    held, _ = _numbered(checkpoint(pieces), shard_pieces)
-    done = _evolved(held, capacity, islands, epochs)
+    held, n = _numbered(checkpoint(pieces), shard_pieces)
+    done = _evolved(held, n, capacity, islands, epochs)
     return reduce(DataFrame.union, done).select("epoch", "shard", "island", F.size("lengths").alias("n_pieces"), "crossovers", "n_bins")
 
 
@@ -338,7 +341,7 @@ def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY, shard_pieces: int =
     held, n = _numbered(pieces, shard_pieces)
     closed = []
     for again in range(rounds):
-        best = _evolved(held, capacity, islands, epochs)[-1].groupBy("shard").agg(F.min_by("elite", F.struct("n_bins", "island")).alias("elite"))
+        best = _evolved(held, n, capacity, islands, epochs)[-1].groupBy("shard").agg(F.min_by("elite", F.struct("n_bins", "island")).alias("elite"))
         placed = checkpoint(held.join(best, "shard").mapInArrow(_placed(columns), schema))
         done = placed.select(*columns, ((F.lit(again).cast("long") * (1 << 60)) + F.col("__seq")).alias("sequence_id"), F.col("__offset").alias("offset"), "__fill")
         left = placed.filter(F.col("__fill") < int(FULL * capacity))
