@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # The published OKLab matrices (linear sRGB -> cone response -> OKLab).
@@ -87,40 +87,71 @@ def rgb_to_lab(r: Column, g: Column, b: Column) -> tuple[Column, Column, Column]
     return 116.0 * y - 16.0, 500.0 * (x - y), 200.0 * (y - z)
 
 
+_FAR = 25.0**7
+
+
+def _chroma_share(c: Column) -> Column:
+    p = F.pow(c, F.lit(7.0))
+    return F.sqrt(p / (p + F.lit(_FAR)))
+
+
+def _hue(a: Column, b: Column) -> Column:
+    return F.when((a == 0) & (b == 0), 0.0).otherwise(F.pmod(F.degrees(F.atan2(b, a)) + 360.0, F.lit(360.0)))
+
+
+def _cosine(v: dict[str, Column], scale: float, shift: float) -> Column:
+    return F.cos(F.radians(scale * v["mid_h"] + shift))
+
+
+def _turned(v: dict[str, Column], straight: Column, over: Column, under: Column, on: Column) -> Column:
+    """By whether the hues are equal for want of chroma, near each other, or apart either way."""
+    return F.when(v["c1"] * v["c2"] == 0, straight).when(F.abs(v["h2"] - v["h1"]) <= 180, over).when(on, under[0]).otherwise(under[1])
+
+
+#: CIEDE2000 (Sharma, Wu and Dalal 2005) in stages; each takes the values so far and gives new ones by name.
+_DE_STAGES = (
+    lambda v: {"g": 0.5 * (1.0 - _chroma_share((F.hypot(v["a1"], v["b1"]) + F.hypot(v["a2"], v["b2"])) / 2.0))},
+    lambda v: {"p1": v["a1"] * (1.0 + v["g"]), "p2": v["a2"] * (1.0 + v["g"])},
+    lambda v: {"c1": F.hypot(v["p1"], v["b1"]), "c2": F.hypot(v["p2"], v["b2"]), "h1": _hue(v["p1"], v["b1"]), "h2": _hue(v["p2"], v["b2"])},
+    lambda v: {
+        "mid_l": (v["l1"] + v["l2"]) / 2.0,
+        "mid_c": (v["c1"] + v["c2"]) / 2.0,
+        "dh": _turned(v, F.lit(0.0), v["h2"] - v["h1"], (v["h2"] - v["h1"] - 360.0, v["h2"] - v["h1"] + 360.0), v["h2"] > v["h1"]),
+        "mid_h": _turned(v, v["h1"] + v["h2"], (v["h1"] + v["h2"]) / 2.0, ((v["h1"] + v["h2"] + 360.0) / 2.0, (v["h1"] + v["h2"] - 360.0) / 2.0), v["h1"] + v["h2"] < 360),
+    },
+    lambda v: {
+        "t": 1.0 - 0.17 * _cosine(v, 1, -30.0) + 0.24 * _cosine(v, 2, 0.0) + 0.32 * _cosine(v, 3, 6.0) - 0.20 * _cosine(v, 4, -63.0),
+        "rotation": 2.0 * _chroma_share(v["mid_c"]) * F.sin(F.radians(60.0 * F.exp(-F.pow((v["mid_h"] - 275.0) / 25.0, F.lit(2.0))))),
+        "off": F.pow(v["mid_l"] - 50.0, F.lit(2.0)),
+    },
+    lambda v: {
+        "dl": (v["l2"] - v["l1"]) / (1.0 + 0.015 * v["off"] / F.sqrt(20.0 + v["off"])),
+        "dc": (v["c2"] - v["c1"]) / (1.0 + 0.045 * v["mid_c"]),
+        "dt": 2.0 * F.sqrt(v["c1"] * v["c2"]) * F.sin(F.radians(v["dh"] / 2.0)) / (1.0 + 0.015 * v["mid_c"] * v["t"]),
+    },
+    lambda v: {"de": F.sqrt(F.greatest(F.lit(0.0), v["dl"] * v["dl"] + v["dc"] * v["dc"] + v["dt"] * v["dt"] - v["rotation"] * v["dc"] * v["dt"]))},
+)
+_LABS = ("l1", "a1", "b1", "l2", "a2", "b2")
+
+
 def ciede2000(lab1, lab2) -> Column:
-    """CIEDE2000 colour difference (Sharma, Wu and Dalal 2005), all weights one. lab: three columns each."""
-    (l1, a1, b1), (l2, a2, b2) = lab1, lab2
-    far = F.lit(25.0**7)
-
-    def seventh(c: Column) -> Column:
-        p = F.pow(c, F.lit(7.0))
-        return F.sqrt(p / (p + far))
-
-    g = 0.5 * (1.0 - seventh((F.hypot(a1, b1) + F.hypot(a2, b2)) / 2.0))
-    a1, a2 = a1 * (1.0 + g), a2 * (1.0 + g)
-    c1, c2 = F.hypot(a1, b1), F.hypot(a2, b2)
-
-    def hue(a: Column, b: Column) -> Column:
-        return F.when((a == 0) & (b == 0), 0.0).otherwise(F.pmod(F.degrees(F.atan2(b, a)) + 360.0, F.lit(360.0)))
-
-    h1, h2 = hue(a1, b1), hue(a2, b2)
-    gray = c1 * c2 == 0
-    apart = h2 - h1
-    dh = F.when(gray, 0.0).when(F.abs(apart) <= 180, apart).when(apart > 180, apart - 360.0).otherwise(apart + 360.0)
-    turn = 2.0 * F.sqrt(c1 * c2) * F.sin(F.radians(dh / 2.0))
-    mid_l, mid_c, total = (l1 + l2) / 2.0, (c1 + c2) / 2.0, h1 + h2
-    mid_h = F.when(gray, total).when(F.abs(apart) <= 180, total / 2.0).when(total < 360, (total + 360.0) / 2.0).otherwise((total - 360.0) / 2.0)
-
-    def cosine(scale: float, shift: float) -> Column:
-        return F.cos(F.radians(scale * mid_h + shift))
-
-    t = 1.0 - 0.17 * cosine(1, -30.0) + 0.24 * cosine(2, 0.0) + 0.32 * cosine(3, 6.0) - 0.20 * cosine(4, -63.0)
-    rotation = 2.0 * seventh(mid_c) * F.sin(F.radians(60.0 * F.exp(-F.pow((mid_h - 275.0) / 25.0, F.lit(2.0)))))
-    off = F.pow(mid_l - 50.0, F.lit(2.0))
-    s_l = 1.0 + 0.015 * off / F.sqrt(20.0 + off)
-    s_c, s_h = 1.0 + 0.045 * mid_c, 1.0 + 0.015 * mid_c * t
-    dl, dc, dt = (l2 - l1) / s_l, (c2 - c1) / s_c, turn / s_h
-    return F.sqrt(F.greatest(F.lit(0.0), dl * dl + dc * dc + dt * dt - rotation * dc * dt))
+    """CIEDE2000 colour difference, all weights one, as one expression. lab: three columns each."""
+    v = dict(zip(_LABS, (*lab1, *lab2), strict=True))
+    for stage in _DE_STAGES:
+        v |= stage(v)
+    return v["de"]
+
+
+def with_ciede2000(df: DataFrame, lab1: tuple[str, ...], lab2: tuple[str, ...], name: str) -> DataFrame:
+    """df plus the difference of two of its colours (three column names each), stage by stage in named columns, so that
+    generated code computes each once: for many pairs."""
+    v, made = {k: F.col(c) for k, c in zip(_LABS, (*lab1, *lab2), strict=True)}, []
+    for stage in _DE_STAGES:
+        new = {f"__de_{k}": c for k, c in stage(v).items()}
+        df = df.withColumns(new)
+        made += new
+        v |= {k.removeprefix("__de_"): F.col(k) for k in new}
+    return df.withColumn(name, v["de"]).drop(*made)
 
 
 def pack_rgb(r: Column, g: Column, b: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -14,6 +16,8 @@ DITHER_MODES = ("none", "knoll_yliluoma", "floyd_steinberg", "texture")
 #: Pixels of an image that paint selection looks at, chosen by hash order.
 SELECT_PIXELS = 12_000
 MOST_SWAPS = 100
+#: Distances that a k-medoids search has in memory at once (64 MB).
+TABLE_CELLS = 1 << 23
 
 
 def threshold(x: Column, y: Column) -> Column:
@@ -131,32 +135,44 @@ def texture(cells: DataFrame, strength: float, lut: DataFrame | None = None) ->
     return own.join(won, ["image_id", "cx", "cy"], "left").select("image_id", "cx", "cy", F.coalesce("new", "chip_idx").alias("chip_idx"))
 
 
-def medoids(d: np.ndarray, w: np.ndarray, k: int, most: int = MOST_SWAPS) -> np.ndarray:
-    """Weighted k-medoids over a distance matrix (points, candidates): greedy start, then the best improving swap
-    while there is one. Ties go to the lower index."""
-    chosen = [int((d * w[:, None]).sum(axis=0).argmin())]
-    near = d[:, chosen[0]].copy()
-    while len(chosen) < k:
-        gain = (np.maximum(near[:, None] - d, 0) * w[:, None]).sum(axis=0)
-        gain[chosen] = -np.inf
-        chosen.append(int(gain.argmax()))
-        near = np.minimum(near, d[:, chosen[-1]])
-    for _ in range(most):
-        own = d[:, chosen]
-        rank = np.argsort(own, axis=1, kind="stable")
-        first = own[np.arange(len(own)), rank[:, 0]]
-        second = own[np.arange(len(own)), rank[:, 1]] if k > 1 else np.full(len(own), np.inf)
-        best, swap = (first * w).sum() - 1e-12, None
-        for i in range(k):
-            rest = np.where(rank[:, 0] == i, second, first)
-            cost = (np.minimum(d, rest[:, None]) * w[:, None]).sum(axis=0)
-            cost[chosen] = np.inf
-            if cost.min() < best:
-                best, swap = cost.min(), (i, int(cost.argmin()))
-        if swap is None:
-            break
-        chosen[swap[0]] = swap[1]
-    return np.array(sorted(chosen))
+def medoids(distances: Callable[[slice], np.ndarray], w: np.ndarray, k: int, m: int, most: int = MOST_SWAPS) -> np.ndarray:
+    """Weighted k-medoids among m candidates: medoids join one by one, each where all points' cost falls most; then the
+    best exchange of a medoid for another candidate is made while it lowers the cost (``most`` times at most).
+
+    distances gives the distances of a slice of points to all candidates. Points are taken in blocks, so memory is
+    bounded whatever their number. One table serves both steps: the cost if a candidate joins and, for each medoid,
+    what its own points lose if it goes (Schubert and Rousseeuw 2019). Ties go to the earlier medoid, then the lower
+    candidate."""
+    n = len(w)
+    blocks = [slice(at, at + max(1, TABLE_CELLS // m)) for at in range(0, n, max(1, TABLE_CELLS // m))]
+    kept = distances(blocks[0]) if len(blocks) == 1 else None  # a single block is computed once
+    of = (lambda s: kept) if kept is not None else distances
+    chosen, changes = np.zeros(0, np.int64), 0
+    first, second, owner = np.full(n, np.inf), np.full(n, np.inf), np.zeros(n, np.int64)
+    while len(chosen) < k or changes < most:
+        full = len(chosen) == k
+        joins, leaves = np.zeros(m), np.zeros((k, m))
+        for s in blocks:
+            d = of(s)
+            own = np.minimum(first[s, None], d)
+            joins += w[s] @ own
+            if full:
+                np.add.at(leaves, owner[s], w[s, None] * (np.minimum(second[s, None], d) - own))
+        joins[chosen] = np.inf
+        if full:
+            place, candidate = np.unravel_index((joins + leaves).argmin(), leaves.shape)
+            if not (joins + leaves)[place, candidate] < w @ first - 1e-12:
+                break
+            chosen[place], changes = candidate, changes + 1
+        else:
+            chosen = np.append(chosen, joins.argmin())
+        for s in blocks:
+            d = of(s)[:, chosen]
+            order = np.argsort(d, axis=1, kind="stable")[:, :2]
+            owner[s], first[s] = order[:, 0], np.take_along_axis(d, order[:, :1], 1)[:, 0]
+            if len(chosen) > 1:
+                second[s] = np.take_along_axis(d, order[:, 1:], 1)[:, 0]
+    return np.sort(chosen)
 
 
 def restrict_pam(cells: DataFrame, palette: DataFrame, k: int | None, metric: str = "oklab") -> DataFrame:
@@ -174,19 +190,17 @@ def restrict_pam(cells: DataFrame, palette: DataFrame, k: int | None, metric: st
     if metric == "oklab":
         own = _with_lab(hist, 1.0).select("image_id", "n", "r", "g", "b", F.array("__l", "__a", "__b").alias("v"))
     else:  # distances to all chips, in the palette's order, as column expressions
-        chips = palette.select("chip_idx", *(c.alias(n) for c, n in zip(color.rgb_to_lab(F.col("r"), F.col("g"), F.col("b")), ("l2", "a2", "b2"), strict=True)))
-        colors = hist.select("r", "g", "b").distinct()
-        lab1 = color.rgb_to_lab(F.col("r"), F.col("g"), F.col("b"))
-        pairs = colors.withColumns(dict(zip(("l1", "a1", "b1"), lab1, strict=True))).crossJoin(F.broadcast(chips))
-        de = color.ciede2000([F.col(c) for c in ("l1", "a1", "b1")], [F.col(c) for c in ("l2", "a2", "b2")])
-        rows = pairs.groupBy("r", "g", "b").agg(F.sort_array(F.collect_list(F.struct("chip_idx", de.alias("d")))).alias("l"))
+        chips = pal.with_lab(palette, ("l2", "a2", "b2")).select("chip_idx", "l2", "a2", "b2")
+        colors = pal.with_lab(hist.select("r", "g", "b").distinct(), ("l1", "a1", "b1"))
+        pairs = color.with_ciede2000(colors.crossJoin(F.broadcast(chips)), ("l1", "a1", "b1"), ("l2", "a2", "b2"), "d")
+        rows = pairs.groupBy("r", "g", "b").agg(F.sort_array(F.collect_list(F.struct("chip_idx", "d"))).alias("l"))
         own = hist.join(rows.select("r", "g", "b", F.col("l.d").alias("v")), ["r", "g", "b"]).select("image_id", "n", "r", "g", "b", "v")
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(["r", "g", "b"])
         v = np.array(frame["v"].tolist(), np.float64)
-        d = ((v[:, None] - lab[None]) ** 2).sum(axis=2) if metric == "oklab" else v
-        return pd.DataFrame({"image_id": frame["image_id"].iloc[0], "chip_idx": idx[medoids(d, frame["n"].to_numpy(np.float64), k)]})
+        of = (lambda s: ((v[s, None] - lab[None]) ** 2).sum(axis=2)) if metric == "oklab" else (lambda s: v[s])
+        return pd.DataFrame({"image_id": frame["image_id"].iloc[0], "chip_idx": idx[medoids(of, frame["n"].to_numpy(np.float64), k, len(idx))]})
 
     return own.groupBy("image_id").applyInPandas(run, f"image_id {kind}, chip_idx int")
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.geometry import work_edge
+
 
 def cell_means(pixels: DataFrame, grids: DataFrame) -> DataFrame:
     """(image_id, cx, cy, r, g, b): mean colour of each cell, halves up.
@@ -18,6 +20,17 @@ def cell_means(pixels: DataFrame, grids: DataFrame) -> DataFrame:
     return placed.groupBy("image_id", "cx", "cy").agg(*(F.floor(F.avg(c) + 0.5).cast("int").alias(c) for c in "rgb"))
 
 
+def to_work_size(pixels: DataFrame, megapixels: float) -> DataFrame:
+    """(image_id, x, y, r, g, b) with each image's longer edge at most work_edge: larger images become areas' means,
+    others keep their pixels. Sizes are one row an image; only partial means are shuffled."""
+    size = pixels.groupBy("image_id").agg((F.max("x") + 1).alias("width"), (F.max("y") + 1).alias("height"))
+    edge = work_edge(F.lit(float(megapixels)), F.col("width"), F.col("height"))
+    share = F.least(F.lit(1.0), edge / F.greatest("width", "height"))
+    cells = (F.greatest(F.lit(1), F.floor(F.col(c) * share + 0.5)).cast("int").alias(n) for c, n in (("width", "cells_x"), ("height", "cells_y")))
+    done = cell_means(pixels, size.select("image_id", "width", "height", *cells))
+    return done.withColumnsRenamed({"cx": "x", "cy": "y"})
+
+
 def crop(pixels: DataFrame, rects: DataFrame, sizes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(pixels inside their image's rectangle, moved to its corner; rectangles refused).
 

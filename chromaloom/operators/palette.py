@@ -42,6 +42,14 @@ def checked_palette(palette: DataFrame) -> DataFrame:
     return palette
 
 
+def held_palette(palette: DataFrame) -> DataFrame:
+    """A checked palette read once: its rows, at most MOST_CHIPS, come to the driver, and later uses cost no scan."""
+    rows = palette.limit(MOST_CHIPS + 1).collect()
+    if not 1 <= len(rows) <= MOST_CHIPS:
+        raise ValueError(f"a palette has 1 to {MOST_CHIPS} chips")
+    return palette.sparkSession.createDataFrame(rows, palette.schema)
+
+
 def apply_filters(pixels: DataFrame, filters: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Pixels with their image's filter applied, and the filter rows refused for an unknown type.
 
@@ -85,14 +93,18 @@ def snap_oklab(cells: DataFrame, palette: DataFrame, chroma_scale: float = 1.0)
     return cells.join(colors, ["r", "g", "b"])
 
 
+def with_lab(df: DataFrame, names: tuple[str, ...]) -> DataFrame:
+    """df (r, g, b) plus its CIE Lab under three names."""
+    return df.withColumns(dict(zip(names, color.rgb_to_lab(F.col("r"), F.col("g"), F.col("b")), strict=True)))
+
+
 def snap_ciede2000(cells: DataFrame, palette: DataFrame) -> DataFrame:
-    """As snap_oklab by CIEDE2000, in column expressions."""
-    colors = cells.select("r", "g", "b").distinct()
-    own = colors.select("r", "g", "b", *(c.alias(n) for c, n in zip(color.rgb_to_lab(F.col("r"), F.col("g"), F.col("b")), ("l1", "a1", "b1"), strict=True)))
-    chips = checked_palette(palette).select(F.col("chip_idx").alias("p_idx"), *(c.alias(n) for c, n in zip(color.rgb_to_lab(F.col("r"), F.col("g"), F.col("b")), ("l2", "a2", "b2"), strict=True)))
-    d = color.ciede2000([F.col(c) for c in ("l1", "a1", "b1")], [F.col(c) for c in ("l2", "a2", "b2")])
-    best = _nearest(own, chips, d, ["r", "g", "b"]).select("r", "g", "b", F.col("best.i").alias("chip_idx"))
-    return cells.join(best, ["r", "g", "b"])
+    """As snap_oklab by CIEDE2000, in column expressions: each distinct colour meets each chip once."""
+    own = with_lab(cells.select("r", "g", "b").distinct(), ("l1", "a1", "b1"))
+    chips = with_lab(checked_palette(palette), ("l2", "a2", "b2")).select(F.col("chip_idx").alias("p_idx"), "l2", "a2", "b2")
+    pairs = color.with_ciede2000(own.crossJoin(F.broadcast(chips)), ("l1", "a1", "b1"), ("l2", "a2", "b2"), "de")
+    best = pairs.groupBy("r", "g", "b").agg(F.min(F.struct(F.round("de", 12).alias("d"), F.col("p_idx").alias("i"))).alias("best"))
+    return cells.join(best.select("r", "g", "b", F.col("best.i").alias("chip_idx")), ["r", "g", "b"])
 
 
 def snap(cells: DataFrame, palette: DataFrame, metric: str = "oklab", chroma_scale: float = 1.0) -> DataFrame:
@@ -139,7 +151,9 @@ def resnap(hist: DataFrame, kept: DataFrame, palette: DataFrame, metric: str = "
     if metric == "oklab":
         d = sum((F.pow(F.col(c) - F.col(f"k_{c}"), F.lit(2.0)) for c in ("ok_l", "ok_a", "ok_b")), F.lit(0.0))
     elif metric == "ciede2000":
-        d = color.ciede2000(color.rgb_to_lab(*(F.col(c) for c in "rgb")), color.rgb_to_lab(*(F.col(f"k_{c}") for c in "rgb")))
+        labs = dict(zip(("l1", "a1", "b1", "l2", "a2", "b2"), (*color.rgb_to_lab(*(F.col(c) for c in "rgb")), *color.rgb_to_lab(*(F.col(f"k_{c}") for c in "rgb"))), strict=True))
+        pairs = color.with_ciede2000(pairs.withColumns(labs), ("l1", "a1", "b1"), ("l2", "a2", "b2"), "de")
+        d = F.col("de")
     else:
         raise ValueError(f"unknown distance metric: {metric}")
     d = F.when(F.col("chip_idx") == F.col("k_chip_idx"), -1.0).otherwise(F.round(d, 12))

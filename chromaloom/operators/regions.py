@@ -7,9 +7,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Share of the image that the least facet has at detail 0 and 1; rounds, likeness and penalty of merges.
+# Share of the image that the least facet has at detail 0 and 1; rounds and likeness of merges.
 LARGEST_SHARE, SMALLEST_SHARE = 0.003, 0.0001
-MERGE_ROUNDS, LIKE_LIGHTNESS, UNLIKE_PENALTY = 40, 0.20, 10.0
+MERGE_ROUNDS, LIKE_LIGHTNESS = 40, 0.20
+#: Pixels that an image worked on whole may have: twice the largest working size of four megapixels.
+MOST_PIXELS = 1 << 23
 
 
 def flatten_l0(pixels: DataFrame, flatten: float) -> DataFrame:
@@ -66,7 +68,10 @@ def labelled(paint: np.ndarray) -> np.ndarray:
 
 
 def _grid(frame: pd.DataFrame, column: str) -> np.ndarray:
-    """A column as an array (h, w); -1 where a pixel is missing."""
+    """A column as an array (h, w); -1 where a pixel is missing. Larger images than MOST_PIXELS are an error: they are
+    to be brought to their working size first (grid.to_work_size)."""
+    if (int(frame["y"].max()) + 1) * (int(frame["x"].max()) + 1) > MOST_PIXELS:
+        raise ValueError(f"an image has over {MOST_PIXELS} pixels")
     out = np.full((int(frame["y"].max()) + 1, int(frame["x"].max()) + 1), -1, np.int64)
     out[frame["y"], frame["x"]] = frame[column]
     return out
@@ -139,8 +144,8 @@ def min_area(detail: Column, n_pixels: Column, radius: Column) -> Column:
     return F.greatest(F.lit(np.pi) * radius * radius, F.lit(LARGEST_SHARE) * F.pow(F.lit(SMALLEST_SHARE / LARGEST_SHARE), d) * n_pixels)
 
 
-def _narrow(labels: np.ndarray, radius: float) -> np.ndarray:
-    """Numbers of facets without a pixel at least ``radius`` from the boundary. labels: 0..n-1."""
+def _narrow(labels: np.ndarray, radius: float, n: int) -> np.ndarray:
+    """Of facets 0..n-1, whether each has no pixel at least ``radius`` from the boundary."""
     edge = np.ones((labels.shape[0] + 2, labels.shape[1] + 2), bool)
     wide = np.pad(labels, 1, constant_values=-1)
     core = wide[1:-1, 1:-1]
@@ -154,46 +159,49 @@ def _narrow(labels: np.ndarray, radius: float) -> np.ndarray:
                 ys, xs = slice(max(0, dy), h + min(0, dy)), slice(max(0, dx), w + min(0, dx))
                 yt, xt = slice(max(0, -dy), h + min(0, -dy)), slice(max(0, -dx), w + min(0, -dx))
                 near[yt, xt] |= edge[1:-1, 1:-1][ys, xs]
-    has = np.zeros(labels.max() + 1, bool)
-    has[labels[~near]] = True
-    return ~has
+    return np.bincount(labels[~near], minlength=n) == 0
+
+
+def _contacts(labels: np.ndarray) -> np.ndarray:
+    """(pairs, 2): each two numbers that share a pixel edge, both ways round."""
+    beside = [np.stack([x.ravel(), y.ravel()]) for x, y in ((labels[:, 1:], labels[:, :-1]), (labels[1:], labels[:-1]))]
+    x, y = np.concatenate([*beside, *(b[::-1] for b in beside)], axis=1)
+    return np.unique(np.stack([x, y], axis=1)[x != y], axis=0)
 
 
 def merged(paint: np.ndarray, lab: np.ndarray, least: float, radius: float = 0.0) -> np.ndarray:
     """The paint map after small or narrow facets have joined a larger neighbour, round by round.
 
-    paint: (h, w) rows of lab. First those with a neighbour of like lightness take the nearest in colour; only when
-    there are none do the rest join, unlike lightness at a penalty. Larger: by area, ties to the smaller number."""
-    numbers = labelled(paint)
+    paint: (h, w) rows of lab. Facets are contracted in their graph of contacts, which is made once. The order of size
+    (ties: the smaller number first) decides who is larger. In a round in which some facet can join one of like
+    lightness, only such joins are made, each to the nearest in colour; else unlike ones are."""
+    seeds, facet = np.unique(labelled(paint), return_inverse=True)
+    facet, n = facet.reshape(paint.shape), len(seeds)
+    color_of, size, home, touch = paint.ravel()[seeds], np.bincount(facet.ravel(), minlength=n), np.arange(n), _contacts(facet)
     for _ in range(MERGE_ROUNDS):
-        ids, labels = np.unique(numbers, return_inverse=True)
-        labels = labels.reshape(paint.shape)
-        area, own = np.bincount(labels.ravel()), paint.ravel()[ids]
-        small = area < least
+        place = np.empty(n, np.int64)
+        place[np.lexsort((np.arange(n), -size))] = np.arange(n)  # 0: the largest
+        weak = size < least
         if radius > 0:
-            small |= _narrow(labels, radius)
-        a = np.concatenate([labels[:, :-1].ravel(), labels[:-1].ravel()])
-        b = np.concatenate([labels[:, 1:].ravel(), labels[1:].ravel()])
-        pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1)[a != b], axis=0)
-        src, dst = np.concatenate([pairs, pairs[:, ::-1]]).T if len(pairs) else (np.zeros(0, int), np.zeros(0, int))
-        keep = small[src] & ((area[dst] > area[src]) | ((area[dst] == area[src]) & (dst < src)))
-        if not keep.any():
+            weak |= _narrow(home[facet], radius, n)
+        way = touch[weak[touch[:, 0]] & (place[touch[:, 0]] > place[touch[:, 1]])]
+        if not len(way):
             break
-        src, dst = src[keep], dst[keep]
-        d = ((lab[own[src]] - lab[own[dst]]) ** 2).sum(axis=1)
-        unlike = np.abs(lab[own[src], 0] - lab[own[dst], 0]) > LIKE_LIGHTNESS
-        if (~unlike).any():
-            src, dst, d = src[~unlike], dst[~unlike], d[~unlike]
-        else:
-            d = d + UNLIKE_PENALTY
-        order = np.lexsort((dst, d, src))
-        first = order[np.r_[True, np.diff(src[order]) > 0]]
-        to = np.arange(len(ids))
-        to[src[first]] = dst[first]
-        while (to[to] != to).any():
-            to = to[to]
-        paint, numbers = own[to[labels]], ids[to[labels]]
-    return paint
+        gap = lab[color_of[way]]
+        gap = gap[:, 0] - gap[:, 1]
+        like = np.abs(gap[:, 0]) <= LIKE_LIGHTNESS
+        if like.any():
+            way, gap = way[like], gap[like]
+        way = way[np.lexsort((way[:, 1], (gap**2).sum(axis=1)))]
+        goes, first = np.unique(way[:, 0], return_index=True)
+        step = np.arange(n)
+        step[goes] = way[first, 1]
+        for _ in range(int(n).bit_length()):  # a chain of joins ends at its largest facet
+            step = step[step]
+        home, size = step[home], np.bincount(step, weights=size, minlength=n).astype(np.int64)
+        touch = np.unique(step[touch], axis=0)
+        touch = touch[touch[:, 0] != touch[:, 1]]
+    return color_of[home[facet]]
 
 
 def merge_facets(pixels: DataFrame, palette: DataFrame, least_area: float, radius: float = 0.0) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import color
 from ..operators import palette as pal
-from .inputs import PALETTE, PIXELS, lin, oklab_sql, part_chips, pixels, table
+from .inputs import PART_CHIPS, PIXELS, lin, oklab_sql, part_chips, pixels, table
 from .registry import query
 
 _P = ("image_id", "x", "y")
@@ -153,9 +153,9 @@ def c12_hex_to_rgb(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pixels(spark, sf_dir).withColumn("hex", text).select(*_P, *(v[c].alias(c) for c in "rgb"))
 
 
-@query(f"""WITH {PALETTE} SELECT chip_idx, nullif(regexp_extract(CASE WHEN chip_idx % 7 = 0 THEN 'N5' ELSE notation END, '^\\s*[\\d.]+([A-Z]{{1,2}})\\s', 1), '') AS hue_family FROM palette""")
+@query(f"""WITH {PART_CHIPS} SELECT chip_idx, nullif(regexp_extract(CASE WHEN chip_idx % 7 = 0 THEN 'N5' ELSE notation END, '^\\s*[\\d.]+([A-Z]{{1,2}})\\s', 1), '') AS hue_family FROM part_chips""")
 def c13_hue_family(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The family of every part's notation; the SQL has those of the palette's chips only."""
+    """The family of every part's notation."""
     notation = F.when(F.col("chip_idx") % 7 == 0, "N5").otherwise(F.col("notation"))
     return part_chips(spark, sf_dir).select("chip_idx", color.hue_family(notation).alias("hue_family"))
 

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Images that the orders are dealt to, pixels of a row, pixels of a cell's side, and chips of the palette.
-IMAGES, WIDTH, CELL, CHIPS = 25, 24, 4, 64
+#: Pixels of an image (more orders make more images), pixels of a row, pixels of a cell's side, chips of the palette.
+IMAGE, WIDTH, CELL, CHIPS = 600, 24, 4, 64
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,9 +16,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(image_id, x, y, r, g, b): one pixel for each order."""
     k = F.col("o_orderkey")
-    n = F.floor(k / IMAGES)
+    n = k % IMAGE
     return table(spark, sf_dir, "orders").select(
-        (k % IMAGES).alias("image_id"),
+        F.floor(k / IMAGE).alias("image_id"),
         (n % WIDTH).cast("int").alias("x"),
         F.floor(n / WIDTH).cast("int").alias("y"),
         ((F.col("o_custkey") * 37) % 256).cast("int").alias("r"),
@@ -27,7 +27,7 @@ def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-PIXELS = f"""pixels AS (SELECT o_orderkey % {IMAGES} AS image_id, ((o_orderkey // {IMAGES}) % {WIDTH})::INT AS x, ((o_orderkey // {IMAGES}) // {WIDTH})::INT AS y,
+PIXELS = f"""pixels AS (SELECT o_orderkey // {IMAGE} AS image_id, ((o_orderkey % {IMAGE}) % {WIDTH})::INT AS x, ((o_orderkey % {IMAGE}) // {WIDTH})::INT AS y,
   ((o_custkey * 37) % 256)::INT AS r, (floor(o_totalprice)::BIGINT % 256)::INT AS g, ((o_orderkey * 17) % 256)::INT AS b FROM orders)"""
 
 
@@ -43,24 +43,42 @@ cells AS (SELECT image_id, least(cells_x - 1, (x * cells_x) // width)::INT AS cx
   floor(avg(r) + 0.5)::INT AS r, floor(avg(g) + 0.5)::INT AS g, floor(avg(b) + 0.5)::INT AS b FROM pixels JOIN grids USING (image_id) GROUP BY ALL)"""
 
 
+_HUES = ("R", "YR", "Y", "GY", "G", "BG", "B", "PB", "P", "RP")
+
+
 def palette(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(chip_idx, r, g, b, ok_l, ok_a, ok_b, notation, color_name): a chip for each of the first parts."""
-    return part_chips(spark, sf_dir, F.col("p_partkey") < CHIPS)
+    """(chip_idx, r, g, b, ok_l, ok_a, ok_b, notation, color_name): CHIPS chips, each made from all parts of its share."""
+    from ..operators.palette import held_palette, with_oklab
+
+    k = F.col("chip_idx")
+    own = table(spark, sf_dir, "part").groupBy((F.col("p_partkey") % CHIPS).cast("int").alias("chip_idx"))
+    own = own.agg(F.sum(F.col("p_size").cast("long")).alias("sizes"), F.count("*").alias("parts"), F.min("p_size").alias("p_size"), F.min("p_name").alias("color_name"))
+    chips = own.select(
+        "chip_idx",
+        ((k * 53) % 256).cast("int").alias("r"),
+        ((k * 101 + 40 + F.col("sizes")) % 256).cast("int").alias("g"),
+        ((k * 197 + 90 + F.col("parts")) % 256).cast("int").alias("b"),
+        _notation("p_size", k).alias("notation"),
+        "color_name",
+    )
+    return held_palette(with_oklab(chips))
+
+
+def _notation(size: str, k: Column) -> Column:
+    return F.concat(F.col(size).cast("string"), F.element_at(F.array(*map(F.lit, _HUES)), (k % 10 + 1).cast("int")), F.lit(" 5/6"))
 
 
-def part_chips(spark: SparkSession, sf_dir: str, only: Column | None = None) -> DataFrame:
-    """The columns of palette for every part, or those asked for."""
+def part_chips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(chip_idx, r, g, b, ok_l, ok_a, ok_b, notation, color_name): a chip for every part."""
     from ..operators.palette import with_oklab
 
     k = F.col("p_partkey")
-    part = table(spark, sf_dir, "part")
-    part = part if only is None else part.filter(only)
-    chips = part.select(
+    chips = table(spark, sf_dir, "part").select(
         k.cast("int").alias("chip_idx"),
         ((k * 53) % 256).cast("int").alias("r"),
         ((k * 101 + 40) % 256).cast("int").alias("g"),
         ((k * 197 + 90) % 256).cast("int").alias("b"),
-        F.concat(F.col("p_size").cast("string"), F.element_at(F.array(*map(F.lit, ("R", "YR", "Y", "GY", "G", "BG", "B", "PB", "P", "RP"))), (k % 10 + 1).cast("int")), F.lit(" 5/6")).alias("notation"),
+        _notation("p_size", k).alias("notation"),
         F.col("p_name").alias("color_name"),
     )
     return with_oklab(chips)
@@ -78,9 +96,13 @@ def oklab_sql(r: str, g: str, b: str) -> tuple[str, str, str]:
 
 
 _L, _A, _B = oklab_sql("r", "g", "b")
-PALETTE = f"""chips AS (SELECT p_partkey::INT AS chip_idx, ((p_partkey * 53) % 256)::INT AS r, ((p_partkey * 101 + 40) % 256)::INT AS g, ((p_partkey * 197 + 90) % 256)::INT AS b,
-  p_size || (['R','YR','Y','GY','G','BG','B','PB','P','RP'])[(p_partkey % 10 + 1)::INT] || ' 5/6' AS notation, p_name AS color_name FROM part WHERE p_partkey < {CHIPS}),
+_HUE = f"({list(_HUES)})[(k % 10 + 1)::INT] || ' 5/6'"
+PALETTE = f"""own AS (SELECT (p_partkey % {CHIPS})::INT AS k, sum(p_size)::BIGINT AS sizes, count(*) AS parts, min(p_size) AS p_size, min(p_name) AS color_name FROM part GROUP BY ALL),
+chips AS (SELECT k AS chip_idx, ((k * 53) % 256)::INT AS r, ((k * 101 + 40 + sizes) % 256)::INT AS g, ((k * 197 + 90 + parts) % 256)::INT AS b, p_size || {_HUE} AS notation, color_name FROM own),
 palette AS (SELECT *, {_L} AS ok_l, {_A} AS ok_a, {_B} AS ok_b FROM chips)"""
+#: A chip for every part.
+PART_CHIPS = f"""keyed AS (SELECT *, p_partkey AS k FROM part), part_rgb AS (SELECT k::INT AS chip_idx, ((k * 53) % 256)::INT AS r, ((k * 101 + 40) % 256)::INT AS g, ((k * 197 + 90) % 256)::INT AS b, p_size || {_HUE} AS notation, p_name AS color_name FROM keyed),
+part_chips AS (SELECT *, {_L} AS ok_l, {_A} AS ok_a, {_B} AS ok_b FROM part_rgb)"""
 
 
 def derived(spark: SparkSession, sf_dir: str, sql: str, *names: str) -> DataFrame:

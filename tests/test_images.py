@@ -108,13 +108,27 @@ def brute_medoids(d, w, k):
 def test_medoids():
     x = np.array([[0, 0], [0, 1], [1, 0], [50, 50], [50, 51], [51, 50], [99, 0], [99, 1], [98, 0]], float)
     d = ((x[:, None] - x[None]) ** 2).sum(2)
-    assert dither.medoids(d, np.ones(9), 3).tolist() == [0, 3, 6]
+    assert dither.medoids(lambda s: d[s], np.ones(9), 3, 9).tolist() == [0, 3, 6]
     line = np.array([0, 1, 2, 100, 101], float)
     d = np.abs(line[:, None] - line[None])
-    got = dither.medoids(d, np.ones(5), 2)
+    got = dither.medoids(lambda s: d[s], np.ones(5), 2, 5)
     assert d[:, got].min(1).sum() == brute_medoids(d, np.ones(5), 2)
 
 
+def test_medoids_in_blocks(monkeypatch):
+    """Points taken in blocks give what all of them at once give; no single exchange is better."""
+    rng = np.random.default_rng(3)
+    d, w = rng.random((60, 12)), rng.integers(1, 9, 60).astype(float)
+    whole = {k: dither.medoids(lambda s: d[s], w, k, 12) for k in (1, 2, 5, 11)}
+    monkeypatch.setattr(dither, "TABLE_CELLS", 100)
+    for k, got in whole.items():
+        assert dither.medoids(lambda s: d[s], w, k, 12).tolist() == got.tolist() and len(set(got.tolist())) == k
+        cost = (w * d[:, got].min(1)).sum()
+        for i in range(k):
+            for c in set(range(12)) - set(got.tolist()):
+                assert (w * d[:, [*np.delete(got, i), c]].min(1)).sum() >= cost - 1e-9
+
+
 def test_texture_keeps_chips_and_zero_is_no_op(spark):
     rng = np.random.default_rng(2)
     rows = [(1, x, y, int(rng.integers(0, 20) > 17) + 3) for x in range(12) for y in range(9)]
