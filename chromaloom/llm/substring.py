@@ -5,6 +5,10 @@ in the corpus stand for no repeated window. The windows of all other runs, as st
 shard of their run; a shard indexes its stretches and streams them through backward search, which reports the
 intervals whose windows occur at least twice. A window is judged in a shard where all its equals are, so the
 union of the reports is exact.
+
+A run that very many windows share is split by what is next to it: those windows are sampled again by longer runs,
+up to the window itself, and what occurs once on the way goes. Windows that are still common then are a passage that
+stands in very many texts: its stretches are made distinct, with a count, before they are indexed.
 """
 
 from __future__ import annotations
@@ -12,10 +16,10 @@ from __future__ import annotations
 import hashlib
 import uuid
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,98 +30,96 @@ from .fm_index import FmIndex, repeated_cover
 WINDOW, GRAM = 35, 8
 #: Words of a shard, about, and the least number of shards.
 SHARD_WORDS, LEAST_SHARDS = 400_000, 48
-#: A run that occurs more often would make a shard of over about 1,500,000 words: it is not indexed, and its windows
-#: are counted by hash instead, each exactly.
-HOT = 32_768
+#: A run that occurs more often is split by longer runs; with a stretch's 49 words, the rest is half a shard's words.
+HOT, STEPS = 4096, 4
 #: Windows of one streamed part.
 STREAM = 512
+#: Bytes of distinct texts in one bucket, about.
+BUCKET_BYTES = 64 << 20
+
 
+def run_lengths(window: int, gram: int) -> list[int]:
+    """Lengths of the runs by which windows are sampled, from gram to the whole window."""
+    return sorted({window - (window - gram) * k // STEPS for k in range(STEPS + 1)})
 
-def _distinct_texts(docs: DataFrame, text_col: str) -> DataFrame:
-    """(digest, text, copies, tid), stored in buckets of the digest, so that later joins leave the texts where
-    they are."""
+
+def _distinct_texts(docs: DataFrame, text_col: str, n_bytes: int) -> tuple[DataFrame, str]:
+    """((digest, text, copies, tid), table's name): stored in buckets of the digest, so that later joins leave the texts
+    where they are. The number of buckets grows with the bytes of the texts."""
     spark = docs.sparkSession
     text = F.coalesce(F.col(text_col), F.lit(""))
     texts = docs.select(F.unhex(F.sha2(text.cast("binary"), 256)).alias("digest"), text.alias("text"))
     texts = texts.groupBy("digest").agg(F.first("text").alias("text"), F.count("*").alias("copies")).withColumn("tid", F.monotonically_increasing_id())
-    name = f"chromaloom_{uuid.uuid4().hex}"
-    texts.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), "digest").format("parquet").saveAsTable(name)
-    return spark.table(name)
+    name, held = f"chromaloom_{uuid.uuid4().hex}", spark.conf.get("spark.sql.shuffle.partitions")
+    buckets = max(int(held), min(50_000, -(-n_bytes // BUCKET_BYTES)))
+    spark.conf.set("spark.sql.shuffle.partitions", str(buckets))  # a task writes whole buckets
+    try:
+        texts.write.bucketBy(buckets, "digest").format("parquet").saveAsTable(name)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", held)
+    return spark.table(name), name
 
 
 def _sampled(window: int, gram: int):
-    """(tid, text) -> (gram, tid, n): each text's sampled runs and how often it has them."""
+    """(tid, at, text) -> (gram, tid, at, n): each part's sampled runs and how often it has them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            tids = batch.column(0).to_numpy()
-            for first, _, words in word_slices(batch.column(1)):
+            tids, ats = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            for first, _, words in word_slices(batch.column(2)):
                 found = samples(words.hashes(), words.text, window, gram)
                 owner = words.text[found.at]
                 order = np.lexsort((found.gram, owner))
                 owner, g = owner[order], found.gram[order]
                 new = np.flatnonzero(np.r_[True, (owner[1:] != owner[:-1]) | (g[1:] != g[:-1])]) if len(g) else np.zeros(0, np.int64)
-                n = np.diff(np.r_[new, len(g)])
-                yield pa.RecordBatch.from_arrays([pa.array(g[new].view(np.int64)), pa.array(tids[first + owner[new]]), pa.array(n.astype(np.int32))], ["gram", "tid", "n"])
+                n, own = np.diff(np.r_[new, len(g)]), first + owner[new]
+                yield pa.RecordBatch.from_arrays([pa.array(g[new].view(np.int64)), pa.array(tids[own]), pa.array(ats[own]), pa.array(n.astype(np.int32))], ["gram", "tid", "at", "n"])
 
     return run
 
 
-def _stretches(window: int, gram: int, shards: int):
-    """(tid, copies, grams, hot, text) -> stretches of text for the shards, and hashes of hot windows.
+def _unions(a: np.ndarray, b: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first, end, member) of the unions of intervals [a, b) within each group; member is one interval's number."""
+    order = np.lexsort((a, group))
+    a, b, group = a[order], b[order], group[order]
+    change = np.r_[True, group[1:] != group[:-1]]
+    lift = np.cumsum(change) * (int(b.max()) + 1)  # so that one running maximum serves all groups
+    reach = np.maximum.accumulate(b + lift)
+    at = np.flatnonzero(np.r_[True, a[1:] + lift[1:] > reach[:-1]])
+    return a[at], reach[np.r_[at[1:], len(a)] - 1] - lift[at], order[at]
+
 
-    shard is -1 for a hot window, which has its hash instead of its text."""
+def _stretches(window: int, gram: int, shards: int, level: int):
+    """(tid, at, ask, cold, hot, text) -> stretches of text for the shards of the part's cold runs, and, with shard -1
+    and single spaces, those of its hot runs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         width = window - gram + 1
         for batch in batches:
-            tids, ask = batch.column(0).to_numpy(), batch.column(1).to_numpy() == 1
-            lists = {name: (batch.column(i).flatten().to_numpy().view(np.uint64), batch.column(i).value_lengths().fill_null(0).to_numpy(zero_copy_only=False)) for i, name in ((2, "cold"), (3, "hot"))}
-            base = {name: np.concatenate([[0], np.cumsum(n)]) for name, (_, n) in lists.items()}
-            for first, rows, words in word_slices(batch.column(4)):
+            tids, ats, ask = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+            lists = [(batch.column(i).flatten().to_numpy().view(np.uint64), batch.column(i).value_lengths().fill_null(0).to_numpy(zero_copy_only=False)) for i in (3, 4)]
+            base = [np.concatenate([[0], np.cumsum(n)]) for _, n in lists]
+            for first, rows, words in word_slices(batch.column(5)):
                 h = words.hashes()
                 found = samples(h, words.text, window, gram)
-                owner = words.text[found.at]
-
-                def listed(name: str) -> np.ndarray:
-                    """Samples whose run is in their text's own list."""
-                    g, n = lists[name]
-                    low, high = base[name][first], base[name][first + rows]
-                    own_text = np.repeat(np.arange(rows), n[first : first + rows])
-                    return np.flatnonzero(_in_pairs(owner, found.gram, own_text, g[low:high]))
-
-                out = []
-                cold = listed("cold")
-                if len(cold):
-                    a, b = found.starts(cold, width)
-                    shard, text = (found.gram[cold] >> np.uint64(8)) % np.uint64(shards), owner[cold]
-                    order = np.lexsort((a, shard, text))
-                    a, b, shard, text = a[order], b[order] + window, shard[order], text[order]
-                    change = np.r_[True, (shard[1:] != shard[:-1]) | (text[1:] != text[:-1])]
-                    group = np.cumsum(change)
-                    lift = group * (len(h) + window + 1)  # so that one running maximum serves all groups
-                    reach = np.maximum.accumulate(b + lift)
-                    new = np.r_[True, a[1:] + lift[1:] > reach[:-1]]
-                    at = np.flatnonzero(new)
-                    end = reach[np.r_[at[1:], len(a)] - 1] - lift[at]
-                    view = memoryview(words.data)
-                    texts = [bytes(view[s:e]) for s, e in zip(words.start[a[at]].tolist(), words.end[end - 1].tolist(), strict=True)]
-                    begun = np.searchsorted(words.text, text[at])
-                    out.append((shard[at].astype(np.int64), tids[first + text[at]], (a[at] - begun).astype(np.int64), texts, ask[first + text[at]], np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)))
-                hot = listed("hot")
-                if len(hot):
-                    a, b = found.starts(hot, width)
-                    n = b - a + 1
-                    s = np.unique(np.repeat(a, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n))
-                    text = words.text[s]
-                    view = memoryview(words.data)
-                    # words joined by one space, so that spacing does not count
-                    pair = [xxhash.xxh3_128_intdigest(b" ".join(bytes(view[x:y]).split())) for x, y in zip(words.start[s].tolist(), words.end[s + window - 1].tolist(), strict=True)]
-                    h1, h2 = np.array([p >> 64 for p in pair], np.uint64).view(np.int64), np.array([p & (2**64 - 1) for p in pair], np.uint64).view(np.int64)
+                owner, view, out = words.text[found.at], memoryview(words.data), []
+                for hot, (g, n) in enumerate(lists):
+                    low, high = base[hot][first], base[hot][first + rows]
+                    which = np.flatnonzero(_in_pairs(owner, found.gram, np.repeat(np.arange(rows), n[first : first + rows]), g[low:high]))
+                    if not len(which):
+                        continue
+                    a, b = found.starts(which, width)
+                    text = owner[which]
+                    shard = np.full(len(which), -1) if hot else ((found.gram[which] >> np.uint64(8)) % np.uint64(shards)).astype(np.int64)
+                    a, end, member = _unions(a, b + window, text * (shards + 1) + shard + 1)
+                    text, shard = text[member], shard[member]
+                    texts = [bytes(view[s:e]) for s, e in zip(words.start[a].tolist(), words.end[end - 1].tolist(), strict=True)]
+                    if hot:
+                        texts = [b" ".join(t.split()) for t in texts]
                     begun = np.searchsorted(words.text, text)
-                    out.append((np.full(len(s), -1), tids[first + text], (s - begun).astype(np.int64), [b""] * len(s), ask[first + text], h1, h2))
-                for shard, tid, at, texts, asked, h1, h2 in out:
-                    yield pa.RecordBatch.from_arrays([pa.array(shard), pa.array(tid), pa.array(at), pa.array(texts, pa.binary()), pa.array(asked), pa.array(h1), pa.array(h2)], ["shard", "tid", "at", "stretch", "ask", "h1", "h2"])
+                    out.append((shard + (0 if hot else level << 32), tids[first + text], ats[first + text] + a - begun, (end - a).astype(np.int64), texts, ask[first + text]))
+                for shard, tid, at, size, texts, asked in out:
+                    yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int64()), pa.array(tid), pa.array(at, pa.int64()), pa.array(size), pa.array(texts, pa.binary()), pa.array(asked)], ["shard", "tid", "at", "size", "stretch", "ask"])
 
     return run
 
@@ -181,23 +183,60 @@ def _cleaned(window: int):
     return run
 
 
+_STRETCHES = "shard long, tid long, at long, size long, stretch binary, ask boolean"
+
+
+def _sharded(texts: DataFrame, window: int, lengths: list[int], hot: int, digests: bool) -> tuple[DataFrame, DataFrame | None]:
+    """(stretches in shards, stretches that stay hot at the last length or None) of texts (tid, at, ask, text).
+
+    digests: texts is stored in buckets of its column digest, by which it is joined."""
+    parts, done = texts, []
+    for level, gram in enumerate(lengths):
+        sampled = stored(parts.select("tid", "at", "text").mapInArrow(_sampled(window, gram), "gram long, tid long, at long, n int"))
+        runs = checkpoint(sampled.groupBy("gram").agg(F.sum("n").alias("n")).filter("n > 1"))
+        total, most = runs.agg(F.coalesce(F.sum(F.when(F.col("n") <= hot, F.col("n"))), F.lit(0)), F.max("n")).first()
+        shards = max(LEAST_SHARDS, total * (window + 14) // SHARD_WORDS)
+        is_hot = F.col("r.n") > hot
+        lists = sampled.alias("s").join(runs.alias("r"), "gram").groupBy("tid", "at").agg(F.collect_list(F.when(~is_hot, F.col("gram"))).alias("cold"), F.collect_list(F.when(is_hot, F.col("gram"))).alias("hot"))
+        if level == 0 and digests:
+            lists = lists.join(parts.select("tid", "digest"), "tid").select("digest", "cold", "hot")
+            asked = parts.join(lists, "digest")
+        else:
+            asked = parts.join(lists, ["tid", "at"])
+        found = stored(asked.select("tid", "at", "ask", "cold", "hot", "text").mapInArrow(_stretches(window, gram, shards, level), _STRETCHES))
+        done.append(found.filter("shard >= 0"))
+        left = found.filter("shard < 0").select("tid", "at", "size", "ask", F.col("stretch").alias("text"))
+        if most is None or most <= hot:
+            return reduce(DataFrame.union, done), None
+        parts = left
+    return reduce(DataFrame.union, done), parts
+
+
+def _judged(sharded: DataFrame, window: int) -> DataFrame:
+    """Stretches in shards -> (tid, low, high): an index for each shard."""
+    return sharded.select("shard", "tid", "at", "stretch", "ask").groupBy("shard").applyInArrow(_reported(window), "tid long, low long, high long")
+
+
 def repeated_spans(texts: DataFrame, window: int = WINDOW, gram: int = GRAM, hot: int = HOT) -> DataFrame:
     """Distinct texts (digest, text, copies, tid) -> (tid, low, high): word intervals covered by windows that
     occur elsewhere. Texts with copies are not asked about (all their windows repeat), but others meet them."""
-    sampled = stored(texts.select("tid", "text").mapInArrow(_sampled(window, gram), "gram long, tid long, n int"))
-    runs = checkpoint(sampled.groupBy("gram").agg(F.sum("n").alias("n")).filter("n > 1"))
-    total = runs.filter(F.col("n") <= hot).agg(F.sum("n")).first()[0] or 0
-    shards = max(LEAST_SHARDS, total * (window + 14) // SHARD_WORDS)
-    is_hot = F.col("r.n") > hot
-    lists = sampled.alias("s").join(runs.alias("r"), "gram").groupBy("tid").agg(F.collect_list(F.when(~is_hot, F.col("gram"))).alias("cold"), F.collect_list(F.when(is_hot, F.col("gram"))).alias("hot"))
-    lists = lists.join(texts.select("tid", "digest"), "tid").select("digest", "cold", "hot")
-    asked = texts.join(lists, "digest").select("tid", "copies", "cold", "hot", "text")
-    parts = stored(asked.mapInArrow(_stretches(window, gram, shards), "shard long, tid long, at long, stretch binary, ask boolean, h1 long, h2 long"))
-    cold = parts.filter("shard >= 0").select("shard", "tid", "at", "stretch", "ask").groupBy("shard").applyInArrow(_reported(window), "tid long, low long, high long")
-    windows = parts.filter("shard < 0").select("tid", "at", "ask", "h1", "h2")
-    often = windows.groupBy("h1", "h2").agg(F.count("*").alias("n")).filter("n > 1").select("h1", "h2")
-    warm = windows.filter("ask").join(often, ["h1", "h2"]).select("tid", F.col("at").alias("low"), (F.col("at") + window).alias("high"))
-    return cold.union(warm)
+    own = texts.select("digest", "tid", F.lit(0).cast("long").alias("at"), (F.col("copies") == 1).alias("ask"), "text")
+    cold, common = _sharded(own, window, run_lengths(window, gram), hot, True)
+    spans = _judged(cold, window)
+    if common is None:
+        return spans
+    # each distinct stretch once, with its count: of those that stand in two places all windows repeat, the others
+    # meet them in indexes of their own
+    common = common.withColumn("digest", F.unhex(F.sha2("text", 256)))
+    distinct = stored(common.groupBy("digest").agg(F.first("text").alias("text"), F.count("*").alias("n")).withColumns({"tid": F.monotonically_increasing_id(), "at": F.lit(0).cast("long")}))
+    places = common.filter("ask").select("digest", F.col("tid").alias("text_id"), F.col("at").alias("from"), "size")
+    often = places.join(distinct.filter("n > 1").select("digest"), "digest").select(F.col("text_id").alias("tid"), F.col("from").alias("low"), (F.col("from") + F.col("size")).alias("high"))
+    spans = spans.union(often)
+    if not distinct.filter("n = 1").isEmpty():
+        alone, _ = _sharded(distinct.select("tid", "at", (F.col("n") == 1).alias("ask"), "text"), window, [gram], 1 << 62, False)
+        found = _judged(alone, window).join(distinct.select("tid", "digest"), "tid").select("digest", "low", "high")
+        spans = spans.union(places.join(found, "digest").select(F.col("text_id").alias("tid"), (F.col("from") + F.col("low")).alias("low"), (F.col("from") + F.col("high")).alias("high")))
+    return spans
 
 
 def substring_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot: int = HOT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -207,13 +246,18 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot
     word of a window that also starts anywhere else, in the same text or another, is removed; windows are
     judged on the input. Words are runs of bytes other than ASCII white space, unchanged. Null, empty and
     blank texts have no words; shorter texts than a window lose none. Of rows with equal text each counts:
-    all their windows repeat. Other columns are not read.
+    all their windows repeat. Other columns are not read. The table of distinct texts that it keeps in the warehouse
+    meanwhile is dropped at the end.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    sig = checkpoint(docs.select(F.col(id_col).alias("id"), F.unhex(F.sha2(text.cast("binary"), 256)).alias("digest")))
-    texts = _distinct_texts(docs, text_col)
-    spans = repeated_spans(texts, window, gram, hot).groupBy("tid").agg(F.collect_list(F.struct("low", "high")).alias("spans"))
-    spans = checkpoint(spans.join(texts.select("tid", "digest"), "tid").select("digest", "spans"))
-    whole = texts.join(spans, "digest", "left").select("digest", "text", "copies", "spans")
-    done = whole.mapInArrow(_cleaned(window), "digest binary, n_words long, n_removed long, kept_sha256 string")
+    sig = checkpoint(docs.select(F.col(id_col).alias("id"), F.unhex(F.sha2(text.cast("binary"), 256)).alias("digest"), F.octet_length(text).cast("long").alias("n_bytes")))
+    n_bytes = sig.agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).first()[0]
+    texts, name = _distinct_texts(docs, text_col, n_bytes)
+    try:
+        spans = repeated_spans(texts, window, gram, hot).groupBy("tid").agg(F.collect_list(F.struct("low", "high")).alias("spans"))
+        spans = checkpoint(spans.join(texts.select("tid", "digest"), "tid").select("digest", "spans"))
+        whole = texts.join(spans, "digest", "left").select("digest", "text", "copies", "spans")
+        done = checkpoint(whole.mapInArrow(_cleaned(window), "digest binary, n_words long, n_removed long, kept_sha256 string"))
+    finally:
+        docs.sparkSession.sql(f"DROP TABLE IF EXISTS {name}")
     return sig.join(done, "digest").select(F.col("id").alias(id_col), "n_words", "n_removed", "kept_sha256")

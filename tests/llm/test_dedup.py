@@ -253,3 +253,26 @@ def test_substring(spark, docs, texts, hot):
     got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substring.substring_dedup(df, 10, 3, hot).collect()}
     assert got == dict(enumerate(brute_cover(rows, 10)))
     assert substring.substring_dedup(df.limit(0), 10, 3).count() == 0
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("chromaloom_")]
+
+
+def test_substring_with_a_passage_far_above_the_threshold(spark):
+    """One passage in most texts, cut in several ways and spaced differently, between words of each text's own, and
+    texts of one word over and over."""
+    rng = random.Random(8)
+    passage = [f"p{i}" for i in range(40)]
+    rows = []
+    for k in range(300):
+        low, high = (0, 40) if k % 3 else (rng.randrange(0, 12), rng.randrange(25, 41))
+        own = [[rng.choice("xyz") + str(rng.randrange(4 if k % 5 == 0 else 10**6)) for _ in range(rng.randrange(0, 25))] for _ in range(2)]
+        rows.append((" " if k % 2 else "  ").join([*own[0], *passage[low:high], *own[1]]))
+    rows += [" ".join(["same"] * n) for n in range(5, 60, 3)]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    want = dict(enumerate(brute_cover(rows, 10)))
+    for hot in (5, 60):
+        got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substring.substring_dedup(df, 10, 3, hot).collect()}
+        assert got == want
+
+
+def test_run_lengths():
+    assert substring.run_lengths(35, 8) == [8, 15, 22, 29, 35] and substring.run_lengths(10, 3) == [3, 5, 7, 9, 10]
