@@ -3,6 +3,7 @@
 import collections
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from chromaloom.llm import mixing, quality, topk, url_filter, warc
 from pyspark.sql import functions as F
@@ -186,6 +187,65 @@ def test_quality(spark):
     assert quality.quality_scores(docs.limit(0), labels).count() == 0
 
 
+def brute_terms(text):
+    """Term frequencies by plain loops; hashes come from the library's own word hash."""
+    import re
+
+    from chromaloom.llm._words import word_slices
+
+    def hashes(parts):
+        column = pa.array([" ".join(parts)])
+        return next(word_slices(column))[2].hashes().tolist() if parts else []
+
+    words = re.findall(rb"[^\x20\x09-\x0D]+", (text or "").encode())
+    out = np.zeros(quality.TERMS)
+    for h in hashes([w.decode() for w in words]):
+        out[(h >> 40) % quality.WORDS] += 1 / len(words)
+    pieces = [w[i : i + quality.PIECE] for w in words for i in range(0, len(w), quality.PIECE)]
+    if all(p.isascii() for p in pieces):
+        for h in hashes([p.decode() for p in pieces]):
+            out[quality.WORDS + (h >> 40) % quality.PIECES] += 1 / len(pieces)
+    for i, w in enumerate(words):
+        back = [i - j for j in range(i) if words[j] == w]
+        if back:
+            out[quality.WORDS + quality.PIECES + min((min(back) - 1).bit_length(), quality.GAPS - 1)] += 1 / len(words)
+    return np.sqrt(out)
+
+
+def test_terms_by_brute_force():
+    texts = ["one two two one three one", "", None, "  ", "a", "longer words are cut in pieces of four bytes longer", "x " * 500, "in. " * 3 + "of the in. of"]
+    got = quality.term_vectors(pa.array(texts))
+    assert np.allclose(got, [brute_terms(t) for t in texts], atol=1e-6)
+
+
+def test_neighbours_by_brute_force(spark):
+    """Scores from all exact cosines, sorted in full; the labelled texts hold copies, so that many similarities tie."""
+    rng = np.random.default_rng(2)
+    labelled = [(i, " ".join(rng.choice(["ren", "tal", "vor", "mi", "ko", "se"], 12)) if i % 7 else "same words for all of these", int(rng.random() < 0.5)) for i in range(400)]
+    asked = [(1000 + i, " ".join(rng.choice(["ren", "tal", "vor", "mi", "ko", "se"], 9))) for i in range(60)] + [(2000, "same words for all of these"), (2000, "same words for all of these"), (None, "other"), (3000, "y" * 200_000)]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in labelled] + asked, "doc_id long, text string").withColumns({"label": F.lit(1), "terms": F.lit("x"), "score": F.lit(0.5)})
+    labels = spark.createDataFrame([(i, y) for i, _, y in labelled], "doc_id long, quality int")
+    model = quality.fit(docs, labels, 100)
+    got = quality.quality_scores(docs, labels, per_class=100).collect()
+    text = dict((i, t) for i, t, _ in labelled) | dict(asked)
+    assert len(got) == len(labelled) + len(asked)
+    for r in got[::5]:
+        near = np.round(model.latent(quality.term_vectors(pa.array([text[r.doc_id]])))[0].astype(float) @ model.vectors.T.astype(float), quality.PLACES)
+        best = sorted(range(len(near)), key=lambda k: (-near[k], k))[: quality.NEIGHBOURS]
+        vote = np.maximum(near[best], 0) ** quality.SHARPNESS * model.weights[best]
+        want = (vote * model.labels[best]).sum() / vote.sum() if vote.sum() else 0
+        edge = sorted(near, reverse=True)[quality.NEIGHBOURS - 1]
+        if sum(abs(near - edge) < 3 * 10.0**-quality.PLACES) == sum(near == edge):  # no similarity on a rounding border
+            assert abs(r.score - want) < 1e-3
+
+
+def test_repeated_labelled_rows_are_read_once(spark):
+    rows = [(i, f"word{i % 5} and text {i}") for i in range(40)] + [(3, "other text")] * 500
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)] * 3, "doc_id long, quality int")
+    assert len(quality.fit(docs, labels).labels) <= 40
+
+
 # --- WARC ---
 
 
