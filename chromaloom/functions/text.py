@@ -2,16 +2,23 @@
 
 from __future__ import annotations
 
+import re
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Punctuation that does not count in an answer.
 PUNCTUATION = r"[.,;:!¡?¿\"'`´()/]"
-# Accented letters and their plain forms (there is no Unicode decomposition in Spark SQL).
-ACCENTED = "áàâäãåéèêëíìîïóòôöõúùûüñçýÿ"
-PLAIN = "aaaaaaeeeeiiiiooooouuuuncyy"
+#: Every character that decomposes into a plain one and accents (U+0300 to U+036F), and that plain one: a table made by
+#: the rule, as Spark SQL has no decomposition. Accents that stand alone go by a pattern.
+ACCENTS = "[\u0300-\u036f]"
+_BARE = {chr(c): re.sub(ACCENTS, "", unicodedata.normalize("NFD", chr(c))) for c in range(0x80, 0x10000) if not 0xD800 <= c < 0xE000}
+_BARE = {c: unicodedata.normalize("NFC", x) for c, x in _BARE.items() if x != unicodedata.normalize("NFD", c)}
+ACCENTED, PLAIN = ("".join(x) for x in zip(*((c, x) for c, x in _BARE.items() if len(x) == 1), strict=True))
 # Short forms in answers.
 SHORT_FORMS = (("jdm", "jemand"), ("jmd", "jemand"), ("etw", "etwas"))
+# Articles, gender endings and trace suffixes as patterns.
 ARTICLE = r"(?i)^\(?(der|die|das|los|las|el|la)\)?\s+"
 GENDER = r",\s*-\w+"
 # Word types and what a hint calls them.
@@ -40,7 +47,7 @@ def norm_exact(c: Column) -> Column:
 
 def norm_loose(c: Column) -> Column:
     """norm_exact with accents dropped, ß as ss and short forms written out."""
-    out = F.translate(F.replace(norm_exact(c), F.lit("ß"), F.lit("ss")), ACCENTED, PLAIN)
+    out = F.regexp_replace(F.translate(F.replace(norm_exact(c), F.lit("ß"), F.lit("ss")), ACCENTED, PLAIN), ACCENTS, "")
     for short, full in SHORT_FORMS:
         out = F.regexp_replace(out, rf"\b{short}\b", full)
     return out

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.color import FILTER_TYPES
 from ..functions.geometry import MAX_U, MIN_U, pxu_to_px
-from .catalog import MOST_LEVELS, live
+from .catalog import live
 from .iterate import checkpoint, settled
 
 
@@ -62,7 +62,7 @@ def unreachable_active(images: DataFrame) -> DataFrame:
         found = front.join(edges, front["id"] == edges["up"]).select("project_id", F.col("below").alias("id")).distinct()
         return found.join(seen, ["project_id", "id"], "left_anti")
 
-    reached = settled(roots, grow, MOST_LEVELS)
+    reached = settled(roots, grow)
     return own.filter("is_active").select("project_id", "id").join(reached, ["project_id", "id"], "left_anti")
 
 

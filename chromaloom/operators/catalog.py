@@ -5,13 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .iterate import settled
+from .iterate import checkpoint, settled
 
 #: Image kinds in the order in which rows may be deleted, filters before all of them.
 DELETE_ORDER = ("trace_output", "trace_base", "filter_working_copy", "working_copy", "master")
 DEFAULT_BUCKET = "project_images"
-#: A healthy lineage is four levels deep; walks stop with an error beyond this.
-MOST_LEVELS = 64
 
 
 def live(images: DataFrame) -> DataFrame:
@@ -98,26 +96,32 @@ def keyed_diff(a: DataFrame, b: DataFrame, key: str, columns: list[str]) -> Data
 def filter_chain(filters: DataFrame, images: DataFrame) -> DataFrame:
     """(project_id, filter_id, step, tip, output_missing): the chain from a project's working image, in row order.
 
-    filters: (id, project_id, input_image_id, output_image_id). From the newest working copy, each row in id order
-    that takes the image so far is the next step. Rows off the chain have a null step; tip marks the last one.
-    A walk over a project's few filter rows in order, as a fold.
+    filters: (id, project_id, input_image_id, output_image_id), ids unique. From the newest working copy, the next row
+    in id order that takes the image so far is the next step. Rows off the chain have a null step; tip marks the last
+    one. Each row's successor is found by one window over images, and steps are counted by doubling the links, so that
+    a project's rows are never one group and a chain of n rows takes log2(n) rounds.
     """
-    work = display_target(images).select("project_id", F.col("working_id").alias("start"))
-    rows = filters.groupBy("project_id").agg(F.sort_array(F.collect_list(F.struct(F.col("id").alias("id"), F.col("input_image_id").alias("i"), F.col("output_image_id").alias("o")))).alias("rows"))
-    rows = rows.join(work, "project_id", "left")
-    nothing = F.array().cast(filters.select(F.array("id")).schema[0].dataType)
-
-    def step(s, x):
-        hit = F.coalesce(x["i"] == s["at"], F.lit(False)) & x["o"].isNotNull()
-        return F.struct(F.when(hit, x["o"]).otherwise(s["at"]).alias("at"), F.when(hit, F.concat(s["ids"], F.array(x["id"]))).otherwise(s["ids"]).alias("ids"))
-
-    chain = F.aggregate("rows", F.struct(F.col("start").alias("at"), nothing.alias("ids")), step, lambda s: s["ids"])
-    out = rows.withColumn("chain", chain).select("project_id", "chain", F.explode("rows").alias("x"))
-    at = F.array_position("chain", F.col("x.id")).cast("int")
-    out = out.select("project_id", F.col("x.id").alias("filter_id"), F.nullif(at, F.lit(0)).alias("step"), ((at > 0) & (F.size("chain") == at)).alias("tip"), F.col("x.o").alias("o"))
-    there = live(images).filter("kind = 'filter_working_copy'").select(F.col("project_id").alias("p"), F.col("id").alias("i"))
-    out = out.join(there, (F.col("project_id") == F.col("p")) & (F.col("o") == F.col("i")), "left")
-    return out.select("project_id", "filter_id", "step", "tip", F.col("i").isNull().alias("output_missing"))
+    rows = filters.select("project_id", F.col("id").alias("filter_id"), F.col("input_image_id").alias("i"), F.col("output_image_id").alias("o"))
+    able = rows.filter("o is not null")
+    start = display_target(images).filter("working_id is not null").select("project_id", F.col("working_id").alias("image"), F.lit(None).cast(filters.schema["id"].dataType).alias("asks"), F.lit(None).cast(filters.schema["id"].dataType).alias("takes"))
+    asks = able.select("project_id", F.col("o").alias("image"), F.col("filter_id").alias("asks"), F.lit(None).cast(filters.schema["id"].dataType).alias("takes"))
+    takes = able.filter("i is not null").select("project_id", F.col("i").alias("image"), F.lit(None).cast(filters.schema["id"].dataType).alias("asks"), F.col("filter_id").alias("takes"))
+    # of an image's rows in id order: the first that takes it after the one that makes it (the start comes first)
+    line = Window.partitionBy("project_id", "image").orderBy(F.coalesce("asks", "takes").asc_nulls_first(), F.col("takes").asc_nulls_last())
+    met = start.union(asks).union(takes).withColumn("next", F.first("takes", ignorenulls=True).over(line.rowsBetween(1, Window.unboundedFollowing)))
+    met = checkpoint(met.filter("takes is null and next is not null and (asks is null or next > asks)").select("project_id", "asks", "next"))
+    jumps = met.filter("asks is not null").select("project_id", F.col("asks").alias("filter_id"), "next")
+    known, reach = checkpoint(met.filter("asks is null").select("project_id", F.col("next").alias("filter_id"), F.lit(1).alias("step"))), 1
+    while not jumps.isEmpty():
+        found = known.join(jumps, ["project_id", "filter_id"]).select("project_id", F.col("next").alias("filter_id"), (F.col("step") + reach).alias("step"))
+        known = checkpoint(known.union(found))
+        further = jumps.select("project_id", F.col("filter_id").alias("next"), F.col("next").alias("further"))
+        jumps, reach = checkpoint(jumps.join(further, ["project_id", "next"]).select("project_id", "filter_id", F.col("further").alias("next"))), reach * 2
+    last = known.groupBy("project_id").agg(F.max("step").alias("last"))
+    there = live(images).filter("kind = 'filter_working_copy'").select("project_id", F.col("id").alias("o"), F.lit(True).alias("there")).distinct()
+    out = rows.join(known, ["project_id", "filter_id"], "left").join(last, "project_id", "left").join(there, ["project_id", "o"], "left")
+    tip = F.coalesce(F.col("step") == F.col("last"), F.lit(False))
+    return out.select("project_id", "filter_id", "step", tip.alias("tip"), F.col("there").isNull().alias("output_missing"))
 
 
 def delete_closure(images: DataFrame, roots: DataFrame) -> DataFrame:
@@ -132,21 +136,27 @@ def delete_closure(images: DataFrame, roots: DataFrame) -> DataFrame:
         found = front.join(edges, (front["project_id"] == edges["project_id"]) & (front["id"] == edges["up"])).select(front["project_id"], "root_id", F.col("below").alias("id"), (F.col("depth") + 1).alias("depth")).distinct()
         return found.join(seen.select("project_id", "root_id", "id"), ["project_id", "root_id", "id"], "left_anti").select("project_id", "root_id", "id", "depth")
 
-    return settled(front, grow, MOST_LEVELS).join(own.drop("source_image_id"), ["project_id", "id"]).select("project_id", "root_id", "id", "depth", "storage_bucket", "storage_path")
+    return settled(front, grow).join(own.drop("source_image_id"), ["project_id", "id"]).select("project_id", "root_id", "id", "depth", "storage_bucket", "storage_path")
 
 
 def delete_plan(images: DataFrame, filters: DataFrame) -> DataFrame:
-    """(project_id, step, what, n_rows, bucket, paths): rows of a project with a live master, in the order in which
-    they may go; image steps list their storage paths for each bucket."""
+    """(project_id, step, what, n_rows, bucket): how many rows of a project with a live master go in each step, in the
+    order in which they may; image steps are counted for each bucket. delete_paths has the files."""
     doomed = live(images).filter("kind = 'master'").select("project_id").distinct()
     f = filters.join(doomed, "project_id").groupBy("project_id").agg(F.count("*").alias("n_rows"))
-    f = f.select("project_id", F.lit(0).alias("step"), F.lit("filters").alias("what"), "n_rows", F.lit(None).cast("string").alias("bucket"), F.lit(None).cast("array<string>").alias("paths"))
+    f = f.select("project_id", F.lit(0).alias("step"), F.lit("filters").alias("what"), "n_rows", F.lit(None).cast("string").alias("bucket"))
+    i = delete_paths(images).groupBy("project_id", "step", "what", "bucket").agg(F.count("*").alias("n_rows"))
+    return f.unionByName(i)
+
+
+def delete_paths(images: DataFrame) -> DataFrame:
+    """(project_id, step, what, bucket, path): one row for each stored image that delete_plan counts."""
+    doomed = live(images).filter("kind = 'master'").select("project_id").distinct()
     order = F.lit(None).cast("int")
     for i, kind in enumerate(DELETE_ORDER):
         order = F.when(F.col("kind") == kind, i + 1).otherwise(order)
-    i = images.join(doomed, "project_id").withColumns({"step": order, "bucket": F.coalesce("storage_bucket", F.lit(DEFAULT_BUCKET))}).filter("step is not null")
-    i = i.groupBy("project_id", "step", F.col("kind").alias("what"), "bucket").agg(F.count("*").alias("n_rows"), F.sort_array(F.collect_list("storage_path")).alias("paths"))
-    return f.unionByName(i)
+    i = images.join(doomed, "project_id").withColumn("step", order).filter("step is not null")
+    return i.select("project_id", "step", F.col("kind").alias("what"), F.coalesce("storage_bucket", F.lit(DEFAULT_BUCKET)).alias("bucket"), F.col("storage_path").alias("path"))
 
 
 def backfill_working_copies(images: DataFrame, states: DataFrame) -> tuple[DataFrame, DataFrame]:

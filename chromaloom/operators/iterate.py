@@ -4,14 +4,19 @@ from __future__ import annotations
 
 import tempfile
 from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir; a folder of our own only where that is unset."""
+    """The folder all executors share: spark.checkpoint.dir. Where that is unset, a folder of our own on a local
+    master, and an error on a cluster, whose executors would not see it."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="chromaloom-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -25,13 +30,33 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def settled(start: DataFrame, grow: Callable[[DataFrame, DataFrame], DataFrame], most: int) -> DataFrame:
-    """The union of ``start`` and all fronts. grow(front, seen) gives the next front, which must hold new rows
-    only; an empty one ends the loop, and ``most`` rounds without an end are an error."""
-    front = seen = checkpoint(start)
-    for _ in range(most):
-        front = checkpoint(grow(front, seen))
+#: Fronts that are read one by one before they are stored as one table.
+FRONTS = 8
+
+
+def settled(start: DataFrame, grow: Callable[[DataFrame, DataFrame], DataFrame]) -> DataFrame:
+    """The union of ``start`` and all fronts. grow(front, seen) gives the next front, which must hold new rows only, so
+    that the loop ends however deep it goes; an empty one ends it. Only fronts are written, and every FRONTS of them
+    once more as one table, so that plans stay short."""
+    front = checkpoint(start)
+    fronts = [front]
+    while True:
+        front = checkpoint(grow(front, reduce(DataFrame.unionByName, fronts)))
         if front.isEmpty():
-            return seen
-        seen = checkpoint(seen.unionByName(front))
-    raise RuntimeError(f"no end after {most} rounds")
+            return reduce(DataFrame.unionByName, fronts)
+        fronts.append(front)
+        if len(fronts) > FRONTS:
+            fronts = [checkpoint(reduce(DataFrame.unionByName, fronts))]
+
+
+def numbered(df: DataFrame, by: list[str], name: str) -> DataFrame:
+    """df plus ``name``: each row's place from 1 in the order of the columns ``by``, which should tell rows apart.
+
+    Rows are dealt into ranges, stored, and ranked range by range; ranges begin where the ones before them end. No task
+    holds more than its range."""
+    dealt = checkpoint(df.repartitionByRange(*by).withColumn("__range", F.spark_partition_id()))
+    sizes = dealt.groupBy("__range").agg(F.count("*").alias("__n"))
+    before = F.coalesce(F.sum("__n").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = sizes.select("__range", before.alias("__before"))  # one row a range
+    place = F.row_number().over(Window.partitionBy("__range").orderBy(*by)) + F.col("__before")
+    return dealt.join(F.broadcast(sizes), "__range").withColumn(name, place).drop("__range", "__before")

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import color
+from .iterate import numbered
 
 #: A palette is sent to every task; more chips than this are refused.
 MOST_CHIPS = 100_000
@@ -30,8 +31,8 @@ def load_palette(munsell: DataFrame, grays: DataFrame, mode: str = "color", tier
     tagged = grays.withColumn("__part", F.lit(1))
     if mode == "color":
         tagged = munsell.filter(F.col("chip_idx") < tier).withColumn("__part", F.lit(0)).unionByName(tagged)
-    place = F.row_number().over(Window.orderBy("__part", "chip_idx")) - 1
-    return tagged.withColumn("chip_idx", place).drop("__part")
+    done = numbered(tagged, ["__part", "chip_idx"], "__place")
+    return done.withColumn("chip_idx", (F.col("__place") - 1).cast("int")).drop("__part", "__place")
 
 
 def checked_palette(palette: DataFrame) -> DataFrame:
@@ -208,8 +209,9 @@ def legend(traces: DataFrame, palette: DataFrame) -> DataFrame:
 
 def name_grays(grays: DataFrame) -> DataFrame:
     """Grays named 'System Gray NN' by value, then notation."""
-    place = F.row_number().over(Window.orderBy("value", "notation"))
-    return grays.withColumn("color_name", F.concat(F.lit("System Gray "), F.lpad(place.cast("string"), F.greatest(F.lit(2), F.length(place.cast("string"))), F.lit("0"))))
+    place = F.col("__place").cast("string")
+    named = numbered(grays, ["value", "notation"], "__place")
+    return named.withColumn("color_name", F.concat(F.lit("System Gray "), F.lpad(place, F.greatest(F.lit(2), F.length(place)), F.lit("0")))).drop("__place")
 
 
 def name_chips(munsell: DataFrame) -> DataFrame:
@@ -235,17 +237,37 @@ def _claims(own: pd.DataFrame, free: pd.DataFrame) -> pd.DataFrame:
 def assign_names(chips: DataFrame, names: DataFrame) -> DataFrame:
     """(chip_idx, name_idx): each chip in index order takes its nearest name not taken yet, ties to the least
     name_idx. chips: (chip_idx, ok_l, ok_a, ok_b); names: (name_idx, the same). More chips than names is an
-    error. Both tables are palettes of checked size: the claims follow one another, so one task makes them.
-    """
-    chips, names = checked_palette(chips), checked_palette(names)
-
-    def claim(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            yield _claims(*(pd.DataFrame([r if isinstance(r, dict) else r.asDict() for r in frame[c][0]]) for c in ("chips", "names")))
+    error. Both tables are palettes of checked size, MOST_CHIPS at most.
 
-    a = chips.agg(F.sort_array(F.collect_list(F.struct("chip_idx", "ok_l", "ok_a", "ok_b"))).alias("chips"))
-    b = names.agg(F.sort_array(F.collect_list(F.struct("name_idx", "ok_l", "ok_a", "ok_b"))).alias("names"))
-    return a.crossJoin(b).mapInPandas(claim, "chip_idx int, name_idx int")
+    Chips propose and names refuse, in rounds: a chip without a name asks for the nearest that no smaller chip holds;
+    a name keeps the smallest chip that asked. Chips are spread over tasks; the names and who holds them, a number
+    each, are what the driver sends. When nobody asks any more each chip has what it would have got in turn.
+    """
+    chips = checked_palette(chips).select("chip_idx", "ok_l", "ok_a", "ok_b")
+    free = checked_palette(names).orderBy("name_idx").select("name_idx", "ok_l", "ok_a", "ok_b").toPandas()
+    if chips.count() > len(free):
+        raise ValueError("more chips than names")
+    lab, idx = free[["ok_l", "ok_a", "ok_b"]].to_numpy(np.float64), free["name_idx"].to_numpy(np.int64)
+    holder = np.full(len(free), np.iinfo(np.int64).max)  # of each name: the chip that has it
+
+    def ask(holder: np.ndarray) -> DataFrame:
+        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for frame in frames:
+                own = frame[~frame["chip_idx"].isin(holder)]
+                places = np.empty(len(own), np.int64)
+                for k, (c, at) in enumerate(zip(own["chip_idx"], own[["ok_l", "ok_a", "ok_b"]].to_numpy(np.float64), strict=True)):
+                    d = np.round(((lab - at) ** 2).sum(axis=1), 12)
+                    places[k] = np.where(holder < c, np.inf, d).argmin()
+                yield pd.DataFrame({"place": places, "chip_idx": own["chip_idx"].to_numpy(np.int64)})
+
+        return chips.mapInPandas(run, "place long, chip_idx long").groupBy("place").agg(F.min("chip_idx").alias("chip_idx"))
+
+    while len(asked := ask(holder).toPandas()):
+        place = asked["place"].to_numpy()
+        holder[place] = np.minimum(holder[place], asked["chip_idx"].to_numpy())
+    taken = np.flatnonzero(holder < np.iinfo(np.int64).max)
+    pairs = pd.DataFrame({"chip_idx": holder[taken].astype(np.int32), "name_idx": idx[taken].astype(np.int32)})
+    return chips.sparkSession.createDataFrame(pairs, "chip_idx int, name_idx int")
 
 
 def assign_names_by(chips: DataFrame, names: DataFrame, by: str) -> DataFrame:

@@ -43,16 +43,24 @@ RESOLUTION_WORDS = {"low": 1, "medium": 2, "high": 4}
 def phase_medians(runs: DataFrame) -> DataFrame:
     """(phase, median): upper median of each phase over runs with a 'name=ms,...' header, and of their total.
 
-    The upper median is element n div 2 of the sorted list. Equal values are counted before they are ranked, so a
-    phase's rows never meet in one task. Parts that are not name=number are left out."""
+    The upper median is element n div 2 of the sorted list. Equal values are counted first; a phase's values are
+    summed in buckets of a binary logarithm, and only the bucket that holds the median is ranked, so that no task has
+    all of a phase. Parts that are not name=number are left out."""
     parts = runs.select("run_id", F.explode(F.split("header", ",")).alias("p"))
     name, ms = F.trim(F.substring_index("p", "=", 1)), F.element_at(F.split("p", "="), -1).try_cast("double")
     parts = parts.select("run_id", name.alias("phase"), ms.alias("ms")).filter("ms is not null and phase <> ''")
     total = parts.groupBy("run_id").agg(F.sum("ms").alias("ms")).select(F.lit("total").alias("phase"), "ms")
     counts = parts.select("phase", "ms").unionByName(total).groupBy("phase", "ms").agg(F.count("*").alias("n"))
-    upto = Window.partitionBy("phase").orderBy("ms").rowsBetween(Window.unboundedPreceding, 0)
-    counts = counts.withColumns({"upto": F.sum("n").over(upto), "every": F.sum("n").over(Window.partitionBy("phase"))})
-    return counts.filter(F.col("upto") > F.floor(F.col("every") / 2)).groupBy("phase").agg(F.min("ms").alias("median"))
+    # monotonic: negative values, zero, and 64 buckets to each doubling of the positive ones
+    fine = F.when(F.col("ms") > 0, F.floor(F.log2(F.greatest(F.col("ms"), F.lit(1e-300))) * 64)).when(F.col("ms") == 0, -(1 << 40)).otherwise(-(1 << 41))
+    counts = counts.withColumn("bucket", fine.cast("long"))
+    sizes = counts.groupBy("phase", "bucket").agg(F.sum("n").alias("m"))
+    upto = Window.partitionBy("phase").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
+    sizes = sizes.withColumns({"upto": F.sum("m").over(upto), "every": F.sum("m").over(Window.partitionBy("phase"))})
+    sizes = sizes.withColumn("place", F.floor(F.col("every") / 2)).filter((F.col("upto") > F.col("place")) & (F.col("upto") - F.col("m") <= F.col("place")))
+    own = counts.join(F.broadcast(sizes.select("phase", "bucket", (F.col("upto") - F.col("m")).alias("before"), "place")), ["phase", "bucket"])
+    upto = F.sum("n").over(Window.partitionBy("phase").orderBy("ms").rowsBetween(Window.unboundedPreceding, 0)) + F.col("before")
+    return own.withColumn("upto", upto).filter("upto > place").groupBy("phase").agg(F.min("ms").alias("median"))
 
 
 def flaky_summary(results: DataFrame, most: int, most_rate: float) -> DataFrame:

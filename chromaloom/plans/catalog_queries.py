@@ -161,12 +161,19 @@ def l1_delete_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.delete_closure(own, own.select("project_id", F.col("id").alias("image_id")))
 
 
-@query(f"""WITH {IMAGES_SQL}, {FILTERS_SQL}, d AS (SELECT DISTINCT project_id FROM own WHERE kind = 'master')
-SELECT project_id, 0 AS step, 'filters' AS what, count(*) AS n_rows, NULL::VARCHAR AS bucket, NULL::VARCHAR AS paths FROM filters JOIN d USING (project_id) GROUP BY project_id
-UNION ALL SELECT project_id, list_position(['trace_output', 'trace_base', 'filter_working_copy', 'working_copy', 'master'], kind), kind, count(*), coalesce(storage_bucket, 'project_images'), string_agg(storage_path, ',' ORDER BY storage_path) FROM images JOIN d USING (project_id)
-GROUP BY project_id, kind, coalesce(storage_bucket, 'project_images')""")
+_DOOMED = "d AS (SELECT DISTINCT project_id FROM own WHERE kind = 'master')"
+_STEP = "list_position(['trace_output', 'trace_base', 'filter_working_copy', 'working_copy', 'master'], kind)"
+
+
+@query(f"""WITH {IMAGES_SQL}, {FILTERS_SQL}, {_DOOMED} SELECT project_id, 0 AS step, 'filters' AS what, count(*) AS n_rows, NULL::VARCHAR AS bucket FROM filters JOIN d USING (project_id) GROUP BY project_id
+UNION ALL SELECT project_id, {_STEP}, kind, count(*), coalesce(storage_bucket, 'project_images') FROM images JOIN d USING (project_id) GROUP BY project_id, kind, coalesce(storage_bucket, 'project_images')""")
 def l2_delete_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return catalog.delete_plan(images(spark, sf_dir), filters(spark, sf_dir)).withColumn("paths", F.array_join("paths", ","))
+    return catalog.delete_plan(images(spark, sf_dir), filters(spark, sf_dir))
+
+
+@query(f"WITH {IMAGES_SQL}, {_DOOMED} SELECT project_id, {_STEP} AS step, kind AS what, coalesce(storage_bucket, 'project_images') AS bucket, storage_path AS path FROM images JOIN d USING (project_id)")
+def l2_delete_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return catalog.delete_paths(images(spark, sf_dir))
 
 
 _WC = f"""{IMAGES_SQL}, nw AS (SELECT id || ':wc' AS id, project_id, 'working_copy' AS kind, false AS is_active, deleted_at, coalesce(name, 'image') || ' (working copy)' AS name, id AS source_image_id FROM own WHERE kind = 'master' AND project_id NOT IN (SELECT project_id FROM own WHERE kind = 'working_copy')),

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 # Lengths to which text fields are cut (null: kept whole), the largest body, and alert limits.
@@ -88,7 +90,9 @@ def rate_limit_stream(hits: DataFrame, most: int = MOST_HITS, window_ms: int = W
     """rate_limit on a stream (key, at timestamp, seq): (key, t, seq, limited) for each hit, append mode.
 
     A key's state is its window's start and count; it goes when event time has passed the window's end, so the state
-    does not grow with the keys ever seen. Within a trigger hits are taken in order of (t, seq)."""
+    does not grow with the keys ever seen. Within a trigger hits are taken in order of (t, seq). Hits that come later than
+    ``late`` behind the newest have no row here, as their window may be gone, while rate_limit counts them: late_hits
+    tells how many a query has left out."""
     kinds = {f.name: f.dataType.simpleString() for f in hits.schema.fields}
 
     def run(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -112,6 +116,15 @@ def rate_limit_stream(hits: DataFrame, most: int = MOST_HITS, window_ms: int = W
     return timed.groupBy("key").applyInPandasWithState(run, out, "begun long, n long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
+def late_hits(query: StreamingQuery) -> int:
+    """Rows that a stream has dropped because they came behind its watermark, over the progress reports it keeps."""
+    return sum(op.get("numRowsDroppedByWatermark", 0) for p in map(_as_dict, query.recentProgress) for op in p.get("stateOperators", []))
+
+
+def _as_dict(progress) -> dict:
+    return json.loads(progress.json) if hasattr(progress, "json") else dict(progress)
+
+
 def run_to_table(stream: DataFrame, folder: str, mode: str = "append") -> DataFrame:
     """Run a stream over all input there is and return what it wrote: Parquet with its checkpoint in a shared folder."""
     spark, to = stream.sparkSession, f"{folder}/rows"

@@ -133,3 +133,70 @@ def test_suites_of_any_depth_are_read(spark):
     got = {(r.report_id, r.spec_id, r.title, r.retry) for r in events.read_test_report(reports).collect()}
     want = {(d, ".".join(["0"] * (d - i + 1)) + "#0", " > ".join([*(f"s{k}" for k in range(d, i - 1, -1)), f"spec{i}"]), i) for d in (1, 4, 5, 9) for i in range(1, d + 1)}
     assert got == want
+
+
+def test_lineage_deeper_than_any_cap(spark):
+    """A chain of 80 images: all of it is below its master, and the last one is reachable."""
+    rows = [("i000", "p", None, "master", False, None)] + [(f"i{k:03}", "p", f"i{k - 1:03}", "working_copy", k == 79, None) for k in range(1, 80)]
+    own = images(spark, rows)
+    roots = spark.createDataFrame([("p", "i000")], "project_id string, image_id string")
+    got = catalog.delete_closure(own, roots)
+    assert {(r.id, r.depth) for r in got.collect()} == {(f"i{k:03}", k) for k in range(80)}
+    assert audits.unreachable_active(own).count() == 0
+
+
+def brute_chain(start, rows):
+    at, step, out = start, 0, {}
+    for i, o, fid in sorted(((i, o, f) for f, i, o in rows), key=lambda r: r[2]):
+        if at is not None and i == at and o is not None:
+            step += 1
+            out[fid], at = step, o
+    return out
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_filter_chain_by_brute_force(spark, seed):
+    import random
+
+    rng = random.Random(seed)
+    rows = {p: [(f"f{k:02}", f"n{rng.randrange(5)}", f"n{rng.randrange(5)}" if rng.random() < 0.9 else None) for k in range(40)] for p in ("p", "q", "none")}
+    filters = spark.createDataFrame([(f"{p}-{f}", p, i, o) for p, l in rows.items() for f, i, o in l], "id string, project_id string, input_image_id string, output_image_id string")
+    own = images(spark, [("n0", "p", None, "working_copy", True, None), ("n3", "q", None, "working_copy", True, None), ("n1", "p", "n0", "filter_working_copy", False, None)])
+    got = {r.filter_id: r for r in catalog.filter_chain(filters, own).collect()}
+    assert len(got) == 120
+    for p, start in (("p", "n0"), ("q", "n3"), ("none", None)):
+        want = brute_chain(start, rows[p])
+        assert {f: got[f"{p}-{f}"].step for f, _, _ in rows[p]} == {f: want.get(f) for f, _, _ in rows[p]}
+        assert [f for f, _, _ in rows[p] if got[f"{p}-{f}"].tip] == [f for f in want if want[f] == max(want.values())]
+        assert all(got[f"{p}-{f}"].output_missing == (not (p == "p" and o == "n1")) for f, _, o in rows[p])
+
+
+def test_places_over_ranges(spark):
+    from chromaloom.operators.iterate import numbered
+
+    rows = spark.range(5000).select((F.col("id") * 7919 % 5003).alias("a"), (F.col("id") % 3).alias("b"))
+    got = [(r.a, r.place) for r in numbered(rows, ["a", "b"], "place").collect()]
+    assert [a for a, _ in sorted(got, key=lambda r: r[1])] == sorted(a for a, _ in got) and sorted(p for _, p in got) == list(range(1, 5001))
+    assert numbered(rows.limit(0), ["a"], "place").count() == 0
+
+
+def test_phase_medians_by_brute_force(spark):
+    import random
+
+    rng = random.Random(1)
+    runs = [(i, ",".join([f"a={rng.choice([0, -2, 1.5, rng.random() * 100])}", f"b={rng.randrange(5)}", "c=x", "d"][: rng.randrange(1, 5)])) for i in range(301)]
+    got = {r.phase: r.median for r in reports.phase_medians(spark.createDataFrame(runs, "run_id int, header string")).collect()}
+    lists = {"total": []}
+    for _, h in runs:
+        own = [(p.split("=")[0], float(p.split("=")[1])) for p in h.split(",") if "=" in p and p[0] != "c"]
+        for k, v in own:
+            lists.setdefault(k, []).append(v)
+        lists["total"].append(sum(v for _, v in own))
+    assert got == {k: pytest.approx(sorted(v)[len(v) // 2]) for k, v in lists.items()}
+
+
+def test_late_hits_are_counted():
+    class Query:
+        recentProgress = [{"stateOperators": [{"numRowsDroppedByWatermark": 2}]}, {"stateOperators": []}, {"stateOperators": [{"numRowsDroppedByWatermark": 3}]}]
+
+    assert errors.late_hits(Query()) == 5

@@ -207,6 +207,34 @@ def test_unique_names(spark):
         pal.assign_names(chips, names.limit(2)).collect()
 
 
+def test_names_in_rounds_are_those_taken_in_turn(spark):
+    rng = np.random.default_rng(4)
+    lab, free = np.round(rng.random((80, 3)), 1), np.round(rng.random((90, 3)), 1)  # many ties
+    chips = spark.createDataFrame([(i, *map(float, v)) for i, v in enumerate(lab)], "chip_idx int, ok_l double, ok_a double, ok_b double")
+    names = spark.createDataFrame([(1000 - i, *map(float, v)) for i, v in enumerate(free)], "name_idx int, ok_l double, ok_a double, ok_b double")
+    order, taken, want = np.argsort([1000 - i for i in range(90)]), set(), []
+    for i, v in enumerate(lab):
+        best = min((round(float(((free[j] - v) ** 2).sum()), 12), 1000 - j) for j in order if 1000 - j not in taken)
+        taken.add(best[1])
+        want.append((i, best[1]))
+    assert sorted(map(tuple, pal.assign_names(chips, names).collect())) == want
+
+
+def test_work_size(spark):
+    small = spark.createDataFrame([(1, x, y, 10 * x, y, 0) for x in range(6) for y in range(4)], "image_id int, x int, y int, r int, g int, b int")
+    assert sorted(map(tuple, grid.to_work_size(small, 1).collect())) == sorted(map(tuple, small.collect()))
+    wide = spark.range(600 * 2).select(F.lit(1).alias("image_id"), (F.col("id") % 600).cast("int").alias("x"), F.floor(F.col("id") / 600).cast("int").alias("y"), F.lit(7).alias("r"), F.lit(8).alias("g"), F.lit(9).alias("b"))
+    got = grid.to_work_size(wide, 0.0001).toPandas()
+    assert got.x.max() == 255 and set(got.r) == {7} and not got.duplicated(["x", "y"]).any()
+
+
+def test_images_over_the_cap_are_refused():
+    import pandas as pd
+
+    with pytest.raises(ValueError, match="pixels"):
+        regions._grid(pd.DataFrame({"x": [0, 5000], "y": [0, 5000], "c": [1, 1]}), "c")
+
+
 def test_names_and_families_of_all_parts(spark):
     from chromaloom.plans import catalogue
 

@@ -76,3 +76,19 @@ def test_scores(spark):
     rows = [("u", 1, i, r, "noun") for i, r in enumerate(["correct"] * 4 + ["almost"] + ["wrong"] * 5 + ["correct"])]
     got = learning.score_answers(spark.createDataFrame(rows, "user string, run_id int, seq int, result string, kind string")).orderBy("seq").collect()
     assert [r.gain for r in got] == [10, 10, 10, 15, 0, 0, 0, 0, 0, 0] and got[-1].mistakes == 5 and got[-1].best_streak == 4 and [r.level for r in got][7:9] == [1, 2]
+
+
+def test_accents_are_dropped_by_the_rule(spark):
+    import re
+    import unicodedata
+
+    from chromaloom.functions import text
+
+    words = ["őr", "Ǆ", "ǻ", "ễ", "й", "é", "straße", "Ångström", "ÿ", "한국", "ḱ", "ﬁ"]
+    df = spark.createDataFrame(list(enumerate(words)), "i int, w string")
+    got = {r.i: r.n for r in df.select("i", text.norm_loose(F.col("w")).alias("n")).collect()}
+    for i, w in enumerate(words):
+        plain = re.sub("[̀-ͯ]", "", unicodedata.normalize("NFD", w.lower().replace("ß", "ss")))
+        assert unicodedata.normalize("NFD", got[i]) == plain
+    graded = spark.createDataFrame([("őr", "or")], "a string, t string").select(text.grade(F.col("a"), F.col("t")).alias("g")).first().g
+    assert graded != "wrong"
