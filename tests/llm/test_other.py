@@ -37,6 +37,33 @@ def test_urls(spark, most):
     assert {r.verdict for r in url_filter.filter_urls(pages, rules.limit(0), default="block").collect()} == {"block"}
 
 
+@pytest.mark.parametrize("most", [url_filter.MOST_BYTES, 0])
+def test_urls_in_parts(spark, monkeypatch, most):
+    """Repeated rows, a host that many pages share, long hosts and urls, one rule under both verdicts, a rule without a host,
+    and rules of many depths and path lengths."""
+    monkeypatch.setattr(url_filter, "PART_RULES", 7)
+    monkeypatch.setattr(url_filter, "PART_KEYS", 50)
+    rng = np.random.default_rng(1)
+    rules = [(f"{'x.' * int(d)}host{k}.org/{'p' * int(n)}", "block" if k % 3 else "allow") for k, (d, n) in enumerate(zip(rng.integers(0, 3, 40), rng.integers(0, 30, 40), strict=True))]
+    rules += [("both.org/", "block"), ("both.org/", "allow"), ("/only", "block")]
+    urls = [f"http://{'x.' * int(d)}host{k}.org/{'p' * int(n)}" for k, d, n in zip(rng.integers(0, 45, 150), rng.integers(0, 4, 150), rng.integers(0, 40, 150), strict=True)]
+    urls += ["http://a.both.org/"] * 80 + ["http://" + "a." * 3000 + "host3.org/" + "p" * 20_000, "http:///only/x", "http:///other", None, ""]
+    pages = spark.createDataFrame([(i % 170, u, 1) for i, u in enumerate(urls)], "page_id int, url string, part int")
+    known = {}
+    for r, v in rules:
+        known[r] = min(v, known.get(r, v))
+
+    def brute(url):
+        rest = (url or "").split("://", 1)[1] if "://" in (url or "") else ""
+        host, path = (rest.split("/", 1)[0], "/" + rest.split("/", 1)[1]) if "/" in rest else (rest, "")
+        fits = [r for r in known for h, p in [(r.split("/", 1)[0], "/" + r.split("/", 1)[1])] if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        best = max(fits, key=len, default=None)
+        return best, known[best] if best is not None else "allow"
+
+    got = url_filter.filter_urls(pages, spark.createDataFrame(rules, "rule string, verdict string"), most_bytes=most).collect()
+    assert sorted((str(r.url), str(r.rule), r.verdict) for r in got) == sorted((str(u), *map(str, brute(u))) for u in urls)
+
+
 def test_cascade_is_exact(spark):
     keys = spark.range(20_000).select(*url_filter._hashes(F.col("id").cast("string")), "id")
     levels = url_filter.build_cascade(keys.filter("id % 40 = 3").select("h1", "h2"), 500, keys.select("h1", "h2"), 20_000)
@@ -63,6 +90,22 @@ def test_topk(spark, big):
     assert topk.top_k(df.limit(0), df.limit(0)).count() == 0
 
 
+def test_topk_of_repeated_queries_and_long_vectors(spark, monkeypatch):
+    monkeypatch.setattr(topk, "BLOCK_BYTES", 1 << 16)
+    rng = np.random.default_rng(6)
+    vectors = rng.integers(-9, 10, (60, 3000))
+    rows = [(i, v.tolist(), 1, "x") for i, v in enumerate(vectors)] + [(20, vectors[3].tolist(), 2, "y"), (20, vectors[20].tolist(), 3, "z"), (7, vectors[7].tolist(), 4, "w")]
+    df = spark.createDataFrame(rows, "vec_id long, vec array<long>, block int, score string")
+    got = topk.top_k(df, df.filter("vec_id % 20 = 0"), 4).collect()
+    for q in (0, 20, 40):
+        own = min(v for i, v, _, _ in rows if i == q)
+        want = sorted(((-int(np.dot(own, v)), i) for i, v, _, _ in rows if i != q))[:4]
+        assert [(-r.score, r.vec_id) for r in sorted((r for r in got if r.query_id == q), key=lambda r: r["rank"])] == want
+    big = spark.createDataFrame([(0, [2**40] * 9), (1, [2**40] * 9)], "vec_id long, vec array<long>")
+    with pytest.raises(Exception, match="64 bits"):
+        topk.top_k(big, big).collect()
+
+
 def test_quantised(spark):
     df = spark.createDataFrame([([0.5, -0.01],), ([float("nan")],), ([float("inf")],), ([None],), (None,), ([],)], "v array<float>")
     assert [r[0] for r in df.select(topk.quantised(F.col("v"))).collect()] == [[32, -1], None, None, None, None, []]
