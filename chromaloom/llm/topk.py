@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 
 from ._common import checkpoint
 
-#: Candidates and queries that meet in one task; and the part of them whose scores are dense at once.
-CANDIDATE_BLOCK, QUERY_BLOCK, SCORE_ROWS, SCORE_QUERIES = 8192, 65536, 1024, 256
+#: Candidates and queries that meet in one task, at most, and bytes of either as a matrix; and the part of them whose
+#: scores are dense at once.
+CANDIDATE_BLOCK, QUERY_BLOCK, BLOCK_BYTES, SCORE_ROWS, SCORE_QUERIES = 8192, 65536, 32 << 20, 1024, 256
 
 
 def quantised(vector: Column, scale: int = 64) -> Column:
@@ -75,6 +76,8 @@ def _search(k: int):
         ids, qids = candidates.column("id").to_numpy(), queries.column("id").to_numpy()
         c, q = _matrix(candidates, terms), _matrix(queries, terms)
         most = int(np.abs(c).max(initial=0)) * int(np.abs(q).max(initial=0)) * max(1, terms)
+        if most >= 2**63 - 1:
+            raise ValueError("scores may pass 64 bits")
         kind = np.int32 if most < 2**31 - 1 else np.int64
         c, q, lowest = c.astype(kind), q.astype(kind), np.iinfo(kind).min + 1
         best_id, best_score = [np.zeros((len(qids), 0), np.int64)], [np.zeros((len(qids), 0), np.int64)]
@@ -108,18 +111,22 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "ve
     """Each query's k highest integer inner products: (query_id, rank, vec_id, score), all exact.
 
     vectors, queries: (id, array of whole numbers). Every row but those with the query's own id is a
-    candidate; ties go to the smaller id; repeated candidate rows count each. Rows with a null id or vector
-    take no part; an empty vector scores zero, and a shorter one has zeros at its end. Scores must fit in 64
-    bits. Queries and candidates meet in blocks of fixed size, so memory does not grow with either table.
+    candidate; ties go to the smaller id; repeated candidate rows count each. A query id that is repeated is one
+    query, with the least of its vectors. Rows with a null id or vector take no part; an empty vector scores zero, and
+    a shorter one has zeros at its end. Weights whose products may pass 64 bits are an error. Other columns are not
+    read. Queries and candidates meet in blocks whose bytes are bounded, so memory does not grow with either table.
     """
+    wide = F.col(vec_col).cast("array<long>").alias("vec")
+    c = vectors.select(F.col(id_col).cast("long").alias("id"), wide).dropna()
+    q = queries.select(F.col(id_col).cast("long").alias("id"), wide).dropna().groupBy("id").agg(F.min("vec").alias("vec"))
 
-    def blocks(df: DataFrame, size: int) -> tuple[DataFrame, int]:
-        rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<long>").alias("vec")).dropna()
-        n = max(1, -(-rows.count() // size))
+    def blocks(rows: DataFrame, most: int) -> tuple[DataFrame, int]:
+        count, terms = rows.agg(F.count("*"), F.max(F.size("vec"))).first()
+        n = max(1, -(-count // max(SCORE_QUERIES, min(most, BLOCK_BYTES // (8 * max(1, terms or 1))))))
         return rows.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")), n
 
-    c, n_c = blocks(vectors, CANDIDATE_BLOCK)
-    q, n_q = blocks(queries, QUERY_BLOCK)
+    c, n_c = blocks(c, CANDIDATE_BLOCK)
+    q, n_q = blocks(q, QUERY_BLOCK)
     c = c.select("id", "vec", F.col("block").alias("c"), F.explode(F.sequence(F.lit(0), F.lit(n_q - 1))).alias("q"))
     q = q.select("id", "vec", F.explode(F.sequence(F.lit(0), F.lit(n_c - 1))).alias("c"), F.col("block").alias("q"))
     found = c.groupBy("c", "q").cogroup(q.groupBy("c", "q")).applyInArrow(_search(k), "query_id long, vec_id long, score long")
@@ -129,6 +136,6 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "ve
 
 
 def search_table(embeddings: DataFrame, k: int = 20, every: int = 20, scale: int = 64, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
-    """top_k of quantised vectors, the queries being every row whose id is divisible by ``every``."""
+    """top_k of quantised vectors, the queries being every row whose id is divisible by ``every``; no rows give none."""
     rows = checkpoint(embeddings.select(F.col(id_col).alias("vec_id"), quantised(F.col(vec_col), scale).alias("vec")).filter("vec is not null and vec_id is not null"))
     return top_k(rows, rows.filter(F.col("vec_id") % every == 0), k)
