@@ -27,6 +27,26 @@ def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return derived(spark, sf_dir, _RUNS, "orders")
 
 
+def _draw_sql(seed: str) -> str:
+    """The first number of the published 32-bit generator, in whole-number arithmetic."""
+    m = 4294967296
+    a = f"((({seed}) + 1831565813) % {m})"
+    t = f"((xor({a}, {a} >> 15)::HUGEINT * ({a} | 1) % {m})::BIGINT)"
+    u = f"xor((({t} + (xor({t}, {t} >> 7)::HUGEINT * ({t} | 61) % {m})::BIGINT) % {m}), {t})"
+    return f"(xor({u}, {u} >> 14) / {m}.0::DOUBLE)"
+
+
+_INC = 1831565813  # the generator's step: its k-th number is the first one of seed + (k - 1) * step
+
+
+def _shuffle_ctes(source: str, key: str, seed: str) -> str:
+    """CTEs whose last, ``shuffled`` (key, l), has the lists l of ``source`` (key, l, n) after Fisher-Yates from the end.
+    seed: SQL, by i and the rest of the row, of the step that moves place i."""
+    return f"""fy AS (SELECT {key}, l, n, len(l) - 1 AS i FROM {source}
+  UNION ALL SELECT {key}, list_transform(l, lambda x, k: CASE WHEN k = i + 1 THEN l[j + 1] WHEN k = j + 1 THEN l[i + 1] ELSE x END), n, i - 1 FROM (SELECT *, floor({_draw_sql(seed)} * (i + 1))::BIGINT AS j FROM fy WHERE i >= 1)),
+shuffled AS (SELECT {key}, l FROM fy WHERE i < 1)"""
+
+
 #: The Leitner fold as a recursive walk over each item's answers.
 SRS = f"""{ANSWERS}, numbered AS (SELECT *, row_number() OVER (PARTITION BY "user", item_id ORDER BY stamp, seq) AS n FROM answers),
 walk AS (SELECT "user", item_id, 0::BIGINT AS n, 1 AS box, 0 AS seen, 0 AS correct FROM numbered WHERE n = 1
@@ -53,7 +73,12 @@ def w7_replay_srs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return srs(spark, sf_dir)
 
 
-@query()
+#: Each learner's items with their boxes; every fourth item has no entry.
+_BOXED = """boxed AS (SELECT "user", item_id, CASE WHEN item_id % 4 <> 0 THEN box ELSE 1 END AS box FROM srs)"""
+
+
+@query(f"""WITH RECURSIVE {SRS}, {_BOXED}, lists AS (SELECT "user", list({{'item_id': item_id, 'box': box}} ORDER BY item_id) AS l, 0 AS n FROM boxed GROUP BY "user"), {_shuffle_ctes('lists', '"user"', f'11 + (len(l) - 1 - i) * {_INC}')},
+ranked AS (SELECT "user", unnest(l) AS x, unnest(range(len(l))) AS r FROM shuffled) SELECT "user", row_number() OVER (PARTITION BY "user" ORDER BY x.box, r)::INT AS place, x.item_id AS item_id FROM ranked""")
 def w8_mc_deck(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = srs(spark, sf_dir)
     return learning.mc_deck(own.select("user", "item_id"), own.filter("item_id % 4 <> 0"), 11)
@@ -138,7 +163,8 @@ def x2_grade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cards(spark, sf_dir).select("id", text.grade(F.col("answer"), F.col("target")).alias("result"))
 
 
-@query()
+@query(f"""WITH RECURSIVE w AS (SELECT p_partkey AS id, string_split(concat_ws(' ', p_name, p_type, p_brand), ' ') AS l, 0 AS n FROM part), {_shuffle_ctes('w', 'id', f'id + (len(l) - 1 - i) * {_INC}')}
+SELECT id, array_to_string(l, ' ') AS words FROM shuffled""")
 def x3_seeded_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of each part's name and type in the order of a seed."""
     words = F.split(F.concat_ws(" ", "p_name", "p_type", "p_brand"), " ")
@@ -158,15 +184,6 @@ def x5_build_choices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return learning.build_choices(own, 5).withColumn("options", F.array_join("options", "|"))
 
 
-def _draw_sql(seed: str) -> str:
-    """The first number of the published 32-bit generator, in whole-number arithmetic."""
-    m = 4294967296
-    a = f"((({seed}) + 1831565813) % {m})"
-    t = f"((xor({a}, {a} >> 15)::HUGEINT * ({a} | 1) % {m})::BIGINT)"
-    u = f"xor((({t} + (xor({t}, {t} >> 7)::HUGEINT * ({t} | 61) % {m})::BIGINT) % {m}), {t})"
-    return f"(xor({u}, {u} >> 14) / {m}.0::DOUBLE)"
-
-
 @query(f"""WITH {CARDS}, w AS (SELECT id, id % 7 AS level, CASE WHEN {_draw_sql('3 + id * 7919')} < 0.5 THEN 'es-de' ELSE 'de-es' END AS direction, {_draw_sql('3 + id * 40503 + 17')} AS d, target, p_name FROM cards),
 a AS (SELECT *, list_filter(list_transform(string_split(CASE direction WHEN 'es-de' THEN p_name ELSE target END, ';'), lambda x: trim(x)), lambda x: x <> '')[1] AS first FROM w),
 f AS (SELECT *, list_filter({_forms('first')}, lambda x: x <> '') AS forms FROM a)
@@ -177,7 +194,10 @@ def x6_pick_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return learning.pick_mode(own, 3).select("index", "level", "direction", "mode")
 
 
-@query()
+@query(f"""WITH RECURSIVE {SRS}, {_BOXED}, k AS (SELECT *, row_number() OVER (PARTITION BY "user" ORDER BY item_id) AS k FROM boxed),
+drawn AS (SELECT *, {_draw_sql(f'11 + (k - 1) * {_INC}')} < CASE WHEN box >= 5 THEN 0.5 WHEN box >= 4 THEN 0.8 ELSE 1 END AS chosen FROM k),
+lists AS (SELECT "user", CASE WHEN bool_or(chosen) THEN list(item_id ORDER BY item_id) FILTER (chosen) ELSE list(item_id ORDER BY item_id) END AS l, count(*) AS n FROM drawn GROUP BY "user"),
+{_shuffle_ctes('lists', '"user"', f'11 + (n + len(l) - 1 - i) * {_INC}')} SELECT "user", unnest(range(1, len(l) + 1))::INT AS place, unnest(l) AS item_id FROM shuffled""")
 def x7_session_deck(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = srs(spark, sf_dir)
     return learning.session_deck(own.select("user", "item_id"), own.filter("item_id % 4 <> 0"), 11)

@@ -9,7 +9,7 @@ from ..functions import color
 from ..operators import grid
 from ..operators import palette as pal
 from .color_queries import NAMED, de00_sql, lab_sql, munsell
-from .inputs import CELLS, CHIPS, PALETTE, grids, oklab_sql, palette, part_chips, pixels, table
+from .inputs import CELLS, CHIPS, PALETTE, PART_CHIPS, grids, oklab_sql, palette, part_chips, pixels, table
 from .registry import query
 
 
@@ -144,7 +144,13 @@ def s4_load_palette(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pal.load_palette(palette(spark, sf_dir).select("chip_idx", "notation"), grays, "color", 48)
 
 
-@query()
+@query(f"""WITH RECURSIVE {PART_CHIPS}, c AS (SELECT *, chip_idx // {CHIPS} AS palette_id, row_number() OVER (PARTITION BY chip_idx // {CHIPS} ORDER BY chip_idx) AS n FROM part_chips),
+polar AS (SELECT palette_id, chip_idx AS name_idx, greatest(0, least(1, ok_l + 0.05::DOUBLE)) AS l, sqrt(ok_a * ok_a + ok_b * ok_b) * 0.9::DOUBLE AS ch, atan2(ok_b, ok_a) + radians(40.0::DOUBLE) AS t FROM c),
+names AS (SELECT palette_id, name_idx, l, ch * cos(t) AS a, ch * sin(t) AS b FROM polar),
+walk AS (SELECT DISTINCT palette_id, 0::BIGINT AS n, []::INT[] AS taken, NULL::INT AS chip_idx, NULL::INT AS name_idx FROM c
+  UNION ALL SELECT w.palette_id, w.n + 1, list_append(w.taken, best.name_idx), c.chip_idx, best.name_idx FROM walk w JOIN c ON c.palette_id = w.palette_id AND c.n = w.n + 1,
+    LATERAL (SELECT m.name_idx FROM names m WHERE m.palette_id = w.palette_id AND NOT list_contains(w.taken, m.name_idx) ORDER BY round(pow(m.l - c.ok_l, 2) + pow(m.a - c.ok_a, 2) + pow(m.b - c.ok_b, 2), 12), m.name_idx LIMIT 1) best)
+SELECT palette_id::BIGINT AS palette_id, chip_idx, name_idx FROM walk WHERE n > 0""")
 def d9_assign_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A palette for every CHIPS parts: each chip takes a name from the list of its palette's colours, turned about."""
     chips = part_chips(spark, sf_dir).withColumn("palette_id", F.floor(F.col("chip_idx") / CHIPS).cast("int"))

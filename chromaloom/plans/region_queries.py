@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import color
 from ..operators import dither, grid, regions, shapes
-from .inputs import CELLS, PIXELS, grids, palette, pixels, table
+from .inputs import CELLS, PALETTE, PIXELS, grids, oklab_sql, palette, pixels, table
 from .palette_queries import SNAPPED, cells, snapped
 from .registry import query
 
@@ -45,7 +45,20 @@ def d4_dither_ky(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dither.map_cells(cells(spark, sf_dir), palette(spark, sf_dir), "knoll_yliluoma", 0.75)
 
 
-@query()
+def _spread(work: str, e: str) -> str:
+    """What is still to be done after cell k's error e has gone right, below left, below and below right."""
+    return f"list_transform({work}, lambda v, i: CASE WHEN i = k + 2 AND k % w < w - 1 THEN v + 7 * {e} WHEN i = k + w AND k % w > 0 THEN v + 3 * {e} WHEN i = k + w + 1 THEN v + 5 * {e} WHEN i = k + w + 2 AND k % w < w - 1 THEN v + 1 * {e} ELSE v END)"
+
+
+_OKC = oklab_sql("r", "g", "b")
+
+
+@query(f"""WITH RECURSIVE {CELLS}, {PALETTE}, t AS (SELECT image_id, cx, cy, cells_x, {_OKC[0]} AS l, {_OKC[1]} AS a, {_OKC[2]} AS bb FROM cells JOIN grids USING (image_id)),
+fs AS (SELECT image_id, any_value(cells_x)::BIGINT AS w, count(*) AS n, 0::BIGINT AS k, list(l ORDER BY cy, cx) AS wl, list(a ORDER BY cy, cx) AS wa, list(bb ORDER BY cy, cx) AS wb, NULL::INT AS chip FROM t GROUP BY image_id
+  UNION ALL SELECT image_id, w, n, k + 1, {_spread('wl', 'el')}, {_spread('wa', 'ea')}, {_spread('wb', 'eb')}, chip FROM (
+    SELECT f.image_id, f.w, f.n, f.k, f.wl, f.wa, f.wb, p.chip_idx AS chip, (f.wl[f.k + 1] - p.ok_l) / 16.0::DOUBLE AS el, (f.wa[f.k + 1] - p.ok_a) / 16.0::DOUBLE AS ea, (f.wb[f.k + 1] - p.ok_b) / 16.0::DOUBLE AS eb FROM fs f,
+      LATERAL (SELECT q.chip_idx, q.ok_l, q.ok_a, q.ok_b FROM palette q ORDER BY pow(q.ok_l - f.wl[f.k + 1], 2) + pow(q.ok_a - f.wa[f.k + 1], 2) + pow(q.ok_b - f.wb[f.k + 1], 2), q.chip_idx LIMIT 1) p WHERE f.k < f.n))
+SELECT image_id, ((k - 1) % w)::INT AS cx, ((k - 1) // w)::INT AS cy, chip AS chip_idx FROM fs WHERE k > 0""")
 def d5_dither_fs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dither.map_cells(cells(spark, sf_dir), palette(spark, sf_dir), "floyd_steinberg")
 
