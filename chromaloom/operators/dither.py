@@ -6,15 +6,13 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import color
 from . import palette as pal
 
 DITHER_MODES = ("none", "knoll_yliluoma", "floyd_steinberg", "texture")
-#: Pixels of an image that paint selection looks at, chosen by hash order.
-SELECT_PIXELS = 12_000
 MOST_SWAPS = 100
 #: Distances that a k-medoids search has in memory at once (64 MB).
 TABLE_CELLS = 1 << 23
@@ -230,15 +228,12 @@ def map_cells(cells: DataFrame, palette: DataFrame, mode: str = "none", strength
     return texture(out, strength, lut) if mode == "texture" else out
 
 
-def select_paints(pixels: DataFrame, palette: DataFrame, k: int, restriction: str = "top_n", most: int = SELECT_PIXELS) -> DataFrame:
-    """(image_id, chip_idx): at most k paints of each image (two at least are allowed), from up to ``most`` of its
-    pixels in the order of a hash of their place: the sample is the same on every run."""
+def select_paints(pixels: DataFrame, palette: DataFrame, k: int, restriction: str = "top_n") -> DataFrame:
+    """(image_id, chip_idx): at most k paints of each image (two at least are allowed), from all of its pixels: each
+    distinct colour is snapped once and chips are counted before they are shuffled."""
     if restriction not in ("top_n", "pam"):
         raise ValueError(f"unknown restriction: {restriction}")
-    order = Window.partitionBy("image_id", "__s").orderBy("__h", "x", "y")
-    tagged = pixels.withColumn("__h", F.xxhash64("x", "y")).withColumn("__s", F.pmod("__h", F.lit(64)))
-    sample = tagged.withColumn("__n", F.row_number().over(order)).filter(F.col("__n") <= -(-most // 64)).drop("__h", "__s", "__n")
-    snapped = pal.snap_oklab(sample, palette)
+    snapped = pal.snap_oklab(pixels, palette)
     if restriction == "top_n":
         return pal.top_n_chips(pal.chip_histogram(snapped), max(2, k)).select("image_id", "chip_idx")
     chips = palette.select("chip_idx", *(F.col(c).alias(f"p{c}") for c in "rgb"))

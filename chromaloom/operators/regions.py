@@ -209,6 +209,12 @@ def merge_facets(pixels: DataFrame, palette: DataFrame, least_area: float, radiu
     the radius are gone where they had a larger neighbour, and neighbours differ in paint.
 
     One full image is one group; the palette is of checked size."""
+    kind = pixels.schema["image_id"].dataType.simpleString()
+    return pixels.select("image_id", "x", "y", "chip_idx").groupBy("image_id").applyInPandas(_merging(palette, least_area, radius), f"image_id {kind}, x int, y int, chip_idx int, facet_id long")
+
+
+def _merging(palette: DataFrame, least_area: float, radius: float):
+    """One image's pixels (x, y, chip_idx) -> with chip_idx after merges, and facet_id."""
     from .dither import _palette_arrays
 
     idx, lab = _palette_arrays(palette)
@@ -218,8 +224,7 @@ def merge_facets(pixels: DataFrame, palette: DataFrame, least_area: float, radiu
         paint = merged(np.searchsorted(idx, np.maximum(grid, idx[0])), lab, least_area, radius)
         return frame.assign(chip_idx=_at(frame, idx[paint]), facet_id=_at(frame, labelled(np.where(grid < 0, -1, paint))))
 
-    kind = pixels.schema["image_id"].dataType.simpleString()
-    return pixels.select("image_id", "x", "y", "chip_idx").groupBy("image_id").applyInPandas(run, f"image_id {kind}, x int, y int, chip_idx int, facet_id long")
+    return run
 
 
 def edge_distance(labels: np.ndarray) -> np.ndarray:
@@ -248,18 +253,28 @@ def edge_distance(labels: np.ndarray) -> np.ndarray:
     return np.sqrt(best)
 
 
+_REGION = "image_id {kind}, facet_id long, chip_idx int, area long, min_x int, max_x int, min_y int, max_y int, pole_x int, pole_y int, radius double"
+
+
+def _region_rows(frame: pd.DataFrame) -> pd.DataFrame:
+    """One image's pixels (image_id, x, y, chip_idx, facet_id) -> a row for each facet."""
+    far = frame.assign(d=_at(frame, edge_distance(_grid(frame, "facet_id")))).sort_values(["d", "y", "x"], ascending=[False, True, True])
+    by = far.groupby(["image_id", "facet_id", "chip_idx"], sort=False, as_index=False)
+    return by.agg(area=("x", "size"), min_x=("x", "min"), max_x=("x", "max"), min_y=("y", "min"), max_y=("y", "max"), pole_x=("x", "first"), pole_y=("y", "first"), radius=("d", "first"))
+
+
 def regions(pixels: DataFrame) -> DataFrame:
     """(image_id, facet_id, chip_idx, area, min_x, max_x, min_y, max_y, pole_x, pole_y, radius): a row for each facet;
-    its pole is the pixel farthest from its boundary (the first in row order)."""
+    its pole is the pixel farthest from its boundary (the first in row order). One full image is one group."""
+    kind = pixels.schema["image_id"].dataType.simpleString()
+    return pixels.select("image_id", "x", "y", "chip_idx", "facet_id").groupBy("image_id").applyInPandas(_region_rows, _REGION.format(kind=kind))
 
-    def far(frame: pd.DataFrame) -> pd.DataFrame:
-        return frame.assign(d=_at(frame, edge_distance(_grid(frame, "facet_id"))))
 
+def merged_regions(pixels: DataFrame, palette: DataFrame, least_area: float, radius: float = 0.0) -> DataFrame:
+    """regions of merge_facets, in one pass over each image."""
     kind = pixels.schema["image_id"].dataType.simpleString()
-    own = pixels.select("image_id", "x", "y", "chip_idx", "facet_id").groupBy("image_id").applyInPandas(far, f"image_id {kind}, x int, y int, chip_idx int, facet_id long, d double")
-    pole = F.max(F.struct("d", (-F.col("y")).alias("y"), (-F.col("x")).alias("x")))
-    rows = own.groupBy("image_id", "facet_id", "chip_idx").agg(F.count("*").alias("area"), F.min("x").alias("min_x"), F.max("x").alias("max_x"), F.min("y").alias("min_y"), F.max("y").alias("max_y"), pole.alias("p"))
-    return rows.select("image_id", "facet_id", "chip_idx", "area", "min_x", "max_x", "min_y", "max_y", (-F.col("p.x")).alias("pole_x"), (-F.col("p.y")).alias("pole_y"), F.col("p.d").alias("radius"))
+    merge = _merging(palette, least_area, radius)
+    return pixels.select("image_id", "x", "y", "chip_idx").groupBy("image_id").applyInPandas(lambda frame: _region_rows(merge(frame)), _REGION.format(kind=kind))
 
 
 def label_font(min_radius: Column, radius: Column, digits: Column) -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import color
 from ..operators import dither, grid, regions, shapes
+from ..operators.iterate import checkpoint
 from .inputs import CELLS, PALETTE, PIXELS, grids, oklab_sql, palette, pixels, table
 from .palette_queries import SNAPPED, cells, snapped
 from .registry import query
@@ -86,7 +87,9 @@ def d6_texture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dither.texture(own, 0.9)
 
 
-@query()
+@query(f"""WITH {PIXELS}, {PALETTE}, colors AS (SELECT r, g, b, {_OKC[0]} AS l, {_OKC[1]} AS a, {_OKC[2]} AS bb FROM (SELECT DISTINCT r, g, b FROM pixels)),
+near AS (SELECT c.r, c.g, c.b, chip_idx FROM colors c, palette QUALIFY row_number() OVER (PARTITION BY c.r, c.g, c.b ORDER BY round(pow(l - ok_l, 2) + pow(a - ok_a, 2) + pow(bb - ok_b, 2), 12), chip_idx) = 1)
+SELECT image_id, chip_idx FROM pixels JOIN near USING (r, g, b) GROUP BY image_id, chip_idx QUALIFY row_number() OVER (PARTITION BY image_id ORDER BY count(*) DESC, chip_idx) <= 6""")
 def d7_select_paints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dither.select_paints(pixels(spark, sf_dir), palette(spark, sf_dir), 6)
 
@@ -234,11 +237,13 @@ def o4_to_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def trace_linerate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The region trace end to end: flatten, select paints, snap, merge facets, region table."""
-    flat = regions.flatten_l0(pixels(spark, sf_dir), 0.25)
+    """The region trace end to end: working size, flatten, select paints, snap, merge facets, region table with each
+    region's number and its font size."""
+    flat = checkpoint(regions.flatten_l0(grid.to_work_size(pixels(spark, sf_dir), 1), 0.25))
     chips = palette(spark, sf_dir)
     paints = dither.select_paints(flat, chips, 6)
     snapped_px = dither.snap_kept(flat, paints, chips).select("image_id", "x", "y", "chip_idx")
-    return regions.regions(regions.merge_facets(snapped_px, chips, 12, 1.0))
+    found = grid.number_labels(regions.merged_regions(snapped_px, chips, 12, 1.0))
+    return found.withColumn("font", regions.label_font(F.lit(1.0), F.col("radius"), F.length(F.col("label").cast("string"))))
 
 
