@@ -30,6 +30,47 @@ def threshold(x: Column, y: Column) -> Column:
     return out
 
 
+def blue_noise(size: int = 256, sigma: float = 1.9, share: float = 0.1, seed: int = 1729) -> np.ndarray:
+    """(size, size) thresholds 0..255 without low frequencies, by void and cluster (Ulichney 1993): a table to make once
+    and give to dither_ky and texture as rows (x, y, v). Every value stands in as many places as any other, within one."""
+    reach = int(np.ceil(4 * sigma))
+    near = np.arange(-reach, reach + 1)
+    bump = np.exp(-(near[:, None] ** 2 + near[None] ** 2) / (2 * sigma**2))
+    n, rng = size * size, np.random.default_rng(seed)
+    crowd, on = np.zeros((size, size)), np.zeros(n, bool)
+
+    def put(k: int, sign: int) -> None:
+        np.add.at(crowd, np.ix_((k // size + near) % size, (k % size + near) % size), sign * bump)
+        on[k] = sign > 0
+
+    def cluster() -> int:
+        return int(np.where(on, crowd.ravel(), -np.inf).argmax())
+
+    def void() -> int:
+        return int(np.where(on, np.inf, crowd.ravel()).argmin())
+
+    for k in rng.choice(n, max(1, int(n * share)), replace=False):
+        put(int(k), 1)
+    for _ in range(n):  # even the first points out, until the one that is lifted falls back into its own place
+        k = cluster()
+        put(k, -1)
+        to = void()
+        put(to, 1)
+        if to == k:
+            break
+    rank, start, had = np.empty(n, np.int64), crowd.copy(), on.copy()
+    for i in range(int(on.sum()) - 1, -1, -1):
+        k = cluster()
+        rank[k] = i
+        put(k, -1)
+    crowd[:], on[:] = start, had
+    for i in range(int(on.sum()), n):
+        k = void()
+        rank[k] = i
+        put(k, 1)
+    return (rank * 256 // n).reshape(size, size)
+
+
 def _with_threshold(cells: DataFrame, lut: DataFrame | None) -> DataFrame:
     """cells plus __t. A table of thresholds has 65,536 rows and is broadcast."""
     if lut is None:

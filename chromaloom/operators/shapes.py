@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -55,3 +55,29 @@ def to_documents(shapes: DataFrame, dims: DataFrame) -> DataFrame:
     body = shapes.groupBy("image_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("layer", "seq", "shape"))), lambda s: s["shape"]), "").alias("body"))
     head = F.format_string('<svg xmlns="http://www.w3.org/2000/svg" viewBox="0 0 %d %d">', F.col("cells_x"), F.col("cells_y"))
     return body.join(dims, "image_id").select("image_id", F.concat(head, "body", F.lit("</svg>")).alias("svg"))
+
+
+def _elements(documents: DataFrame, element: str) -> DataFrame:
+    """(image_id, seq, shape): each element of that name in an image's drawing, in order. documents: (image_id, svg)."""
+    found = F.regexp_extract_all("svg", F.lit(rf"<{element}\b[^>]*>"), F.lit(0))
+    return documents.select("image_id", F.posexplode(found).alias("seq", "shape"))
+
+
+def _attribute(name: str) -> Column:
+    return F.regexp_extract("shape", rf"\s{name}=\"([^\"]*)\"", 1)
+
+
+def read_pixelate(documents: DataFrame) -> DataFrame:
+    """Drawings of squares -> (image_id, cx, cy, hex): the cells that pixelate_shapes drew. Null texts and drawings without
+    coloured squares have none."""
+    own = _elements(documents, "rect").filter(_attribute("fill").rlike("^#[0-9a-fA-F]{6}$"))
+    return own.select("image_id", *(_attribute(a).try_cast("int").alias(c) for a, c in (("x", "cx"), ("y", "cy"))), F.lower(_attribute("fill")).alias("hex"))
+
+
+def read_circulate(documents: DataFrame) -> DataFrame:
+    """Drawings of ellipses -> (image_id, cx, cy, ring, hex, rx, ry): ring 1 is a cell's first ellipse, ring 2 the one
+    inside it. Outlines without a colour are left out."""
+    own = _elements(documents, "ellipse").filter(_attribute("fill").rlike("^#[0-9a-fA-F]{6}$"))
+    own = own.select("image_id", "seq", *(F.floor(_attribute(c).try_cast("double")).cast("int").alias(c) for c in ("cx", "cy")), F.lower(_attribute("fill")).alias("hex"), *(_attribute(c).try_cast("double").alias(c) for c in ("rx", "ry")))
+    ring = F.row_number().over(Window.partitionBy("image_id", "cx", "cy").orderBy("seq"))
+    return own.withColumn("ring", ring).select("image_id", "cx", "cy", "ring", "hex", "rx", "ry")

@@ -104,6 +104,11 @@ def r1_flatten_l0(spark: SparkSession, sf_dir: str) -> DataFrame:
     return regions.flatten_l0(pixels(spark, sf_dir), 0.25)
 
 
+@query()
+def r1_flatten_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return regions.flatten_edges(pixels(spark, sf_dir))
+
+
 #: Facets by reachability; a facet's number is its first pixel's, y * width + x, with the image's own width.
 FACETS = f"""{PAINTED}, sizes AS (SELECT image_id, max(x) + 1 AS w FROM painted GROUP BY image_id), nodes AS (SELECT p.*, y * w + x AS n FROM painted p JOIN sizes USING (image_id)),
 links AS (SELECT a.image_id, a.n AS a, b.n AS b FROM nodes a JOIN nodes b ON b.image_id = a.image_id AND b.chip_idx = a.chip_idx AND (abs(a.x - b.x) + abs(a.y - b.y)) = 1 AND b.x BETWEEN a.x - 1 AND a.x + 1 AND b.y BETWEEN a.y - 1 AND a.y + 1),
@@ -235,6 +240,20 @@ def o4_to_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("image_id", F.md5("svg").alias("svg_md5"))
 
 
+@query(f"WITH {CELLS} SELECT image_id, cx, cy, {_HEX} AS hex FROM cells")
+def o5_read_pixelate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Drawings made and read back."""
+    own, dims = _hexed(spark, sf_dir)
+    return shapes.read_pixelate(shapes.to_documents(shapes.pixelate_shapes(own.select("image_id", "cx", "cy", "hex"), dims), dims))
+
+
+@query(f"""WITH {CELLS} SELECT image_id, cx, cy, 1 AS ring, {_HEX} AS hex, 0.425::DOUBLE AS rx, 0.4::DOUBLE AS ry FROM cells
+UNION ALL SELECT image_id, cx, cy, 2, printf('#%02x%02x%02x', r // 2, g // 2, b // 2), 0.25::DOUBLE, 0.2::DOUBLE FROM cells""")
+def o6_read_circulate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own, dims = _hexed(spark, sf_dir)
+    return shapes.read_circulate(shapes.to_documents(shapes.circulate_shapes(own, dims, (0.85, 0.8), (0.5, 0.4), 0.05), dims))
+
+
 @query()
 def trace_linerate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The region trace end to end: working size, flatten, select paints, snap, merge facets, region table with each

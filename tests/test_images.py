@@ -129,6 +129,34 @@ def test_medoids_in_blocks(monkeypatch):
                 assert (w * d[:, [*np.delete(got, i), c]].min(1)).sum() >= cost - 1e-9
 
 
+def test_blue_noise():
+    tile = dither.blue_noise(32)
+    assert sorted(np.unique(tile, return_counts=True)[1]) == [4] * 256
+    power = np.abs(np.fft.fft2(tile - tile.mean())) ** 2
+    f = np.hypot(*np.meshgrid(np.fft.fftfreq(32), np.fft.fftfreq(32)))
+    assert power[(f > 0) & (f < 0.1)].mean() < 0.1 * power[f > 0.3].mean()
+
+
+@pytest.mark.parametrize("mode", ["recurs", "normconv"])
+def test_edge_preserving_flatten(spark, mode):
+    rng = np.random.default_rng(0)
+    image = np.zeros((20, 30, 3))
+    image[:, 15:] = 0.8
+    noisy = np.clip(image + rng.normal(0, 0.02, image.shape), 0, 1)
+    out = regions.domain_filtered(noisy, 20, 0.4, mode)
+    assert np.abs(out - image)[:, 2:-2].mean() < 0.5 * np.abs(noisy - image)[:, 2:-2].mean() and (out[:, 15] - out[:, 14]).min() > 0.5
+    assert np.allclose(regions.domain_filtered(np.full((5, 7, 3), 0.3), 20, 0.4, mode), 0.3)
+    pix = spark.createDataFrame([(1, x, y, 9, 9, 9) for x in range(4) for y in range(3)], "image_id int, x int, y int, r int, g int, b int")
+    assert sorted(map(tuple, regions.flatten_edges(pix, mode=mode).collect())) == sorted(map(tuple, pix.collect()))
+    with pytest.raises(ValueError, match="unknown filter"):
+        regions.flatten_edges(pix, mode="other")
+
+
+def test_drawings_without_cells_are_read_as_none(spark):
+    docs = spark.createDataFrame([(1, None), (2, "<svg></svg>"), (3, '<svg><rect x="0" y="0" fill="none"/><ellipse cx="0.5" cy="0.5" fill="none"/></svg>')], "image_id int, svg string")
+    assert shapes.read_pixelate(docs).count() == 0 and shapes.read_circulate(docs).count() == 0
+
+
 def test_texture_keeps_chips_and_zero_is_no_op(spark):
     rng = np.random.default_rng(2)
     rows = [(1, x, y, int(rng.integers(0, 20) > 17) + 3) for x in range(12) for y in range(9)]
