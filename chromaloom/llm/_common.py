@@ -42,10 +42,17 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def one_row_each(df: DataFrame, *keys: str) -> DataFrame:
-    """One row of those that agree in the keys (nulls agree); each task keeps one before any shuffle."""
-    place = F.row_number().over(Window.partitionBy(*keys).orderBy(keys[0]))
-    return df.withColumn("__place", place).filter("__place = 1").drop("__place")
+def row_key(ident: Column, digest: Column) -> Column:
+    """One binary key for an id, null or not, and a hexadecimal digest."""
+    return F.unhex(F.sha2(F.concat(digest, F.coalesce(F.concat(F.lit("="), ident.cast("string")), F.lit(""))), 256))
+
+
+def rows_that_stay(docs: DataFrame, key: Column, stay: DataFrame) -> DataFrame:
+    """Of docs' rows with a key in stay (__stay), one for each key. Each task keeps one of a key before the shuffle, and
+    the join goes by the same key as the ranking, so docs are shuffled once."""
+    place = F.row_number().over(Window.partitionBy("__key").orderBy("__key"))
+    rows = docs.withColumn("__key", key).withColumn("__place", place).filter("__place = 1").drop("__place")
+    return rows.join(stay.withColumnRenamed("__stay", "__key"), "__key", "left_semi").drop("__key")
 
 
 def lower_ascii(c: Column) -> Column:

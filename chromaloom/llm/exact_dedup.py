@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import checkpoint, lower_ascii, one_row_each
+from ._common import checkpoint, lower_ascii, row_key, rows_that_stay
 
 #: Distinct digests of a shard, about; the least number of shards keeps many tasks busy on small inputs.
 SHARD_ROWS, LEAST_SHARDS = 50_000, 256
@@ -138,6 +138,6 @@ def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     texts are as in exact_dedup; all columns are kept.
     """
     found = exact_dedup(docs, None, id_col, text_col)
-    stay = found.filter(F.col("kept") | F.col("keep_id").isNull()).select(F.col(id_col).alias("__stay"), F.col("text_sha256").alias("__sha")).distinct()
-    rows = one_row_each(docs.withColumn("__digest", F.sha2(lower_ascii(F.coalesce(F.col(text_col), F.lit(""))).cast("binary"), 256)), id_col, "__digest")
-    return rows.join(stay, F.col(id_col).eqNullSafe(F.col("__stay")) & (F.col("__digest") == F.col("__sha")), "left_semi").drop("__digest")
+    stay = found.filter(F.col("kept") | F.col("keep_id").isNull()).select(row_key(F.col(id_col), F.col("text_sha256")).alias("__stay")).distinct()
+    digest = F.sha2(lower_ascii(F.coalesce(F.col(text_col), F.lit(""))).cast("binary"), 256)
+    return rows_that_stay(docs, row_key(F.col(id_col), digest), stay)

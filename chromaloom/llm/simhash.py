@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import checkpoint, one_row_each, text_bytes
+from ._common import checkpoint, row_key, rows_that_stay, text_bytes
 from ._graph import component_roots
 
 SEED = 42
@@ -117,7 +117,11 @@ def _bucket_links(radius: int):
     """Sorted (k, fp) rows -> links; a bucket may span Arrow batches."""
 
     def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tail_k, tail_f = np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        tail: list[tuple[np.ndarray, np.ndarray]] = []  # parts of the open bucket, put together once
+
+        def whole(more: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+            parts = [*tail, *more]
+            return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
 
         def close(k: np.ndarray, f: np.ndarray) -> pa.RecordBatch | None:
             if len(k) < 2:
@@ -137,16 +141,16 @@ def _bucket_links(radius: int):
             return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"]) if len(a) else None
 
         for batch in batches:
-            k = np.concatenate([tail_k, batch.column(0).to_numpy()])
-            f = np.concatenate([tail_f, batch.column(1).to_numpy().view(np.uint64)])
+            k, f = batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64)
             if not len(k):
                 continue
-            cut = len(k) if k[0] != k[-1] else 0
-            cut = int(np.searchsorted(k, k[-1])) if cut else 0
-            if (done := close(k[:cut], f[:cut])) is not None:
-                yield done
-            tail_k, tail_f = k[cut:], f[cut:]
-        if (done := close(tail_k, tail_f)) is not None:
+            cut = int(np.searchsorted(k, k[-1]))  # the last bucket of a batch may go on in the next
+            if cut or (tail and tail[0][0][0] != k[0]):
+                if (done := close(*whole([(k[:cut], f[:cut])]))) is not None:
+                    yield done
+                tail = []
+            tail.append((k[cut:], f[cut:]))
+        if tail and (done := close(*whole([]))) is not None:
             yield done
 
     return links
@@ -198,6 +202,5 @@ def drop_near_copies(docs: DataFrame, radius: int = 4, shingle: int = 4, id_col:
     members = _members(nodes, radius)
     grouped = members.groupBy("root").agg(F.min("best").alias("best")).select("best")
     alone = nodes.join(members.select("fp"), "fp", "left_anti").select("best")
-    stay = checkpoint(grouped.union(alone).select(F.col("best.id").alias("__stay"), F.col("best.digest").alias("__sha")))
-    rows = one_row_each(docs.withColumn("__digest", text_digest(F.col(text_col))), id_col, "__digest")
-    return rows.join(stay, F.col(id_col).eqNullSafe(F.col("__stay")) & (F.col("__digest") == F.col("__sha")), "left_semi").drop("__digest")
+    stay = checkpoint(grouped.union(alone).select(row_key(F.col("best.id"), F.lower(F.hex("best.digest"))).alias("__stay")))
+    return rows_that_stay(docs, row_key(F.col(id_col), F.lower(F.hex(text_digest(F.col(text_col))))), stay)
