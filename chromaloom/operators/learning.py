@@ -172,7 +172,7 @@ def drawn_places(n: pd.Series, k: pd.Series, seed: pd.Series) -> pd.Series:
 
 def _numbered(texts: DataFrame) -> DataFrame:
     """Distinct (list, answer) -> (list, answer, pos): places from 0 in each list, counted in buckets of a hash."""
-    texts = texts.withColumn("bucket", F.pmod(F.xxhash64("answer"), F.lit(1024)))
+    texts = texts.withColumn("bucket", F.conv(F.substring(F.md5("answer"), 1, 3), 16, 10).cast("int"))
     sizes = texts.groupBy("list", "bucket").agg(F.count("*").alias("n"))
     before = F.sum("n").over(Window.partitionBy("list").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
     sizes = sizes.select("list", "bucket", F.coalesce(before, F.lit(0)).alias("before"))
@@ -194,7 +194,8 @@ def build_choices(items: DataFrame, seed: int) -> DataFrame:
     sizes = texts.groupBy("list").agg(F.count("*").alias("n"))
     whole = sizes.filter(F.col("list") == every).agg(F.coalesce(F.max("n"), F.lit(0)).alias("n_all"))
     df = rows.join(sizes, "list", "left").crossJoin(F.broadcast(whole)).withColumn("n", F.coalesce("n", F.lit(0)))
-    df = df.withColumn("own", F.xxhash64(F.lit(seed), "id", "list", "answer"))
+    named = F.concat_ws("|", F.lit(str(seed)), F.col("id").cast("string"), "list", "answer")
+    df = df.withColumn("own", F.conv(F.substring(F.md5(named), 1, 8), 16, 10).cast("long"))
     # one place more than needed, as the item's own text may be drawn; of the whole list also for its type's others
     near = drawn_places(F.col("n"), F.lit(OPTIONS), F.col("own"))
     far = drawn_places(F.col("n_all"), F.when(F.col("n") < OPTIONS, 2 * OPTIONS).otherwise(0), F.col("own") + 1)

@@ -178,7 +178,21 @@ def x4_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cards(spark, sf_dir).select("id", text.correct_display(F.col("target")).alias("shown"), text.is_single_word(F.col("target")).alias("single"))
 
 
-@query()
+#: Every item draws places in the list of its type, and in the whole list where its type has too few; a draw that moves
+#: nothing but what it takes, so that no list is copied.
+_CHOICES = f"""{CARDS}, items AS (SELECT id, '=' || kind AS list, p_name AS answer FROM cards),
+texts AS (SELECT list, answer, row_number() OVER (PARTITION BY list ORDER BY ('0x' || substr(md5(answer), 1, 3))::BIGINT, answer) - 1 AS pos FROM (SELECT list, answer FROM items UNION SELECT '*', answer FROM items)),
+sizes AS (SELECT list, count(*) AS n FROM texts GROUP BY list),
+own AS (SELECT i.*, s.n, w.n AS n_all, ('0x' || substr(md5('5|' || id || '|' || i.list || '|' || answer), 1, 8))::BIGINT AS own FROM items i JOIN sizes s ON s.list = i.list JOIN sizes w ON w.list = '*'),
+asked AS (SELECT id, list AS place, n, least(n, 5) AS k, own AS seed, 0 AS base FROM own UNION ALL SELECT id, '*', n_all, CASE WHEN n < 5 THEN least(n_all, 10) ELSE 0 END, own + 1, 5 FROM own),
+draws AS (SELECT id, place, n, k, seed, base, 0::BIGINT AS i, map([]::BIGINT[], []::BIGINT[]) AS moved, []::BIGINT[] AS taken FROM asked
+  UNION ALL SELECT id, place, n, k, seed, base, i + 1, map_concat(moved, map([j], [coalesce(moved[i], i)])), list_append(taken, coalesce(moved[j], j)) FROM (SELECT *, i + floor({_draw_sql(f'seed + i * {_INC}')} * (n - i))::BIGINT AS j FROM draws WHERE i < k)),
+picked AS (SELECT id, place, base, unnest(taken) AS pos, unnest(range(len(taken))) AS no FROM draws WHERE i = k),
+others AS (SELECT p.id, t.answer, min(base + no) AS no FROM picked p JOIN texts t ON t.list = p.place AND t.pos = p.pos JOIN own o ON o.id = p.id WHERE t.answer <> o.answer GROUP BY p.id, t.answer QUALIFY row_number() OVER (PARTITION BY p.id ORDER BY min(base + no)) <= 4),
+lists AS (SELECT o.id, list_concat([any_value(o.answer)], coalesce(list(x.answer ORDER BY x.no) FILTER (x.answer IS NOT NULL), [])) AS l, any_value(own) AS n FROM own o LEFT JOIN others x ON x.id = o.id GROUP BY o.id)"""
+
+
+@query(f"WITH RECURSIVE {_CHOICES}, {_shuffle_ctes('lists', 'id', f'n + 2 + (len(l) - 1 - i) * {_INC}')} SELECT id, array_to_string(l, '|') AS options FROM shuffled")
 def x5_build_choices(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = cards(spark, sf_dir).select("id", "kind", F.col("p_name").alias("answer"))
     return learning.build_choices(own, 5).withColumn("options", F.array_join("options", "|"))
