@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import color
 from ..operators import dither, grid, regions, shapes
 from ..operators.iterate import checkpoint
-from .inputs import CELLS, PALETTE, PIXELS, grids, oklab_sql, palette, pixels, table
+from .inputs import CELLS, CHIPS, PALETTE, PIXELS, grids, oklab_sql, palette, pixels, table
 from .palette_queries import SNAPPED, cells, snapped
 from .registry import query
 
@@ -18,7 +18,24 @@ from .registry import query
 _BAYER = " + ".join(f"((((xor(x, y)) >> {k}) & 1) << {7 - 2 * k}) + (((y >> {k}) & 1) << {6 - 2 * k})" for k in range(4))
 
 
-@query()
+_OKC = oklab_sql("r", "g", "b")
+
+
+def _pam_sql(k: int) -> str:
+    """k-medoids as a walk: the best candidate joins while there are fewer than k, then the best exchange is made while it
+    lowers the cost. A step's row has the medoids so far and their cost."""
+    left = "list_transform(CASE WHEN len(f.chosen) < {k} THEN f.chosen ELSE list_filter(f.chosen, lambda x, i: i <> slot) END, lambda m: p.dl[m + 1])".format(k=k)
+    return f"""WITH RECURSIVE {CELLS}, {PALETTE}, h AS (SELECT image_id, r, g, b, count(*) AS w, {_OKC[0]} AS l, {_OKC[1]} AS a, {_OKC[2]} AS bb FROM cells GROUP BY image_id, r, g, b),
+pts AS (SELECT h.image_id, h.w, list(pow(h.l - p.ok_l, 2) + pow(h.a - p.ok_a, 2) + pow(h.bb - p.ok_b, 2) ORDER BY p.chip_idx) AS dl FROM h, palette p GROUP BY h.image_id, h.r, h.g, h.b, h.w),
+pam AS (SELECT DISTINCT image_id, 0 AS step, []::BIGINT[] AS chosen, 'Infinity'::DOUBLE AS cost FROM pts
+  UNION ALL SELECT image_id, step + 1, CASE WHEN len(chosen) < {k} THEN list_append(chosen, c) ELSE list_transform(chosen, lambda x, i: CASE WHEN i = slot THEN c ELSE x END) END, new FROM (
+    SELECT f.image_id, f.step, f.chosen, f.cost, slot, c, sum(p.w * least(coalesce(list_min({left}), 'Infinity'::DOUBLE), p.dl[c + 1])) AS new
+    FROM pam f JOIN pts p ON p.image_id = f.image_id, range(1, {k} + 1) s(slot), range({CHIPS}) t(c) WHERE (len(f.chosen) = {k} OR slot = 1) AND NOT list_contains(f.chosen, c) GROUP BY f.image_id, f.step, f.chosen, f.cost, slot, c
+    QUALIFY row_number() OVER (PARTITION BY f.image_id ORDER BY new, slot, c) = 1) WHERE len(chosen) < {k} OR new < cost - 1e-12)
+SELECT image_id, unnest(chosen)::INT AS chip_idx FROM pam QUALIFY step = max(step) OVER (PARTITION BY image_id)"""
+
+
+@query(_pam_sql(6))
 def d2_restrict_pam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dither.restrict_pam(cells(spark, sf_dir), palette(spark, sf_dir), 6)
 
@@ -51,9 +68,6 @@ def _spread(work: str, e: str) -> str:
     return f"list_transform({work}, lambda v, i: CASE WHEN i = k + 2 AND k % w < w - 1 THEN v + 7 * {e} WHEN i = k + w AND k % w > 0 THEN v + 3 * {e} WHEN i = k + w + 1 THEN v + 5 * {e} WHEN i = k + w + 2 AND k % w < w - 1 THEN v + 1 * {e} ELSE v END)"
 
 
-_OKC = oklab_sql("r", "g", "b")
-
-
 @query(f"""WITH RECURSIVE {CELLS}, {PALETTE}, t AS (SELECT image_id, cx, cy, cells_x, {_OKC[0]} AS l, {_OKC[1]} AS a, {_OKC[2]} AS bb FROM cells JOIN grids USING (image_id)),
 fs AS (SELECT image_id, any_value(cells_x)::BIGINT AS w, count(*) AS n, 0::BIGINT AS k, list(l ORDER BY cy, cx) AS wl, list(a ORDER BY cy, cx) AS wa, list(bb ORDER BY cy, cx) AS wb, NULL::INT AS chip FROM t GROUP BY image_id
   UNION ALL SELECT image_id, w, n, k + 1, {_spread('wl', 'el')}, {_spread('wa', 'ea')}, {_spread('wb', 'eb')}, chip FROM (
