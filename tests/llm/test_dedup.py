@@ -71,11 +71,24 @@ def test_one_row_of_each_near_group_stays(spark):
     assert sorted((root[brute_fingerprint(r.text)], (r.doc_id is None, r.doc_id or 0)) for r in got) == sorted((k, min(v)) for k, v in want.items())
 
 
+def test_stored_history(spark, docs, empty, tmp_path):
+    """A history stored once gives later tables what exact_dedup of both together gives their rows."""
+    old, new = docs.filter("doc_id % 3 = 0"), docs.filter("doc_id % 3 <> 0 or doc_id is null")
+    exact_dedup.store_history(old, str(tmp_path / "h"), 4)
+    got = sorted(map(str, exact_dedup.dedup_against(new, str(tmp_path / "h")).collect()))
+    both = exact_dedup.exact_dedup(old.union(new)).filter("doc_id % 3 <> 0 or doc_id is null").collect()
+    assert got == sorted(map(str, both))
+    exact_dedup.store_history(empty, str(tmp_path / "none"), 4)
+    assert sorted(map(str, exact_dedup.dedup_against(docs, str(tmp_path / "none")).collect())) == sorted(map(str, exact_dedup.exact_dedup(docs).collect()))
+    assert exact_dedup.dedup_against(empty, str(tmp_path / "h")).count() == 0
+
+
 def test_perfect_hash():
     keys = np.random.default_rng(1).integers(0, 2**63, 5000).astype(np.uint64)
     own = exact_dedup.PerfectHash(keys)
     assert sorted(own.slots(keys).tolist()) == list(range(5000))
     assert exact_dedup.PerfectHash(keys[:0]).slots(keys).tolist() == [-1] * 5000
+    assert exact_dedup.PerfectHash.unpacked(own.packed()).slots(keys).tolist() == own.slots(keys).tolist()
 
 
 # --- near ---
