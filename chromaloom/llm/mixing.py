@@ -41,7 +41,7 @@ def whole_weights(weights: DataFrame) -> DataFrame:
     """(src, weight) -> (src, w): whole numbers in the same proportion, without a common factor. Weights that are
     null or not over zero (at the sixth decimal place) go; of a source listed twice the weights are added."""
     kind = weights.schema["weight"].dataType.typeName()
-    whole = F.col("weight").cast("long") if kind in ("byte", "short", "integer", "long") else F.round(F.col("weight").cast(f"decimal(28,{PLACES})") * 10**PLACES).cast("long")
+    whole = F.col("weight").cast("long") if kind in ("byte", "short", "integer", "long") else F.round(F.col("weight").try_cast(f"decimal(28,{PLACES})") * 10**PLACES).cast("long")
     w = weights.select("src", whole.alias("w")).filter("w > 0").groupBy("src").agg(F.sum("w").alias("w"))
     # Euclid's algorithm: 92 steps serve any two 64-bit numbers
     euclid = lambda a, b: F.aggregate(F.sequence(F.lit(1), F.lit(92)), F.struct(a.alias("a"), b.alias("b")), lambda s, _: F.when(s["b"] == 0, s).otherwise(F.struct(s["b"].alias("a"), F.try_mod(s["a"], s["b"]).alias("b"))), lambda s: s["a"])

@@ -401,6 +401,75 @@ def test_pipeline_stages(spark, tmp_path):
     assert corpus_pipeline.run(spark, d).count() == len(own)
 
 
+def brute_mix(rows):
+    """Ids in the mix, by plain loops: rows are (id, source)."""
+    import hashlib
+    import math
+
+    by = collections.defaultdict(list)
+    for i, s in rows:
+        by["" if s is None else "=" + s].append((hashlib.md5(str(i).encode()).hexdigest(), i))
+    names, total = sorted(by), len(rows)
+    raw = [max(1, min(len(by[n]), math.floor((total - len(by[n])) * mixing.MOST_OF_OTHERS))) for n in names]
+    w = [max(1, (r * mixing.PARTS + sum(raw) // 2) // sum(raw)) for r in raw]
+    w = [x // math.gcd(*w) for x in w]
+    period, at = sum(w), edf(w, sum(w))
+    slot, ends = {}, []
+    for n, own, x in zip(names, at, w, strict=True):
+        for rank, (_, i) in enumerate(sorted(by[n])):
+            block = rank // mixing.BLOCK_DOCS
+            slot[i] = block // x * period + own[block % x]
+        ends.append((slot[i], x))
+    end = min(e for e, _ in ends if sum(x for f, x in ends if f > e) < mixing.LEAST_LIVE * period)
+    return {i for i, s in slot.items() if s <= end}
+
+
+def test_pipeline_against_brute_force(spark, tmp_path):
+    """Each stage, on what the one before it kept, against a plain version of its own."""
+    import corpus_pipeline
+    from test_dedup import LOW, brute_components, brute_fingerprint
+
+    d, place = "/root/testdata/sf0.001", 0
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    labels = spark.read.parquet(f"{d}/labels.parquet")
+    for place, (_, stage) in enumerate(corpus_pipeline.STAGES[:4]):
+        rows = [(r.doc_id, r.text, r.source) for r in docs.collect()]
+        stage(spark, docs, d).write.parquet(f"{tmp_path}/{place}")
+        kept = spark.read.parquet(f"{tmp_path}/{place}")
+        got = sorted(r.doc_id for r in kept.select("doc_id").collect())
+        if place == 0:
+            model, want = quality.fit(docs, labels), []
+            for i, t, _ in rows:
+                near = np.round(model.latent(quality.term_vectors(pa.array([t])))[0].astype(float) @ model.vectors.T.astype(float), quality.PLACES)
+                best = sorted(range(len(near)), key=lambda k: (-near[k], k))[: quality.NEIGHBOURS]
+                vote = np.maximum(near[best], 0) ** quality.SHARPNESS * model.weights[best]
+                score = (vote * model.labels[best]).sum() / vote.sum() if vote.sum() else 0
+                want += [i] if score >= 0.7 else []
+                assert (score >= 0.7) == (i in got) or abs(score - 0.7) < 0.05, i
+            assert len(set(want) ^ set(got)) <= 1
+        elif place == 1:
+            best = collections.defaultdict(int)
+            for i, t, _ in rows:
+                low = (t or "").translate(LOW)
+                best[low] = max(best[low], i)
+            assert got == sorted(best.values())
+        elif place == 2:
+            root = brute_components({brute_fingerprint(t) for _, t, _ in rows}, 4)
+            least = {}
+            for i, t, _ in rows:
+                k = root[brute_fingerprint(t)]
+                least[k] = min(i, least.get(k, i))
+            assert got == sorted(least.values())
+        else:
+            assert set(got) == brute_mix([(i, s) for i, _, s in rows]) and len(got) == len(set(got))
+            out = corpus_pipeline.left_out(spark, docs, d)
+            assert out.columns == docs.columns and sorted(got + [r.doc_id for r in out.collect()]) == sorted(i for i, _, _ in rows)
+            assert sum(r.left_out for r in corpus_pipeline.mix_report(spark, docs, d).collect()) == len(rows) - len(got)
+        docs = kept
+    asked = corpus_pipeline.mixed(spark, docs, d, spark.createDataFrame([("src0", 3), ("src1", 1)], "source string, weight long"))
+    assert {r.source for r in asked.select("source").distinct().collect()} <= {"src0", "src1"}
+
+
 def test_stages_on_odd_documents(spark, docs):
     """Nulls, copies, repeated rows and columns called like the operators' own pass through every stage unharmed."""
     import corpus_pipeline
