@@ -37,6 +37,22 @@ def test_counts_of_table(spark, docs, texts):
         assert (by[i].n_bytes, by[i].n_tokens, by[i].over_limit) == (len((t or "").encode()), n, n > 512)
 
 
+def test_very_long_texts(spark, monkeypatch):
+    """A text over LONG_TEXT, one without any space, and one of other than Latin-1 characters; rows without an id."""
+    long = ["many words, and more: " * 60_000, "x" * 200_000, "größer 한국 " * 20_000]
+    own = tokens.counter(BYTE)
+    for t in long[:1] + long[2:]:
+        assert own.count(t) == len(BYTE_LIB.encode(t, add_special_tokens=False).ids)
+    monkeypatch.setattr(tokens, "LONG_TEXT", 10)
+    for t in ["a few words", "größer 한국", "<|endoftext|> in a text that is longer"]:
+        assert own.count(t) == len(BYTE_LIB.encode(t, add_special_tokens=False).ids)
+    df = spark.createDataFrame([(None, t) for t in long] + [(None, "same")] * 500, "doc_id long, text string").withColumns({"id": F.lit(1), "length": F.lit("x"), "items": F.lit(2)})
+    got = packing.pack_documents(df, WORD).toPandas()
+    want = [len(WORD_LIB.encode(t, add_special_tokens=False).ids) + 1 for t in long]
+    assert got.length.sum() == sum(want) + 500 * 2 and (got.length == 2).sum() >= 500 and got.groupby("sequence_id").length.sum().max() <= 4096
+    assert sorted(got.groupby("piece").size().index) == list(range(-(-max(want) // 4096)))
+
+
 def test_no_rows(empty):
     assert tokens.count_tokens(empty, BYTE).count() == 0
     assert packing.pack_documents(empty, WORD).count() == 0
