@@ -58,7 +58,7 @@ def phase_medians(runs: DataFrame) -> DataFrame:
     upto = Window.partitionBy("phase").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
     sizes = sizes.withColumns({"upto": F.sum("m").over(upto), "every": F.sum("m").over(Window.partitionBy("phase"))})
     sizes = sizes.withColumn("place", F.floor(F.col("every") / 2)).filter((F.col("upto") > F.col("place")) & (F.col("upto") - F.col("m") <= F.col("place")))
-    own = counts.join(F.broadcast(sizes.select("phase", "bucket", (F.col("upto") - F.col("m")).alias("before"), "place")), ["phase", "bucket"])
+    own = counts.join(sizes.select("phase", "bucket", (F.col("upto") - F.col("m")).alias("before"), "place"), ["phase", "bucket"])
     upto = F.sum("n").over(Window.partitionBy("phase").orderBy("ms").rowsBetween(Window.unboundedPreceding, 0)) + F.col("before")
     return own.withColumn("upto", upto).filter("upto > place").groupBy("phase").agg(F.min("ms").alias("median"))
 
