@@ -365,3 +365,48 @@ def junctions(edges: DataFrame) -> DataFrame:
     corner = F.col("x").isin(0) | (F.col("x") == F.col("w"))
     corner = corner & ((F.col("y") == 0) | (F.col("y") == F.col("h")))
     return degree.join(size, "image_id").filter((F.col("degree") != 2) | corner).select("image_id", "x", "y", "degree")
+
+
+def arcs(edges: DataFrame) -> DataFrame:
+    """(image_id, arc_id, seq, x, y, a, b): the corners of each arc in order, and the two regions it parts (a < b).
+
+    edges: as boundary_edges gives them. An arc runs from junction to junction, or round a loop that has none; its number
+    is that of its first unit edge in the order of (y1, x1, y2, x2). It begins at the junction that comes first in row
+    order, a loop at the first corner of its first edge. One image's edges are one group, bounded by its pixels."""
+    kind = edges.schema["image_id"].dataType.simpleString()
+    own = edges.select("image_id", "x1", "y1", "x2", "y2", "a", "b")
+    return own.groupBy("image_id").applyInPandas(_arc_rows, f"image_id {kind}, arc_id int, seq int, x int, y int, a long, b long")
+
+
+def _arc_rows(frame: pd.DataFrame) -> pd.DataFrame:
+    frame = frame.sort_values(["y1", "x1", "y2", "x2"])
+    side = int(frame["x2"].max()) + 1
+    ends = np.stack([frame["y1"] * side + frame["x1"], frame["y2"] * side + frame["x2"]], axis=1).astype(np.int64)
+    n, corners = len(ends), int(ends.max()) + 1
+    last_y = int(frame["y2"].max())
+    joint = np.bincount(ends.ravel(), minlength=corners) != 2
+    joint[[0, side - 1, last_y * side, last_y * side + side - 1]] = True
+    # the two edges of every plain corner, by the halves (2 * edge + end) that lie there
+    half = np.argsort(ends.ravel(), kind="stable")
+    half = half[~joint[ends.ravel()[half]]].reshape(-1, 2)
+    beyond = np.full(2 * n, -1)
+    beyond[half[:, 0]], beyond[half[:, 1]] = half[:, 1], half[:, 0]
+    arc = _linked(n, half[:, 0] // 2, half[:, 1] // 2)
+    free = np.flatnonzero(beyond < 0)
+    starts = {}
+    for h in free[np.argsort(ends.ravel()[free], kind="stable")].tolist():
+        starts.setdefault(int(arc[h // 2]), h)  # the first of an arc's ends
+    number, seq, at = [], [], []
+    for k in np.unique(arc).tolist():
+        h = first = starts.get(k, 2 * k)
+        points = [int(ends.ravel()[h])]
+        while True:
+            points.append(int(ends.ravel()[h ^ 1]))  # along the edge to its other end, and over to the next edge
+            h = int(beyond[h ^ 1])
+            if h < 0 or h == first:
+                break
+        number += [k] * len(points)
+        seq += range(len(points))
+        at += points
+    at, regions_of = np.array(at), np.sort(frame[["a", "b"]].to_numpy(), axis=1)[number]
+    return pd.DataFrame({"image_id": frame["image_id"].iloc[0], "arc_id": number, "seq": seq, "x": at % side, "y": at // side, "a": regions_of[:, 0], "b": regions_of[:, 1]})

@@ -214,6 +214,18 @@ def r9_junctions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return regions.junctions(regions.boundary_edges(blocks(spark, sf_dir)))
 
 
+@query(f"""WITH RECURSIVE {BLOCKS}, {EDGES}, e AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY y1, x1, y2, x2) - 1 AS k FROM edges), s AS (SELECT image_id, max(x2) AS w, max(y2) AS h FROM edges GROUP BY ALL),
+ends AS (SELECT image_id, k, x1 AS x, y1 AS y FROM e UNION ALL SELECT image_id, k, x2, y2 FROM e),
+plain AS (SELECT image_id, x, y, min(k) AS k1, max(k) AS k2 FROM ends JOIN s USING (image_id) GROUP BY image_id, x, y HAVING count(*) = 2 AND NOT (x IN (0, any_value(w)) AND y IN (0, any_value(h)))),
+links AS (SELECT image_id, k1 AS f, k2 AS t FROM plain UNION ALL SELECT image_id, k2, k1 FROM plain),
+reach AS (SELECT image_id, k AS f, k AS t FROM e UNION SELECT r.image_id, r.f, l.t FROM reach r JOIN links l ON l.image_id = r.image_id AND l.f = r.t)
+SELECT r.image_id, arc::INT AS arc_id, count(*) AS n_edges, min(least(a, b)) AS a, max(greatest(a, b)) AS b FROM (SELECT image_id, f, min(t) AS arc FROM reach GROUP BY ALL) r JOIN e ON e.image_id = r.image_id AND e.k = r.f GROUP BY r.image_id, arc""")
+def r10_arcs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Arcs with their unit edges counted."""
+    own = regions.arcs(regions.boundary_edges(blocks(spark, sf_dir)))
+    return own.groupBy("image_id", "arc_id", "a", "b").agg((F.count("*") - 1).alias("n_edges"))
+
+
 def _hexed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     own = cells(spark, sf_dir)
     dims = grids(pixels(spark, sf_dir)).select("image_id", "cells_x", "cells_y")

@@ -196,6 +196,26 @@ def test_facets_and_merges():
     assert (regions.merged(dark, lab, 5) == 0).all() and (regions.merged(dark, lab, 1) == dark).all()
 
 
+def test_arcs(spark):
+    """Two regions side by side and an island: arcs from junction to junction, and a loop; every edge is in one arc."""
+    grid_ = np.zeros((6, 8), int)
+    grid_[:, 4:] = 1
+    grid_[2:4, 1:3] = 2
+    pix = spark.createDataFrame([(1, x, y, int(grid_[y, x])) for y in range(6) for x in range(8)], "image_id int, x int, y int, facet_id long")
+    edges = regions.boundary_edges(pix)
+    got = regions.arcs(edges).toPandas().sort_values(["arc_id", "seq"])
+    lines = {k: list(zip(g.x, g.y, strict=True)) for k, g in got.groupby("arc_id")}
+    sides = {k: (g.a.iloc[0], g.b.iloc[0]) for k, g in got.groupby("arc_id")}
+    assert all(abs(p[0] - q[0]) + abs(p[1] - q[1]) == 1 for l in lines.values() for p, q in zip(l, l[1:]))
+    assert sum(len(l) - 1 for l in lines.values()) == edges.count() and sorted(sides.values()).count((0, 2)) == 1
+    loop = next(l for k, l in lines.items() if sides[k] == (0, 2))
+    assert loop[0] == loop[-1] == (1, 2) and len(loop) == 9
+    middle = next(l for k, l in lines.items() if sides[k] == (0, 1))
+    assert middle == [(4, y) for y in range(7)]
+    ends = {(r.x, r.y) for r in regions.junctions(edges).collect()}
+    assert {p for k, l in lines.items() if sides[k] != (0, 2) for p in (l[0], l[-1])} == ends
+
+
 def test_edge_distance():
     rng = np.random.default_rng(6)
     labels = regions.labelled(np.kron(rng.integers(0, 2, (3, 4)), np.ones((5, 6), int)))
