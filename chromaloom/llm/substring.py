@@ -30,8 +30,8 @@ from .fm_index import FmIndex, repeated_cover
 WINDOW, GRAM = 35, 8
 #: Words of a shard, about, and the least number of shards.
 SHARD_WORDS, LEAST_SHARDS = 400_000, 48
-#: A run that occurs more often is split by longer runs; with a stretch's 49 words, the rest is half a shard's words.
-HOT, STEPS = 4096, 4
+#: A run that occurs more often is split by longer runs; with a stretch's 49 words, the rest is a quarter of a shard.
+HOT, STEPS = 2048, 4
 #: Windows of one streamed part.
 STREAM = 512
 #: Bytes of distinct texts in one bucket, about.
