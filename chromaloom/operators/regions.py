@@ -332,6 +332,30 @@ def merged_regions(pixels: DataFrame, palette: DataFrame, least_area: float, rad
     return pixels.select("image_id", "x", "y", "chip_idx").groupBy("image_id").applyInPandas(lambda frame: _region_rows(merge(frame)), _REGION.format(kind=kind))
 
 
+def painted_regions(pixels: DataFrame, kept: DataFrame, palette: DataFrame, least_area: float, radius: float = 0.0) -> DataFrame:
+    """regions of pixels (image_id, x, y, r, g, b), each snapped to the nearest of its image's kept chips (image_id,
+    chip_idx; least index on a tie) in OKLab, after merge_facets: one pass over each image. Images without chips have no
+    rows."""
+    from .dither import _with_lab
+
+    merge, kind = _merging(palette, least_area, radius), pixels.schema["image_id"].dataType.simpleString()
+    chips = kept.select(F.col("image_id").alias("__image"), "chip_idx").join(palette.select("chip_idx", "ok_l", "ok_a", "ok_b"), "chip_idx")
+    empty = pd.DataFrame({c.split()[0]: [] for c in _REGION.split(", ")})
+
+    def run(frame: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
+        if not len(frame) or not len(own):
+            return empty
+        own = own.sort_values("chip_idx")
+        lab, idx = own[["ok_l", "ok_a", "ok_b"]].to_numpy(), own["chip_idx"].to_numpy()
+        at, near = frame[["__l", "__a", "__b"]].to_numpy(), np.empty(len(frame), np.int32)
+        for k in range(0, len(at), 1 << 16):
+            near[k : k + (1 << 16)] = idx[np.round(((at[k : k + (1 << 16), None] - lab[None]) ** 2).sum(axis=2), 12).argmin(axis=1)]
+        return _region_rows(merge(frame[["image_id", "x", "y"]].assign(chip_idx=near)))
+
+    own = _with_lab(pixels, 1.0).select("image_id", "x", "y", "__l", "__a", "__b")
+    return own.groupBy("image_id").cogroup(chips.groupBy("__image")).applyInPandas(run, _REGION.format(kind=kind))
+
+
 def label_font(min_radius: Column, radius: Column, digits: Column) -> Column:
     """Font size of a region's number: capped by both radii, 24, and the digits' box inside the circle."""
     base = F.when(min_radius > 0, F.least(1.4 * min_radius, F.lit(24.0))).otherwise(F.least(1.4 * radius, F.lit(24.0)))

@@ -287,8 +287,7 @@ def trace_linerate(spark: SparkSession, sf_dir: str) -> DataFrame:
     flat = checkpoint(regions.flatten_l0(grid.to_work_size(pixels(spark, sf_dir), 1), 0.25))
     chips = palette(spark, sf_dir)
     paints = dither.select_paints(flat, chips, 6)
-    snapped_px = dither.snap_kept(flat, paints, chips).select("image_id", "x", "y", "chip_idx")
-    found = grid.number_labels(regions.merged_regions(snapped_px, chips, 12, 1.0))
+    found = grid.number_labels(regions.painted_regions(flat, paints, chips, 12, 1.0))
     return found.withColumn("font", regions.label_font(F.lit(1.0), F.col("radius"), F.length(F.col("label").cast("string"))))
 
 

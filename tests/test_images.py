@@ -196,6 +196,18 @@ def test_facets_and_merges():
     assert (regions.merged(dark, lab, 5) == 0).all() and (regions.merged(dark, lab, 1) == dark).all()
 
 
+def test_regions_in_one_pass_are_those_of_all_steps(spark):
+    from chromaloom.plans.inputs import palette, pixels
+
+    sf = "/root/testdata/sf0.001"
+    pix, chips = pixels(spark, sf), palette(spark, sf)
+    kept = dither.select_paints(pix, chips, 4)
+    steps = regions.regions(regions.merge_facets(dither.snap_kept(pix, kept, chips).select("image_id", "x", "y", "chip_idx"), chips, 12, 1.0))
+    got = regions.painted_regions(pix, kept, chips, 12, 1.0)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, steps.collect())) and got.count() > 1
+    assert regions.painted_regions(pix, kept.limit(0), chips, 12).count() == 0
+
+
 def test_arcs(spark):
     """Two regions side by side and an island: arcs from junction to junction, and a loop; every edge is in one arc."""
     grid_ = np.zeros((6, 8), int)
