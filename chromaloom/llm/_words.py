@@ -28,14 +28,19 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def is_space(data: np.ndarray) -> np.ndarray:
+    return _SPACE[data]
+
+
 @dataclass(frozen=True)
 class Words:
-    """Words of some texts, in order: bytes, first and last byte of each word, and its text's number."""
+    """Words of some texts, in order: bytes, first and last byte of each word, its text's number, and where texts begin."""
 
     data: np.ndarray
     start: np.ndarray
     end: np.ndarray
     text: np.ndarray
+    offsets: np.ndarray | None = None
 
     def hashes(self) -> np.ndarray:
         """A 64-bit hash of each word, eight bytes at a time."""
@@ -72,14 +77,14 @@ class Words:
         return all(np.array_equal(self.data[self.start[i] : self.end[i]], self.data[self.start[o] : self.end[o]]) for i, o in zip(long, other[long].tolist(), strict=True))
 
 
-def word_slices(column: pa.Array) -> Iterator[tuple[int, int, Words]]:
-    """(first row, rows, words) of parts of an Arrow column of texts; nulls have no words."""
+def word_slices(column: pa.Array, gaps: np.ndarray = _SPACE) -> Iterator[tuple[int, int, Words]]:
+    """(first row, rows, words) of parts of an Arrow column of texts; nulls have no words. gaps: which bytes part words."""
     data, at = text_buffer(column)
     first = 0
     while first < len(column):
         last = max(first + 1, int(np.searchsorted(at, at[first] + SLICE, "right")) - 1)
         own, offsets = data[at[first] : at[last]], at[first : last + 1] - at[first]
-        space = _SPACE[own]
+        space = gaps[own]
         opens, closes = np.empty(len(own), bool), np.empty(len(own), bool)
         if len(own):
             opens[0], opens[1:] = True, space[:-1]
@@ -87,7 +92,7 @@ def word_slices(column: pa.Array) -> Iterator[tuple[int, int, Words]]:
             opens[offsets[:-1][offsets[:-1] < len(own)]] = True
             closes[offsets[1:][offsets[1:] > 0] - 1] = True
         start, end = np.flatnonzero(opens & ~space), np.flatnonzero(closes & ~space) + 1
-        yield first, last - first, Words(own, start, end, np.searchsorted(offsets, start, "right") - 1)
+        yield first, last - first, Words(own, start, end, np.searchsorted(offsets, start, "right") - 1, offsets)
         first = last
 
 
