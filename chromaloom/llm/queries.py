@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, host_rules, mixing, packing, periodic, quality, simhash, substring, tokens, topk, url_filter, warc
+from . import collocations, exact_dedup, host_rules, mixing, packing, periodic, quality, simhash, substring, tokens, topk, url_filter, warc
 
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
 
@@ -76,6 +76,10 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic.run_digests(table(spark, sf_dir, "documents"))
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -83,7 +87,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = (op1_url_filter, op2_topk_search, op3_token_counts, op4_mix_sources, op5_quality_classifier, op6_exact_dedup, op7_simhash_groups, op8_substring_dedup, op9_best_fit_packing, op10_warc_derivatives, op11_host_rules, op12_periodic_runs, pipeline)
+    named = (op1_url_filter, op2_topk_search, op3_token_counts, op4_mix_sources, op5_quality_classifier, op6_exact_dedup, op7_simhash_groups, op8_substring_dedup, op9_best_fit_packing, op10_warc_derivatives, op11_host_rules, op12_periodic_runs, op13_collocations, pipeline)
     return {f.__name__: f for f in named}
 
 
@@ -185,5 +189,5 @@ def oracle_sql() -> dict[str, str]:
     """Token counts, learned scores, SimHash groups and packings are not SQL: their tests use brute force."""
     import corpus_pipeline
 
-    sql = {"op1_url_filter": OP1_SQL, "op2_topk_search": OP2_SQL, "op4_mix_sources": OP4_SQL, "op6_exact_dedup": OP6_SQL, "op8_substring_dedup": OP8_SQL, "op10_warc_derivatives": op10_sql(), "op11_host_rules": host_rules.host_rules_sql(), "op12_periodic_runs": periodic.run_digests_sql()}
+    sql = {"op1_url_filter": OP1_SQL, "op2_topk_search": OP2_SQL, "op4_mix_sources": OP4_SQL, "op6_exact_dedup": OP6_SQL, "op8_substring_dedup": OP8_SQL, "op10_warc_derivatives": op10_sql(), "op11_host_rules": host_rules.host_rules_sql(), "op12_periodic_runs": periodic.run_digests_sql(), "op13_collocations": collocations.collocations_sql()}
     return sql | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
