@@ -121,17 +121,31 @@ def dither_ky(cells: DataFrame, palette: DataFrame, n: int, chroma_scale: float
 
 
 def diffused(target: np.ndarray, lab: np.ndarray) -> np.ndarray:
-    """Floyd-Steinberg over one grid (h, w, 3): chip places. Errors off the grid are dropped."""
+    """Floyd-Steinberg over one grid (h, w, 3): chip places. Errors off the grid are dropped.
+
+    A cell needs the errors of its left neighbour and of three cells above, so all cells with one x + 2 y are free at
+    the same time: w + 2 h steps, each over a whole front. A cell's errors are added in the order of a scan by rows
+    (above left, above, above right, left), so that the sums are the scan's to the last bit."""
     h, w, _ = target.shape
-    work, out = np.zeros((h + 1, w + 2, 3)), np.empty((h, w), np.int64)
-    work[:h, 1 : w + 1] = target
-    for y in range(h):
-        for x in range(1, w + 1):
-            out[y, x - 1] = best = ((lab - work[y, x]) ** 2).sum(axis=1).argmin()
-            error = (work[y, x] - lab[best]) / 16.0
-            work[y, x + 1] += 7 * error
-            work[y + 1, x - 1 : x + 2] += np.array([[3.0], [5.0], [1.0]]) * error
-    return out
+    row = w + 2
+    work, out = np.zeros(((h + 1) * row, 3)), np.zeros((h + 1) * row, np.int64)
+    work.reshape(h + 1, row, 3)[:h, 1 : w + 1] = target
+    most = max(1, TABLE_CELLS // 4 // len(lab))
+    for t in range(w + 2 * h - 2):
+        low, high = max(0, (t - w + 2) // 2), min(h - 1, t // 2)  # rows of the front; the next one is row - 2 on
+        for y in range(low, high + 1, most):
+            n = min(most, high + 1 - y)
+            first = y * row + t - 2 * y + 1
+            front = lambda step: slice(first + step, first + step + (n - 1) * (row - 2) + 1, row - 2)  # noqa: B023, E731
+            own = work[front(0)]
+            best = sum((lab[None, :, c] - own[:, None, c]) ** 2 for c in range(3)).argmin(axis=1)
+            out[front(0)] = best
+            error = (own - lab[best]) / 16.0
+            work[front(row - 1)] += 3 * error
+            work[front(row)] += 5 * error
+            work[front(row + 1)] += 1 * error
+            work[front(1)] += 7 * error
+    return out.reshape(h + 1, row)[:h, 1 : w + 1]
 
 
 def dither_fs(cells: DataFrame, palette: DataFrame, chroma_scale: float = 1.0) -> DataFrame:

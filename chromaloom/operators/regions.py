@@ -2,16 +2,24 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .iterate import checkpoint
+
 # Share of the image that the least facet has at detail 0 and 1; rounds and likeness of merges.
 LARGEST_SHARE, SMALLEST_SHARE = 0.003, 0.0001
 MERGE_ROUNDS, LIKE_LIGHTNESS = 40, 0.20
 #: Pixels that an image worked on whole may have: twice the largest working size of four megapixels.
 MOST_PIXELS = 1 << 23
+#: Pixels of a tile's side: what one task works on where tiles are independent.
+TILE = 512
+#: Places of a distance pass that are worked on at once.
+FRONT = 1 << 20
 
 
 def flatten_l0(pixels: DataFrame, flatten: float) -> DataFrame:
@@ -138,59 +146,115 @@ def _at(frame: pd.DataFrame, grid: np.ndarray) -> np.ndarray:
 
 def facets(pixels: DataFrame) -> DataFrame:
     """pixels (image_id, x, y, chip_idx) plus facet_id: 4-connected areas of one paint, numbered by their first pixel
-    (y * width + x). One full image is one group."""
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        return frame.assign(facet_id=_at(frame, labelled(_grid(frame, "chip_idx"))))
-
+    (y * width + x). Images may have any size: each is labelled tile by tile, and only what meets at a tile's border is
+    joined. Images of one tile need nothing more."""
     kind = pixels.schema["image_id"].dataType.simpleString()
-    return pixels.select("image_id", "x", "y", "chip_idx").groupBy("image_id").applyInPandas(run, f"image_id {kind}, x int, y int, chip_idx int, facet_id long")
+    own = pixels.select("image_id", "x", "y", "chip_idx")
+    sizes = checkpoint(own.groupBy("image_id").agg((F.max("x") + 1).cast("long").alias("__w"), (F.max("y") + 1).alias("__h")))
+    tile = lambda c: F.floor(F.col(c) / TILE).cast("int")
+
+    def label(frame: pd.DataFrame) -> pd.DataFrame:
+        y, x, width = frame["y"] - frame["y"].min(), frame["x"] - frame["x"].min(), int(frame["__w"].iloc[0])
+        paint = np.full((int(y.max()) + 1, int(x.max()) + 1), -1, np.int64)
+        paint[y, x] = frame["chip_idx"]
+        first_y, first_x = np.divmod(labelled(paint)[y, x], paint.shape[1])
+        number = (first_y + int(frame["y"].min())) * width + first_x + int(frame["x"].min())
+        return frame[["image_id", "x", "y", "chip_idx"]].assign(facet_id=number)
+
+    tiles = own.join(sizes, "image_id").groupBy("image_id", tile("y").alias("ty"), tile("x").alias("tx"))
+    parts = tiles.applyInPandas(label, f"image_id {kind}, x int, y int, chip_idx int, facet_id long")
+    if sizes.filter((F.col("__w") > TILE) | (F.col("__h") > TILE)).isEmpty():
+        return parts
+    parts = checkpoint(parts)
+    roots = _border_roots(parts, kind).withColumnRenamed("part", "facet_id")
+    return parts.join(roots, ["image_id", "facet_id"], "left").select("image_id", "x", "y", "chip_idx", F.coalesce("root", "facet_id").alias("facet_id"))
+
+
+def _border_roots(parts: DataFrame, kind: str) -> DataFrame:
+    """(image_id, part, root): of areas that touch areas of the same paint in other tiles, the least of all they reach.
+
+    Border pixels meet the pixel beyond the border by its place. The links of an image, each once, are one group: no
+    more than its tiles have border pixels, which is 4 / TILE of its pixels, and far fewer where areas are large."""
+    place = lambda side, x, y: F.struct(F.lit(side).alias("side"), x.alias("x"), y.alias("y"))
+    x, y = F.col("x"), F.col("y")
+    low = F.array_compact(F.array(F.when(x % TILE == TILE - 1, place(0, x + 1, y)), F.when(y % TILE == TILE - 1, place(1, x, y + 1))))
+    high = F.array_compact(F.array(F.when(x % TILE == 0, place(0, x, y)), F.when(y % TILE == 0, place(1, x, y))))
+    ends = [parts.select("image_id", "chip_idx", F.col("facet_id").alias(n), F.explode(e).alias("at")).select("image_id", "chip_idx", n, "at.*") for n, e in (("a", low), ("b", high))]
+    links = ends[0].join(ends[1], ["image_id", "chip_idx", "side", "x", "y"]).select("image_id", "a", "b").distinct()
+
+    def join(frame: pd.DataFrame) -> pd.DataFrame:
+        known, place = np.unique(frame[["a", "b"]].to_numpy().T.ravel(), return_inverse=True)
+        a, b = np.split(place, 2)
+        return pd.DataFrame({"image_id": frame["image_id"].iloc[0], "part": known, "root": known[_linked(len(known), a, b)]})
+
+    return links.groupBy("image_id").applyInPandas(join, f"image_id {kind}, part long, root long")
 
 
 def facet_stats(pixels: DataFrame) -> DataFrame:
     return pixels.groupBy("image_id", "facet_id", "chip_idx").agg(F.count("*").alias("area"))
 
 
-def _beside(pixels: DataFrame, column: str) -> DataFrame:
-    """pixels plus the column's value to the right and below (null at the image's end)."""
-    row, col = Window.partitionBy("image_id", "y").orderBy("x"), Window.partitionBy("image_id", "x").orderBy("y")
-    return pixels.withColumns({"__right": F.lead(column).over(row), "__below": F.lead(column).over(col)})
+def _by_tile(pixels: DataFrame, halo: int, run: Callable[[np.ndarray, np.ndarray, np.ndarray, pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
+    """run(labels, y, x, own) on each tile of pixels (image_id, x, y, facet_id): the facet numbers of the tile and its halo
+    as an array (-1: no pixel), and the places in it of the tile's own pixels and their rows. Pixels are shuffled once;
+    a facet's number is not negative."""
+
+    def on_tile(frame: pd.DataFrame) -> pd.DataFrame:
+        y, x = (frame[c].to_numpy() - frame[c].min() + halo for c in "yx")
+        labels = np.full((int(y.max()) + 1 + halo, int(x.max()) + 1 + halo), -1, np.int64)
+        labels[y, x] = frame["facet_id"]
+        own = ((frame["y"] // TILE == frame["ty"]) & (frame["x"] // TILE == frame["tx"])).to_numpy()
+        return run(labels, y[own], x[own], frame[own])
+
+    return _in_tiles(pixels.select("image_id", "x", "y", "facet_id"), halo).groupBy("image_id", "ty", "tx").applyInPandas(on_tile, schema)
 
 
 def facet_adjacency(pixels: DataFrame) -> DataFrame:
-    """(image_id, a, b): unordered pairs of different facets that share an edge, a < b."""
-    near = _beside(pixels.select("image_id", "x", "y", "facet_id"), "facet_id")
-    pairs = near.select("image_id", "facet_id", F.explode(F.array("__right", "__below")).alias("o")).filter("o is not null and o <> facet_id")
-    return pairs.select("image_id", F.least("facet_id", "o").alias("a"), F.greatest("facet_id", "o").alias("b")).distinct()
+    """(image_id, a, b): unordered pairs of different facets that share an edge, a < b. A tile gives a pair once."""
 
+    def pairs(labels: np.ndarray, y: np.ndarray, x: np.ndarray, own: pd.DataFrame) -> pd.DataFrame:
+        f = labels[y, x]
+        both = np.concatenate([np.stack([f, labels[y, x + 1]], axis=1), np.stack([f, labels[y + 1, x]], axis=1)])
+        both = np.unique(np.sort(both[(both[:, 1] >= 0) & (both[:, 0] != both[:, 1])], axis=1), axis=0)
+        return pd.DataFrame({"image_id": own["image_id"].iloc[:1].repeat(len(both)).to_numpy() if len(own) else [], "a": both[:, 0], "b": both[:, 1]})
 
-def boundary_pixels(pixels: DataFrame) -> DataFrame:
-    """(image_id, x, y) of pixels with a 4-neighbour of another facet or none."""
-    row, col = Window.partitionBy("image_id", "y").orderBy("x"), Window.partitionBy("image_id", "x").orderBy("y")
-    near = [F.lead("facet_id").over(row), F.lag("facet_id").over(row), F.lead("facet_id").over(col), F.lag("facet_id").over(col)]
-    inner = near[0].eqNullSafe(F.col("facet_id"))
-    for c in near[1:]:
-        inner = inner & c.eqNullSafe(F.col("facet_id"))
-    return pixels.withColumn("__inner", inner).filter(~F.col("__inner")).select("image_id", "x", "y")
+    kind = pixels.schema["image_id"].dataType.simpleString()
+    return _by_tile(pixels, 1, pairs, f"image_id {kind}, a long, b long").distinct()
 
 
-def wide_pixels(pixels: DataFrame, radius: float) -> DataFrame:
-    """Pixels at least ``radius`` from every boundary pixel (exact Euclidean distance).
+def _in_tiles(pixels: DataFrame, halo: int) -> DataFrame:
+    """pixels plus (ty, tx), the tile of TILE pixels a side in which a row is worked on: its own, and those of which it
+    is within ``halo`` pixels. Only pixels near a tile's border are in several."""
+    at = lambda c, by: F.floor((F.col(c) + by) / TILE).cast("int")
+    rows = pixels.withColumn("ty", F.explode(F.sequence(at("y", -halo), at("y", halo))))
+    return rows.withColumn("tx", F.explode(F.sequence(at("x", -halo), at("x", halo))))
+
 
-    A range join: boundary pixels lie in tiles of the radius's side, and each pixel looks at its nine tiles."""
-    side = max(1.0, float(radius))
-    tile = lambda c: F.floor(F.col(c) / side)
-    edge = boundary_pixels(pixels).select("image_id", F.col("x").alias("bx"), F.col("y").alias("by"), tile("x").alias("tx"), tile("y").alias("ty"))
-    steps = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)))
-    look = pixels.select("image_id", "x", "y", F.explode(steps).alias("s")).select("image_id", "x", "y", (tile("x") + F.col("s.i")).alias("tx"), (tile("y") + F.col("s.j")).alias("ty"))
-    near = look.join(edge, ["image_id", "tx", "ty"]).filter(F.pow(F.col("x") - F.col("bx"), F.lit(2.0)) + F.pow(F.col("y") - F.col("by"), F.lit(2.0)) < float(radius) ** 2)
-    return pixels.join(near.select("image_id", "x", "y").distinct(), ["image_id", "x", "y"], "left_anti")
+def _wide_rows(pixels: DataFrame, radius: float, summed: bool) -> DataFrame:
+    """Each pixel, or each facet of each tile, with ``wide``: whether a pixel is at least radius from all boundary. Tiles
+    have a halo of the radius and one pixel, by which the boundary is known as far as it counts."""
+
+    def run(labels: np.ndarray, y: np.ndarray, x: np.ndarray, own: pd.DataFrame) -> pd.DataFrame:
+        far = boundary_distance(facet_edges(labels) & (labels >= 0))
+        rows = own[["image_id", "x", "y", "facet_id"]].assign(wide=far[y, x] >= radius * radius)
+        return rows.groupby(["image_id", "facet_id"], as_index=False)["wide"].max() if summed else rows
+
+    kind, label = (pixels.schema[c].dataType.simpleString() for c in ("image_id", "facet_id"))
+    schema = f"image_id {kind}, facet_id {label}, wide boolean" if summed else f"image_id {kind}, x int, y int, facet_id {label}, wide boolean"
+    return _by_tile(pixels, int(np.ceil(max(0.0, radius))) + 1, run, schema)
+
+
+def wide_pixels(pixels: DataFrame, radius: float) -> DataFrame:
+    """(image_id, x, y, facet_id) of pixels at least ``radius`` from every boundary pixel (exact Euclidean distance): those
+    with a 4-neighbour of another facet, or none. Facet numbers are not negative. Work goes by tiles, so an image may have
+    any size."""
+    return _wide_rows(pixels, radius, False).filter("wide").drop("wide")
 
 
 def has_width(pixels: DataFrame, radius: float) -> DataFrame:
-    """(image_id, facet_id, wide): whether a facet holds a pixel at least ``radius`` from the boundary."""
-    wide = wide_pixels(pixels, radius).select("image_id", "facet_id", F.lit(True).alias("wide")).distinct()
-    return pixels.select("image_id", "facet_id").distinct().join(wide, ["image_id", "facet_id"], "left").select("image_id", "facet_id", F.coalesce("wide", F.lit(False)).alias("wide"))
+    """(image_id, facet_id, wide): whether a facet holds a pixel at least ``radius`` from the boundary. As wide_pixels; a
+    tile gives one row for each of its facets."""
+    return _wide_rows(pixels, radius, True).groupBy("image_id", "facet_id").agg(F.max("wide").alias("wide"))
 
 
 def min_area(detail: Column, n_pixels: Column, radius: Column) -> Column:
@@ -201,20 +265,7 @@ def min_area(detail: Column, n_pixels: Column, radius: Column) -> Column:
 
 def _narrow(labels: np.ndarray, radius: float, n: int) -> np.ndarray:
     """Of facets 0..n-1, whether each has no pixel at least ``radius`` from the boundary."""
-    edge = np.ones((labels.shape[0] + 2, labels.shape[1] + 2), bool)
-    wide = np.pad(labels, 1, constant_values=-1)
-    core = wide[1:-1, 1:-1]
-    edge[1:-1, 1:-1] = (core != wide[:-2, 1:-1]) | (core != wide[2:, 1:-1]) | (core != wide[1:-1, :-2]) | (core != wide[1:-1, 2:])
-    h, w = labels.shape
-    reach = int(np.ceil(radius))
-    near = edge[1:-1, 1:-1].copy()
-    for dy in range(-reach, reach + 1):
-        for dx in range(-reach, reach + 1):
-            if 0 < dx * dx + dy * dy < radius * radius:
-                ys, xs = slice(max(0, dy), h + min(0, dy)), slice(max(0, dx), w + min(0, dx))
-                yt, xt = slice(max(0, -dy), h + min(0, -dy)), slice(max(0, -dx), w + min(0, -dx))
-                near[yt, xt] |= edge[1:-1, 1:-1][ys, xs]
-    return np.bincount(labels[~near], minlength=n) == 0
+    return np.bincount(labels[boundary_distance(facet_edges(labels)) >= radius * radius], minlength=n) == 0
 
 
 def _contacts(labels: np.ndarray) -> np.ndarray:
@@ -283,29 +334,70 @@ def _merging(palette: DataFrame, least_area: float, radius: float):
 
 
 def edge_distance(labels: np.ndarray) -> np.ndarray:
-    """Distance of each pixel to the nearest pixel of another facet or outside the image, exact."""
+    """Distance of each pixel to the nearest pixel of another facet or outside the image, exact.
+
+    Along a row only the pixel's own run of its facet counts: what lies beyond is farther than the run's end. So each
+    run is an envelope of its own, closed by its two ends."""
     h, w = labels.shape
-    pad = np.pad(labels, 1, constant_values=-1)
-    run = np.zeros((2, h + 2, w + 2))
-    for y in range(1, h + 2):
-        run[0, y] = np.where(pad[y] == pad[y - 1], run[0, y - 1] + 1, 0)
-    for y in range(h, -1, -1):
-        run[1, y] = np.where(pad[y] == pad[y + 1], run[1, y + 1] + 1, 0)
-    up = np.minimum(run[0], run[1])[1:-1, 1:-1] + 1  # down a column, to another facet
-    best = up**2
-    for step in range(1, w + 1):
-        for left in (True, False):
-            there = np.full((h, w), np.nan)
-            if left:
-                there[:, step:] = np.where(labels[:, step:] == labels[:, :-step], up[:, :-step], 0) if step < w else np.nan
-                there[:, :step] = 0
-            else:
-                there[:, : w - step] = np.where(labels[:, : w - step] == labels[:, step:], up[:, step:], 0)
-                there[:, max(0, w - step) :] = 0
-            best = np.minimum(best, there**2 + step**2)
-        if step * step >= best.max():
-            break
-    return np.sqrt(best)
+    up = _column_distance(labels)
+    starts = np.ones((h, w), bool)
+    starts[:, 1:] = labels[:, 1:] != labels[:, :-1]
+    first = np.flatnonzero(starts.ravel())
+    at, size = np.arange(h * w), np.diff(np.append(first, h * w))
+    to_end = np.minimum(at - np.repeat(first, size) + 1, np.repeat(first + size, size) - at)
+    return np.sqrt(np.minimum(to_end**2, _envelope(up.ravel() ** 2, first))).reshape(h, w)
+
+
+def _column_distance(labels: np.ndarray) -> np.ndarray:
+    """Steps up or down each pixel's column to another facet or out of the image."""
+    h, w = labels.shape
+    row = np.arange(h)[:, None]
+    change = labels[1:] != labels[:-1]
+    top, bottom = np.zeros((h, w), np.int64), np.full((h, w), h - 1, np.int64)
+    top[1:] = np.maximum.accumulate(np.where(change, row[1:], 0), axis=0)
+    bottom[:-1] = np.minimum.accumulate(np.where(change, row[:-1], h - 1)[::-1], axis=0)[::-1]
+    return np.minimum(row - top, bottom - row) + 1
+
+
+def _envelope(f: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """The least (x - y) ** 2 + f[y] over all y of x's run, for each x: a lower envelope of parabolas for each run of f
+    (first: where runs begin). f holds whole numbers.
+
+    The best y never falls as x grows. So the first x of a run looks at the whole run, then x in the middle of two that
+    are done looks only from the best y of the one to the best y of the other: each halving of the step costs one pass."""
+    n = len(f)
+    size = np.diff(np.append(first, n))
+    run = np.repeat(np.arange(len(first)), size)
+    within = np.arange(n) - first[run]
+    least, best = np.empty(n, np.int64), np.empty(n, np.int64)
+    for step in [0, *(1 << k for k in range(int(size.max()).bit_length() - 1, -1, -1))]:
+        x = first if step == 0 else np.flatnonzero(within % (2 * step) == step)
+        for k in range(0, len(x), FRONT):  # bounds the memory of a pass
+            own = x[k : k + FRONT]
+            end = first[run[own]] + size[run[own]] - 1
+            low, high = (own, end) if step == 0 else (best[own - step], np.where(own + step <= end, best[np.minimum(own + step, n - 1)], end))
+            many = high - low + 1
+            cut = np.concatenate([[0], np.cumsum(many)[:-1]])
+            y = np.arange(int(many.sum())) + np.repeat(low - cut, many)
+            cost = ((np.repeat(own, many) - y) ** 2 + f[y]) * np.int64(n) + y  # the first of equal ones
+            won = np.minimum.reduceat(cost, cut)
+            least[own], best[own] = won // n, won % n
+    return least
+
+
+def boundary_distance(edge: np.ndarray) -> np.ndarray:
+    """Squared distance of each pixel (h, w) to the nearest pixel of ``edge``; over (h + w) ** 2 where there is none."""
+    h, w = edge.shape
+    row, far = np.arange(h)[:, None], h + w + 1
+    last = np.maximum.accumulate(np.where(edge, row, -far), axis=0)
+    following = np.minimum.accumulate(np.where(edge, row, h + far)[::-1], axis=0)[::-1]
+    return _envelope((np.minimum(row - last, following - row) ** 2).ravel(), np.arange(0, h * w, w)).reshape(h, w)
+
+
+def facet_edges(labels: np.ndarray) -> np.ndarray:
+    """Which pixels (h, w) have a 4-neighbour of another facet, or none."""
+    wide = np.pad(labels, 1, constant_values=-1)
+    return (labels != wide[:-2, 1:-1]) | (labels != wide[2:, 1:-1]) | (labels != wide[1:-1, :-2]) | (labels != wide[1:-1, 2:])
 
 
 _REGION = "image_id {kind}, facet_id long, chip_idx int, area long, min_x int, max_x int, min_y int, max_y int, pole_x int, pole_y int, radius double"
@@ -364,21 +456,20 @@ def label_font(min_radius: Column, radius: Column, digits: Column) -> Column:
 
 def boundary_edges(pixels: DataFrame) -> DataFrame:
     """(image_id, x1, y1, x2, y2, a, b): unit edges between facets, from corner to corner; a lies above or left of b,
-    and -1 is outside the image."""
-    row, col = Window.partitionBy("image_id", "y").orderBy("x"), Window.partitionBy("image_id", "x").orderBy("y")
-    near = pixels.withColumns({"up": F.lag("facet_id").over(col), "down": F.lead("facet_id").over(col), "left": F.lag("facet_id").over(row), "right": F.lead("facet_id").over(row)})
-    out, x, y, f = F.lit(-1).cast("long"), F.col("x"), F.col("y"), F.col("facet_id")
-
-    def edge(cond: Column, x1: Column, y1: Column, x2: Column, y2: Column, a: Column, b: Column) -> Column:
-        return F.when(cond, F.struct(x1.alias("x1"), y1.alias("y1"), x2.alias("x2"), y2.alias("y2"), a.alias("a"), b.alias("b")))
-
-    edges = F.array(
-        edge(F.col("up").isNull() | (F.col("up") != f), x, y, x + 1, y, F.coalesce("up", out), f),
-        edge(F.col("left").isNull() | (F.col("left") != f), x, y, x, y + 1, F.coalesce("left", out), f),
-        edge(F.col("down").isNull(), x, y + 1, x + 1, y + 1, f, out),
-        edge(F.col("right").isNull(), x + 1, y, x + 1, y + 1, f, out),
-    )
-    return near.select("image_id", F.explode(F.array_compact(edges)).alias("e")).select("image_id", "e.*")
+    and -1 is outside the image. Each pixel gives its upper and left edge, and a lower or right one where the image ends."""
+
+    def edges(labels: np.ndarray, y: np.ndarray, x: np.ndarray, own: pd.DataFrame) -> pd.DataFrame:
+        f, px, py, image = labels[y, x], own["x"].to_numpy(), own["y"].to_numpy(), own["image_id"].to_numpy()
+        out = []
+        for dy, dx, x1, y1, x2, y2 in ((-1, 0, 0, 0, 1, 0), (0, -1, 0, 0, 0, 1), (1, 0, 0, 1, 1, 1), (0, 1, 1, 0, 1, 1)):
+            other = labels[y + dy, x + dx]
+            at = (other != f) if dy + dx < 0 else (other < 0)
+            a, b = (other[at], f[at]) if dy + dx < 0 else (f[at], other[at])
+            out.append(pd.DataFrame({"image_id": image[at], "x1": px[at] + x1, "y1": py[at] + y1, "x2": px[at] + x2, "y2": py[at] + y2, "a": a, "b": b}))
+        return pd.concat(out)
+
+    kind = pixels.schema["image_id"].dataType.simpleString()
+    return _by_tile(pixels, 1, edges, f"image_id {kind}, x1 int, y1 int, x2 int, y2 int, a long, b long")
 
 
 def junctions(edges: DataFrame) -> DataFrame:

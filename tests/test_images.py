@@ -99,6 +99,39 @@ def test_diffusion_by_hand():
     assert abs(dither.diffused(gray, lab).mean() - 0.5) < 0.05
 
 
+def scanned(target, lab):
+    """Error diffusion cell by cell, in scan order."""
+    h, w, _ = target.shape
+    work, out = np.zeros((h + 1, w + 2, 3)), np.empty((h, w), np.int64)
+    work[:h, 1 : w + 1] = target
+    for y in range(h):
+        for x in range(1, w + 1):
+            out[y, x - 1] = best = ((lab - work[y, x]) ** 2).sum(axis=1).argmin()
+            error = (work[y, x] - lab[best]) / 16.0
+            work[y, x + 1] += 7 * error
+            work[y + 1, x - 1 : x + 2] += np.array([[3.0], [5.0], [1.0]]) * error
+    return out
+
+
+@pytest.mark.parametrize("cells", [dither.TABLE_CELLS, 40])
+def test_diffusion_by_fronts_is_that_of_a_scan(monkeypatch, cells):
+    monkeypatch.setattr(dither, "TABLE_CELLS", cells)  # few cells: fronts in blocks
+    rng = np.random.default_rng(9)
+    for h, w in ((1, 1), (1, 8), (8, 1), (2, 1), (1, 2), (2, 2), (3, 40), (40, 3), (24, 25), (31, 17)):
+        target, lab = rng.random((h, w, 3)), rng.random((9, 3))
+        assert (dither.diffused(target, lab) == scanned(target, lab)).all()
+    flat = np.full((6, 7, 3), 0.5)
+    assert (dither.diffused(flat, np.full((4, 3), 0.5)) == 0).all()  # ties: the first chip
+
+
+def test_diffusion_keeps_the_mean_over_a_ramp():
+    lab = np.array([[0.0, 0, 0], [1.0, 0, 0]])
+    ramp = np.zeros((64, 64, 3))
+    ramp[..., 0] = np.linspace(0, 1, 64)
+    done = dither.diffused(ramp, lab)
+    assert abs(done.mean() - 0.5) < 0.02 and done[:, :8].mean() < 0.15 and done[:, -8:].mean() > 0.85
+
+
 def brute_medoids(d, w, k):
     import itertools
 
@@ -240,6 +273,72 @@ def test_edge_distance():
     assert np.allclose(regions.edge_distance(labels), want)
 
 
+def areas(rng, h, w, block, paints):
+    return np.kron(rng.integers(0, paints, (-(-h // block), -(-w // block))), np.ones((block, block), int))[:h, :w]
+
+
+def test_distances_of_random_areas():
+    rng = np.random.default_rng(12)
+    for _ in range(25):
+        h, w, block, paints = (int(v) for v in rng.integers(1, 13, 4))
+        labels = regions.labelled(areas(rng, h, w, block, 1 + paints % 4))
+        edge = regions.facet_edges(labels)
+        y, x = np.indices((h, w)).reshape(2, -1)
+        gap = (y[:, None] - y) ** 2 + (x[:, None] - x) ** 2
+        other = np.where(labels.ravel()[:, None] != labels.ravel(), gap, 10**6).min(axis=1)
+        out = np.minimum(np.minimum(x + 1, w - x), np.minimum(y + 1, h - y)) ** 2
+        assert np.allclose(regions.edge_distance(labels).ravel() ** 2, np.minimum(other, out))
+        assert (regions.boundary_distance(edge).ravel() == gap[:, edge.ravel()].min(axis=1)).all()
+    assert regions.boundary_distance(np.zeros((4, 5), bool)).min() > 81
+    assert regions.edge_distance(np.zeros((301, 201), int)).max() == 101
+
+
+@pytest.fixture(scope="module")
+def mosaic(spark):
+    """Two images over many tiles of seven pixels: one spiral, and areas of all sizes."""
+    rng = np.random.default_rng(21)
+    spiral = np.zeros((33, 40), int)
+    for k in range(0, 16, 4):
+        spiral[k : 33 - k, k : 40 - k] = 1
+        spiral[k + 2 : 31 - k, k + 2 : 38 - k] = 0
+        spiral[k + 2 : k + 4, 5 + k] = 1
+    images_ = {1: spiral, 2: areas(rng, 29, 25, 3, 3), 5: np.zeros((1, 1), int)}
+    rows = [(i, x, y, int(p[y, x])) for i, p in images_.items() for y in range(p.shape[0]) for x in range(p.shape[1])]
+    return images_, spark.createDataFrame(rows, "image_id int, x int, y int, chip_idx int").cache()
+
+
+def test_facets_over_tiles(spark, mosaic, monkeypatch):
+    images_, pix = mosaic
+    whole = sorted(map(tuple, regions.facets(pix).collect()))
+    monkeypatch.setattr(regions, "TILE", 7)
+    got = regions.facets(pix).collect()
+    assert sorted(map(tuple, got)) == whole
+    for i, paint in images_.items():
+        found = np.full(paint.shape, -1)
+        for r in got:
+            if r.image_id == i:
+                found[r.y, r.x] = r.facet_id
+        assert (found == flood(paint)).all()
+    assert regions.facets(pix.limit(0)).count() == 0
+
+
+def test_tiles_change_nothing(spark, mosaic, monkeypatch):
+    """Neighbours, edges, widths and wide pixels of images in one tile and in many, against brute force."""
+    images_, pix = mosaic
+    own = regions.facets(pix).cache()
+    every = lambda: [sorted(map(tuple, d.collect())) for d in (regions.facet_adjacency(own), regions.boundary_edges(own), regions.wide_pixels(own, 1.5), regions.wide_pixels(own, 3.0), regions.has_width(own, 2.0))]
+    whole = every()
+    for i, paint in images_.items():
+        labels = flood(paint)
+        edge = regions.facet_edges(labels)
+        near = {(int(x), int(y)) for y, x in np.argwhere(~edge)}
+        assert {(r[1], r[2]) for r in whole[2] if r[0] == i} == {p for p in near if all((p[0] + a, p[1] + b) in near for a in (-1, 0, 1) for b in (-1, 0, 1))}
+        pairs = {(int(min(a, b)), int(max(a, b))) for u, v in ((labels[1:], labels[:-1]), (labels[:, 1:], labels[:, :-1])) for a, b in zip(u.ravel(), v.ravel(), strict=True) if a != b}
+        assert {r[1:] for r in whole[0] if r[0] == i} == pairs
+    monkeypatch.setattr(regions, "TILE", 7)
+    assert every() == whole
+
+
 def test_l0_keeps_edges_and_flattens():
     rng = np.random.default_rng(8)
     step = np.zeros((24, 32, 3))
