@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import color
 from . import palette as pal
+from .nearest import ciede2000
 
 DITHER_MODES = ("none", "knoll_yliluoma", "floyd_steinberg", "texture")
 MOST_SWAPS = 100
@@ -242,18 +243,20 @@ def restrict_pam(cells: DataFrame, palette: DataFrame, k: int | None, metric: st
     kind = cells.schema["image_id"].dataType.simpleString()
     if metric == "oklab":
         own = _with_lab(hist, 1.0).select("image_id", "n", "r", "g", "b", F.array("__l", "__a", "__b").alias("v"))
-    else:  # distances to all chips, in the palette's order, as column expressions
-        chips = pal.with_lab(palette, ("l2", "a2", "b2")).select("chip_idx", "l2", "a2", "b2")
-        colors = pal.with_lab(hist.select("r", "g", "b").distinct(), ("l1", "a1", "b1"))
-        pairs = color.with_ciede2000(colors.crossJoin(F.broadcast(chips)), ("l1", "a1", "b1"), ("l2", "a2", "b2"), "d")
-        rows = pairs.groupBy("r", "g", "b").agg(F.sort_array(F.collect_list(F.struct("chip_idx", "d"))).alias("l"))
-        own = hist.join(rows.select("r", "g", "b", F.col("l.d").alias("v")), ["r", "g", "b"]).select("image_id", "n", "r", "g", "b", "v")
+    else:
+        lab = pal.with_lab(palette, ("l", "a", "bb")).orderBy("chip_idx").select("l", "a", "bb").toPandas().to_numpy(np.float64)
+        own = pal.with_lab(hist, ("l1", "a1", "b1")).select("image_id", "n", "r", "g", "b", F.array("l1", "a1", "b1").alias("v"))
+
+    def to_all(v: np.ndarray) -> np.ndarray:
+        """Distances of colours to all chips."""
+        if metric == "oklab":
+            return ((v[:, None] - lab[None]) ** 2).sum(axis=2)
+        return ciede2000(np.repeat(v, len(lab), axis=0), np.tile(lab, (len(v), 1))).reshape(len(v), len(lab))
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(["r", "g", "b"])
         v = np.array(frame["v"].tolist(), np.float64)
-        of = (lambda s: ((v[s, None] - lab[None]) ** 2).sum(axis=2)) if metric == "oklab" else (lambda s: v[s])
-        return pd.DataFrame({"image_id": frame["image_id"].iloc[0], "chip_idx": idx[medoids(of, frame["n"].to_numpy(np.float64), k, len(idx))]})
+        return pd.DataFrame({"image_id": frame["image_id"].iloc[0], "chip_idx": idx[medoids(lambda s: to_all(v[s]), frame["n"].to_numpy(np.float64), k, len(idx))]})
 
     return own.groupBy("image_id").applyInPandas(run, f"image_id {kind}, chip_idx int")
 

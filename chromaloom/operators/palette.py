@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import color
 from .iterate import numbered
+from .nearest import ChipTree
 
 #: A palette is sent to every task; more chips than this are refused.
 MOST_CHIPS = 100_000
@@ -63,34 +64,34 @@ def apply_filters(pixels: DataFrame, filters: DataFrame) -> tuple[DataFrame, Dat
     return out, filters.filter(~known)
 
 
-def _nearest(cells: DataFrame, palette: DataFrame, distance: Column, keys: list[str]) -> DataFrame:
-    """Distinct colours against all chips of a checked, broadcast palette; the least (distance, chip_idx)."""
-    pairs = cells.crossJoin(F.broadcast(palette))
-    return pairs.groupBy(*keys).agg(F.min(F.struct(F.round(distance, 12).alias("d"), F.col("p_idx").alias("i"))).alias("best"))
+def _search(palette: DataFrame, metric: str) -> Callable[..., Column]:
+    """A function of a colour's three columns, OKLab or Lab by the metric, that gives its nearest chip (least index on a
+    tie). The chips of a checked palette, as a tree, go to every task that asks."""
+    chips = checked_palette(palette)
+    if metric == "ciede2000":
+        chips = with_lab(chips, ("l", "a", "b")).select("chip_idx", "l", "a", "b").toPandas()
+    else:
+        chips = chips.select("chip_idx", "ok_l", "ok_a", "ok_b").toPandas()
+    tree = ChipTree(chips["chip_idx"].to_numpy(np.int64), chips.iloc[:, 1:].to_numpy(np.float64), "ciede2000" if metric == "ciede2000" else "squared")
+
+    @F.pandas_udf("int")
+    def nearest(l: pd.Series, a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series(tree.nearest(np.stack([l, a, b], axis=1).astype(np.float64)).astype(np.int32))
+
+    return nearest
 
 
 def snap_oklab(cells: DataFrame, palette: DataFrame, chroma_scale: float = 1.0) -> DataFrame:
     """cells (r, g, b) plus chip_idx: the nearest chip by squared OKLab distance, the least index on a tie.
 
     Distances are rounded at the twelfth place, so that ties are ties. Colours are made distinct first: at
-    most 256 ** 3, and far fewer, meet the palette; a vectorised search compares them with all chips.
+    most 256 ** 3, and far fewer, are looked up in a tree of the chips.
     """
-    chips = checked_palette(palette).orderBy("chip_idx").select("chip_idx", "ok_l", "ok_a", "ok_b").toPandas()
-    idx, lab = chips["chip_idx"].to_numpy(np.int32), chips[["ok_l", "ok_a", "ok_b"]].to_numpy(np.float64)
-
-    @F.pandas_udf("int")
-    def nearest(ok_l: pd.Series, ok_a: pd.Series, ok_b: pd.Series) -> pd.Series:
-        own, out = np.stack([ok_l, ok_a, ok_b], axis=1).astype(np.float64), np.empty(len(ok_l), np.int32)
-        for at in range(0, len(own), 1024):
-            d = own[at : at + 1024, None, :] - lab[None]
-            out[at : at + 1024] = idx[np.round(d[..., 0] ** 2 + d[..., 1] ** 2 + d[..., 2] ** 2, 12).argmin(axis=1)]
-        return pd.Series(out)
-
-    colors = cells.select("r", "g", "b").distinct()
+    nearest = _search(palette, "oklab")
     lab_of = color.rgb_to_oklab(F.col("r"), F.col("g"), F.col("b"))
     if chroma_scale != 1.0:
         lab_of = color.adjust_oklab(*lab_of, F.lit(0.0), F.lit(0.0), F.lit(float(chroma_scale)))
-    colors = colors.select("r", "g", "b", nearest(*lab_of).alias("chip_idx"))
+    colors = cells.select("r", "g", "b").distinct().select("r", "g", "b", nearest(*lab_of).alias("chip_idx"))
     return cells.join(colors, ["r", "g", "b"])
 
 
@@ -100,12 +101,11 @@ def with_lab(df: DataFrame, names: tuple[str, ...]) -> DataFrame:
 
 
 def snap_ciede2000(cells: DataFrame, palette: DataFrame) -> DataFrame:
-    """As snap_oklab by CIEDE2000, in column expressions: each distinct colour meets each chip once."""
-    own = with_lab(cells.select("r", "g", "b").distinct(), ("l1", "a1", "b1"))
-    chips = with_lab(checked_palette(palette), ("l2", "a2", "b2")).select(F.col("chip_idx").alias("p_idx"), "l2", "a2", "b2")
-    pairs = color.with_ciede2000(own.crossJoin(F.broadcast(chips)), ("l1", "a1", "b1"), ("l2", "a2", "b2"), "de")
-    best = pairs.groupBy("r", "g", "b").agg(F.min(F.struct(F.round("de", 12).alias("d"), F.col("p_idx").alias("i"))).alias("best"))
-    return cells.join(best.select("r", "g", "b", F.col("best.i").alias("chip_idx")), ["r", "g", "b"])
+    """As snap_oklab by CIEDE2000: a lower bound of the difference cuts the tree of the chips, and the whole formula is for
+    what is left of it."""
+    nearest = _search(palette, "ciede2000")
+    colors = cells.select("r", "g", "b").distinct().select("r", "g", "b", nearest(*color.rgb_to_lab(F.col("r"), F.col("g"), F.col("b"))).alias("chip_idx"))
+    return cells.join(colors, ["r", "g", "b"])
 
 
 def snap(cells: DataFrame, palette: DataFrame, metric: str = "oklab", chroma_scale: float = 1.0) -> DataFrame:
@@ -179,12 +179,8 @@ def inner_colors(cells: DataFrame, palette: DataFrame, preset: str, metric: str
     """cells plus inner_idx: the mean colour adjusted by a preset, snapped to the full palette in OKLab; under
     CIEDE2000 that chip is snapped again by the other metric."""
     hue, lightness, chroma = color.INNER_FILTERS.get(preset, color.INNER_FILTERS["none"])
-    colors = cells.select("r", "g", "b").distinct()
     lab = color.adjust_oklab(*color.rgb_to_oklab(F.col("r"), F.col("g"), F.col("b")), F.lit(hue), F.lit(lightness), F.lit(chroma))
-    own = colors.select("r", "g", "b", *(c.alias(n) for c, n in zip(lab, ("l", "a", "bb"), strict=True)))
-    chips = checked_palette(palette).select(F.col("chip_idx").alias("p_idx"), "ok_l", "ok_a", "ok_b")
-    d = F.pow(F.col("l") - F.col("ok_l"), F.lit(2.0)) + F.pow(F.col("a") - F.col("ok_a"), F.lit(2.0)) + F.pow(F.col("bb") - F.col("ok_b"), F.lit(2.0))
-    best = _nearest(own, chips, d, ["r", "g", "b"]).select("r", "g", "b", F.col("best.i").alias("inner_idx"))
+    best = cells.select("r", "g", "b").distinct().select("r", "g", "b", _search(palette, "oklab")(*lab).alias("inner_idx"))
     if metric == "ciede2000":
         picked = palette.select(F.col("chip_idx").alias("inner_idx"), "r", "g", "b")
         again = snap_ciede2000(picked, palette).select("inner_idx", F.col("chip_idx").alias("again"))

@@ -176,7 +176,34 @@ def r4_has_width(spark: SparkSession, sf_dir: str) -> DataFrame:
     return regions.has_width(blocks(spark, sf_dir), 2.0)
 
 
-@query()
+def _merge_sql(least: int, radius: float, rounds: int = 40) -> str:
+    """Merges as rounds over all pixels: a round's rows have the facet that each pixel belongs to now. In a round each small
+    or narrow facet picks a larger neighbour, and chains of picks are followed to their end."""
+    ends = "".join(f", e{i + 1} AS (SELECT a.image_id, a.a, coalesce(b.b, a.b) AS b FROM e{i} a LEFT JOIN e{i} b ON b.image_id = a.image_id AND b.a = a.b)" for i in range(7))
+    reach = int(radius)
+    return f"""WITH RECURSIVE {FACETS}, {PALETTE}, paint AS (SELECT DISTINCT image_id, facet_id AS f, ok_l, ok_a, ok_b, f.chip_idx FROM facets f JOIN palette USING (chip_idx)),
+s AS (SELECT image_id, x, y, facet_id AS f, 0 AS round FROM facets
+  UNION ALL (WITH size AS (SELECT image_id, f, count(*) AS size FROM s GROUP BY ALL),
+  inner_ AS (SELECT p.image_id, p.x, p.y, p.f FROM s p JOIN s q ON q.image_id = p.image_id AND q.f = p.f AND q.x BETWEEN p.x - 1 AND p.x + 1 AND q.y BETWEEN p.y - 1 AND p.y + 1 AND abs(q.x - p.x) + abs(q.y - p.y) = 1 GROUP BY ALL HAVING count(*) = 4),
+  near AS (SELECT dx, dy FROM range(-{reach}, {reach + 1}) a(dx), range(-{reach}, {reach + 1}) b(dy) WHERE dx * dx + dy * dy < {radius * radius}),
+  wide AS (SELECT DISTINCT p.image_id, p.f FROM (SELECT p.image_id, p.x, p.y, p.f FROM inner_ p, near JOIN inner_ q ON q.image_id = p.image_id AND q.x = p.x + dx AND q.y = p.y + dy GROUP BY ALL HAVING count(*) = (SELECT count(*) FROM near)) p),
+  weak AS (SELECT image_id, f, size FROM size WHERE size < {least} UNION SELECT image_id, f, size FROM size ANTI JOIN wide USING (image_id, f)),
+  beside AS (SELECT p.image_id, p.f AS a, q.f AS b FROM s p JOIN s q ON q.image_id = p.image_id AND q.x = p.x + 1 AND q.y = p.y WHERE p.f <> q.f UNION SELECT p.image_id, p.f, q.f FROM s p JOIN s q ON q.image_id = p.image_id AND q.x = p.x AND q.y = p.y + 1 WHERE p.f <> q.f),
+  touch AS (SELECT * FROM beside UNION SELECT image_id, b, a FROM beside),
+  way AS (SELECT t.image_id, t.a, t.b, u.ok_l - v.ok_l AS l, pow(u.ok_l - v.ok_l, 2) + pow(u.ok_a - v.ok_a, 2) + pow(u.ok_b - v.ok_b, 2) AS d FROM touch t JOIN weak w ON w.image_id = t.image_id AND w.f = t.a JOIN size z ON z.image_id = t.image_id AND z.f = t.b
+    JOIN paint u ON u.image_id = t.image_id AND u.f = t.a JOIN paint v ON v.image_id = t.image_id AND v.f = t.b WHERE z.size > w.size OR (z.size = w.size AND t.b < t.a)),
+  fit AS (SELECT *, abs(l) <= 0.2::DOUBLE AS like_, bool_or(abs(l) <= 0.2::DOUBLE) OVER (PARTITION BY image_id) AS any_ FROM way),
+  e0 AS (SELECT image_id, a, b FROM fit WHERE like_ OR NOT any_ QUALIFY row_number() OVER (PARTITION BY image_id, a ORDER BY d, b) = 1){ends}
+  SELECT s.image_id, s.x, s.y, coalesce(e.b, s.f), s.round + 1 FROM s LEFT JOIN e7 e ON e.image_id = s.image_id AND e.a = s.f WHERE s.round < {rounds} AND s.image_id IN (SELECT image_id FROM e0))),
+done AS (SELECT s.image_id, s.x, s.y, s.f, p.chip_idx FROM s JOIN paint p USING (image_id, f) QUALIFY round = max(round) OVER (PARTITION BY s.image_id)),
+first_ AS (SELECT image_id, f, min(d.y * w + d.x) AS n FROM done d JOIN sizes USING (image_id) GROUP BY ALL),
+same AS (SELECT DISTINCT p.image_id, p.f AS a, q.f AS b FROM done p JOIN done q ON q.image_id = p.image_id AND q.chip_idx = p.chip_idx AND q.f <> p.f AND q.x BETWEEN p.x - 1 AND p.x + 1 AND q.y BETWEEN p.y - 1 AND p.y + 1 AND abs(q.x - p.x) + abs(q.y - p.y) = 1),
+one AS (SELECT image_id, f AS a, f AS b FROM first_ UNION SELECT r.image_id, r.a, l.b FROM one r JOIN same l ON l.image_id = r.image_id AND l.a = r.b),
+number AS (SELECT o.image_id, a AS f, min(n)::BIGINT AS facet_id FROM one o JOIN first_ f ON f.image_id = o.image_id AND f.f = o.b GROUP BY ALL)
+SELECT image_id, x, y, chip_idx, facet_id FROM done JOIN number USING (image_id, f)"""
+
+
+@query(_merge_sql(12, 1.5))
 def r5_merge_facets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return regions.merge_facets(painted(spark, sf_dir), palette(spark, sf_dir), 12, 1.5)
 

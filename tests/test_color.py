@@ -2,8 +2,10 @@
 
 import math
 
+import numpy as np
 import pytest
 from chromaloom.functions import color
+from chromaloom.operators import nearest
 from pyspark.sql import functions as F
 
 # Published CIEDE2000 test pairs (Sharma, Wu and Dalal 2005): two Lab triples and their difference.
@@ -81,3 +83,51 @@ def test_names(spark):
     assert all(r.got == r.want for r in df.select("want", color.color_bucket_name(F.col("f"), F.col("v"), F.col("c")).alias("got")).collect())
     df = spark.createDataFrame([("7.5YR 5/6", "YR"), ("N5", None), (" 10B 2/1", "B"), (None, None)], "n string, want string")
     assert all(r.got == r.want for r in df.select("want", color.hue_family(F.col("n")).alias("got")).collect())
+
+
+def _lab(rng, n):
+    return np.stack([rng.uniform(0, 100, n), rng.uniform(-110, 110, n), rng.uniform(-110, 110, n)], axis=1)
+
+
+@pytest.mark.parametrize(("metric", "distance"), [("squared", nearest.squared), ("ciede2000", nearest.ciede2000)])
+def test_chip_trees_find_what_all_pairs_find(metric, distance):
+    """Ties by index, equal chips, colours that are chips, grays, tiny and large palettes."""
+    rng = np.random.default_rng(1)
+    for n in (1, 2, 9, 64, 700):
+        points = np.round(_lab(rng, n), 0 if n > 100 else 3)
+        points[: n // 4] = points[n // 4 : 2 * (n // 4)]
+        index = rng.permutation(n) * 3
+        colors = np.concatenate([_lab(rng, 120), points[:40], points[:20] * [1, 0, 0], points[:20] / 50])
+        want = [min((round(float(d), 12), int(i)) for d, i in zip(distance(np.repeat(c[None], n, axis=0), points), index, strict=True))[1] for c in colors]
+        tree = nearest.ChipTree(index, points, metric)
+        assert tree.nearest(colors).tolist() == want
+    assert tree.nearest(np.zeros((0, 3))).tolist() == []
+
+
+def test_a_tree_of_chips_looks_at_few():
+    rng = np.random.default_rng(2)
+    for metric, share in (("squared", 0.05), ("ciede2000", 0.3)):
+        tree, seen = nearest.ChipTree(np.arange(2000), _lab(rng, 2000), metric), []
+        whole = tree.distance
+        tree.distance = lambda a, b: (seen.append(len(a)), whole(a, b))[1]  # noqa: B023
+        tree.nearest(_lab(rng, 300))
+        assert sum(seen) < share * 300 * 2000
+
+
+def test_bound_of_ciede2000():
+    rng = np.random.default_rng(3)
+    one, two = _lab(rng, 40_000), _lab(rng, 40_000)
+    two[:20_000] = one[:20_000] + rng.normal(0, 4, (20_000, 3))
+    bound = nearest._ciede2000_bound(np.abs(one - two), one, np.hypot(two[:, 1], two[:, 2]))
+    true = nearest.ciede2000(one, two)
+    own = (two[:, 0] >= 0) & (two[:, 0] <= 100)
+    assert (bound <= true + 1e-9)[own].all() and (bound / np.maximum(true, 1e-9)).max() > 0.5
+
+
+def test_both_ways_to_ciede2000_agree(spark):
+    rng = np.random.default_rng(4)
+    one, two = _lab(rng, 500), _lab(rng, 500)
+    one[:5, 1:] = 0
+    rows = spark.createDataFrame(np.hstack([one, two]).tolist(), "l1 double, a1 double, b1 double, l2 double, a2 double, b2 double")
+    got = np.array([r[0] for r in rows.select(color.ciede2000([F.col(c) for c in ("l1", "a1", "b1")], [F.col(c) for c in ("l2", "a2", "b2")])).collect()])
+    assert np.allclose(got, nearest.ciede2000(one, two), atol=1e-10)
