@@ -11,6 +11,7 @@ A frequent first word is spread over many ranges, as ranges are cut by two words
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Iterator
 
 import numpy as np
@@ -60,6 +61,19 @@ def _counted(keys: np.ndarray, whole: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return distinct, count.astype(np.int64), number
 
 
+def _with_names(words: list[bytes], names: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """Sorted words with a few sorted names put in, and the places of the names and of the words."""
+    at = [bisect.bisect_left(words, x) for x in names]
+    new = [i == len(words) or words[i] != x for i, x in zip(at, names, strict=True)]
+    before = np.cumsum([0, *new])
+    place = np.arange(len(words)) + before[np.searchsorted(at, np.arange(len(words)), "right")]
+    both, last = [], 0
+    for i, x, n in zip(at, names, new, strict=True):
+        both += [*words[last:i], x] if n else words[last:i]
+        last = i
+    return both + words[last:], np.array(at) + before[:-1], place
+
+
 def _shard(langs: list[bytes], column: pa.Array, n_ranges: int) -> Iterator[tuple[int, bytes]]:
     """(range, automaton) of the n-grams of some texts, in shards of one slice of words each."""
     names = sorted(set(langs))
@@ -76,7 +90,7 @@ def _shard(langs: list[bytes], column: pa.Array, n_ranges: int) -> Iterator[tupl
         rank[order] = np.arange(len(order))
         vocab, ids = [listed[i] for i in order], rank[ids]
         size = len(vocab)
-        breaks = np.concatenate([[0], np.cumsum(_BREAK[words.data])])[words.start]
+        breaks = np.cumsum(_BREAK[words.data], dtype=np.int32)[words.start].astype(np.int64)  # a word's first byte is no break
         piece = breaks + words.text  # of neighbouring words, equal only within one piece of one text
         near = np.append(piece[1:] == piece[:-1], False)
         lang = of_text[first_text + words.text]
@@ -100,11 +114,7 @@ def _shard(langs: list[bytes], column: pa.Array, n_ranges: int) -> Iterator[tupl
             weight = np.where(r1[one] == r, f1[one], 0)
             zero, at0 = np.unique(lang1[one], return_inverse=True)
             used = np.unique(np.concatenate([w1[one], w2[two], w3[three]]))
-            # languages and words share one sorted vocabulary
-            texts = [names[i] for i in zero.tolist()]
-            mine = sorted({*texts, *(own_words := [vocab[i] for i in used.tolist()])})
-            known = {w: i for i, w in enumerate(mine)}
-            lang_label, to = np.array([known[x] for x in texts], np.int64), np.array([known[x] for x in own_words], np.int64)
+            mine, lang_label, to = _with_names([vocab[i] for i in used.tolist()], [names[i] for i in zero.tolist()])
             label = lambda w: to[np.searchsorted(used, w)]  # noqa: B023, E731
             yield r, dump(build(mine, [
                 (np.zeros(len(zero), np.int64), lang_label, np.bincount(at0, weight, len(zero)).astype(np.int64)),

@@ -51,6 +51,12 @@ def _lines(words: Words, rows: int, offsets: np.ndarray) -> Words:
     return Words(words.data, start, end, np.searchsorted(offsets, start, "right") - 1)
 
 
+def _sums(marks: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """How many marks each text has."""
+    total = np.append(np.int32(0), np.cumsum(marks, dtype=np.int32))
+    return total[offsets[1:]] - total[offsets[:-1]]
+
+
 def text_counts(column: pa.Array) -> np.ndarray:
     """COUNTS of each text of an Arrow column, (texts, 5); nulls have none."""
     out = np.zeros((len(column), len(COUNTS)), np.int64)
@@ -58,10 +64,8 @@ def text_counts(column: pa.Array) -> np.ndarray:
         here = out[first : first + rows]
         here[:, 0] = np.bincount(words.text, minlength=rows)
         offsets = words.offsets
-        chars = np.concatenate([[0], np.cumsum(~is_space(words.data) & ((words.data & 0xC0) != 0x80))])
-        here[:, 1] = chars[offsets[1:]] - chars[offsets[:-1]]
-        symbols = np.concatenate([[0], np.cumsum(_SYMBOL[words.data])])
-        here[:, 2] = symbols[offsets[1:]] - symbols[offsets[:-1]]
+        here[:, 1] = _sums(~is_space(words.data) & ((words.data & 0xC0) != 0x80), offsets)
+        here[:, 2] = _sums(_SYMBOL[words.data], offsets)
         if not len(words.start):
             continue
         lines = _lines(words, rows, offsets)
