@@ -4,7 +4,8 @@ Block j of a source with weight w of W is released at slot floor(j * W / w) and
 in whole numbers; in each slot the released block with the earliest deadline goes (ties: the smaller source name).
 The windows follow the fluid schedule, so after any slot each source has had within one block of its exact weight.
 All windows repeat after W slots: one period is scheduled, and every block finds its slot from its number alone.
-Where the weights have no short period, the schedule is made for as many slots as the mix has.
+Where W is long, the schedule is made for as many slots as the rows need; where these are too many, the weights are
+rounded to whole slots of a period of MOST_SLOTS. Blocks keep their size, and every row has a slot.
 """
 
 from __future__ import annotations
@@ -17,7 +18,8 @@ from ._common import checkpoint
 
 #: Documents of a block, and the least weight of live sources with which a mix goes on.
 BLOCK_DOCS, LEAST_LIVE = 16, 0.4
-#: Slots of a schedule, at most (or four for each source): a longer period is not scheduled whole.
+#: Slots of a schedule, at most (or four for each source). Weights with a longer period, of rows that need more slots, are
+#: rounded to so many parts: a source's share of the mix is then within one part of what was asked.
 MOST_SLOTS = 1 << 17
 #: Hex digits of the order key that cut a source into buckets, so that no source is ranked in one task.
 BUCKET_DIGITS = 3
@@ -83,26 +85,38 @@ def schedule(weights: DataFrame, total: int, slots: int) -> DataFrame:
     return cells.groupBy("i").agg(F.sort_array(F.collect_list("slot")).alias("at")).join(each, "i").select("src", "w", F.size("at").cast("long").alias("blocks"), "at")
 
 
-def mix_plan(weights: DataFrame, counts: DataFrame, block_docs: int = BLOCK_DOCS, least_live: float = LEAST_LIVE, most_slots: int = MOST_SLOTS) -> tuple[DataFrame, int | None, int]:
-    """(plan (src, w, blocks, at), period, documents of a block) for weights (src, weight) and counts (src, docs).
+def in_parts(weights: DataFrame, total: int, parts: int) -> DataFrame:
+    """(src, w), whole weights with the sum ``total`` -> (src, w) with the sum ``parts``, at least one each: what is left
+    after whole parts goes to the greatest remainders (ties: the smaller name)."""
+    n = weights.count()
+    exact = weights.select("src", F.expr(f"cast(w as decimal(38,0)) * {parts - n}").alias("x"))
+    cut = exact.select("src", F.expr(f"cast(x div {total} as long)").alias("w"), F.expr(f"cast(x % {total} as long)").alias("rest"))
+    left = parts - n - (cut.agg(F.sum("w")).first()[0] or 0)
+    more = cut.orderBy(F.desc("rest"), "src").limit(left).select("src", F.lit(1).alias("more"))
+    return cut.join(more, "src", "left").select("src", (F.col("w") + 1 + F.coalesce("more", F.lit(0))).alias("w"))
 
-    Where the sum of the whole weights is at most ``most_slots`` (or four for each source), it is the period. Else
-    the period is None: the schedule goes as far as the mix, and blocks are larger where it were too long."""
+
+def mix_plan(weights: DataFrame, counts: DataFrame, block_docs: int = BLOCK_DOCS, most_slots: int = MOST_SLOTS) -> tuple[DataFrame, int | None]:
+    """(plan (src, w, blocks, at), period) for weights (src, weight) and counts (src, docs).
+
+    Where the sum of the whole weights is at most ``most_slots`` (or four for each source), it is the period. Else the
+    period is None and the schedule has a slot for every block, if so many slots are enough; and else the period is
+    that number of slots, and the weights are rounded to it."""
     whole = checkpoint(whole_weights(weights))
     total, n = whole.agg(F.coalesce(F.sum("w"), F.lit(0)), F.count("*")).first()
     if total > MOST_WEIGHT:
         raise ValueError(f"the weights, as whole numbers without a common factor, have a sum over {MOST_WEIGHT}")
     most = max(most_slots, 4 * n)
+    if not n:
+        return whole.withColumns({"blocks": F.lit(0).cast("long"), "at": F.lit(None).cast("array<int>")}), 1
     if total <= most:
-        return (checkpoint(schedule(whole, total, total)) if n else whole.withColumns({"blocks": F.lit(0).cast("long"), "at": F.lit(None).cast("array<int>")})), max(1, total), block_docs
-    own = whole.join(counts, "src")
-    biggest = own.agg(F.coalesce(F.max("docs"), F.lit(1))).first()[0]
-    while True:
-        ends = own.select("w", F.ceil(F.ceil(F.col("docs") / block_docs) * total / F.col("w")).alias("ends"))
-        slots = horizon(ends, "w", least_live).first()[0] or 1
-        if slots <= most or block_docs >= biggest:
-            return checkpoint(schedule(whole, total, int(slots))), None, block_docs
-        block_docs *= -(-int(slots) // most)
+        return checkpoint(schedule(whole, total, total)), total
+    blocks = f"((docs + {block_docs - 1}) div {block_docs})"  # the last of them is due by blocks * total / w, rounded up
+    due = F.expr(f"CASE WHEN {blocks} * {float(total)}D / w > {2 * most} THEN {2 * most}L ELSE ({blocks} * {total}L + w - 1) div w END")
+    slots = whole.join(counts, "src").agg(F.max(due)).first()[0] or 1
+    if slots <= most:
+        return checkpoint(schedule(whole, total, int(slots))), None
+    return checkpoint(schedule(in_parts(whole, total, most), most, most)), most
 
 
 def horizon(ends: DataFrame, weight: str, least_live: float) -> DataFrame:
@@ -122,8 +136,8 @@ def mix_sources(docs: DataFrame, weights: DataFrame | None = None, block_docs: i
     left out: a source that has run dry leaves its slots empty. in_mix is true up to the slot at which the sources
     that still have rows fall below least_live of the weight: to there the target weights hold but for sources run
     dry. weights: (source, weight), whole numbers or decimal ones, exact to the sixth place; default: damped_weights
-    of the documents' counts. Where the weights as whole numbers without a common factor have a sum over most_slots,
-    the schedule ends with the mix and rows after it have null slots; blocks then have more documents, if need be.
+    of the documents' counts. Where the weights as whole numbers without a common factor have a sum over most_slots and
+    the rows need more slots than that, each share is within 1 / most_slots of the mix of what was asked.
     Rows of a source without a weight have null slots and in_mix false. A null source is one source of its own
     (weights may list null); equal weights go by the source's name; repeated rows keep their number, in any order.
     A null id sorts by its row, so that many of them are not one bucket (rows equal in all columns are).
@@ -140,7 +154,7 @@ def mix_sources(docs: DataFrame, weights: DataFrame | None = None, block_docs: i
         asked = damped_weights(counts)
     else:
         asked = weights.select(F.coalesce(F.concat(F.lit("="), F.col(source_col).cast("string")), F.lit("")).alias("src"), F.col("weight"))
-    plan, period, block_docs = mix_plan(asked, counts, block_docs, least_live, most_slots)
+    plan, period = mix_plan(asked, counts, block_docs, most_slots)
 
     def slot_of(block: Column, blocks: Column, at: Column) -> Column:
         if period is None:
@@ -166,15 +180,16 @@ def mix_report(mixed: DataFrame, source_col: str = "source") -> DataFrame:
     return mixed.groupBy(source_col).agg(F.count("*").alias("docs"), F.count_if("in_mix").alias("in_mix"), F.count_if(~F.col("in_mix")).alias("left_out"))
 
 
-def mix_sql(block_docs: int = BLOCK_DOCS, least_live: float = LEAST_LIVE, table: str = "documents") -> str:
-    """DuckDB SQL for mix_sources with the default weights and ids that are not null: CTEs whose last, ``mixed``, has
-    each row's place. All weights are whole numbers; nothing is rounded."""
+def mix_sql(block_docs: int = BLOCK_DOCS, least_live: float = LEAST_LIVE, table: str = "documents", weight: str | None = None) -> str:
+    """DuckDB SQL for mix_sources with the default weights, or ``weight``, a whole number without a common factor made from
+    src, and ids that are not null: CTEs whose last, ``mixed``, has each row's place. Nothing is rounded."""
+    damped = f"greatest(1, (raw * {PARTS} + (sum(raw) OVER ())::BIGINT // 2) // (sum(raw) OVER ())::BIGINT)"
     return f"""
     rows_ AS (SELECT *, coalesce('=' || source, '') AS src, md5(doc_id::VARCHAR) AS mkey FROM {table}),
     ranked AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY mkey, doc_id) - 1 AS rk FROM rows_),
     counts AS (SELECT src, count(*) AS docs FROM rows_ GROUP BY src),
     raws AS (SELECT src, docs, greatest(1, least(docs, floor((sum(docs) OVER () - docs) * {MOST_OF_OTHERS})))::BIGINT AS raw FROM counts),
-    slots AS (SELECT src, docs, greatest(1, (raw * {PARTS} + (sum(raw) OVER ())::BIGINT // 2) // (sum(raw) OVER ())::BIGINT) AS n FROM raws),
+    slots AS (SELECT src, docs, ({weight or damped})::BIGINT AS n FROM raws),
     period AS (SELECT sum(n)::BIGINT AS w FROM slots),
     fold(t, done, pick) AS (
       SELECT 0, map_from_entries(list((src, 0::BIGINT))), NULL::VARCHAR FROM slots

@@ -33,8 +33,10 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document's place in the mix."""
-    mixed = mixing.mix_sources(table(spark, sf_dir, "documents").select("doc_id", "source"))
+    """Every document's place in a mix whose weights are stated, whatever a source has: 1 to 5 by the number in its name."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source")
+    number = F.coalesce(F.regexp_extract("source", "([0-9]+)$", 1).try_cast("int"), F.lit(0))
+    mixed = mixing.mix_sources(docs, docs.select("source").distinct().withColumn("weight", 1 + number % 5))
     return mixed.select("doc_id", "source", F.col("block").cast("long").alias("block"), F.col("slot").cast("long").alias("slot"), F.col("slot_pos").cast("long").alias("slot_pos"), "in_mix")
 
 
@@ -110,7 +112,7 @@ pairs AS (SELECT a.vec_id AS query_id, b.vec_id, list_inner_product(a.q, b.q)::B
 SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score FROM pairs
 QUALIFY rank <= 20"""
 
-OP4_SQL = f"""WITH RECURSIVE {mixing.mix_sql()}
+OP4_SQL = f"""WITH RECURSIVE {mixing.mix_sql(weight="1 + coalesce(try_cast(regexp_extract(src, '([0-9]+)$', 1) AS INT), 0) % 5")}
 SELECT doc_id, source, block::BIGINT AS block, slot::BIGINT AS slot, slot_pos::BIGINT AS slot_pos, slot <= (SELECT h FROM horizon) AS in_mix FROM mixed"""
 
 OP6_SQL = f"""

@@ -135,9 +135,9 @@ def test_schedule_stays_within_one_block_of_the_exact_weights(spark, weights):
     names = [f"s{i:04}" for i in range(len(weights))]
     df = spark.createDataFrame(list(zip(names, weights, strict=True)), "src string, weight long")
     counts = df.select("src", F.lit(10**6).alias("docs"))
-    plan, period, block = mixing.mix_plan(df, counts)
+    plan, period = mixing.mix_plan(df, counts)
     total = sum(weights)
-    assert block == mixing.BLOCK_DOCS and total % period == 0
+    assert total % period == 0
     rows = {r.src: r for r in plan.collect()}
     slots = {n: [k * period + t for k in range(10) for t in rows[n].at] for n in names}  # ten periods
     assert sorted(t for x in slots.values() for t in x) == list(range(10 * period))
@@ -149,21 +149,51 @@ def test_schedule_stays_within_one_block_of_the_exact_weights(spark, weights):
 
 
 def test_schedule_without_a_short_period(spark):
-    """Weights with a long period: exact as far as the mix goes, in larger blocks where it were too long."""
+    """Weights with a long period: exact for as many slots as the rows need, or rounded to a period."""
     weights = [314159265, 271828182, 141421356, 57721566]
     df = spark.createDataFrame([(f"s{i}", w) for i, w in enumerate(weights)], "src string, weight long")
-    counts = spark.createDataFrame([("s0", 5000), ("s1", 4000), ("s2", 3000), ("s3", 10**6)], "src string, docs long")
-    plan, period, block = mixing.mix_plan(df, counts, block_docs=4, most_slots=1000)
+    total = sum(weights)
+    counts = spark.createDataFrame([("s0", 900), ("s1", 400), ("s2", 300), ("s3", 100)], "src string, docs long")
+    plan, period = mixing.mix_plan(df, counts, block_docs=4, most_slots=1000)
     rows = {r.src: r.at for r in plan.collect()}
-    n, total = sum(map(len, rows.values())), sum(weights)
-    assert period is None and block > 4 and 100 < n <= 1000
+    n = sum(map(len, rows.values()))
+    assert period is None and n == max(-(-(-(-d // 4)) * total // w) for d, w in zip((900, 400, 300, 100), weights, strict=True))
     assert [rows[f"s{i}"] for i in range(4)] == edf(weights, n)
     for i, w in enumerate(weights):
         assert all(abs(sum(t < k for t in rows[f"s{i}"]) * total - k * w) < total for k in range(n + 1))
+    many = spark.createDataFrame([("s0", 900), ("s1", 400), ("s2", 300), ("s3", 10**12)], "src string, docs long")
+    plan, period = mixing.mix_plan(df, many, block_docs=4, most_slots=1000)
+    rows = {r.src: r for r in plan.collect()}
+    parts = [rows[f"s{i}"].w for i in range(4)]
+    assert period == sum(parts) == 1000 and all(abs(p / 1000 - w / total) <= 1 / 1000 for p, w in zip(parts, weights, strict=True))
+    assert [rows[f"s{i}"].at for i in range(4)] == edf(parts, 1000)
+    small = mixing.in_parts(spark.createDataFrame([("a", 10**12), ("b", 1), ("c", 1)], "src string, w long"), 10**12 + 2, 100)
+    assert sorted(map(tuple, small.collect())) == [("a", 98), ("b", 1), ("c", 1)]
+
+
+@pytest.mark.parametrize("most", [mixing.MOST_SLOTS, 5000])
+def test_skewed_rows_under_weights_with_a_long_period_have_slots(spark, most):
+    """One source has five sixths of the rows; the weights' reduced sum is 300,013: every row has a place, blocks keep their
+    size, and the order of reading follows the weights while all sources have rows."""
+    docs = spark.range(60_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 50_000, "hot").when(F.col("id") % 2 == 0, "b").otherwise("c").alias("source"))
+    weights = {"hot": 100_003, "b": 99_991, "c": 100_019}
+    got = mixing.mix_sources(docs, spark.createDataFrame(list(weights.items()), "source string, weight long"), most_slots=most).toPandas()
+    assert got.slot.notna().all() and got.slot_pos.between(0, 15).all() and not got.duplicated(["slot", "slot_pos"]).any()
+    assert got.groupby(["source", "block"]).size().max() == 16 and got.groupby("slot").source.nunique().max() == 1
+    blocks = got.drop_duplicates(["source", "block"])
+    last = blocks.groupby("source").slot.max().min()
+    for name, w in weights.items():
+        own = np.sort(blocks[blocks.source == name].slot.to_numpy())
+        t = np.arange(last + 1)
+        asked = t * (w / 300_013)
+        assert np.abs(np.searchsorted(own, t) - asked).max() < (1 if most > 5000 else 1 + (last + 1) / most)
+
+
+def test_rounding_of_weights(spark):
     halves = mixing.whole_weights(spark.createDataFrame([("a", 0.5), ("b", 0.25), ("c", None), ("d", 0.0), ("e", -1.0), ("b", 0.125)], "src string, weight double"))
     assert {r.src: r.w for r in halves.collect()} == {"a": 4, "b": 3}
     with pytest.raises(ValueError, match="sum over"):
-        mixing.mix_plan(spark.createDataFrame([("a", 2**60), ("b", 1)], "src string, weight long"), counts)
+        mixing.mix_plan(spark.createDataFrame([("a", 2**60), ("b", 1)], "src string, weight long"), spark.createDataFrame([], "src string, docs long"))
 
 
 def test_mix_keeps_every_row(spark, docs, empty):
