@@ -3,19 +3,22 @@
 Terms of a text are its hashed words, the hashed pieces of its words, and the gaps at which its words recur;
 frequencies are square-rooted and weighted by inverse document frequency. A truncated singular value decomposition
 of the labelled texts gives the latent axes. The labelled vectors, a bounded number, are broadcast; every document
-is compared with all of them in blocks by exact cosine products, and its nearest neighbours vote by similarity.
+is compared with all of them in blocks by exact cosine products, and its nearest neighbours vote by similarity. A
+labelled text that equals the document's does not vote, so that no label is an input of its own document's score.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ._common import text_bytes
 from ._words import Words, word_slices
 
 #: Hashed words, hashed pieces of PIECE bytes, and gaps between a word and its next copy (1, 2, 3-4, 5-8, ... words).
@@ -59,6 +62,11 @@ def _block_vectors(column: pa.Array) -> Iterator[np.ndarray]:
         yield term_vectors(column.slice(at, BLOCK))
 
 
+def text_digests(column: pa.Array) -> list[bytes]:
+    """By which equal texts are told; null is empty."""
+    return [hashlib.blake2b(t, digest_size=16).digest() for t in text_bytes(column)]
+
+
 @dataclass(frozen=True)
 class Model:
     idf: np.ndarray  # (terms,)
@@ -66,16 +74,20 @@ class Model:
     vectors: np.ndarray  # (labelled, axes), of length 1
     labels: np.ndarray  # 0 or 1, both in the order of the ids
     weights: np.ndarray  # of a vote: the class's share of all labels over its share of the vectors
+    texts: dict[bytes, list[int]] = field(default_factory=dict)  # rows of the vectors by their text's digest
 
     def latent(self, terms: np.ndarray) -> np.ndarray:
         v = (terms * self.idf) @ self.axes
         return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
 
-    def scores(self, terms: np.ndarray) -> np.ndarray:
-        """Weighted share of label 1 among the nearest neighbours; 0 for texts without terms."""
+    def scores(self, column: pa.Array) -> np.ndarray:
+        """Weighted share of label 1 among the nearest neighbours with other texts; 0 for texts without terms."""
+        terms = term_vectors(column)
         if not len(self.labels):
             return np.zeros(len(terms))
         near = self.latent(terms) @ self.vectors.T
+        for i, digest in enumerate(text_digests(column)):
+            near[i, self.texts.get(digest, [])] = -2
         n = near.shape[1]
         k = min(NEIGHBOURS, n)
         # similarity and row in one number: of equal similarities the labelled text with the smaller id counts
@@ -110,13 +122,16 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, id_col:
     def terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [r.tobytes() for block in _block_vectors(batch.column(2)) for r in block.astype(np.float16)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(rows, pa.binary())], ["id", "label", "terms"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(rows, pa.binary()), pa.array(text_digests(batch.column(2)), pa.binary())], ["id", "label", "terms", "text"])
 
-    got = read.mapInArrow(terms, f"id {kind}, label int, terms binary").toArrow().sort_by([("id", "ascending"), ("label", "ascending")])
+    got = read.mapInArrow(terms, f"id {kind}, label int, terms binary, text binary").toArrow().sort_by([("id", "ascending"), ("label", "ascending")])
     y = got.column("label").to_numpy().astype(np.float64)
     x = np.frombuffer(b"".join(got.column("terms").to_pylist()), np.float16).reshape(-1, TERMS).astype(np.float32)
     keep = x.any(axis=1)
     x, y = x[keep], y[keep]
+    texts: dict[bytes, list[int]] = {}
+    for i, digest in enumerate(d for d, k in zip(got.column("text").to_pylist(), keep.tolist(), strict=True) if k):
+        texts.setdefault(digest, []).append(i)
     if not len(y):
         return Model(np.ones(TERMS, np.float32), np.zeros((TERMS, 1), np.float32), np.zeros((0, 1), np.float32), y, y)
     idf = (np.log((1 + len(x)) / (1 + (x > 0).sum(axis=0))) + 1).astype(np.float32)
@@ -124,7 +139,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, id_col:
     raw = Model(idf, axes, np.zeros((0, 1), np.float32), y, y)
     total = sum(share.values())
     weights = np.array([share.get(int(c), 0) / total / max(1, (y == c).sum()) for c in (0, 1)])[y.astype(int)]
-    return Model(idf, axes, raw.latent(x).astype(np.float32), y, weights / weights.max())
+    return Model(idf, axes, raw.latent(x).astype(np.float32), y, weights / weights.max(), texts)
 
 
 def _leading_axes(x: np.ndarray, n: int) -> np.ndarray:
@@ -140,7 +155,7 @@ def _leading_axes(x: np.ndarray, n: int) -> np.ndarray:
 def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, per_class: int = PER_CLASS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
     """Scores of whole texts: (id, held_out, score, predicted), one row for each input row.
 
-    Only the text is scored. Null, empty and blank texts score 0; without any labelled text all score 0. Of labelled
+    Only the text is scored, and labelled texts equal to it do not vote. Null, empty and blank texts score 0; without any labelled text all score 0. Of labelled
     texts that are equally near, those with smaller ids vote. Repeated rows score alike. Other columns are not read.
     """
     sent = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, per_class, id_col, text_col, label_col))
@@ -149,7 +164,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, p
         for batch in batches:
             for at in range(0, batch.num_rows, BLOCK):
                 own = batch.slice(at, BLOCK)
-                yield pa.RecordBatch.from_arrays([own.column(0), pa.array(sent.value.scores(term_vectors(own.column(1))), pa.float64())], ["id", "score"])
+                yield pa.RecordBatch.from_arrays([own.column(0), pa.array(sent.value.scores(own.column(1)), pa.float64())], ["id", "score"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     out = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(score, f"id {kind}, score double")
@@ -157,7 +172,9 @@ def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, p
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, per_class: int = PER_CLASS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
-    """The rows of docs that score at least the threshold, all columns kept; rows are scored where they are read."""
+    """The rows of docs that quality_scores gives the threshold or more, all columns kept, and as many of equal rows as
+    there are; rows are scored where they are read. Null and empty texts go (unless the threshold is 0); without labels
+    all rows score 0; a null id has no label."""
     sent = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, per_class, id_col, text_col, label_col))
     place = docs.columns.index(text_col)
 
@@ -165,6 +182,6 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, per_cl
         for batch in batches:
             for at in range(0, batch.num_rows, BLOCK):
                 own = batch.slice(at, BLOCK)
-                yield own.filter(pa.array(sent.value.scores(term_vectors(own.column(place))) >= threshold))
+                yield own.filter(pa.array(sent.value.scores(own.column(place)) >= threshold))
 
     return docs.mapInArrow(only, docs.schema)

@@ -291,6 +291,39 @@ def test_terms_by_brute_force():
     assert np.allclose(got, [brute_terms(t) for t in texts], atol=1e-6)
 
 
+def brute_score(model, text, labelled_texts):
+    """(score, similarities): the vote of the nearest vectors whose text is another, sorted in full."""
+    near = np.round(model.latent(quality.term_vectors(pa.array([text])))[0].astype(float) @ model.vectors.T.astype(float), quality.PLACES)
+    own = [k for k in range(len(near)) if labelled_texts[k] != (text or "")]
+    best = sorted(own, key=lambda k: (-near[k], k))[: quality.NEIGHBOURS]
+    vote = np.maximum(near[best], 0) ** quality.SHARPNESS * model.weights[best]
+    return ((vote * model.labels[best]).sum() / vote.sum() if vote.sum() else 0), near[own]
+
+
+def texts_of(model, texts):
+    """The text of each vector of a model."""
+    known = dict(zip(quality.text_digests(pa.array(texts)), texts, strict=True))
+    out = {k: known[d] for d, rows in model.texts.items() for k in rows}
+    return [out[k] for k in range(len(model.labels))]
+
+
+def test_own_labels_do_not_vote(spark):
+    """Labels that say nothing: labelled documents score no better by them than others, copies of them included."""
+    rng = np.random.default_rng(11)
+    words = [f"w{i}" for i in range(60)]
+    texts = [" ".join(rng.choice(words, 40)) for _ in range(700)]
+    texts[600:] = texts[:100]  # under other ids, with labels of their own
+    y = rng.integers(0, 2, 700)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(v)) for i, v in enumerate(y)], "doc_id long, quality int")
+    got = quality.quality_scores(docs, labels).toPandas().sort_values("doc_id")
+    known = ~got.held_out.to_numpy()
+    assert abs(np.corrcoef(got.score[known], y[known])[0, 1]) < 0.15 and got.score.between(0, 1).all()
+    assert np.allclose(got.score[600:], got.score[:100], atol=1e-3)
+    alone = quality.quality_scores(docs.limit(1), labels)
+    assert alone.first().score == 0  # nothing else to be like
+
+
 def test_neighbours_by_brute_force(spark):
     """Scores from all exact cosines, sorted in full; the labelled texts hold copies, so that many similarities tie."""
     rng = np.random.default_rng(2)
@@ -302,11 +335,9 @@ def test_neighbours_by_brute_force(spark):
     got = quality.quality_scores(docs, labels, per_class=100).collect()
     text = dict((i, t) for i, t, _ in labelled) | dict(asked)
     assert len(got) == len(labelled) + len(asked)
+    labelled_texts = texts_of(model, list(text.values()))
     for r in got[::5]:
-        near = np.round(model.latent(quality.term_vectors(pa.array([text[r.doc_id]])))[0].astype(float) @ model.vectors.T.astype(float), quality.PLACES)
-        best = sorted(range(len(near)), key=lambda k: (-near[k], k))[: quality.NEIGHBOURS]
-        vote = np.maximum(near[best], 0) ** quality.SHARPNESS * model.weights[best]
-        want = (vote * model.labels[best]).sum() / vote.sum() if vote.sum() else 0
+        want, near = brute_score(model, text[r.doc_id], labelled_texts)
         edge = sorted(near, reverse=True)[quality.NEIGHBOURS - 1]
         if sum(abs(near - edge) < 3 * 10.0**-quality.PLACES) == sum(near == edge):  # no similarity on a rounding border
             assert abs(r.score - want) < 1e-3
@@ -469,11 +500,9 @@ def test_pipeline_against_brute_force(spark, tmp_path):
         got = sorted(r.doc_id for r in kept.select("doc_id").collect())
         if place == 0:
             model, want = quality.fit(docs, labels), []
+            labelled_texts = texts_of(model, [t or "" for _, t, _ in rows])
             for i, t, _ in rows:
-                near = np.round(model.latent(quality.term_vectors(pa.array([t])))[0].astype(float) @ model.vectors.T.astype(float), quality.PLACES)
-                best = sorted(range(len(near)), key=lambda k: (-near[k], k))[: quality.NEIGHBOURS]
-                vote = np.maximum(near[best], 0) ** quality.SHARPNESS * model.weights[best]
-                score = (vote * model.labels[best]).sum() / vote.sum() if vote.sum() else 0
+                score, _ = brute_score(model, t, labelled_texts)
                 want += [i] if score >= 0.7 else []
                 assert (score >= 0.7) == (i in got) or abs(score - 0.7) < 0.05, i
             assert len(set(want) ^ set(got)) <= 1
