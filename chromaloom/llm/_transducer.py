@@ -40,6 +40,7 @@ def _grouped(state: np.ndarray, n: int) -> np.ndarray:
 
 def _spread(cuts: np.ndarray, states: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(which of states, arc) for all arcs of states, in order."""
+    states = states.astype(np.int64, copy=False)
     n = cuts[states + 1] - cuts[states]
     which = np.repeat(np.arange(len(states)), n)
     return which, np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n) + cuts[states][which]
@@ -85,7 +86,7 @@ def paths(t: Transducer) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     out, states = [], np.zeros(1, np.int64)
     for level in t.levels:
         parent, arc = _spread(level.cuts, states)
-        out.append((parent, level.label[arc], level.weight[arc]))
+        out.append((parent, level.label[arc].astype(np.int64), level.weight[arc].astype(np.int64)))
         states = level.target[arc]
     return out
 
@@ -116,7 +117,7 @@ def union(parts: Iterable[Transducer]) -> tuple[list[bytes], list[tuple[np.ndarr
             weight.append(level.weight[arc])
             target.append(level.target[arc])
             sizes.append(len(arc))
-        at, label, weight = (np.concatenate(x) for x in (at, label, weight))
+        at, label, weight = (np.concatenate(x).astype(np.int64, copy=False) for x in (at, label, weight))
         key, number = np.unique(at * np.int64(max(1, len(vocab))) + label, return_inverse=True)
         total = np.zeros(len(key), np.int64)
         np.add.at(total, number, weight)
@@ -183,8 +184,8 @@ def load(blob: bytes) -> Transducer:
         kind, n = struct.unpack_from("<BQ", blob, at)
         a = np.frombuffer(blob, _KINDS[kind], n, at + 9)
         at += 9 + a.nbytes
-        arrays.append(a.astype(np.int64))
-    ends = (at + np.cumsum(arrays[0])).tolist()
+        arrays.append(a)  # arcs stay as narrow as they were stored until they are walked
+    ends = (at + np.cumsum(arrays[0], dtype=np.int64)).tolist()
     vocab = [blob[a:b] for a, b in zip([at, *ends], ends, strict=False)]
-    levels = [Level(np.concatenate([[0], np.cumsum(arrays[i])]), *arrays[i + 1 : i + 4]) for i in range(1, 1 + 4 * DEPTH, 4)]
+    levels = [Level(np.concatenate([[0], np.cumsum(arrays[i], dtype=np.int64)]), *arrays[i + 1 : i + 4]) for i in range(1, 1 + 4 * DEPTH, 4)]
     return Transducer(vocab, levels)

@@ -32,7 +32,7 @@ NO_LANG, SCALE = "und", 1_000_000
 #: Bytes that part pieces, and all bytes that part words.
 BREAKS = b".,;:!?\n\x0b\x0c\r"
 #: Ranges for each shuffle partition.
-RANGES_PER_PARTITION = 1
+RANGES_PER_PARTITION = 2
 
 _GAPS, _BREAK = np.zeros(256, bool), np.zeros(256, bool)
 _BREAK[list(BREAKS)] = True
@@ -299,7 +299,7 @@ def collocations(docs: DataFrame, least: int = LEAST, share: int = SHARE, top: i
     count, l and r the counts of its parts at the cut with the lowest score, n the language's words. Phrases that
     occur under ``least`` times are none, nor those of which ``share`` percent lie in one longer phrase. Order: score
     and count, greatest first, then the phrase in byte order. A null language is NO_LANG, null and empty texts have no
-    words, repeated rows count each, other columns are not read; no rows give none. n_ranges: prefix ranges, one for
+    words, repeated rows count each, other columns are not read; no rows give none. n_ranges: prefix ranges, two for
     each shuffle partition by default.
     """
     spark = docs.sparkSession
