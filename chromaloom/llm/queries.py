@@ -140,26 +140,29 @@ def _sql_regex(pattern: str) -> str:
     return _quoted(pattern.replace("*+", "*"))
 
 
-def _decoded_ctes(source: str, key: str, columns: tuple[str, ...]) -> str:
-    """CTEs whose last, ``decoded`` (key, which, t), has the columns of ``source`` with HTML5's character references
-    decoded: texts are cut into references and the rest, which are put together again."""
+def _decoded_ctes(source: str, key: str) -> str:
+    """CTEs whose last, ``decoded`` (key, which, t), has the texts of ``source`` (key, which, attribute, t) with HTML5's
+    character references decoded, by the rule of attributes or of text: texts are cut into references and the rest, which
+    are put together again."""
     named = ", ".join(f"({_quoted(n)}, {_quoted(c)})" for n, c in html.entities.html5.items())
     low = ", ".join(f"({n}, {'chr(13)' if n == 13 else _quoted(html.unescape(f'&#{n};'))})" for n in range(160) if n not in (9, 10, 12, 32))
     gone = "n BETWEEN 64976 AND 65007 OR n % 65536 IN (65534, 65535)"  # noncharacters
-    cut = " UNION ALL ".join(f"SELECT {key}, '{c}' AS which, regexp_extract_all({c}, {_sql_regex(f'{warc.REFERENCE.pattern}|[^&]+|&')}) AS l FROM {source}" for c in columns)
+    cuts = [f"regexp_extract_all(t, {_sql_regex(f'{p.pattern}|[^&]+|&')})" for p in (warc.ATTRIBUTE_REFERENCE, warc.REFERENCE)]
     return f"""
 refs(name, c) AS (VALUES {named}),
 low(n, c) AS (VALUES {low}),
-cut AS ({cut}),
-pieces AS (SELECT {key}, which, unnest(l) AS piece, unnest(range(len(l))) AS i FROM cut),
-marks AS (SELECT DISTINCT piece FROM pieces WHERE length(piece) > 1 AND piece[1] = '&'),
-numbers AS (SELECT piece, CASE WHEN length(d) > 12 THEN 9999999 ELSE d::BIGINT END AS n FROM (SELECT piece, CASE WHEN piece[3] IN ('x', 'X') THEN '0x' || right('0' || ltrim(regexp_extract(piece, '[0-9a-fA-F]+', 0), '0'), 12)
+cut AS (SELECT {key}, which, attribute, CASE WHEN attribute THEN {cuts[0]} ELSE {cuts[1]} END AS l FROM {source}),
+pieces AS (SELECT {key}, which, attribute, unnest(l) AS piece, unnest(range(len(l))) AS i FROM cut),
+marks AS (SELECT DISTINCT piece, attribute FROM pieces WHERE length(piece) > 1 AND piece[1] = '&'),
+numbers AS (SELECT piece, attribute, CASE WHEN length(d) > 12 THEN 9999999 ELSE d::BIGINT END AS n FROM (SELECT piece, attribute, CASE WHEN piece[3] IN ('x', 'X') THEN '0x' || right('0' || ltrim(regexp_extract(piece, '[0-9a-fA-F]+', 0), '0'), 12)
     ELSE '0' || ltrim(regexp_extract(piece, '[0-9]+', 0), '0') END AS d FROM marks WHERE piece[2] = '#')),
 known AS (
-  SELECT piece, CASE WHEN n BETWEEN 55296 AND 57343 OR n > 1114111 THEN chr(65533) WHEN {gone} THEN '' ELSE coalesce(c, chr(n::INTEGER)) END AS t FROM numbers LEFT JOIN low USING (n)
+  SELECT piece, attribute, CASE WHEN n BETWEEN 55296 AND 57343 OR n > 1114111 THEN chr(65533) WHEN {gone} THEN '' ELSE coalesce(c, chr(n::INTEGER)) END AS t FROM numbers LEFT JOIN low USING (n)
   UNION ALL
-  SELECT piece, max_by(c || substr(piece, length(name) + 2), length(name)) AS t FROM marks JOIN refs ON starts_with(substr(piece, 2), name) WHERE piece[2] <> '#' GROUP BY piece),
-decoded AS (SELECT {key}, which, string_agg(coalesce(replace(t, chr(160), ' '), piece), '' ORDER BY i) AS t FROM pieces LEFT JOIN known USING (piece) GROUP BY {key}, which)"""
+  SELECT piece, false, max_by(c || substr(piece, length(name) + 2), length(name)) AS t FROM marks JOIN refs ON starts_with(substr(piece, 2), name) WHERE piece[2] <> '#' AND NOT attribute GROUP BY piece
+  UNION ALL
+  SELECT piece, true, c FROM marks JOIN refs ON substr(piece, 2) = name WHERE attribute),
+decoded AS (SELECT {key}, which, string_agg(coalesce(replace(t, chr(160), ' '), piece), '' ORDER BY i) AS t FROM pieces LEFT JOIN known USING (piece, attribute) GROUP BY {key}, which)"""
 
 
 def op10_sql() -> str:
@@ -167,19 +170,26 @@ def op10_sql() -> str:
         h = f"md5('{kind}:' || {key})"
         return "'<urn:uuid:' || " + " || '-' || ".join(f"substr({h}, {at}, {n})" for at, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))) + " || '>'"
 
-    body = f"regexp_replace(regexp_replace(regexp_replace(html, {_sql_regex(warc.HIDDEN)}, ' ', 'g'), {_sql_regex(warc.BREAKS)}, chr(10), 'g'), {_sql_regex(warc.TAGS)}, '', 'g')"
+    body = f"regexp_replace(regexp_replace(regexp_replace(html, {_sql_regex(warc.HEAD)}, ' ', 'g'), {_sql_regex(warc.BREAKS)}, chr(10), 'g'), {_sql_regex(warc.TAGS)}, '', 'g')"
+    first = f"list_filter(regexp_extract_all(t, {_sql_regex(warc.ATTRIBUTE)}), lambda a: regexp_matches(a, {_sql_regex(warc.HREF)}))[1]"
+    tags = f"list_filter(regexp_extract_all(html, {_sql_regex(warc.LINK_TAG)}, 1), lambda t: t <> '')"
     eol = "chr(13) || chr(10)"
     lengths = "'Content-Length: ' || octet_length(encode(html))"
     heads = "".join(f" || {eol} || 'source-header: ' || {_quoted(h)}" for h in warc.HEADERS) + f" || {eol} || 'source-header: ' || {lengths}"
     return f"""
 WITH p AS (SELECT page_id, coalesce(url, '') AS url, coalesce(html, '') AS html FROM pages),
-raw AS (SELECT page_id, {body} AS body, regexp_extract(html, {_sql_regex(warc.TITLE)}, 1) AS title FROM p),
-{_decoded_ctes("raw", "page_id", ("body", "title"))},
-texts AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(t, '[ \t\r\f]+', ' ', 'g'), ' ?\n[ \n]*', chr(10), 'g'), '^[ \n]+|[ \n]+$', '', 'g') AS txt FROM decoded WHERE which = 'body'),
-titles AS (SELECT page_id, regexp_replace(regexp_replace(t, '[ \t\r\n\f]+', ' ', 'g'), '^ +| +$', '', 'g') AS title FROM decoded WHERE which = 'title'),
+seen AS (SELECT page_id, regexp_replace(html, {_sql_regex(warc.HIDDEN)}, ' ', 'g') AS html FROM p),
+hrefs AS (SELECT page_id, list_transform(list_filter(list_transform({tags}, lambda t: {first}), lambda a: a IS NOT NULL), lambda a: regexp_replace(a, {_sql_regex(warc.HREF)}, '')) AS l FROM seen),
+written AS (SELECT page_id, unnest(l) AS v, unnest(range(len(l))) AS i FROM hrefs),
+raw AS (SELECT page_id, -2 AS which, false AS attribute, {body} AS t FROM seen UNION ALL SELECT page_id, -1, false, regexp_extract(html, {_sql_regex(warc.TITLE)}, 1) FROM seen
+  UNION ALL SELECT page_id, i, true, CASE WHEN v[1] IN (chr(34), chr(39)) THEN substr(v, 2, length(v) - 2) ELSE v END FROM written),
+{_decoded_ctes("raw", "page_id")},
+lists AS (SELECT page_id, list(v ORDER BY which) AS links FROM (SELECT page_id, which, regexp_replace(regexp_replace(t, '[\t\n\r]', '', 'g'), '^ +| +$', '', 'g') AS v FROM decoded WHERE which >= 0) WHERE v <> '' GROUP BY page_id),
+texts AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(t, '[ \t\r\f]+', ' ', 'g'), ' ?\n[ \n]*', chr(10), 'g'), '^[ \n]+|[ \n]+$', '', 'g') AS txt FROM decoded WHERE which = -2),
+titles AS (SELECT page_id, regexp_replace(regexp_replace(t, '[ \t\r\n\f]+', ' ', 'g'), '^ +| +$', '', 'g') AS title FROM decoded WHERE which = -1),
 r AS (SELECT page_id, url AS target_uri, html, {uuid("response", "coalesce(page_id::VARCHAR, 'null') || '|' || url || '|' || sha256(html)")} AS rid,
   'sha256:' || sha256(html) AS payload_digest, concat_ws({eol}, {", ".join(map(_quoted, (warc.STATUS, *warc.HEADERS)))}, {lengths}) AS head,
-  coalesce(txt, '') AS txt, coalesce(title, '') AS title, regexp_extract_all(html, {_sql_regex(warc.LINK)}, 1) AS links FROM p LEFT JOIN texts USING (page_id) LEFT JOIN titles USING (page_id)),
+  coalesce(txt, '') AS txt, coalesce(title, '') AS title, coalesce(links, []) AS links FROM p LEFT JOIN texts USING (page_id) LEFT JOIN titles USING (page_id) LEFT JOIN lists USING (page_id)),
 m AS (SELECT *, 'refers-to: ' || rid || {eol} || 'source-status: {warc.STATUS}'{heads} || {eol}
   || 'source-payload-digest: ' || payload_digest || {eol} || 'title: ' || title || {eol} || 'outlinks: ' || len(links) || {eol}
   || coalesce(list_reduce(list_transform(links, lambda x: 'outlink: ' || x || {eol}), lambda x, y: x || y, ''), '') AS block FROM r)

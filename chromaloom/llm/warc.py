@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import gzip
 import html as html_names
+import html.entities
 import re
 from collections.abc import Iterator
 
@@ -17,16 +18,24 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: The inside of a tag, where a > may stand in quotes; HTML parts without text (an unclosed one goes on to the end);
-#: tags that end a line; all tags. SQL has the same patterns, but for *+, which only saves Java from deep recursion.
+#: The inside of a tag, where a > may stand in quotes; what has no text, title or links (an unclosed one goes on to the
+#: end); tags that end a line; all tags. SQL has the same patterns, but for *+, which only saves Java from deep recursion.
 INSIDE = r"""[^>"']*(?:(?:"[^"]*"|'[^']*')[^>"']*)*+"""
-HIDDEN = rf"(?is)<!--.*?(?:-->|\z)|<script\b{INSIDE}>.*?(?:</script\b[^>]*>|\z)|<style\b{INSIDE}>.*?(?:</style\b[^>]*>|\z)|<head\b{INSIDE}>.*?</head\b[^>]*>"
+HIDDEN = rf"(?is)<!--.*?(?:-->|\z)|<script\b{INSIDE}>.*?(?:</script\b[^>]*>|\z)|<style\b{INSIDE}>.*?(?:</style\b[^>]*>|\z)"
+HEAD = rf"(?is)<head\b{INSIDE}>.*?</head\b[^>]*>"
 BREAKS = rf"(?i)</?(?:p|div|br|li|ul|ol|h[1-6]|tr|table|article|section|header|footer|nav|blockquote|pre)\b{INSIDE}>"
 TAGS = rf"<[a-zA-Z/!?]{INSIDE}>|<[a-zA-Z/!?][^>]*>"
 #: A character reference, named, decimal or hexadecimal, as in HTML5.
 REFERENCE = re.compile(r"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)")
 TITLE = r"(?is)<title\b[^>]*>(.*?)</title\s*>"
-LINK = r"(?i)<a\b[^>]*?\bhref\s*=\s*[\"']?([^\"'\s>]+)"
+#: White space in tags. Links: tags are taken one by one, so that none is found in a quoted value, and only <a ...> is
+#: given back; attributes are taken one by one, so that the name is href and nothing else.
+WS = r"[ \t\n\f\r]"
+LINK_TAG = rf"(?i)(<a(?:{WS}|/){INSIDE}>)|<[a-zA-Z/!?]{INSIDE}>"
+ATTRIBUTE = rf"""[^ \t\n\f\r"'>/=]+(?:{WS}*={WS}*(?:"[^"]*"|'[^']*'|[^ \t\n\f\r"'>][^ \t\n\f\r>]*))?"""
+HREF = rf"(?i)^href{WS}*={WS}*"
+#: A character reference in an attribute: without a semicolon, and before a letter, digit or =, it is none.
+ATTRIBUTE_REFERENCE = re.compile(r"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[a-zA-Z][a-zA-Z0-9]*[;=]?)")
 #: Of pages without a date or an HTTP head of their own: the date, and the head's first lines.
 DATE = "2024-01-01T00:00:00Z"
 STATUS, HEADERS = "HTTP/1.1 200 OK", ("Content-Type: text/html; charset=utf-8",)
@@ -44,27 +53,67 @@ def decoded_text(s: str) -> str:
     return REFERENCE.sub(char, s) if "&" in s else s
 
 
+def decoded_value(s: str) -> str:
+    """All references of an attribute's value, as HTML5 has them there; the rest as in decoded_text."""
+
+    def char(m: re.Match) -> str:
+        known = m[0][1] == "#" or m[0][1:] in html_names.entities.html5
+        return decoded_text(m[0]) if known else m[0]
+
+    return ATTRIBUTE_REFERENCE.sub(char, s) if "&" in s else s
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _decoded_values(c: pd.Series) -> pd.Series:
+    return c.map(lambda values: [decoded_value(v) for v in values], na_action="ignore")
+
+
 @F.pandas_udf(T.StringType())
 def _decoded(c: pd.Series) -> pd.Series:
     return c.map(decoded_text, na_action="ignore")
 
 
+def visible(html: Column) -> Column:
+    """Without comments, scripts and styles; null is empty."""
+    return F.regexp_replace(F.coalesce(html, F.lit("")), HIDDEN, " ")
+
+
 def html_text(html: Column) -> Column:
     """Plain text: comments, scripts, styles and the head go; block tags break lines; white space is squeezed."""
-    c = F.regexp_replace(F.coalesce(html, F.lit("")), HIDDEN, " ")
-    c = F.regexp_replace(F.regexp_replace(c, BREAKS, "\n"), TAGS, "")
+    return _text(visible(html))
+
+
+def html_title(html: Column) -> Column:
+    """The first title outside comments, scripts and styles, decoded, white space squeezed; empty where there is none."""
+    return _title(visible(html))
+
+
+def html_links(html: Column) -> Column:
+    """What the a tags outside comments, scripts and styles link to, in order, repeats included, as written but decoded and
+    without line ends and tabs: the first href of each tag. Tags that are not closed, and those without a href or with an
+    empty one, give none; a null html gives an empty array."""
+    return _links(visible(html))
+
+
+def _text(html: Column) -> Column:
+    c = F.regexp_replace(F.regexp_replace(F.regexp_replace(html, HEAD, " "), BREAKS, "\n"), TAGS, "")
     c = F.regexp_replace(_decoded(c), "[ \t\r\f]+", " ")
     c = F.regexp_replace(c, " ?\n[ \n]*", "\n")
     return F.regexp_replace(c, "^[ \n]+|[ \n]+$", "")
 
 
-def html_title(html: Column) -> Column:
-    c = F.regexp_replace(_decoded(F.regexp_extract(F.coalesce(html, F.lit("")), TITLE, 1)), "[ \t\r\n\f]+", " ")
+def _title(html: Column) -> Column:
+    c = F.regexp_replace(_decoded(F.regexp_extract(html, TITLE, 1)), "[ \t\r\n\f]+", " ")
     return F.regexp_replace(c, "^ +| +$", "")
 
 
-def html_links(html: Column) -> Column:
-    return F.regexp_extract_all(F.coalesce(html, F.lit("")), F.lit(LINK), F.lit(1))
+def _links(html: Column) -> Column:
+    tags = F.filter(F.regexp_extract_all(html, F.lit(LINK_TAG), F.lit(1)), lambda t: t != "")
+    first = F.transform(tags, lambda t: F.get(F.filter(F.regexp_extract_all(t, F.lit(ATTRIBUTE), F.lit(0)), lambda a: a.rlike(HREF)), F.lit(0)))
+    bare = F.transform(F.array_compact(first), lambda a: F.regexp_replace(a, HREF, ""))
+    value = F.transform(bare, lambda v: F.when(v.substr(1, 1).isin('"', "'"), v.substr(F.lit(2), F.length(v) - 2)).otherwise(v))
+    clean = F.transform(_decoded_values(value), lambda v: F.regexp_replace(F.regexp_replace(v, "[\t\n\r]", ""), "^ +| +$", ""))
+    return F.filter(clean, lambda v: v != "")
 
 
 def record_id(kind: str, key: Column) -> Column:
@@ -116,7 +165,8 @@ def derivatives(found: DataFrame) -> DataFrame:
     response's identifier; source_headers its HTTP head without the last blank line, each header of which is a line
     of the metadata block. An empty payload has an empty conversion block, no title and no links.
     """
-    df = found.withColumns({"title": html_title(F.col("payload")), "links": html_links(F.col("payload")), "conversion_block": html_text(F.col("payload")), "source_headers": F.regexp_replace("http", "(\r\n)+$", "")})
+    df = found.withColumn("__seen", visible(F.col("payload")))
+    df = df.withColumns({"title": _title(F.col("__seen")), "links": _links(F.col("__seen")), "conversion_block": _text(F.col("__seen")), "source_headers": F.regexp_replace("http", "(\r\n)+$", "")})
     heads = F.split("source_headers", "\r\n")
 
     def many(name: str, values: Column) -> Column:
