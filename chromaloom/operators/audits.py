@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.color import FILTER_TYPES
 from ..functions.geometry import MAX_U, MIN_U, pxu_to_px
 from .catalog import live
-from .iterate import checkpoint, settled
+from .iterate import above, checkpoint
 
 
 def no_master(projects: DataFrame, images: DataFrame) -> DataFrame:
@@ -53,17 +53,12 @@ def source_cycles(images: DataFrame) -> DataFrame:
 
 
 def unreachable_active(images: DataFrame) -> DataFrame:
-    """(project_id, id): active live images that no live master of their project leads to."""
+    """(project_id, id): active live images that no live master of their project leads to, by however many links."""
     own = live(images)
-    edges = own.filter("source_image_id is not null").select(F.col("source_image_id").alias("up"), F.col("id").alias("below"))
-    roots = own.filter("kind = 'master'").select("project_id", "id")
-
-    def grow(front: DataFrame, seen: DataFrame) -> DataFrame:
-        found = front.join(edges, front["id"] == edges["up"]).select("project_id", F.col("below").alias("id")).distinct()
-        return found.join(seen, ["project_id", "id"], "left_anti")
-
-    reached = settled(roots, grow)
-    return own.filter("is_active").select("project_id", "id").join(reached, ["project_id", "id"], "left_anti")
+    links = own.filter("source_image_id is not null").select("id", F.col("source_image_id").alias("up"))
+    masters = own.filter("kind = 'master'").select("project_id", F.col("id").alias("stop"))
+    led = above(links, masters.select(F.col("stop").alias("id"))).join(masters, "stop").select("project_id", "id")
+    return own.filter("is_active").select("project_id", "id").join(led, ["project_id", "id"], "left_anti")
 
 
 def state_binding(images: DataFrame, states: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .iterate import checkpoint, settled
+from .iterate import checkpoint, above
 
 #: Image kinds in the order in which rows may be deleted, filters before all of them.
 DELETE_ORDER = ("trace_output", "trace_base", "filter_working_copy", "working_copy", "master")
@@ -128,15 +128,12 @@ def delete_closure(images: DataFrame, roots: DataFrame) -> DataFrame:
     """(project_id, root_id, id, depth, storage_bucket, storage_path): live images below each live root, itself
     included, within its project. roots: (project_id, image_id). An image met twice keeps its least depth."""
     own = live(images).select("project_id", "id", "source_image_id", "storage_bucket", "storage_path")
+    key = lambda c: F.struct("project_id", F.col(c).alias("id"))
+    there = own.select(key("id").alias("up"))
+    links = own.filter("source_image_id is not null").select(key("id").alias("id"), key("source_image_id").alias("up")).join(there, "up", "left_semi")
     start = roots.select("project_id", F.col("image_id").alias("id")).distinct().join(own, ["project_id", "id"], "left_semi")
-    front = start.select("project_id", F.col("id").alias("root_id"), "id", F.lit(0).alias("depth"))
-    edges = own.select("project_id", F.col("source_image_id").alias("up"), F.col("id").alias("below")).filter("up is not null")
-
-    def grow(front: DataFrame, seen: DataFrame) -> DataFrame:
-        found = front.join(edges, (front["project_id"] == edges["project_id"]) & (front["id"] == edges["up"])).select(front["project_id"], "root_id", F.col("below").alias("id"), (F.col("depth") + 1).alias("depth")).distinct()
-        return found.join(seen.select("project_id", "root_id", "id"), ["project_id", "root_id", "id"], "left_anti").select("project_id", "root_id", "id", "depth")
-
-    return settled(front, grow).join(own.drop("source_image_id"), ["project_id", "id"]).select("project_id", "root_id", "id", "depth", "storage_bucket", "storage_path")
+    found = above(links, start.select(key("id").alias("id"))).select("id.project_id", F.col("stop.id").alias("root_id"), "id.id", F.col("depth").cast("int").alias("depth"))
+    return found.join(own.drop("source_image_id"), ["project_id", "id"]).select("project_id", "root_id", "id", "depth", "storage_bucket", "storage_path")
 
 
 def delete_plan(images: DataFrame, filters: DataFrame) -> DataFrame:

@@ -1,10 +1,8 @@
-"""Loops over tables: grow a front until nothing new is found, with reliable checkpoints."""
+"""Loops over tables with reliable checkpoints: ways up a forest by doubled links; places over a whole table."""
 
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Callable
-from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -30,23 +28,34 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-#: Fronts that are read one by one before they are stored as one table.
-FRONTS = 8
+def above(links: DataFrame, stops: DataFrame) -> DataFrame:
+    """(id, stop, depth): for each id all stops on its way up, itself included, and the least steps to each. links: (id, up);
+    stops: (id).
 
-
-def settled(start: DataFrame, grow: Callable[[DataFrame, DataFrame], DataFrame]) -> DataFrame:
-    """The union of ``start`` and all fronts. grow(front, seen) gives the next front, which must hold new rows only, so
-    that the loop ends however deep it goes; an empty one ends it. Only fronts are written, and every FRONTS of them
-    once more as one table, so that plans stay short."""
-    front = checkpoint(start)
-    fronts = [front]
-    while True:
-        front = checkpoint(grow(front, reduce(DataFrame.unionByName, fronts)))
-        if front.isEmpty():
-            return reduce(DataFrame.unionByName, fronts)
-        fronts.append(front)
-        if len(fronts) > FRONTS:
-            fronts = [checkpoint(reduce(DataFrame.unionByName, fronts))]
+    Ways are doubled: after a round each reaches twice as far or has met a stop. A round in which no way ended leaves only
+    ways that go round for ever. So a chain of n links takes log2(n) rounds of two joins, whatever hangs on it; then the
+    stops, each with the next one above it, are paired with all above them in the same manner."""
+    links = checkpoint(links.select("id", "up").filter("up is not null").distinct())
+    stops = checkpoint(stops.select("id").distinct())
+    marked = links.join(stops.select(F.col("id").alias("up"), F.lit(True).alias("stop")), "up", "left")
+    met = checkpoint(marked.filter("stop").select("id", F.col("up").alias("stop"), F.lit(1).cast("long").alias("depth")))
+    ways = checkpoint(marked.filter("stop is null").select("id", F.col("up").alias("at"), F.lit(1).cast("long").alias("depth")))
+    before, n = -1, ways.count()
+    while n not in (0, before):
+        far = ways.select(F.col("id").alias("at"), F.col("at").alias("further"), F.col("depth").alias("more"))
+        end = met.select(F.col("id").alias("at"), "stop", F.col("depth").alias("more"))
+        met = checkpoint(met.union(ways.join(end, "at").select("id", "stop", (F.col("depth") + F.col("more")).alias("depth"))))
+        ways = checkpoint(ways.join(far, "at").select("id", F.col("further").alias("at"), (F.col("depth") + F.col("more")).alias("depth")))
+        before, n = n, ways.count()
+    own = stops.select("id", F.col("id").alias("stop"), F.lit(0).cast("long").alias("depth"))
+    pairs, before = checkpoint(own.union(met.join(stops, "id", "left_semi"))), -1
+    while (n := pairs.count()) != before:
+        far = pairs.select(F.col("id").alias("stop"), F.col("stop").alias("further"), F.col("depth").alias("more"))
+        longer = pairs.join(far, "stop").select("id", F.col("further").alias("stop"), (F.col("depth") + F.col("more")).alias("depth"))
+        pairs, before = checkpoint(longer.groupBy("id", "stop").agg(F.min("depth").alias("depth"))), n
+    first = met.join(stops, "id", "left_anti").withColumnRenamed("stop", "first").withColumnRenamed("depth", "more")
+    rest = first.join(pairs.withColumnRenamed("id", "first"), "first").select("id", "stop", (F.col("depth") + F.col("more")).alias("depth"))
+    return pairs.union(rest.groupBy("id", "stop").agg(F.min("depth").alias("depth")))
 
 
 def numbered(df: DataFrame, by: list[str], name: str) -> DataFrame:

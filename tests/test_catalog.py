@@ -3,7 +3,7 @@
 import datetime
 
 import pytest
-from chromaloom.operators import audits, catalog, reports, storage
+from chromaloom.operators import audits, catalog, iterate, reports, storage
 from chromaloom.sources import catalogue
 from chromaloom.streaming import errors
 from pyspark.sql import functions as F
@@ -136,10 +136,45 @@ def test_suites_of_any_depth_are_read(spark):
 
 
 def test_lineage_deeper_than_any_cap(spark):
-    """A chain of 67 images: all of it is below its master."""
-    own = images(spark, [("i000", "p", None, "master", False, None)] + [(f"i{k:03}", "p", f"i{k - 1:03}", "working_copy", k == 66, None) for k in range(1, 67)])
+    """A chain of 80 images: all of it is below its master, and its end can be reached."""
+    own = images(spark, [("i000", "p", None, "master", False, None)] + [(f"i{k:03}", "p", f"i{k - 1:03}", "working_copy", k == 79, None) for k in range(1, 80)])
     got = catalog.delete_closure(own, spark.createDataFrame([("p", "i000")], "project_id string, image_id string"))
-    assert {(r.id, r.depth) for r in got.collect()} == {(f"i{k:03}", k) for k in range(67)}
+    assert {(r.id, r.depth) for r in got.collect()} == {(f"i{k:03}", k) for k in range(80)}
+    assert audits.unreachable_active(own).count() == 0
+    assert [r.id for r in audits.unreachable_active(own.filter("id <> 'i040'")).collect()] == ["i079"]
+
+
+def test_a_chain_of_ten_thousand_takes_few_jobs(spark):
+    n = 10_000
+    links = spark.range(1, n).select("id", (F.col("id") - 1).alias("up"))
+    group = "ten thousand"
+    spark.sparkContext.setJobGroup(group, group)
+    got = iterate.above(links, spark.range(1).union(spark.range(7000, 7001)))
+    assert got.count() == n + 3000 and got.filter("depth <> id - stop").count() == 0
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs < 400
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_ways_up_by_brute_force(spark, seed):
+    """Random forests with cycles, links to nothing, stops above stops and stops on cycles."""
+    import random
+
+    rng = random.Random(seed)
+    up = {i: rng.randrange(60) if rng.random() < 0.3 else i - 1 - rng.randrange(3) for i in range(50)}
+    stops = set(rng.sample(range(55), 9))
+    want = {}
+    for i in {*up, *stops}:
+        at, depth = i, 0
+        while at is not None and depth <= 120:
+            if at in stops:
+                want.setdefault((i, at), depth)
+            at, depth = up.get(at), depth + 1
+    links = spark.createDataFrame([*up.items(), (3, None)], "id int, up int")
+    got = iterate.above(links, spark.createDataFrame([(s,) for s in stops] * 2, "id int")).collect()
+    assert {(r.id, r.stop): r.depth for r in got} == want and len(got) == len(want)
+    assert iterate.above(links, spark.createDataFrame([], "id int")).count() == 0
 
 
 def brute_chain(start, rows):
