@@ -108,7 +108,24 @@ def d7_select_paints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dither.select_paints(pixels(spark, sf_dir), palette(spark, sf_dir), 6)
 
 
-@query()
+def _kmeans_sql(k: int, rounds: int = 15) -> str:
+    """Centres as a list in one row: the farthest colour joins while there are fewer than k, then means replace them."""
+    gap = "(c.l - colors.l) * (c.l - colors.l) + (c.a - colors.a) * (c.a - colors.a) + (c.b - colors.bb) * (c.b - colors.bb)"
+    here = "{'l': colors.l, 'a': colors.a, 'b': colors.bb}"
+    mean = lambda v: f"((2 * sum(n * {v})::HUGEINT + sum(n)) // (2 * sum(n)))::BIGINT"
+    return f"""WITH RECURSIVE {PIXELS}, colors AS (SELECT r, g, b, n, floor({_OKC[0]} * 1e6::DOUBLE + 0.5::DOUBLE)::BIGINT AS l, floor({_OKC[1]} * 1e6::DOUBLE + 0.5::DOUBLE)::BIGINT + {dither.SHIFT} AS a, floor({_OKC[2]} * 1e6::DOUBLE + 0.5::DOUBLE)::BIGINT + {dither.SHIFT} AS bb
+  FROM (SELECT r, g, b, count(*) AS n FROM pixels GROUP BY ALL)),
+start AS (SELECT 1 AS m, (SELECT [{here}] FROM colors ORDER BY n DESC, r, g, b LIMIT 1) AS cs
+  UNION ALL SELECT m + 1, list_append(any_value(cs), arg_min({here}, [-list_min(list_transform(cs, lambda c: {gap})), r, g, b])) FROM start, colors WHERE m < {k} GROUP BY m),
+means AS (SELECT 0 AS round, cs FROM start WHERE m = {k}
+  UNION ALL (WITH near AS (SELECT list_sort(list_transform(cs, lambda c, i: [{gap}, i]))[1][2] AS i, colors.* FROM means, colors),
+  new AS (SELECT i, {{'l': {mean('l')}, 'a': {mean('a')}, 'b': {mean('bb')}}} AS c FROM near GROUP BY i),
+  both_ AS (SELECT any_value(round) AS round, any_value(cs) AS cs, list(coalesce(new.c, cs[k.i]) ORDER BY k.i) AS moved FROM means, range(1, {k} + 1) k(i) LEFT JOIN new ON new.i = k.i)
+  SELECT round + 1, moved FROM both_ WHERE round < {rounds} AND moved <> cs))
+SELECT (i - 1)::INT AS cluster, cs[i].l / 1e6::DOUBLE AS ok_l, (cs[i].a - {dither.SHIFT}) / 1e6::DOUBLE AS ok_a, (cs[i].b - {dither.SHIFT}) / 1e6::DOUBLE AS ok_b FROM (SELECT cs FROM means ORDER BY round DESC LIMIT 1), range(1, {k} + 1) t(i)"""
+
+
+@query(_kmeans_sql(6))
 def d8_kmeans_colors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dither.kmeans_colors(pixels(spark, sf_dir), 6)
 

@@ -411,3 +411,38 @@ def test_names_by_palette(spark):
     got = sorted(map(tuple, pal.assign_names_by(chips, names, "p").collect()))
     want = [(p, *r) for p in range(3) for r in sorted(map(tuple, pal.assign_names(chips.filter(f"p = {p}").drop("p"), names.filter(f"p = {p}").drop("p")).collect()))]
     assert got == want
+
+
+def brute_kmeans(rows, k, rounds=15):
+    """rows: (count, whole-number place) in the order of their colours."""
+    gap = lambda p, c: sum((x - y) ** 2 for x, y in zip(p, c, strict=True))
+    centres = [max(rows, key=lambda r: r[0])[1]]  # max and min keep the first of equals
+    while len(centres) < k:
+        far = max(rows, key=lambda r: min(gap(r[1], c) for c in centres))[1]
+        if far in centres:
+            break
+        centres.append(far)
+    for _ in range(rounds):
+        parts = [[] for _ in centres]
+        for n, p in rows:
+            parts[min(range(len(centres)), key=lambda i: (gap(p, centres[i]), i))].append((n, p))
+        moved = [tuple((2 * sum(n * p[c] for n, p in part) + sum(n for n, _ in part)) // (2 * sum(n for n, _ in part)) for c in range(3)) if part else centres[i] for i, part in enumerate(parts)]
+        if moved == centres:
+            break
+        centres = moved
+    return centres
+
+
+def test_kmeans_does_not_depend_on_partitions(spark):
+    rng = np.random.default_rng(7)
+    rgb = np.repeat(rng.integers(0, 256, (90, 3)), rng.integers(1, 9, 90), axis=0)
+    pix = spark.createDataFrame([(1, i, 0, *map(int, c)) for i, c in enumerate(rgb)], "image_id int, x int, y int, r int, g int, b int")
+    counts = dither._with_lab(pix.groupBy("r", "g", "b").count(), 1.0).orderBy("r", "g", "b").collect()
+    rows = [(r["count"], (int(np.floor(r["__l"] * 1e6 + 0.5)), *(int(np.floor(r[c] * 1e6 + 0.5)) + dither.SHIFT for c in ("__a", "__b")))) for r in counts]
+    for k in (1, 5):
+        want = [(i, c[0] / 1e6, (c[1] - dither.SHIFT) / 1e6, (c[2] - dither.SHIFT) / 1e6) for i, c in enumerate(brute_kmeans(rows, k))]
+        for parts in (1, 23):
+            assert sorted(map(tuple, dither.kmeans_colors(pix.repartition(parts), k).collect())) == want
+    assert dither.kmeans_colors(pix.limit(3), 9).count() <= 3 and dither.kmeans_colors(pix.limit(0), 4).count() == 0
+    with pytest.raises(ValueError):
+        dither.kmeans_colors(pix, 0)
