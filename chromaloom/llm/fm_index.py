@@ -31,11 +31,13 @@ def suffix_order(ids: np.ndarray, depth: int) -> np.ndarray:
 
 
 class FmIndex:
-    """Counts and finds word patterns of at most ``depth`` words in a text of word numbers (0 ends a part)."""
+    """Counts and finds word patterns of at most ``depth`` words in a text of word numbers (0 ends a part). weights: how
+    many times each word of the text counts, where that is not once."""
 
-    def __init__(self, ids: np.ndarray, depth: int):
+    def __init__(self, ids: np.ndarray, depth: int, weights: np.ndarray | None = None):
         self.ids, self.n = ids, len(ids)
         order = suffix_order(ids, depth)
+        self.weight = None if weights is None else np.concatenate([[0], np.cumsum(weights[order])])  # of suffixes, in order
         seq = ids[order - 1]  # the word before each suffix; the text's last before its first
         self.first = np.concatenate([[0], np.cumsum(np.bincount(ids))]).astype(np.int64)
         symbols = len(self.first) - 1
@@ -78,7 +80,7 @@ class FmIndex:
                 at = at - 1
                 c = self.ids[at]
                 lo, hi = self.extended(c, lo, hi)
-            short = hi - lo < least
+            short = (hi - lo if self.weight is None else self.weight[hi] - self.weight[lo]) < least
             if short.any():
                 fail[act[short]] = at[short]
                 on = ~short

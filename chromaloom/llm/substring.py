@@ -8,7 +8,9 @@ union of the reports is exact.
 
 A run that very many windows share is split by what is next to it: those windows are sampled again by longer runs,
 up to the window itself, and what occurs once on the way goes. Windows that are still common then are a passage that
-stands in very many texts: its stretches are made distinct, with a count, before they are indexed.
+stands in very many texts. Its stretches are cut, at places that depend on the words alone, into pieces of under two
+windows that share all but one word of a window, so that each window is in one piece; a passage or filler of any length
+is then a few pieces, very often. Each piece is indexed once with its count, and backward search adds the counts.
 """
 
 from __future__ import annotations
@@ -61,7 +63,8 @@ def _distinct_texts(docs: DataFrame, text_col: str, n_bytes: int) -> tuple[DataF
 
 
 def _sampled(window: int, gram: int):
-    """(tid, at, text) -> (gram, tid, at, n): each part's sampled runs and how often it has them."""
+    """(tid, at, text, weight) -> (gram, tid, at, n, w): each part's sampled runs, how often it has them, and that times
+    the part's weight."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -73,7 +76,8 @@ def _sampled(window: int, gram: int):
                 owner, g = owner[order], found.gram[order]
                 new = np.flatnonzero(np.r_[True, (owner[1:] != owner[:-1]) | (g[1:] != g[:-1])]) if len(g) else np.zeros(0, np.int64)
                 n, own = np.diff(np.r_[new, len(g)]), first + owner[new]
-                yield pa.RecordBatch.from_arrays([pa.array(g[new].view(np.int64)), pa.array(tids[own]), pa.array(ats[own]), pa.array(n.astype(np.int32))], ["gram", "tid", "at", "n"])
+                weight = batch.column(3).to_numpy()[own]
+                yield pa.RecordBatch.from_arrays([pa.array(g[new].view(np.int64)), pa.array(tids[own]), pa.array(ats[own]), pa.array(n.astype(np.int64)), pa.array(n * weight)], ["gram", "tid", "at", "n", "w"])
 
     return run
 
@@ -90,13 +94,13 @@ def _unions(a: np.ndarray, b: np.ndarray, group: np.ndarray) -> tuple[np.ndarray
 
 
 def _stretches(window: int, gram: int, shards: int, level: int):
-    """(tid, at, ask, cold, hot, text) -> stretches of text for the shards of the part's cold runs, and, with shard -1
+    """(tid, at, ask, cold, hot, text, weight) -> stretches of text for the shards of the part's cold runs, and, with shard -1
     and single spaces, those of its hot runs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         width = window - gram + 1
         for batch in batches:
-            tids, ats, ask = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+            tids, ats, ask, weights = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1, 2, 6))
             lists = [(batch.column(i).flatten().to_numpy().view(np.uint64), batch.column(i).value_lengths().fill_null(0).to_numpy(zero_copy_only=False)) for i in (3, 4)]
             base = [np.concatenate([[0], np.cumsum(n)]) for _, n in lists]
             for first, rows, words in word_slices(batch.column(5)):
@@ -117,9 +121,9 @@ def _stretches(window: int, gram: int, shards: int, level: int):
                     if hot:
                         texts = [b" ".join(t.split()) for t in texts]
                     begun = np.searchsorted(words.text, text)
-                    out.append((shard + (0 if hot else level << 32), tids[first + text], ats[first + text] + a - begun, (end - a).astype(np.int64), texts, ask[first + text]))
-                for shard, tid, at, size, texts, asked in out:
-                    yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int64()), pa.array(tid), pa.array(at, pa.int64()), pa.array(size), pa.array(texts, pa.binary()), pa.array(asked)], ["shard", "tid", "at", "size", "stretch", "ask"])
+                    out.append((shard + (0 if hot else level << 32), tids[first + text], ats[first + text] + a - begun, (end - a).astype(np.int64), texts, ask[first + text], weights[first + text]))
+                for shard, tid, at, size, texts, asked, weight in out:
+                    yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int64()), pa.array(tid), pa.array(at, pa.int64()), pa.array(size), pa.array(texts, pa.binary()), pa.array(asked), pa.array(weight)], ["shard", "tid", "at", "size", "stretch", "ask", "weight"])
 
     return run
 
@@ -144,7 +148,8 @@ def _reported(window: int):
             size[i] = len(words)
             ids.append(np.fromiter((number.setdefault(w, len(number) + 1) for w in words), np.int64, len(words)))
             ids.append(np.zeros(1, np.int64))
-        index = FmIndex(np.concatenate(ids), window)
+        weight = table.column("weight").to_numpy()
+        index = FmIndex(np.concatenate(ids), window, np.repeat(weight, size + 1) if (weight != 1).any() else None)
         del ids, number
         start = np.cumsum(size + 1) - size - 1
         windows = np.where(table.column("ask").to_numpy(zero_copy_only=False), np.maximum(size - window + 1, 0), 0)
@@ -183,30 +188,74 @@ def _cleaned(window: int):
     return run
 
 
-_STRETCHES = "shard long, tid long, at long, size long, stretch binary, ask boolean"
+def _pieces(window: int, gram: int):
+    """(tid, at, ask, text) -> (tid, at, ask, text, digest): the pieces of each stretch, and where they begin in the text.
+
+    Each window has a run of ``gram`` words of least hash. A piece is the windows that follow each other with one such run
+    at one place: the last of equal ones, when a new one is to be taken. So it has under two windows' words, and its ends
+    depend on what is near alone; where all runs are equal it goes as far as it can."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        width = window - gram + 1
+        for batch in batches:
+            tids, ats, ask = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+            for first, _, words in word_slices(batch.column(3)):
+                found = samples(words.hashes(), words.text, window, gram)
+                if not len(found.at):
+                    continue
+                least, place, hashes = found.least, found.at, found.gram
+                begins, lasts = [], []
+                windows = np.flatnonzero(least)
+                # the last sampled place in each window that has the window's least hash
+                by = np.lexsort((place, hashes))
+                key = hashes[by]
+                code = np.searchsorted(values := np.unique(key), least[windows])
+                line = np.searchsorted(values, key) * (len(least) + window) + place[by]
+                last = line[np.searchsorted(line, code * (len(least) + window) + windows + width - 1, "right") - 1] - code * (len(least) + window)
+                ends = np.append(np.flatnonzero((np.diff(windows) != 1) | (least[windows][1:] != least[windows][:-1])), len(windows) - 1)  # of one least hash
+                at, k = 0, 0
+                while at < len(windows):
+                    while ends[k] < at:
+                        k += 1
+                    stop = min(int(ends[k]), at + int(last[at]) - int(windows[at]))
+                    begins.append(at)
+                    lasts.append(stop)
+                    at = stop + 1
+                a, end = windows[begins], windows[lasts] + window
+                view, text = memoryview(words.data), words.text[a]
+                pieces = [bytes(view[s:e]) for s, e in zip(words.start[a].tolist(), words.end[end - 1].tolist(), strict=True)]
+                begun = np.searchsorted(words.text, text)
+                yield pa.RecordBatch.from_arrays([pa.array(tids[first + text]), pa.array(ats[first + text] + a - begun), pa.array(ask[first + text]), pa.array(pieces, pa.binary()), pa.array([hashlib.sha256(p).digest() for p in pieces], pa.binary())], ["tid", "at", "ask", "text", "digest"])
+
+    return run
+
+
+_STRETCHES = "shard long, tid long, at long, size long, stretch binary, ask boolean, weight long"
 
 
-def _sharded(texts: DataFrame, window: int, lengths: list[int], hot: int, digests: bool) -> tuple[DataFrame, DataFrame | None]:
-    """(stretches in shards, stretches that stay hot at the last length or None) of texts (tid, at, ask, text).
+def _sharded(texts: DataFrame, window: int, lengths: list[int], hot: int, first: bool) -> tuple[DataFrame, DataFrame | None]:
+    """(stretches in shards, stretches that stay hot at the last length or None) of texts (tid, at, ask, text, weight).
 
-    digests: texts is stored in buckets of its column digest, by which it is joined."""
+    first: texts is stored in buckets of its column digest, by which it is joined. Where not, texts are distinct pieces of
+    common stretches, and what is common among them at the last length goes to the shard of its window."""
     parts, done = texts, []
     for level, gram in enumerate(lengths):
-        sampled = stored(parts.select("tid", "at", "text").mapInArrow(_sampled(window, gram), "gram long, tid long, at long, n int"))
-        runs = checkpoint(sampled.groupBy("gram").agg(F.sum("n").alias("n")).filter("n > 1"))
-        total, most = runs.agg(F.coalesce(F.sum(F.when(F.col("n") <= hot, F.col("n"))), F.lit(0)), F.max("n")).first()
+        most_cold = hot if first or level + 1 < len(lengths) else (1 << 63) - 1
+        sampled = stored(parts.select("tid", "at", "text", "weight").mapInArrow(_sampled(window, gram), "gram long, tid long, at long, n long, w long"))
+        runs = checkpoint(sampled.groupBy("gram").agg(F.sum("n").alias("n"), F.sum("w").alias("w")).filter("w > 1"))
+        total, most = runs.agg(F.coalesce(F.sum(F.when(F.col("n") <= most_cold, F.col("n"))), F.lit(0)), F.max("n")).first()
         shards = max(LEAST_SHARDS, total * (window + 14) // SHARD_WORDS)
-        is_hot = F.col("r.n") > hot
+        is_hot = F.col("r.n") > most_cold
         lists = sampled.alias("s").join(runs.alias("r"), "gram").groupBy("tid", "at").agg(F.collect_list(F.when(~is_hot, F.col("gram"))).alias("cold"), F.collect_list(F.when(is_hot, F.col("gram"))).alias("hot"))
-        if level == 0 and digests:
+        if level == 0 and first:
             lists = lists.join(parts.select("tid", "digest"), "tid").select("digest", "cold", "hot")
             asked = parts.join(lists, "digest")
         else:
             asked = parts.join(lists, ["tid", "at"])
-        found = stored(asked.select("tid", "at", "ask", "cold", "hot", "text").mapInArrow(_stretches(window, gram, shards, level), _STRETCHES))
+        found = stored(asked.select("tid", "at", "ask", "cold", "hot", "text", "weight").mapInArrow(_stretches(window, gram, shards, level), _STRETCHES))
         done.append(found.filter("shard >= 0"))
-        left = found.filter("shard < 0").select("tid", "at", "size", "ask", F.col("stretch").alias("text"))
-        if most is None or most <= hot:
+        left = found.filter("shard < 0").select("tid", "at", "size", "ask", F.col("stretch").alias("text"), "weight")
+        if most is None or most <= most_cold:
             return reduce(DataFrame.union, done), None
         parts = left
     return reduce(DataFrame.union, done), parts
@@ -214,29 +263,25 @@ def _sharded(texts: DataFrame, window: int, lengths: list[int], hot: int, digest
 
 def _judged(sharded: DataFrame, window: int) -> DataFrame:
     """Stretches in shards -> (tid, low, high): an index for each shard."""
-    return sharded.select("shard", "tid", "at", "stretch", "ask").groupBy("shard").applyInArrow(_reported(window), "tid long, low long, high long")
+    return sharded.select("shard", "tid", "at", "stretch", "ask", "weight").groupBy("shard").applyInArrow(_reported(window), "tid long, low long, high long")
 
 
 def repeated_spans(texts: DataFrame, window: int = WINDOW, gram: int = GRAM, hot: int = HOT) -> DataFrame:
     """Distinct texts (digest, text, copies, tid) -> (tid, low, high): word intervals covered by windows that
     occur elsewhere. Texts with copies are not asked about (all their windows repeat), but others meet them."""
-    own = texts.select("digest", "tid", F.lit(0).cast("long").alias("at"), (F.col("copies") == 1).alias("ask"), "text")
-    cold, common = _sharded(own, window, run_lengths(window, gram), hot, True)
+    own = texts.select("digest", "tid", F.lit(0).cast("long").alias("at"), (F.col("copies") == 1).alias("ask"), "text", F.lit(1).cast("long").alias("weight"))
+    lengths = run_lengths(window, gram)
+    cold, common = _sharded(own, window, lengths, hot, True)
     spans = _judged(cold, window)
     if common is None:
         return spans
-    # each distinct stretch once, with its count: of those that stand in two places all windows repeat, the others
-    # meet them in indexes of their own
-    common = common.withColumn("digest", F.unhex(F.sha2("text", 256)))
-    distinct = stored(common.groupBy("digest").agg(F.first("text").alias("text"), F.count("*").alias("n")).withColumns({"tid": F.monotonically_increasing_id(), "at": F.lit(0).cast("long")}))
-    places = common.filter("ask").select("digest", F.col("tid").alias("text_id"), F.col("at").alias("from"), "size")
-    often = places.join(distinct.filter("n > 1").select("digest"), "digest").select(F.col("text_id").alias("tid"), F.col("from").alias("low"), (F.col("from") + F.col("size")).alias("high"))
-    spans = spans.union(often)
-    if not distinct.filter("n = 1").isEmpty():
-        alone, _ = _sharded(distinct.select("tid", "at", (F.col("n") == 1).alias("ask"), "text"), window, [gram], 1 << 62, False)
-        found = _judged(alone, window).join(distinct.select("tid", "digest"), "tid").select("digest", "low", "high")
-        spans = spans.union(places.join(found, "digest").select(F.col("text_id").alias("tid"), (F.col("from") + F.col("low")).alias("low"), (F.col("from") + F.col("high")).alias("high")))
-    return spans
+    pieces = stored(common.select("tid", "at", "ask", "text").mapInArrow(_pieces(window, gram), "tid long, at long, ask boolean, text binary, digest binary"))
+    distinct = pieces.groupBy("digest").agg(F.first("text").alias("text"), F.count("*").alias("weight"), F.max("ask").alias("ask"))
+    distinct = stored(distinct.withColumns({"tid": F.monotonically_increasing_id(), "at": F.lit(0).cast("long")}))
+    sharded, _ = _sharded(distinct.select("tid", "at", "ask", "text", "weight"), window, lengths, hot, False)
+    found = _judged(sharded, window).join(distinct.select("tid", "digest"), "tid").groupBy("digest").agg(F.collect_list(F.struct("low", "high")).alias("spans"))
+    places = pieces.filter("ask").select("tid", "at", "digest").join(found, "digest").select("tid", "at", F.explode("spans").alias("s"))
+    return spans.union(places.select("tid", (F.col("at") + F.col("s.low")).alias("low"), (F.col("at") + F.col("s.high")).alias("high")))
 
 
 def substring_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot: int = HOT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -289,3 +289,57 @@ def test_substring_with_a_passage_far_above_the_threshold(spark):
 
 def test_run_lengths():
     assert substring.run_lengths(35, 8) == [8, 15, 22, 29, 35] and substring.run_lengths(10, 3) == [3, 5, 7, 9, 10]
+
+
+def common_texts(rng, n):
+    """Texts that share passages, fillers of one, two and three words, at many lengths and places; some alone."""
+    passage = [f"p{i}" for i in range(60)]
+    out = []
+    for k in range(n):
+        own = [f"o{k}x{i}" for i in range(rng.randrange(12))]
+        cut = sorted(rng.sample(range(61), 2))
+        kind = k % 4
+        filler = [["pad"], ["ab", "ac"], ["x", "y", "z"]][k % 3] * 60
+        part = passage[cut[0] : cut[1]] if kind == 0 else filler[: rng.randrange(8, 70)] if kind < 3 else passage[cut[0] :] + filler[: rng.randrange(40)]
+        out.append(" ".join([*own, *part, *own[:3], *(part if k % 17 == 0 else [])]))
+    return out
+
+
+@pytest.mark.parametrize("hot", [1, 3, 12])
+def test_common_passages_and_fillers(spark, hot):
+    rng = random.Random(hot)
+    rows = list(enumerate(common_texts(rng, 160)))
+    rows += [(1000, rows[0][1]), (1001, "once " * 30), (1002, "solo " * 10)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substring.substring_dedup(df, 10, 3, hot).collect()}
+    assert got == dict(zip((i for i, _ in rows), brute_cover([t for _, t in rows], 10), strict=True))
+
+
+def test_pieces_hold_each_window_once(spark):
+    rng = random.Random(5)
+    texts = [" ".join(t.split()) for t in common_texts(rng, 80)]
+    df = spark.createDataFrame([(i, 100, True, bytearray(t.encode())) for i, t in enumerate(texts)], "tid long, at long, ask boolean, text binary")
+    rows = df.mapInArrow(substring._pieces(10, 3), "tid long, at long, ask boolean, text binary, digest binary").collect()
+    held = collections.Counter()
+    for r in rows:
+        w = bytes(r.text).decode().split()
+        own = texts[r.tid].split()
+        assert 10 <= len(w) < 20 and own[r["at"] - 100 :][: len(w)] == w
+        held.update((r.tid, r["at"] - 100 + k) for k in range(len(w) - 9))
+    assert held == collections.Counter((i, k) for i, t in enumerate(texts) for k in range(len(t.split()) - 9))
+
+
+def test_fillers_of_many_lengths_are_few_pieces(spark, monkeypatch):
+    """Five thousand texts of one filler, each of another length, far above the threshold: few rows in any shard."""
+    rows = [(k, "pad " * (36 + k % 400) + f"end{k}") for k in range(5000)]
+    seen, whole = [], substring._judged
+
+    def judged(sharded, window):
+        seen.append(sharded.groupBy("shard").count().collect())
+        return whole(sharded, window)
+
+    monkeypatch.setattr(substring, "_judged", judged)
+    texts = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.n_words, r.n_removed) for r in substring.substring_dedup(texts, hot=64).collect()}
+    assert got == {k: (37 + k % 400, 36 + k % 400) for k, _ in rows}
+    assert len(seen) == 2 and max((r["count"] for part in seen for r in part), default=0) < 50
