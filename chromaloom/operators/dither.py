@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import lru_cache
+from importlib.resources import files
 
 import numpy as np
 import pandas as pd
@@ -18,21 +20,24 @@ DITHER_MODES = ("none", "knoll_yliluoma", "floyd_steinberg", "texture")
 MOST_SWAPS = 100
 #: Distances that a k-medoids search has in memory at once (64 MB).
 TABLE_CELLS = 1 << 23
+# Side of the threshold tile, width of its bump, share of first points, seed.
+TILE, SIGMA, FIRST_SHARE, SEED = 256, 1.9, 0.1, 1729
 
 
 def threshold(x: Column, y: Column) -> Column:
-    """0..255 by place in a 256 x 256 tile: an ordered pattern in which each value occurs 256 times.
+    """0..255 by place in a 256 x 256 tile of blue noise, in which each value occurs 256 times: blue_noise_tile. Any other
+    pattern can be given to the operators as a table (x, y, v)."""
+    place = F.pmod(y.cast("int"), F.lit(TILE)) * TILE + F.pmod(x.cast("int"), F.lit(TILE)) + 1
+    return F.conv(F.hex(F.substr(F.lit(bytearray(blue_noise_tile())), place, F.lit(1))), 16, 10).cast("int")
 
-    The bits of x xor y and of y are interleaved, the lowest first. Any other pattern can be given to the
-    operators as a table (x, y, v)."""
-    a, out = x.cast("int").bitwiseXOR(y.cast("int")), F.lit(0)
-    for k in range(4):  # the four lowest bits of each make the eight highest of the rank
-        for bits, shift in ((a, 7 - 2 * k), (y.cast("int"), 6 - 2 * k)):
-            out = out + F.shiftleft(F.shiftright(bits, k).bitwiseAND(1), shift)
-    return out
 
+@lru_cache(maxsize=1)
+def blue_noise_tile() -> bytes:
+    """The stored tile, row by row: what blue_noise() gives (a test makes it anew)."""
+    return files(__package__).joinpath("blue_noise.bin").read_bytes()
 
-def blue_noise(size: int = 256, sigma: float = 1.9, share: float = 0.1, seed: int = 1729) -> np.ndarray:
+
+def blue_noise(size: int = TILE, sigma: float = SIGMA, share: float = FIRST_SHARE, seed: int = SEED) -> np.ndarray:
     """(size, size) thresholds 0..255 without low frequencies, by void and cluster (Ulichney 1993): a table to make once
     and give to dither_ky and texture as rows (x, y, v). Every value stands in as many places as any other, within one."""
     reach = int(np.ceil(4 * sigma))

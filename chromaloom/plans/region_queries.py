@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,7 +13,7 @@ from .palette_queries import SNAPPED, cells, snapped
 from .registry import query
 
 
-_BAYER = " + ".join(f"((((xor(x, y)) >> {k}) & 1) << {7 - 2 * k}) + (((y >> {k}) & 1) << {6 - 2 * k})" for k in range(4))
+_NOISE = f"('0x' || substr('{dither.blue_noise_tile().hex()}', ((y % 256 * 256 + x % 256) * 2 + 1)::INT, 2))::INT"
 
 
 _OKC = oklab_sql("r", "g", "b")
@@ -54,7 +52,7 @@ def _ky_sql(n: int) -> str:
             f"k{i} AS (SELECT k.r, k.g, k.b, l, a, bb, sl + p.ok_l AS sl, sa + p.ok_a AS sa, sb + p.ok_b AS sb, list_append(picks, {{'l': p.ok_l, 'i': {i}, 'c': chip_idx}}) AS picks"
             f" FROM k{i - 1} k, palette p QUALIFY row_number() OVER (PARTITION BY k.r, k.g, k.b ORDER BY {d}, chip_idx) = 1)"
         )
-    t = re.sub(r"\b([xy])\b", r"c\1", _BAYER)
+    t = _NOISE.replace("y % 256", "cy % 256").replace("x % 256", "cx % 256")
     return f"WITH {SNAPPED}, {', '.join(steps)} SELECT image_id, cx, cy, list_sort(picks)[({t}) * {n} // 256 + 1].c AS chip_idx FROM cells JOIN k{n} USING (r, g, b)".replace("[] AS picks", "[]::STRUCT(l DOUBLE, i INTEGER, c INTEGER)[] AS picks")
 
 
@@ -91,7 +89,7 @@ def painted(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {PIXELS}, painted AS (SELECT image_id, x, y, CASE WHEN (r + g) % 16 < 13 THEN 0 ELSE ((r + g) % 16)::INT END AS c FROM pixels),
 off1 AS (SELECT dx, dy FROM range(-1, 2) a(dx), range(-1, 2) b(dy) WHERE dx <> 0 OR dy <> 0), off2 AS (SELECT dx, dy, (dy + 2) * 5 + dx + 2 AS at_ FROM range(-2, 3) a(dx), range(-2, 3) b(dy) WHERE dx <> 0 OR dy <> 0),
 same AS (SELECT p.image_id, p.x, p.y, p.c, sum((q.c = p.c)::INT) AS n FROM painted p, off1 JOIN painted q ON q.image_id = p.image_id AND q.x = p.x + dx AND q.y = p.y + dy GROUP BY ALL),
-gives AS (SELECT * FROM same WHERE ({_BAYER}) / 255.0::DOUBLE < 0.9::DOUBLE * pow(n / 8.0::DOUBLE, 3)),
+gives AS (SELECT * FROM same WHERE ({_NOISE}) / 255.0::DOUBLE < 0.9::DOUBLE * pow(n / 8.0::DOUBLE, 3)),
 votes AS (SELECT p.image_id, p.x, p.y, q.c, count(*) AS n, min(at_) AS at_ FROM gives p, off2 JOIN painted q ON q.image_id = p.image_id AND q.x = p.x + dx AND q.y = p.y + dy WHERE q.c <> p.c GROUP BY ALL),
 won AS (SELECT image_id, x, y, c FROM votes QUALIFY row_number() OVER (PARTITION BY image_id, x, y ORDER BY n DESC, at_) = 1)
 SELECT p.image_id, p.x AS cx, p.y AS cy, coalesce(w.c, p.c) AS chip_idx FROM painted p LEFT JOIN won w ON w.image_id = p.image_id AND w.x = p.x AND w.y = p.y""")

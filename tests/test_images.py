@@ -162,6 +162,14 @@ def test_medoids_in_blocks(monkeypatch):
                 assert (w * d[:, [*np.delete(got, i), c]].min(1)).sum() >= cost - 1e-9
 
 
+def test_the_stored_tile_is_the_rule_s(spark):
+    tile = np.frombuffer(dither.blue_noise_tile(), np.uint8).reshape(dither.TILE, dither.TILE)
+    assert (tile == dither.blue_noise()).all() and set(np.bincount(tile.ravel())) == {256}
+    at = [(0, 0), (3, 200), (255, 255), (256, 511), (-1, -2), (1000, 77)]
+    got = spark.createDataFrame(at, "x int, y int").select(dither.threshold(F.col("x"), F.col("y"))).collect()
+    assert [r[0] for r in got] == [int(tile[y % 256, x % 256]) for x, y in at]
+
+
 def test_blue_noise():
     tile = dither.blue_noise(32)
     assert sorted(np.unique(tile, return_counts=True)[1]) == [4] * 256
