@@ -100,6 +100,56 @@ def test_write_traces(spark, tmp_path):
     assert {(r.project_id, r.kind, r.n) for r in out.collect()} == {(1, "a", 20), (2, "b", 12)}
 
 
+def trace_files(tmp_path):
+    return {f: f.stat().st_mtime_ns for f in (tmp_path / "t" / "data").rglob("*.parquet")}
+
+
+def test_a_run_of_one_project_writes_one_bucket(spark, tmp_path):
+    kind, path = "project_id int, kind string, at int, n int", f"file://{tmp_path}/t"
+    first = catalogue.write_traces(spark.createDataFrame([(p, k, 1, p) for p in range(40) for k in "ab"], kind), path, 8)
+    before = trace_files(tmp_path)
+    out = catalogue.write_traces(spark.createDataFrame([(7, "a", 0, 700)], kind), path)
+    new = set(trace_files(tmp_path)) - set(before)
+    assert len({f.parent.parent for f in new}) == 1 and {f: t for f, t in trace_files(tmp_path).items() if f in before} == before
+    assert {(r.project_id, r.kind): r.n for r in out.collect()} == {(p, k): 700 if (p, k) == (7, "a") else p for p in range(40) for k in "ab"}
+    assert {r.n for r in first.collect()} == set(range(40))  # a reader of the version before sees it still
+    assert catalogue.write_traces(spark.createDataFrame([], kind), path).count() == 80
+    assert catalogue.read_traces(spark, f"file://{tmp_path}/none", out.schema).count() == 0
+
+
+def test_half_written_versions_are_not_read(spark, tmp_path):
+    kind, path = "project_id int, kind string, at int, n int", f"file://{tmp_path}/t"
+    out = catalogue.write_traces(spark.createDataFrame([(1, "a", 1, 1)], kind), path)
+    (tmp_path / "t" / "manifest" / f"{2:012}").write_text('{"0/64": "run=lo')
+    assert [tuple(r) for r in catalogue.read_traces(spark, path, out.schema).collect()] == [(1, "a", 1, 1)]
+
+
+def test_of_two_runs_at_once_the_second_builds_on_the_first(spark, tmp_path, monkeypatch):
+    kind, path = "project_id int, kind string, at int, n int", f"file://{tmp_path}/t"
+    catalogue.write_traces(spark.createDataFrame([(1, "a", 1, 1)], kind), path, 1)
+    commit, met = catalogue._commit, []
+
+    def late(spark_, path_, version, buckets):
+        if not met:  # another run commits between our reading and our commit
+            met.append(version)
+            catalogue.write_traces(spark.createDataFrame([(2, "b", 1, 2)], kind), path_)
+        commit(spark_, path_, version, buckets)
+
+    monkeypatch.setattr(catalogue, "_commit", late)
+    out = catalogue.write_traces(spark.createDataFrame([(3, "c", 1, 3)], kind), path)
+    assert sorted(map(tuple, out.collect())) == [(1, "a", 1, 1), (2, "b", 1, 2), (3, "c", 1, 3)]
+    monkeypatch.setattr(catalogue, "_manifest", lambda *a: (0, {}))
+    with pytest.raises(catalogue.Lost):
+        catalogue.write_traces(spark.createDataFrame([(4, "c", 1, 3)], kind), path, 1)
+
+
+def test_ties_within_a_run_are_decided_by_the_row(spark, tmp_path):
+    rows = [(1, "a", 5, n) for n in range(20)]
+    kind = "project_id int, kind string, at int, n int"
+    got = {catalogue.write_traces(spark.createDataFrame(r, kind).repartition(p), f"file://{tmp_path}/{i}").first().n for i, (r, p) in enumerate([(rows, 1), (rows[::-1], 7)])}
+    assert len(got) == 1
+
+
 def test_unknown_paint_is_an_error(spark):
     paints = spark.createDataFrame([("1", "x", "PB1", "2.5")], catalogue.PAINTS)
     variants = spark.createDataFrame([("9", "35", "s", None, None)], catalogue.VARIANTS)
