@@ -11,7 +11,7 @@ from ..operators import reports
 from ..operators.iterate import shared_dir
 from ..sources import catalogue, events, images
 from ..streaming import errors, srs
-from .inputs import PIXELS, WIDTH, derived, pixels, plain, table
+from .inputs import IMAGE, PIXELS, WIDTH, derived, pixels, plain, table
 from .learning_queries import SRS
 from .registry import query
 
@@ -77,12 +77,26 @@ def t4_srs_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return srs.latest(errors.run_to_table(srs.srs_stream(answers), _folder(spark), "update"))
 
 
-@query(f"WITH {PIXELS} SELECT image_id, x, y, r, g, b FROM pixels QUALIFY count(*) OVER (PARTITION BY image_id, y) = {WIDTH}")
+_FULL = f"WITH {PIXELS} SELECT image_id, x, y, r, g, b FROM pixels QUALIFY count(*) OVER (PARTITION BY image_id, y) = {WIDTH}"
+
+
+def _packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pix = pixels(spark, sf_dir)
+    return images.pack_images(pix.join(pix.groupBy("image_id", "y").count().filter(F.col("count") == WIDTH).drop("count"), ["image_id", "y"]))
+
+
+@query(f"{_FULL} AND count(*) OVER (PARTITION BY image_id) = {IMAGE}")
+def s1_read_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Full images, written as PNG files to the shared folder and read back."""
+    folder = _folder(spark)
+    images.write_images(_packed(spark, sf_dir).filter(F.col("height") * F.col("width") == IMAGE), folder)
+    return images.to_pixels(images.read_images(spark, folder).withColumn("image_id", F.regexp_extract("image_id", "([0-9]+)[.]png$", 1).cast("long")))
+
+
+@query(_FULL)
 def s2_to_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Full rows of each image, packed as the image source packs them and unpacked again."""
-    pix = pixels(spark, sf_dir)
-    full = pix.join(pix.groupBy("image_id", "y").count().filter(F.col("count") == WIDTH).drop("count"), ["image_id", "y"])
-    return images.to_pixels(images.pack_images(full))
+    return images.to_pixels(_packed(spark, sf_dir))
 
 
 _PAINTS = "SELECT 'n' || cast(p_partkey AS string) AS paint_no, p_name || ', \"' || p_type || '\"' AS name, 'PB' || cast(p_size AS string) || ', PW4' AS pigments, CASE WHEN p_partkey % 3 > 0 THEN cast(p_partkey % 90 AS string) || '.5' END AS weight_g FROM {part}"

@@ -30,6 +30,22 @@ def test_read_images(spark, tmp_path):
     assert len(got) == 35 and all((r.r, r.g, r.b) == tuple(own[r.y, r.x]) for r in got)
 
 
+def test_written_images_are_read_back(spark, tmp_path):
+    """Gray, colour and transparent images of several sizes, one of a single pixel; a second run writes the same files."""
+    rng = np.random.default_rng(3)
+    own = {f"i{k}": rng.integers(0, 256, (h, w, n), np.uint8) for k, (h, w, n) in enumerate([(5, 7, 3), (1, 1, 3), (70, 3, 3), (4, 6, 1), (9, 2, 4)])}
+    rows = spark.createDataFrame([(k, *a.shape, bytearray(a.tobytes())) for k, a in own.items()], "image_id string, height int, width int, channels int, data binary")
+    path = f"file://{tmp_path}/out"
+    for _ in range(2):
+        assert {r.file for r in images.write_images(rows, path).collect()} == {f"{path}/{k}.png" for k in own}
+    found = images.to_pixels(images.read_images(spark, path)).withColumn("image_id", F.regexp_extract("image_id", "(i[0-9])[.]png", 1)).collect()
+    assert len(found) == sum(a.shape[0] * a.shape[1] for a in own.values())
+    for r in found:
+        bgr = own[r.image_id][r.y, r.x]
+        assert (r.b, r.g, r.r) == (tuple(map(int, bgr[:3])) if len(bgr) > 1 else (int(bgr[0]),) * 3)
+    assert images.write_images(rows.limit(0), path).count() == 0
+
+
 def solid(spark, w=8, h=8, rgb=(10, 120, 240)):
     return spark.createDataFrame([(1, x, y, *rgb) for x in range(w) for y in range(h)], "image_id int, x int, y int, r int, g int, b int")
 
