@@ -87,7 +87,7 @@ def _with_threshold(cells: DataFrame, lut: DataFrame | None) -> DataFrame:
 
 
 def _palette_arrays(palette: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    chips = pal.checked_palette(palette).orderBy("chip_idx").select("chip_idx", "ok_l", "ok_a", "ok_b").toPandas()
+    chips = pal.palette_rows(palette, ["chip_idx", "ok_l", "ok_a", "ok_b"])
     return chips["chip_idx"].to_numpy(np.int32), chips[["ok_l", "ok_a", "ok_b"]].to_numpy(np.float64)
 
 

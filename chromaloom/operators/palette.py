@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import color
@@ -37,19 +37,34 @@ def load_palette(munsell: DataFrame, grays: DataFrame, mode: str = "color", tier
 
 
 def checked_palette(palette: DataFrame) -> DataFrame:
-    """The palette itself, after a count: none or too many chips are errors."""
-    n = palette.limit(MOST_CHIPS + 1).count()
-    if not 1 <= n <= MOST_CHIPS:
-        raise ValueError(f"a palette has 1 to {MOST_CHIPS} chips")
+    """The palette itself, after a count: none or too many chips are errors. A held palette has been counted."""
+    if _held(palette) is None:
+        n = palette.limit(MOST_CHIPS + 1).count()
+        if not 1 <= n <= MOST_CHIPS:
+            raise ValueError(f"a palette has 1 to {MOST_CHIPS} chips")
     return palette
 
 
 def held_palette(palette: DataFrame) -> DataFrame:
     """A checked palette read once: its rows, at most MOST_CHIPS, come to the driver, and later uses cost no scan."""
-    rows = palette.limit(MOST_CHIPS + 1).collect()
+    rows = palette.limit(MOST_CHIPS + 1).toPandas()
     if not 1 <= len(rows) <= MOST_CHIPS:
         raise ValueError(f"a palette has 1 to {MOST_CHIPS} chips")
-    return palette.sparkSession.createDataFrame(rows, palette.schema)
+    out = palette.sparkSession.createDataFrame(rows, palette.schema)
+    out._held_rows = rows
+    return out
+
+
+def _held(palette: DataFrame) -> pd.DataFrame | None:
+    return getattr(palette, "_held_rows", None)
+
+
+def palette_rows(palette: DataFrame, columns: list[str]) -> pd.DataFrame:
+    """Columns of a checked palette in the order of chip_idx, at the driver."""
+    rows = _held(palette)
+    if rows is None:
+        rows = checked_palette(palette).select(*columns).toPandas()
+    return rows[columns].sort_values("chip_idx").reset_index(drop=True)
 
 
 def apply_filters(pixels: DataFrame, filters: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -67,11 +82,10 @@ def apply_filters(pixels: DataFrame, filters: DataFrame) -> tuple[DataFrame, Dat
 def _search(palette: DataFrame, metric: str) -> Callable[..., Column]:
     """A function of a colour's three columns, OKLab or Lab by the metric, that gives its nearest chip (least index on a
     tie). The chips of a checked palette, as a tree, go to every task that asks."""
-    chips = checked_palette(palette)
     if metric == "ciede2000":
-        chips = with_lab(chips, ("l", "a", "b")).select("chip_idx", "l", "a", "b").toPandas()
+        chips = with_lab(checked_palette(palette), ("l", "a", "bb")).select("chip_idx", "l", "a", "bb").toPandas()
     else:
-        chips = chips.select("chip_idx", "ok_l", "ok_a", "ok_b").toPandas()
+        chips = palette_rows(palette, ["chip_idx", "ok_l", "ok_a", "ok_b"])
     tree = ChipTree(chips["chip_idx"].to_numpy(np.int64), chips.iloc[:, 1:].to_numpy(np.float64), "ciede2000" if metric == "ciede2000" else "squared")
 
     @F.pandas_udf("int")
@@ -230,40 +244,57 @@ def _claims(own: pd.DataFrame, free: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["chip_idx", "name_idx"])
 
 
+#: Chips that take their names in one round: each colour among them gets so many of the nearest free names that the others
+#: of the round cannot use them up. Their square is the numbers that come to the driver.
+NAME_BATCH = 2048
+
+
 def assign_names(chips: DataFrame, names: DataFrame) -> DataFrame:
     """(chip_idx, name_idx): each chip in index order takes its nearest name not taken yet, ties to the least
     name_idx. chips: (chip_idx, ok_l, ok_a, ok_b); names: (name_idx, the same). More chips than names is an
     error. Both tables are palettes of checked size, MOST_CHIPS at most.
 
-    Chips propose and names refuse, in rounds: a chip without a name asks for the nearest that no smaller chip holds;
-    a name keeps the smallest chip that asked. Chips are spread over tasks; the names and who holds them, a number
-    each, are what the driver sends. When nobody asks any more each chip has what it would have got in turn.
+    NAME_BATCH chips at a time: tasks list the nearest free names of the batch's colours, each once, as many as the batch
+    has chips; the driver, which holds both palettes, goes down the chips and gives each the first of its list that is
+    free. So there is one job for a batch, however alike its colours are.
     """
-    chips = checked_palette(chips).select("chip_idx", "ok_l", "ok_a", "ok_b")
-    free = checked_palette(names).orderBy("name_idx").select("name_idx", "ok_l", "ok_a", "ok_b").toPandas()
-    if chips.count() > len(free):
+    spark = chips.sparkSession
+    own = checked_palette(chips).select("chip_idx", "ok_l", "ok_a", "ok_b").orderBy("chip_idx").toPandas()
+    free = checked_palette(names).select("name_idx", "ok_l", "ok_a", "ok_b").orderBy("name_idx").toPandas()
+    if len(own) > len(free):
         raise ValueError("more chips than names")
-    lab, idx = free[["ok_l", "ok_a", "ok_b"]].to_numpy(np.float64), free["name_idx"].to_numpy(np.int64)
-    holder = np.full(len(free), np.iinfo(np.int64).max)  # of each name: the chip that has it
-
-    def ask(holder: np.ndarray) -> DataFrame:
-        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for frame in frames:
-                own = frame[~frame["chip_idx"].isin(holder)]
-                places = np.empty(len(own), np.int64)
-                for k, (c, at) in enumerate(zip(own["chip_idx"], own[["ok_l", "ok_a", "ok_b"]].to_numpy(np.float64), strict=True)):
-                    d = np.round(((lab - at) ** 2).sum(axis=1), 12)
-                    places[k] = np.where(holder < c, np.inf, d).argmin()
-                yield pd.DataFrame({"place": places, "chip_idx": own["chip_idx"].to_numpy(np.int64)})
-
-        return chips.mapInPandas(run, "place long, chip_idx long").groupBy("place").agg(F.min("chip_idx").alias("chip_idx"))
-
-    while len(asked := ask(holder).toPandas()):
-        place = asked["place"].to_numpy()
-        holder[place] = np.minimum(holder[place], asked["chip_idx"].to_numpy())
-    taken = np.flatnonzero(holder < np.iinfo(np.int64).max)
-    pairs = pd.DataFrame({"chip_idx": holder[taken].astype(np.int32), "name_idx": idx[taken].astype(np.int32)})
-    return chips.sparkSession.createDataFrame(pairs, "chip_idx int, name_idx int")
+    lab, taken = free[["ok_l", "ok_a", "ok_b"]].to_numpy(np.float64), np.zeros(len(free), bool)
+    out = np.empty(len(own), np.int64)
+    for at in range(0, len(own), NAME_BATCH):
+        colors, color = np.unique(own[["ok_l", "ok_a", "ok_b"]].to_numpy(np.float64)[at : at + NAME_BATCH], axis=0, return_inverse=True)
+        lists = _nearest_free(spark, colors, lab, np.flatnonzero(~taken), len(color))
+        look = [0] * len(colors)
+        for k, c in enumerate(color.ravel().tolist()):
+            while taken[lists[c][look[c]]]:
+                look[c] += 1
+            out[at + k] = lists[c][look[c]]
+            taken[out[at + k]] = True
+    pairs = pd.DataFrame({"chip_idx": own["chip_idx"].to_numpy(np.int32), "name_idx": free["name_idx"].to_numpy(np.int32)[out]})
+    return spark.createDataFrame(pairs, "chip_idx int, name_idx int")
+
+
+def _nearest_free(spark: SparkSession, colors: np.ndarray, lab: np.ndarray, free: np.ndarray, n: int) -> list[np.ndarray]:
+    """For each colour, the n nearest free names (fewer if there are not so many), nearest first, ties by place."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            lists = []
+            for c in frame[["l", "a", "b"]].to_numpy(np.float64):
+                d = np.round(((lab[free] - c) ** 2).sum(axis=1), 12)
+                near = np.flatnonzero(d <= np.partition(d, n - 1)[n - 1]) if n < len(d) else np.arange(len(d))
+                lists.append(free[near[np.argsort(d[near], kind="stable")[:n]]].astype(np.int32).tobytes())
+            yield pd.DataFrame({"i": frame["i"], "names": lists})
+
+    rows = pd.DataFrame(colors, columns=["l", "a", "b"]).assign(i=np.arange(len(colors)))
+    parts = max(1, min(len(colors), spark.sparkContext.defaultParallelism))
+    asked = spark.createDataFrame(rows, "l double, a double, b double, i long").repartition(parts, "i")
+    got = asked.mapInPandas(run, "i long, names binary").toPandas().sort_values("i")
+    return [np.frombuffer(x, np.int32) for x in got["names"]]
 
 
 def assign_names_by(chips: DataFrame, names: DataFrame, by: str) -> DataFrame:

@@ -390,7 +390,20 @@ def test_unique_names(spark):
         pal.assign_names(chips, names.limit(2)).collect()
 
 
-def test_names_in_rounds_are_those_taken_in_turn(spark):
+def test_a_thousand_equal_chips_take_few_jobs(spark):
+    chips = spark.range(1000).select(F.col("id").cast("int").alias("chip_idx"), *(F.lit(0.5).alias(c) for c in ("ok_l", "ok_a", "ok_b")))
+    names = spark.range(1200).select(F.col("id").cast("int").alias("name_idx"), (F.col("id") % 7 / 7).alias("ok_l"), *(F.lit(0.5).alias(c) for c in ("ok_a", "ok_b")))
+    spark.sparkContext.setJobGroup("equal chips", "equal chips")
+    got = {r.chip_idx: r.name_idx for r in pal.assign_names(chips, names).collect()}
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("equal chips"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    order = sorted(range(1200), key=lambda i: (round((i % 7 / 7 - 0.5) ** 2, 12), i))
+    assert got == dict(enumerate(order[:1000])) and jobs < 20
+
+
+@pytest.mark.parametrize("batch", [1, 7, 2048])
+def test_names_in_rounds_are_those_taken_in_turn(spark, monkeypatch, batch):
+    monkeypatch.setattr(pal, "NAME_BATCH", batch if batch > 1 else 30)
     rng = np.random.default_rng(4)
     lab, free = np.round(rng.random((80, 3)), 1), np.round(rng.random((90, 3)), 1)  # many ties
     chips = spark.createDataFrame([(i, *map(float, v)) for i, v in enumerate(lab)], "chip_idx int, ok_l double, ok_a double, ok_b double")
