@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import color
 from ..operators import grid
 from ..operators import palette as pal
+from ..operators.iterate import checkpoint
 from .color_queries import NAMED, de00_sql, lab_sql, munsell
 from .inputs import CELLS, CHIPS, PALETTE, PART_CHIPS, grids, oklab_sql, palette, part_chips, pixels, table
 from .registry import query
@@ -164,5 +165,5 @@ labels AS (SELECT image_id, chip_idx, dense_rank() OVER (PARTITION BY image_id O
 SELECT image_id, chip_idx, label, count(*) AS n_cells, min(cx) AS min_cx, max(cx) AS max_cx FROM done JOIN labels USING (image_id, chip_idx) GROUP BY ALL""")
 def trace_pixelate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The grid trace end to end: cell means, nearest chips, at most 8 of them an image, labels; cells of each."""
-    done = pal.reduce_top_n(snapped(spark, sf_dir), palette(spark, sf_dir), 8)
+    done = checkpoint(pal.reduce_top_n(checkpoint(snapped(spark, sf_dir)), palette(spark, sf_dir), 8).select("image_id", "cx", "cy", "chip_idx"))
     return grid.number_labels(done).groupBy("image_id", "chip_idx", "label").agg(F.count("*").alias("n_cells"), F.min("cx").alias("min_cx"), F.max("cx").alias("max_cx"))

@@ -133,7 +133,28 @@ def r1_flatten_l0(spark: SparkSession, sf_dir: str) -> DataFrame:
     return regions.flatten_l0(pixels(spark, sf_dir), 0.25)
 
 
-@query()
+def _edges_sql(reach: float = 57.0, edge: float = 0.23, rounds: int = 3) -> str:
+    """The recursive filter as walks along each line: there and back, by rows and then by columns, in three rounds."""
+    now, parts = "dense", []
+    for i in range(rounds):
+        sigma = f"({reach}::DOUBLE * sqrt(3.0::DOUBLE) * {2.0 ** (rounds - 1 - i)}::DOUBLE / sqrt({4.0**rounds - 1}::DOUBLE))"
+        for along, across, d, size in (("x", "y", "dx", "w"), ("y", "x", "dy", "h")):
+            for way, first, keep in ((1, "0", f"p.{d}"), (-1, f"{size} - 1", f"f.{d}")):
+                name = f"{along}{i}{'there' if way > 0 else 'back'}"
+                mixed = ", ".join(f"p.{c} + pow(exp(-sqrt(2.0::DOUBLE) / {sigma}), {keep}) * (f.{c} - p.{c}) AS {c}" for c in "rgb")
+                parts.append(f"{name} AS (SELECT image_id, x, y, w, h, dx, dy, r, g, b FROM {now} WHERE {along} = {first} UNION ALL SELECT p.image_id, p.x, p.y, p.w, p.h, p.dx, p.dy, {mixed} FROM {name} f JOIN {now} p ON p.image_id = f.image_id AND p.{across} = f.{across} AND p.{along} = f.{along} + {way})")
+                now = name
+    change = lambda o: " + ".join(f"abs(p.{c} - {o}.{c})" for c in "rgb")
+    whole = lambda c: f"floor(greatest(0, least(1, s.{c})) * 255 + 0.5::DOUBLE)::INT AS {c}"
+    return f"""WITH RECURSIVE {PIXELS}, size AS (SELECT image_id, max(x) + 1 AS w, max(y) + 1 AS h FROM pixels GROUP BY image_id), spots AS (SELECT *, unnest(range(w))::INT AS x FROM size), places AS (SELECT *, unnest(range(h))::INT AS y FROM spots),
+filled AS (SELECT image_id, q.x, q.y, w, h, coalesce(r, 0) / 255.0::DOUBLE AS r, coalesce(g, 0) / 255.0::DOUBLE AS g, coalesce(b, 0) / 255.0::DOUBLE AS b FROM places q LEFT JOIN pixels USING (image_id, x, y)),
+dense AS (SELECT p.*, coalesce(1 + {reach}::DOUBLE / {edge}::DOUBLE * ({change('l')}), 1) AS dx, coalesce(1 + {reach}::DOUBLE / {edge}::DOUBLE * ({change('u')}), 1) AS dy
+  FROM filled p LEFT JOIN filled l ON l.image_id = p.image_id AND l.y = p.y AND l.x = p.x - 1 LEFT JOIN filled u ON u.image_id = p.image_id AND u.x = p.x AND u.y = p.y - 1),
+{", ".join(parts)}
+SELECT s.image_id, s.x, s.y, {whole('r')}, {whole('g')}, {whole('b')} FROM {now} s SEMI JOIN pixels USING (image_id, x, y)"""
+
+
+@query(_edges_sql())
 def r1_flatten_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return regions.flatten_edges(pixels(spark, sf_dir))
 
@@ -329,7 +350,7 @@ def trace_linerate(spark: SparkSession, sf_dir: str) -> DataFrame:
     flat = checkpoint(regions.flatten_l0(grid.to_work_size(pixels(spark, sf_dir), 1), 0.25))
     chips = palette(spark, sf_dir)
     paints = dither.select_paints(flat, chips, 6)
-    found = grid.number_labels(regions.painted_regions(flat, paints, chips, 12, 1.0))
+    found = grid.number_labels(checkpoint(regions.painted_regions(flat, paints, chips, 12, 1.0)))
     return found.withColumn("font", regions.label_font(F.lit(1.0), F.col("radius"), F.length(F.col("label").cast("string"))))
 
 
