@@ -189,7 +189,7 @@ def exact_dedup(docs: DataFrame, is_history: Column | None = None, id_col: str =
     """Exact copies of whole texts, after lower-casing A-Z only: (id, keep_id, group_size, kept, text_sha256).
 
     One row for each input row. is_history marks the rows whose digests make the perfect hash (default: the
-    lower half of the id range); the result is the same whatever it marks. The largest id of equal texts
+    lower half of the id range, or half of the rows by hash where ids are no whole numbers or all null); the result is the same whatever it marks. The largest id of equal texts
     stays; a null id never wins over another and where all are null, all of that group have kept false but
     for groups of one. A null text equals an empty one. Of repeated rows with the winning id, each has kept
     true. Other columns are not read.
@@ -197,8 +197,8 @@ def exact_dedup(docs: DataFrame, is_history: Column | None = None, id_col: str =
     sig = checkpoint(_signed(docs, id_col, text_col, *([is_history.alias("old")] if is_history is not None else [])))
     n, low, high = sig.agg(F.count("*"), F.min("id"), F.max("id")).first()
     if is_history is None:
-        middle = low if low is None or isinstance(low, str) else low + (high - low) // 2
-        sig = sig.withColumn("old", F.col("id") <= F.lit(middle))
+        half = F.col("id") <= F.lit(low + (high - low) // 2) if isinstance(low, int) else F.pmod(F.xxhash64("id", "digest"), F.lit(2)) == 0
+        sig = sig.withColumn("old", half)
     old = F.coalesce(F.col("old"), F.lit(False))
     groups = groups_of(sig.filter(old), sig.filter(~old), max(LEAST_SHARDS, n // SHARD_ROWS))
     return _labelled(sig, groups, id_col)

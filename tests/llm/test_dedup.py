@@ -40,6 +40,24 @@ def test_exact(docs, texts, history):
         assert r.group_size == len(own) and r.keep_id == most and r.kept == (r.doc_id == most)
 
 
+@pytest.mark.parametrize("ident", ["concat('d', doc_id)", "cast(null as long)", "cast(doc_id as decimal(9,2))"])
+def test_half_of_any_ids_is_history(spark, monkeypatch, ident):
+    """String, null and decimal ids: both halves hold about half of the rows, and groups are right."""
+    rows = spark.range(400).select(F.col("id").alias("doc_id"), F.concat(F.lit("Text "), (F.col("id") % 150).cast("string")).alias("text")).withColumn("doc_id", F.expr(ident))
+    sizes, whole = [], exact_dedup.groups_of
+
+    def groups(history, new, shards):
+        sizes.append((history.count(), new.count()))
+        return whole(history, new, shards)
+
+    monkeypatch.setattr(exact_dedup, "groups_of", groups)
+    got = exact_dedup.exact_dedup(rows).collect()
+    assert min(sizes[0]) > 100 and sum(sizes[0]) == len(got) == 400
+    assert {r.text_sha256: r.group_size for r in got} == {hashlib.sha256(f"text {k}".encode()).hexdigest(): 3 if k < 100 else 2 for k in range(150)}
+    if "null" not in ident:
+        assert sum(r.kept for r in got) == 150 and all(r.kept == (r.keep_id == r.doc_id) for r in got)
+
+
 def test_exact_drop(docs, empty):
     kept = exact_dedup.drop_exact_copies(docs)
     assert kept.columns == docs.columns
