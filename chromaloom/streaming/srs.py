@@ -21,19 +21,26 @@ def moved(box: int, result: str) -> int:
 
 def srs_stream(answers: DataFrame) -> DataFrame:
     """(user, item_id, box, seen, correct) of each item answered in a trigger, update mode. answers: (user, item_id,
-    at, seq, result); within a trigger answers are taken in order of (at, seq)."""
+    at, seq, result); within a trigger answers are taken in order of (at, seq).
+
+    A user's items are one state, so a trigger costs a call for each user who answered, not for each item."""
     kinds = {f.name: f.dataType.simpleString() for f in answers.schema.fields}
 
     def run(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        box, seen, correct = state.get if state.exists else (1, 0, 0)
-        for result in pd.concat(list(frames)).sort_values(["at", "seq"])["result"]:
-            box, seen, correct = moved(box, result), seen + 1, correct + (result == "correct")
-        state.update((int(box), int(seen), int(correct)))
-        yield pd.DataFrame({"user": [key[0]], "item_id": [key[1]], "box": [box], "seen": [seen], "correct": [correct]})
-
-    own = answers.select("user", "item_id", "at", "seq", "result")
-    schema = f"user {kinds['user']}, item_id {kinds['item_id']}, box int, seen int, correct int"
-    return own.groupBy("user", "item_id").applyInPandasWithState(run, schema, "box int, seen int, correct int", "update", GroupStateTimeout.NoTimeout)
+        deck = {item: entry for item, *entry in zip(*state.get, strict=True)} if state.exists else {}
+        frame, answered = pd.concat(list(frames)).sort_values(["at", "seq"]), {}
+        for item, result in zip(frame["item_id"].tolist(), frame["result"].tolist(), strict=True):
+            box, seen, correct = deck.get(item, (1, 0, 0))
+            deck[item] = answered[item] = (moved(box, result), seen + 1, correct + (result == "correct"))
+        state.update((list(deck), *map(list, zip(*deck.values(), strict=True))))
+        yield pd.DataFrame([(key[0], item, *entry) for item, entry in answered.items()], columns=["user", "item_id", "box", "seen", "correct"])
+
+    # an item is named by a text that is never null, so that any kind of id goes through pandas unchanged
+    item = F.coalesce(F.concat(F.lit("="), F.col("item_id").cast("string")), F.lit("")).alias("item_id")
+    own = answers.select("user", item, "at", "seq", "result")
+    schema = f"user {kinds['user']}, item_id string, box int, seen int, correct int"
+    out = own.groupBy("user").applyInPandasWithState(run, schema, "items array<string>, box array<int>, seen array<int>, correct array<int>", "update", GroupStateTimeout.NoTimeout)
+    return out.withColumn("item_id", F.when(F.col("item_id") != "", F.expr("substring(item_id, 2)")).cast(kinds["item_id"]))
 
 
 def latest(updates: DataFrame) -> DataFrame:

@@ -92,3 +92,20 @@ def test_accents_are_dropped_by_the_rule(spark):
         assert unicodedata.normalize("NFD", got[i]) == plain
     graded = spark.createDataFrame([("őr", "or")], "a string, t string").select(text.grade(F.col("a"), F.col("t")).alias("g")).first().g
     assert graded != "wrong"
+
+
+def test_answers_streamed_in_triggers(spark, tmp_path):
+    """Three triggers end where a replay of all answers ends; a user is one state, whatever the number of items."""
+    from chromaloom.streaming import errors
+
+    results = ("correct", "almost", "wrong", "correct", "correct")
+    rows = [(u, None if i == 7 else i + 2**60, 10 * t + k, k, results[(u + i * 3 + t * 2 + k) % 5]) for t in range(3) for u in range(3) for i in range(5 + t, 9) for k in range(1 + (u + i) % 3)]
+    schema = "user int, item_id long, at long, seq int, result string"
+    for t in range(3):
+        spark.createDataFrame([r for r in rows if r[2] // 10 == t], schema).coalesce(1).write.mode("append").json(f"{tmp_path}/in")
+    stream = srs.srs_stream(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(f"{tmp_path}/in"))
+    got = srs.latest(errors.run_to_table(stream, f"{tmp_path}/out", "update"))
+    want = learning.replay_srs(spark.createDataFrame(rows, schema))
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.select(got.columns).collect())) and got.schema == want.schema
+    states = spark.read.format("statestore").load(f"{tmp_path}/out/checkpoint")
+    assert states.count() == 3
