@@ -20,6 +20,8 @@ UUID = "^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]
 # Marks of severities.
 MARKS = {"error": "🔴", "warn": "🟡"}
 MOST_HITS, WINDOW_MS = 60, 60_000
+#: Groups of keys that a stream keeps as one state each. A call costs some milliseconds, as much as thousands of rows.
+BUCKETS = 4096
 
 
 def sanitize_events(events: DataFrame, body: str = "body") -> DataFrame:
@@ -86,34 +88,48 @@ def rate_limit(hits: DataFrame, most: int = MOST_HITS, window_ms: int = WINDOW_M
     return own.repartition("key").sortWithinPartitions("key", "t", "seq").mapInArrow(run, f"{schema}, limited boolean")
 
 
-def rate_limit_stream(hits: DataFrame, most: int = MOST_HITS, window_ms: int = WINDOW_MS, late: str = "1 minute") -> DataFrame:
+def rate_limit_stream(hits: DataFrame, most: int = MOST_HITS, window_ms: int = WINDOW_MS, late: str = "1 minute", buckets: int = BUCKETS) -> DataFrame:
     """rate_limit on a stream (key, at timestamp, seq): (key, t, seq, limited) for each hit, append mode.
 
-    A key's state is its window's start and count; it goes when event time has passed the window's end, so the state
-    does not grow with the keys ever seen. Within a trigger hits are taken in order of (t, seq). Hits that come later than
-    ``late`` behind the newest have no row here, as their window may be gone, while rate_limit counts them: late_hits
-    tells how many a query has left out."""
+    Keys are dealt into buckets by hash; a bucket's state is the start and count of each open window. A window goes when
+    event time has passed its end, so the state does not grow with the keys ever seen, and a trigger costs at most a call
+    for each bucket. Within a trigger hits are taken in order of (t, seq). Hits that come later than ``late`` behind the
+    newest have no row here, as their window may be gone, while rate_limit counts them: late_hits tells how many a query
+    has left out."""
     kinds = {f.name: f.dataType.simpleString() for f in hits.schema.fields}
 
-    def run(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    def run(_, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
-        begun, n = state.get if state.exists else (None, 0)
-        frame = pd.concat(list(frames)).sort_values(["t", "seq"])
-        out = []
-        for t in frame["t"].tolist():
-            if begun is None or t - begun > window_ms:
+        windows = {key: (begun, n) for key, begun, n in zip(*state.get, strict=True)} if state.exists else {}
+        frame, out = pd.concat(list(frames)).sort_values(["t", "seq"]), []
+        for key, t in zip(frame["key"].tolist(), frame["t"].tolist(), strict=True):
+            begun, n = windows.get(key, (t, 0))
+            if t - begun > window_ms:
                 begun, n = t, 0
-            n += 1
-            out.append(n > most)
-        state.update((begun, n))
-        state.setTimeoutTimestamp(max(begun + window_ms, state.getCurrentWatermarkMs()) + 1)
+            windows[key] = begun, n + 1
+            out.append(n >= most)
+        now = state.getCurrentWatermarkMs()
+        still = [(key, begun, n) for key, (begun, n) in windows.items() if begun + window_ms >= now]
+        state.update(tuple(map(list, zip(*still, strict=True))) if still else ([], [], []))
+        state.setTimeoutTimestamp(max([now, *(begun + window_ms for _, begun, _ in still)]) + 1)
         yield frame.assign(limited=out)[["key", "t", "seq", "limited"]]
 
-    timed = hits.withWatermark("at", late).select("key", "at", F.unix_millis("at").alias("t"), "seq")
-    out = f"key {kinds['key']}, t long, seq {kinds['seq']}, limited boolean"
-    return timed.groupBy("key").applyInPandasWithState(run, out, "begun long, n long", "append", GroupStateTimeout.EventTimeTimeout)
+    timed = hits.withWatermark("at", late).select(never_null("key").alias("key"), "at", F.unix_millis("at").alias("t"), "seq")
+    timed = timed.withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(buckets)))
+    out = timed.groupBy("bucket").applyInPandasWithState(run, f"key string, t long, seq {kinds['seq']}, limited boolean", "key array<string>, begun array<long>, n array<long>", "append", GroupStateTimeout.EventTimeTimeout)
+    return out.withColumn("key", as_it_was("key", kinds["key"]))
+
+
+def never_null(name: str) -> Column:
+    """A column's values as texts, none of them null: so any whole number or text goes through pandas unchanged."""
+    return F.coalesce(F.concat(F.lit("="), F.col(name).cast("string")), F.lit(""))
+
+
+def as_it_was(name: str, kind: str) -> Column:
+    """The value that never_null has made a text."""
+    return F.when(F.col(name) != "", F.expr(f"substring({name}, 2)")).cast(kind)
 
 
 def late_hits(query: StreamingQuery) -> int:

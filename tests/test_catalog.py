@@ -163,6 +163,26 @@ def test_rate_limit(spark):
     assert [got["a", t] for t in (0, 10, 20, 100, 101, 130, 205)] == [False, False, True, True, False, False, False] and not got[None, 5] and not got["b", 5]
 
 
+def test_rate_limit_of_a_stream(spark, tmp_path):
+    """Three triggers give what a batch gives, for null and large keys too; states are buckets of keys, and go."""
+    keys = [None, *(2**60 + k for k in range(40))]
+    hits = [(key, 3000 * t + 3000 + 50 * (i % 7) + j * (20 + i), j) for t in range(3) for i, key in enumerate(keys) for j in range(1 + i % 5) if (i + t) % 3]
+    for t in range(3):
+        spark.createDataFrame([h for h in hits if h[1] // 3000 == t + 1], "key long, t long, seq int").coalesce(1).write.mode("append").json(f"{tmp_path}/in")
+    stream = spark.readStream.schema("key long, t long, seq int").option("maxFilesPerTrigger", 1).json(f"{tmp_path}/in")
+    stream = errors.rate_limit_stream(stream.select("key", F.timestamp_millis("t").alias("at"), "seq"), 2, 100, "1 second", buckets=5)
+    got = errors.run_to_table(stream, f"{tmp_path}/out").drop("batch")
+    want = errors.rate_limit(spark.createDataFrame(hits, "key long, t long, seq int"), 2, 100)
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and got.schema == want.schema
+    states = lambda batch: spark.read.format("statestore").option("batchId", batch).load(f"{tmp_path}/out/checkpoint")
+    assert states(0).count() == 5 and {r.key for r in want.collect() if r.t // 3000 == 1} == {as_key(k) for r in states(0).collect() for k in r.value.groupState.key}
+    assert all(begun >= 6000 for r in states(2).collect() for begun in r.value.groupState.begun)
+
+
+def as_key(text):
+    return int(text[1:]) if text else None
+
+
 def test_sanitize(spark):
     bodies = ['{"message":"m","name":5,"tags":{"a":1},"extra":[1],"digest":"x"}', "[1]", '{"message":""}', None, '{"message":"' + "y" * 40000 + '"}']
     got = errors.sanitize_events(spark.createDataFrame([(b,) for b in bodies], "body string")).collect()
