@@ -101,26 +101,26 @@ def article_of(term: Column) -> Column:
     return F.nullif(F.lower(F.regexp_extract(F.trim(term), r"(?i)^\(?(der|die|das|el|la|los|las)\)?\b", 1)), F.lit(""))
 
 
-def _letters(c: Column) -> Column:
-    return F.filter(F.split(c, ""), lambda x: x != "")
+def _spaced(c: Column) -> Column:
+    """Characters with a space between them."""
+    return F.regexp_replace(c, "(?s)(.)(?=.)", "$1 ")
 
 
 def length_mask(term: Column) -> Column:
     """Letters as underscores, words kept apart."""
-    def word(w: Column) -> Column:
-        return F.array_join(F.transform(_letters(w), lambda x: F.when(x.rlike(r"^\p{L}$"), "_").otherwise(x)), " ")
-
-    return F.array_join(F.transform(F.split(F.trim(term), r"\s+"), word), "   ·   ")
+    return F.array_join(F.transform(F.split(F.regexp_replace(F.trim(term), r"\p{L}", "_"), r"\s+"), _spaced), "   ·   ")
 
 
 def letter_reveal(term: Column, fraction: float) -> Column:
-    """The first letters (a fraction of them, halves up, one at least), the rest as underscores."""
-    chars = _letters(term)
-    total = F.size(F.filter(chars, lambda x: x.rlike(r"^\p{L}$")))
-    shown = F.greatest(F.lit(1), F.floor(total * fraction + 0.5).cast("int"))
-    seen = lambda i: F.size(F.filter(F.slice(chars, 1, i), lambda y: y.rlike(r"^\p{L}$")))
-    out = F.transform(chars, lambda x, i: F.when(~x.rlike(r"^\p{L}$") | (seen(i) < shown), x).otherwise("_"))
-    return F.regexp_replace(F.array_join(out, " "), " {2,}", "   ")
+    """The first letters (a fraction of them, halves up, one at least), the rest as underscores.
+
+    The place of the last letter shown is found in a mask of the term, so the work grows with its length alone."""
+    mask = F.regexp_replace(F.replace(term, F.lit("_"), F.lit("-")), r"\p{L}", "_")
+    letters = F.length(mask) - F.length(F.replace(mask, F.lit("_"), F.lit("")))
+    shown = F.greatest(F.lit(1), F.floor(letters * fraction + 0.5).cast("int"))
+    upto = F.length(F.call_function("substring_index", mask, F.lit("_"), shown)) + 1
+    out = F.concat(term.substr(F.lit(1), upto), F.regexp_replace(term.substr(upto + 1, F.length(term)), r"\p{L}", "_"))
+    return F.regexp_replace(_spaced(out), " {2,}", "   ")
 
 
 def _quoted(c: Column) -> Column:

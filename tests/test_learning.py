@@ -72,6 +72,18 @@ def test_hints(spark):
     assert two[0] == "Verb-Konjugation" and two[-1] == "Infinitiv: hablar · presente · yo"
 
 
+def test_hints_of_long_targets(spark):
+    """Work grows with a target's length: 20,000 letters took minutes when each counted the letters before it."""
+    import time
+
+    long = spark.createDataFrame([("aé 😀_-" * 4000,), ("_ß1\t😀",), ("",), (None,)], "t string")
+    start = time.monotonic()
+    got = long.select(text.letter_reveal(F.col("t"), 0.5), text.length_mask(F.col("t"))).collect()
+    assert time.monotonic() - start < 20
+    assert got[0][0] == "   ".join(["a é", "😀 _ - a é"] + ["😀 _ - a é"] * 1998 + ["😀 _ - _ _"] * 2000 + ["😀 _ -"]) and got[0][1].count("   ·   ") == 4000
+    assert [tuple(r) for r in got[1:]] == [("_ ß 1 \t 😀", "_ _ 1   ·   😀"), ("", ""), (None, None)]
+
+
 def test_scores(spark):
     rows = [("u", 1, i, r, "noun") for i, r in enumerate(["correct"] * 4 + ["almost"] + ["wrong"] * 5 + ["correct"])]
     got = learning.score_answers(spark.createDataFrame(rows, "user string, run_id int, seq int, result string, kind string")).orderBy("seq").collect()
