@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import color
 from . import palette as pal
+from . import regions
 from .iterate import checkpoint
 from .nearest import ciede2000
 
@@ -22,6 +23,8 @@ MOST_SWAPS = 100
 TABLE_CELLS = 1 << 23
 # Side of the threshold tile, width of its bump, share of first points, seed.
 TILE, SIGMA, FIRST_SHARE, SEED = 256, 1.9, 0.1, 1729
+#: Stands for a missing cell in an array of chips; cells whose windows are counted at once.
+NO_CHIP, TEXTURE_ROWS = -(1 << 62), 1 << 16
 
 
 def threshold(x: Column, y: Column) -> Column:
@@ -78,12 +81,12 @@ def blue_noise(size: int = TILE, sigma: float = SIGMA, share: float = FIRST_SHAR
     return (rank * 256 // n).reshape(size, size)
 
 
-def _with_threshold(cells: DataFrame, lut: DataFrame | None) -> DataFrame:
+def _with_threshold(cells: DataFrame, lut: DataFrame | None, how: str = "inner") -> DataFrame:
     """cells plus __t. A table of thresholds has 65,536 rows and is broadcast."""
     if lut is None:
         return cells.withColumn("__t", threshold(F.col("cx"), F.col("cy")))
     tile = lut.select(F.col("x").alias("__x"), F.col("y").alias("__y"), F.col("v").alias("__t")).filter("__x between 0 and 255 and __y between 0 and 255").dropDuplicates(["__x", "__y"])
-    return cells.join(F.broadcast(tile), (F.pmod("cx", F.lit(256)) == F.col("__x")) & (F.pmod("cy", F.lit(256)) == F.col("__y"))).drop("__x", "__y")
+    return cells.join(F.broadcast(tile), (F.pmod("cx", F.lit(256)) == F.col("__x")) & (F.pmod("cy", F.lit(256)) == F.col("__y")), how).drop("__x", "__y")
 
 
 def _palette_arrays(palette: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -176,23 +179,41 @@ def texture(cells: DataFrame, strength: float, lut: DataFrame | None = None) ->
     """(image_id, cx, cy, chip_idx): inner cells give way to the commonest other chip of their 5 x 5 window.
 
     A cell gives way where threshold / 255 < strength * (equal neighbours / 8) ** 3; ties go to the chip seen first in
-    row order. Only those cells are spread over their window. A strength of 0 or less changes nothing."""
-    own = cells.select("image_id", "cx", "cy", "chip_idx")
+    row order. Cells are shuffled once, to the tiles they are in or near. A strength of 0 or less changes nothing."""
+    own, side = cells.select("image_id", "cx", "cy", "chip_idx"), regions.TILE
     if strength <= 0:
         return own
 
-    def around(df: DataFrame, reach: int) -> DataFrame:
-        steps = [(dx, dy) for dy in range(-reach, reach + 1) for dx in range(-reach, reach + 1) if dx or dy]
-        moves = F.array(*(F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy"), F.lit(i).alias("at")) for i, (dx, dy) in enumerate(steps)))
-        far = df.withColumn("m", F.explode(moves)).withColumns({"nx": F.col("cx") + F.col("m.dx"), "ny": F.col("cy") + F.col("m.dy")})
-        near = own.select("image_id", F.col("cx").alias("nx"), F.col("cy").alias("ny"), F.col("chip_idx").alias("other"))
-        return far.join(near, ["image_id", "nx", "ny"])
-
-    same = around(own, 1).groupBy("image_id", "cx", "cy", "chip_idx").agg(F.sum((F.col("other") == F.col("chip_idx")).cast("int")).alias("same"))
-    gives = _with_threshold(same, lut).filter(F.col("__t") / 255.0 < F.lit(float(strength)) * F.pow(F.col("same") / 8.0, F.lit(3.0)))
-    votes = around(gives.select("image_id", "cx", "cy", "chip_idx"), 2).filter("other <> chip_idx").groupBy("image_id", "cx", "cy", "other").agg(F.count("*").alias("n"), F.min("m.at").alias("at"))
-    won = votes.groupBy("image_id", "cx", "cy").agg(F.min_by("other", F.struct(-F.col("n"), "at")).alias("new"))
-    return own.join(won, ["image_id", "cx", "cy"], "left").select("image_id", "cx", "cy", F.coalesce("new", "chip_idx").alias("chip_idx"))
+    def on_tile(frame: pd.DataFrame) -> pd.DataFrame:
+        y, x = (frame[c].to_numpy() - frame[c].min() + 2 for c in "yx")
+        paint = np.full((int(y.max()) + 3, int(x.max()) + 3), NO_CHIP, np.int64)
+        paint[y, x] = frame["chip_idx"].fillna(NO_CHIP)
+        mine = ((frame["y"] // side == frame["ty"]) & (frame["x"] // side == frame["tx"])).to_numpy()
+        chips = textured(paint, y[mine], x[mine], frame["__t"].to_numpy(np.float64)[mine], strength)
+        out = frame.loc[mine, ["image_id", "x", "y"]].set_axis(["image_id", "cx", "cy"], axis=1)
+        return out.assign(chip_idx=pd.arrays.IntegerArray(chips, chips == NO_CHIP))
+
+    rows = _with_threshold(own, lut, "left").withColumnsRenamed({"cx": "x", "cy": "y"})
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in own.schema.fields)
+    return regions.in_tiles(rows, 2).groupBy("image_id", "ty", "tx").applyInPandas(on_tile, schema)
+
+
+def textured(paint: np.ndarray, y: np.ndarray, x: np.ndarray, t: np.ndarray, strength: float) -> np.ndarray:
+    """The chips at places (y, x) of paint, none of them within two of its border, after those of threshold t that are to
+    give way have done so. NO_CHIP has no part in it, and a threshold that is missing keeps its cell."""
+    around = lambda y, x, reach: (paint[y + dy, x + dx] for dy in range(-reach, reach + 1) for dx in range(-reach, reach + 1) if dx or dy)
+    out = paint[y, x]
+    same = sum((other == out).astype(np.int64) for other in around(y, x, 1))
+    gives = np.flatnonzero((t / 255.0 < strength * np.power(same / 8.0, 3.0)) & (out != NO_CHIP))
+    for at in range(0, len(gives), TEXTURE_ROWS):
+        k = gives[at : at + TEXTURE_ROWS]
+        others = np.stack(list(around(y[k], x[k], 2)), axis=1)
+        votes = np.stack([(others == other[:, None]).sum(axis=1) for other in others.T], axis=1)
+        votes[(others == out[k, None]) | (others == NO_CHIP)] = 0
+        best = votes.argmax(axis=1)[:, None]
+        won = np.take_along_axis(votes, best, 1)[:, 0] > 0
+        out[k[won]] = np.take_along_axis(others, best, 1)[won, 0]
+    return out
 
 
 def medoids(distances: Callable[[slice], np.ndarray], w: np.ndarray, k: int, m: int, most: int = MOST_SWAPS) -> np.ndarray:

@@ -213,7 +213,7 @@ def _by_tile(pixels: DataFrame, halo: int, run: Callable[[np.ndarray, np.ndarray
         own = ((frame["y"] // TILE == frame["ty"]) & (frame["x"] // TILE == frame["tx"])).to_numpy()
         return run(labels, y[own], x[own], frame[own])
 
-    return _in_tiles(pixels.select("image_id", "x", "y", "facet_id"), halo).groupBy("image_id", "ty", "tx").applyInPandas(on_tile, schema)
+    return in_tiles(pixels.select("image_id", "x", "y", "facet_id"), halo).groupBy("image_id", "ty", "tx").applyInPandas(on_tile, schema)
 
 
 def facet_adjacency(pixels: DataFrame) -> DataFrame:
@@ -229,7 +229,7 @@ def facet_adjacency(pixels: DataFrame) -> DataFrame:
     return _by_tile(pixels, 1, pairs, f"image_id {kind}, a long, b long").distinct()
 
 
-def _in_tiles(pixels: DataFrame, halo: int) -> DataFrame:
+def in_tiles(pixels: DataFrame, halo: int) -> DataFrame:
     """pixels plus (ty, tx), the tile of TILE pixels a side in which a row is worked on: its own, and those of which it
     is within ``halo`` pixels. Only pixels near a tile's border are in several."""
     at = lambda c, by: F.floor((F.col(c) + by) / TILE).cast("int")

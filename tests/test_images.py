@@ -223,6 +223,30 @@ def test_texture_keeps_chips_and_zero_is_no_op(spark):
     assert len(got) == len(rows) and {r.chip_idx for r in got} <= {3, 4} and sorted(map(tuple, got)) != sorted(rows)
 
 
+def brute_texture(rows, strength):
+    paint, out = {(i, x, y): c for i, x, y, c in rows if c is not None}, []
+    around = lambda i, x, y, reach: [paint.get((i, x + dx, y + dy)) for dy in range(-reach, reach + 1) for dx in range(-reach, reach + 1) if dx or dy]
+    for i, x, y, c in rows:
+        t = int(dither.blue_noise_tile()[y % 256 * 256 + x % 256])
+        if c is not None and t / 255.0 < strength * (around(i, x, y, 1).count(c) / 8.0) ** 3:
+            others = [o for o in around(i, x, y, 2) if o not in (None, c)]
+            c = max(others, key=others.count) if others else c
+        out.append((i, x, y, c))
+    return out
+
+
+def test_texture_by_tiles(spark, monkeypatch):
+    """Tiles meet without a seam, whatever is missing; cells are shuffled once."""
+    rng = np.random.default_rng(5)
+    rows = [(i, x, y, [None, -1, 2, 3][rng.integers(4)] if rng.random() < 0.3 else 5) for i in (1, 2) for x in range(-3, 40) for y in range(21) if rng.random() < 0.95]
+    cells = spark.createDataFrame(rows, "image_id int, cx int, cy int, chip_idx int")
+    monkeypatch.setattr(regions, "TILE", 16)
+    for strength in (0.4, 1.0):
+        done = dither.texture(cells, strength)
+        assert sorted(map(str, map(tuple, done.collect()))) == sorted(map(str, brute_texture(rows, strength)))
+    assert done._jdf.queryExecution().optimizedPlan().toString().count("Join") == 0
+
+
 def flood(paint):
     """Brute-force facets: first pixel of each 4-connected area."""
     h, w = paint.shape
