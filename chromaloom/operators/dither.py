@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import color
 from . import palette as pal
 from . import regions
-from .iterate import checkpoint
+from .iterate import stored
 from .nearest import ciede2000
 
 DITHER_MODES = ("none", "knoll_yliluoma", "floyd_steinberg", "texture")
@@ -328,7 +328,7 @@ def select_paints(pixels: DataFrame, palette: DataFrame, k: int, restriction: st
 
 #: OKLab as whole numbers from 0 on: parts of one, and what is added to a and b.
 MICRO, SHIFT = 1_000_000, 2_000_000
-#: Centres that are compared with a colour in one expression.
+#: Centres that are told apart, each by its row in every task.
 MOST_CENTRES = 1024
 
 
@@ -336,35 +336,46 @@ def kmeans_colors(pixels: DataFrame, k: int, rounds: int = 15) -> DataFrame:
     """(cluster, ok_l, ok_a, ok_b): k-means centres of the corpus's colours in OKLab, weighted by their pixels.
 
     The first centre is the commonest colour (the least r, g, b on a tie), each other the colour farthest from all so
-    far; then at most ``rounds`` rounds of means. Colours are counted once; a round is one aggregation of them, of which
-    k rows come to the driver. Places are whole millionths, so sums are exact and the result does not depend on how rows
-    are dealt. A centre without colours stays where it is; fewer colours than k give fewer centres, no pixels none."""
+    far; then at most ``rounds`` rounds of means. Colours, at most 256 ** 3, are counted once and stored in the shared
+    folder; a round is one aggregation of them, of which k rows come to the driver. Places are whole millionths, so sums
+    are exact and the result does not depend on how rows are dealt. A centre without colours stays where it is; fewer
+    colours than k give fewer centres, no pixels none."""
     if not 1 <= k <= MOST_CENTRES:
         raise ValueError(f"k is 1 to {MOST_CENTRES}")
-    colors = _with_lab(pixels.groupBy("r", "g", "b").agg(F.count("*").alias("n")), 1.0)
     place = lambda c, add: F.floor(F.col(c) * float(MICRO) + 0.5).cast("long") + add
-    colors = checkpoint(colors.select("r", "g", "b", "n", place("__l", 0).alias("l"), place("__a", SHIFT).alias("a"), place("__b", SHIFT).alias("bb")))
-
-    def gaps(centres: list[tuple]) -> Column:
-        """(squared distance, cluster) to each centre."""
-        every = F.array(*(F.struct(*(F.lit(int(v)).cast("long").alias(n) for n, v in zip("xyz", c, strict=True)), F.lit(i).alias("i")) for i, c in enumerate(centres)))
-        square = lambda a, b: (a - b) * (a - b)
-        return F.transform(every, lambda c: F.struct((square(c["x"], F.col("l")) + square(c["y"], F.col("a")) + square(c["z"], F.col("bb"))).alias("d"), c["i"].alias("i")))
+    counted = _with_lab(pixels.groupBy("r", "g", "b").agg(F.count("*").alias("n")), 1.0)
+    colors = stored(counted.select("r", "g", "b", "n", place("__l", 0).alias("l"), place("__a", SHIFT).alias("a"), place("__b", SHIFT).alias("bb")))
 
     centres = [tuple(r) for r in colors.orderBy(F.desc("n"), "r", "g", "b").select("l", "a", "bb").limit(1).collect()]
     while 0 < len(centres) < k:
-        far = colors.withColumn("far", F.array_min(gaps(centres))["d"]).filter("far > 0").orderBy(F.desc("far"), "r", "g", "b").select("l", "a", "bb").limit(1).collect()
+        far = colors.withColumn("far", _to_centres(centres, "min")).filter("far > 0").orderBy(F.desc("far"), "r", "g", "b").select("l", "a", "bb").limit(1).collect()
         if not far:
             break
         centres.append(tuple(far[0]))
+    # sums of products as those of their upper and lower 32 bits, which do not leave 64 bits
+    halves = {c: (F.col("n") * F.col(c), f"{c}_high", f"{c}_low") for c in ("l", "a", "bb")}
+    total = [F.sum(e).alias(n) for p, high, low in halves.values() for e, n in ((F.shiftright(p, 32), high), (p.bitwiseAND(F.lit((1 << 32) - 1)), low))]
     for _ in range(rounds if centres else 0):
-        total = [F.sum((F.col("n") * F.col(c)).cast("decimal(38,0)")).alias(c) for c in ("l", "a", "bb")]
-        sums = colors.groupBy(F.array_min(gaps(centres))["i"].alias("i")).agg(F.sum(F.col("n").cast("decimal(38,0)")).alias("w"), *total).collect()
+        sums = colors.withColumn("i", _to_centres(centres, "argmin")).groupBy("i").agg(F.sum("n").alias("w"), *total).collect()
         moved = list(centres)
         for s in sums:
-            moved[s["i"]] = tuple((2 * int(s[c]) + int(s["w"])) // (2 * int(s["w"])) for c in ("l", "a", "bb"))
+            moved[s["i"]] = tuple((2 * ((s[high] << 32) + s[low]) + s["w"]) // (2 * s["w"]) for _, high, low in halves.values())
         if moved == centres:
             break
         centres = moved
     rows = [(i, l / MICRO, (a - SHIFT) / MICRO, (b - SHIFT) / MICRO) for i, (l, a, b) in enumerate(centres)]
     return pixels.sparkSession.createDataFrame(rows, "cluster int, ok_l double, ok_a double, ok_b double")
+
+
+def _to_centres(centres: list[tuple], what: str) -> Column:
+    """Of the squared distances of a colour (l, a, bb) to the centres the least (min) or its place (argmin, the first)."""
+    at = np.array(centres, np.int64)
+
+    @F.pandas_udf("long")
+    def nearest(l: pd.Series, a: pd.Series, b: pd.Series) -> pd.Series:
+        own, out, step = np.stack([l, a, b], axis=1), np.empty(len(l), np.int64), max(1, (1 << 20) // len(at))
+        for k in range(0, len(own), step):
+            out[k : k + step] = getattr(sum((own[k : k + step, c, None] - at[:, c]) ** 2 for c in range(3)), what)(axis=1)
+        return pd.Series(out)
+
+    return nearest("l", "a", "bb")

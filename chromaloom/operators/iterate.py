@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -28,6 +29,13 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """The table as Parquet in the shared folder: read by columns, so cheaper than a checkpoint where it is read often."""
+    path = f"{shared_dir(df.sparkSession)}/chromaloom-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def above(links: DataFrame, stops: DataFrame) -> DataFrame:
     """(id, stop, depth): for each id all stops on its way up, itself included, and the least steps to each. links: (id, up);
     stops: (id).

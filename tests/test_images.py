@@ -507,3 +507,16 @@ def test_kmeans_does_not_depend_on_partitions(spark):
     assert dither.kmeans_colors(pix.limit(3), 9).count() <= 3 and dither.kmeans_colors(pix.limit(0), 4).count() == 0
     with pytest.raises(ValueError):
         dither.kmeans_colors(pix, 0)
+
+
+def test_nearest_of_many_centres(spark):
+    """A thousand centres are told apart in vectors, exactly and by the first of equal ones; colours are stored once."""
+    rng = np.random.default_rng(1)
+    places, centres = rng.integers(0, 4_000_000, (3000, 3)), rng.integers(0, 4_000_000, (1024, 3))
+    centres[900] = centres[7]
+    places[0] = centres[7]
+    d = ((places[:, None] - centres[None]) ** 2).sum(2)
+    colors = spark.createDataFrame([(i, *map(int, p)) for i, p in enumerate(places)], "k int, l long, a long, bb long")
+    centres = [tuple(map(int, c)) for c in centres]
+    got = colors.select("k", dither._to_centres(centres, "min").alias("d"), dither._to_centres(centres, "argmin").alias("i")).orderBy("k").collect()
+    assert [(r.d, r.i) for r in got] == list(zip(d.min(1).tolist(), d.argmin(1).tolist(), strict=True)) and got[0].i == 7
