@@ -6,6 +6,8 @@ import numpy as np
 
 #: Chips of a leaf; colours that are looked up at once; decimal places to which distances count.
 LEAF, BLOCK, PLACES = 8, 4096, 12
+#: So few chips are compared in a plain space without the tree: a table of them is faster than the walk.
+FEW = 256
 #: More than rounding can lose between a bound and a distance.
 SLACK = 1e-9
 
@@ -75,6 +77,7 @@ class ChipTree:
     def __init__(self, index: np.ndarray, points: np.ndarray, metric: str = "squared") -> None:
         self.distance, self.bound = {"squared": (squared, _squared_bound), "ciede2000": (ciede2000, _ciede2000_bound)}[metric]
         order, parts, children = np.argsort(index, kind="stable"), [], []
+        self.few = (points[order], np.asarray(index)[order].astype(np.int64)) if metric == "squared" and len(order) <= FEW else None
 
         def split(own: np.ndarray) -> int:
             at = len(children)
@@ -118,6 +121,9 @@ class ChipTree:
         return np.concatenate([self._block(colors[at : at + BLOCK]) for at in range(0, len(colors), BLOCK)]) if len(colors) else np.zeros(0, np.int64)
 
     def _block(self, colors: np.ndarray) -> np.ndarray:
+        if self.few:
+            points, index = self.few
+            return index[np.round(sum((colors[:, c, None] - points[:, c]) ** 2 for c in range(3)), PLACES).argmin(axis=1)]
         every = np.arange(len(colors))
         best, least = np.full(len(colors), np.inf), np.full(len(colors), np.iinfo(np.int64).max)
         node = np.zeros(len(colors), np.int64)  # down to one leaf first, for a bound that cuts much

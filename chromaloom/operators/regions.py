@@ -16,6 +16,8 @@ LARGEST_SHARE, SMALLEST_SHARE = 0.003, 0.0001
 MERGE_ROUNDS, LIKE_LIGHTNESS = 40, 0.20
 #: Pixels that an image worked on whole may have: twice the largest working size of four megapixels.
 MOST_PIXELS = 1 << 23
+#: Pixels of an image whose channels are smoothed together.
+SMALL = 1 << 16
 #: Pixels of a tile's side: what one task works on where tiles are independent.
 TILE = 512
 #: Places of a distance pass that are worked on at once.
@@ -39,25 +41,30 @@ def flatten_l0(pixels: DataFrame, flatten: float) -> DataFrame:
 
 def smoothed(image: np.ndarray, strength: float) -> np.ndarray:
     """One image (h, w, 3) in 0..1: alternate between keeping strong gradients and solving for the image that has
-    them, with a weight that doubles up to 1e5. In 32-bit floats, by transforms of real numbers, a channel at a time: at
-    the cap of MOST_PIXELS that is some 600 MB."""
+    them, with a weight that doubles up to 1e5. In 32-bit floats, by transforms of real numbers; a channel at a time where
+    an image is large: at the cap of MOST_PIXELS that is some 600 MB."""
     h, w, channels = image.shape
     rows, columns = np.sin(np.pi * np.fft.fftfreq(h)) ** 2, np.sin(np.pi * np.fft.rfftfreq(w)) ** 2
     wave = (4 * (rows[:, None] + columns[None, :])).astype(np.float32)
-    out = [np.ascontiguousarray(image[..., c], np.float32) for c in range(channels)]
+    at_once = channels if h * w <= SMALL else 1
+    out = [np.ascontiguousarray(image[..., c : c + at_once].transpose(2, 0, 1), np.float32) for c in range(0, channels, at_once)]
     start = [np.fft.rfft2(c) for c in out]
     beta = 2 * strength
     while beta < 1e5:
-        power = np.zeros((h, w), np.float32)
+        power, steps = np.zeros((h, w), np.float32), []
         for c in out:
-            power += (np.roll(c, -1, 1) - c) ** 2 + (np.roll(c, -1, 0) - c) ** 2
+            dx, dy = np.roll(c, -1, 2) - c, np.roll(c, -1, 1) - c
+            for one in dx**2 + dy**2:
+                power += one
+            steps.append((dx, dy) if at_once > 1 else None)
         strong = power >= strength / beta
         for k, c in enumerate(out):
-            dx, dy = (np.roll(c, -1, 1) - c) * strong, (np.roll(c, -1, 0) - c) * strong
-            back = np.roll(dx, 1, 1) - dx + np.roll(dy, 1, 0) - dy
+            dx, dy = steps[k] or (np.roll(c, -1, 2) - c, np.roll(c, -1, 1) - c)
+            dx, dy = dx * strong, dy * strong
+            back = np.roll(dx, 1, 2) - dx + np.roll(dy, 1, 1) - dy
             out[k] = np.fft.irfft2((start[k] + np.float32(beta) * np.fft.rfft2(back)) / (1 + np.float32(beta) * wave), s=(h, w))
         beta *= 2
-    return np.clip(np.stack(out, axis=2), 0, 1)
+    return np.clip(np.concatenate(out).transpose(1, 2, 0), 0, 1)
 
 
 def flatten_edges(pixels: DataFrame, sigma_s: float = 57.0, sigma_r: float = 0.23, mode: str = "recurs") -> DataFrame:
@@ -412,9 +419,14 @@ _REGION = "image_id {kind}, facet_id long, chip_idx int, area long, min_x int, m
 
 def _region_rows(frame: pd.DataFrame) -> pd.DataFrame:
     """One image's pixels (image_id, x, y, chip_idx, facet_id) -> a row for each facet."""
-    far = frame.assign(d=_at(frame, edge_distance(_grid(frame, "facet_id")))).sort_values(["d", "y", "x"], ascending=[False, True, True])
-    by = far.groupby(["image_id", "facet_id", "chip_idx"], sort=False, as_index=False)
-    return by.agg(area=("x", "size"), min_x=("x", "min"), max_x=("x", "max"), min_y=("y", "min"), max_y=("y", "max"), pole_x=("x", "first"), pole_y=("y", "first"), radius=("d", "first"))
+    d = _at(frame, edge_distance(_grid(frame, "facet_id")))
+    x, y, chip, facet = (frame[c].to_numpy() for c in ("x", "y", "chip_idx", "facet_id"))
+    order = np.lexsort((x, y, -d, chip, facet))  # a facet's pole comes first
+    x, y, chip, facet, d = x[order], y[order], chip[order], facet[order], d[order]
+    first = np.flatnonzero(np.append(True, (facet[1:] != facet[:-1]) | (chip[1:] != chip[:-1])))
+    sides = {f"{way}_{c}": f.reduceat(v, first) for c, v in (("x", x), ("y", y)) for way, f in (("min", np.minimum), ("max", np.maximum))}
+    area, image = np.diff(np.append(first, len(x))), frame["image_id"].iloc[0]
+    return pd.DataFrame({"image_id": image, "facet_id": facet[first], "chip_idx": chip[first], "area": area, **sides, "pole_x": x[first], "pole_y": y[first], "radius": d[first]})
 
 
 def regions(pixels: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ import zlib
 
 import numpy as np
 import pytest
-from chromaloom.operators import dither, grid, regions, shapes
+from chromaloom.operators import dither, grid, nearest, regions, shapes
 from chromaloom.operators import palette as pal
 from chromaloom.sources import images
 from pyspark.sql import functions as F
@@ -520,3 +520,15 @@ def test_nearest_of_many_centres(spark):
     centres = [tuple(map(int, c)) for c in centres]
     got = colors.select("k", dither._to_centres(centres, "min").alias("d"), dither._to_centres(centres, "argmin").alias("i")).orderBy("k").collect()
     assert [(r.d, r.i) for r in got] == list(zip(d.min(1).tolist(), d.argmin(1).tolist(), strict=True)) and got[0].i == 7
+
+
+def test_small_palettes_and_images_at_once(spark, monkeypatch):
+    """The table of a small palette and the tree agree, ties included; so do channels smoothed together and by themselves."""
+    rng = np.random.default_rng(4)
+    chips, index, own = np.round(rng.random((64, 3)), 1), rng.permutation(64), np.round(rng.random((3000, 3)), 2)
+    image = rng.random((25, 24, 3)).astype(np.float32)
+    assert nearest.FEW >= 64 and regions.SMALL >= 600
+    at_once = nearest.ChipTree(index, chips).nearest(own), regions.smoothed(image, 0.013)
+    monkeypatch.setattr(nearest, "FEW", 0)
+    monkeypatch.setattr(regions, "SMALL", 0)
+    assert (at_once[0] == nearest.ChipTree(index, chips).nearest(own)).all() and (at_once[1] == regions.smoothed(image, 0.013)).all()
