@@ -203,6 +203,8 @@ def test_suites_of_any_depth_are_read(spark):
     got = {(r.report_id, r.spec_id, r.title, r.retry) for r in events.read_test_report(reports).collect()}
     want = {(d, ".".join(["0"] * (d - i + 1)) + "#0", " > ".join([*(f"s{k}" for k in range(d, i - 1, -1)), f"spec{i}"]), i) for d in (1, 4, 5, 9) for i in range(1, d + 1)}
     assert got == want
+    shallow = events.read_test_report(reports.filter("report_id <= 4"))
+    assert "Union" not in shallow._jdf.queryExecution().optimizedPlan().toString()  # levels of one parse are read together
 
 
 def test_lineage_deeper_than_any_cap(spark):
